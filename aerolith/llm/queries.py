@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op6_bpe_encode_decode": bpe.op6_bpe_encode_decode,
 }
 ORACLES: dict[str, str] = {}
