@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, pii, secrets, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op3_pii": pii.op3_pii,
     "op6_bpe_encode_decode": bpe.op6_bpe_encode_decode,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {}
