@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, secrets, simhash
+from . import bpe, decontaminate, pii, secrets, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_pii": pii.op3_pii,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op6_bpe_encode_decode": bpe.op6_bpe_encode_decode,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_decontamination": decontaminate.ORACLE_SQL,
+}
