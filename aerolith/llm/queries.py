@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, pii, secrets, simhash
+from . import bpe, chat, decontaminate, pii, secrets, simhash, token_files
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_chat_format": chat.op2_chat_format,
     "op3_pii": pii.op3_pii,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op6_bpe_encode_decode": bpe.op6_bpe_encode_decode,
+    "op8_token_files": token_files.op8_token_files,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {
+    "op2_chat_format": chat.ORACLE_SQL,
     "op4_decontamination": decontaminate.ORACLE_SQL,
 }
