@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, pii, secrets, simhash, token_files
+from . import bpe, chat, decontaminate, pii, quality, secrets, simhash, token_files
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op6_bpe_encode_decode": bpe.op6_bpe_encode_decode,
     "op8_token_files": token_files.op8_token_files,
+    "op9_quality": quality.op9_quality,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {
