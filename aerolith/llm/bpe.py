@@ -191,12 +191,12 @@ def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids") -> DataFram
     return encoded.drop("bytes").mapInPandas(run, shape)
 
 
-def digests(docs: DataFrame, rank_file: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep``, n_tokens, ids_sha256 and decoded_sha256 of every row's encoding and of what its ids decode to.
+def digests(docs: DataFrame, rank_file: str, pattern: str, keep: list[str], text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """The columns ``keep``, n_tokens, ids_sha256 and decoded_sha256 of every row's encoding and of what its ids decode to, and the ids if asked for.
 
     The same encoding and decoding as ``encode`` and ``decode``, in one pass over each batch, so that ids needn't leave the task.
     """
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches):
@@ -215,10 +215,12 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, keep: list[str], text
 
         for ids in encoded_batches(texts(), replay, pattern):
             part = waiting.pop()
+            more = {"ids": [np.frombuffer(x, dtype="<i4") for x in ids]} if with_ids else {}
             yield part[keep].assign(
                 n_tokens=[len(x) // 4 for x in ids],
                 ids_sha256=[sha(x) for x in ids],
                 decoded_sha256=[sha(replay.decode(np.frombuffer(x, dtype="<u4").tolist())) for x in ids],
+                **more,
             )
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInPandas(run, shape)

@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
@@ -53,15 +53,19 @@ def fingerprint(text: str | None, size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per input row; null and empty texts get fingerprint 0."""
+    """(doc_id, rk, fp): one row per input row; rk names the row by id and text; null and empty texts get fingerprint 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.fromiter((fingerprint(x, size) for x in b["text"]), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "rk": b["rk"], "fp": fp.view(np.int64)})
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInPandas(run, "doc_id long, fp long")
+    return picked.select("doc_id", row_hash("doc_id", "text").alias("rk"), "text").mapInPandas(run, "doc_id long, rk long, fp long")
+
+
+def row_hash(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
 def block_masks(radius: int, blocks: int) -> list[int]:
@@ -203,6 +207,24 @@ def jaccard_links(edges: DataFrame, docs: DataFrame, size: int, at_least: float)
     return edges.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInPandas(score, "u long, v long")
 
 
+def _classes(docs: DataFrame, size: int, radius: int, blocks: int, at_least: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rk, fp) of all rows, and (fp, first, root) of all fingerprints: ``first`` is the row that stands for one, ``root`` names its class."""
+    marked = materialise(fingerprints(docs, size, id_col, text_col))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")
+    nodes = marked.groupBy("fp").agg(F.min(order).alias("first"))
+    edges = links(nodes.select("fp"), radius, blocks)
+    if at_least is not None:
+        edges = materialise(edges)
+        named = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).distinct()
+        chosen = named.join(nodes, "fp").select("fp", F.col("first.rk").alias("rk"))
+        texts = docs.select(row_hash(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text"))
+        texts = chosen.join(texts, "rk").groupBy("fp").agg(F.first("text").alias("text"))
+        edges = jaccard_links(edges, texts, size, at_least)
+    roots = components(edges)
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return marked, placed
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 4, radius: int = 4, blocks: int = 7, at_least: float | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -211,29 +233,31 @@ def near_duplicates(
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the
     smallest doc_id reachable over links, the document's own included. With
     ``at_least`` a link between different fingerprints also needs that Jaccard
-    similarity on word shingles, checked on the links of the spanning forest.
+    similarity on word shingles, checked on the links of the minimum spanning forest.
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a
     null doc_id keep it and take the component of their fingerprint, null if no other
     row of it has an id. Repeated rows are each returned. An empty table gives an empty
     table; columns other than the two named are not read.
     """
-    marked = materialise(fingerprints(docs, size, id_col, text_col))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    edges = links(nodes.select("fp"), radius, blocks)
-    if at_least is not None:
-        edges = materialise(edges)
-        named = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).distinct()
-        chosen = named.join(nodes, "fp").select("fp", F.col("first_id").alias("doc_id"))
-        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        texts = chosen.join(texts, "doc_id").groupBy("fp").agg(F.first("text").alias("text"))
-        edges = jaccard_links(edges, texts, size, at_least)
-    roots = components(edges)
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    marked, placed = _classes(docs, size, radius, blocks, at_least, id_col, text_col)
+    least = placed.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     of_fp = materialise(placed.join(least, "root").select("fp", "component_id"))
     return marked.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def deduplicate(
+    docs: DataFrame, size: int = 5, radius: int = 8, blocks: int = 11, at_least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that stand for their classes, columns as they were: of each class the one with the smallest id.
+
+    Rows without an id come after all others, ties go by a hash of the row; of repeated rows one stays.
+    """
+    _, placed = _classes(docs, size, radius, blocks, at_least, id_col, text_col)
+    stay = materialise(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rk").alias("_rk")).distinct())
+    named = docs.withColumn("_rk", row_hash(id_col, text_col))
+    return named.join(stay, "_rk", "left_semi").dropDuplicates(["_rk"]).drop("_rk")
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
