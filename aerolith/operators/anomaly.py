@@ -30,7 +30,7 @@ def anomaly_rows(obs: DataFrame, stations: DataFrame, cfg: AnomalyConfig) -> Dat
         F.count_if(near & passes).alias("s1"),
         F.count_if(passes).alias("s2"),
     )
-    out = bins.join(lists, (bins["station_id"] == lists["a"]) & (bins["bucket"] == lists["bucket"]), "left").drop("a").drop(lists["bucket"])
+    out = bins.join(lists.withColumnRenamed("a", "station_id"), ["station_id", "bucket"], "left")
     few = F.coalesce(F.size("v1"), F.lit(0)) < cfg.min_neighbors
     none = F.array().cast("array<double>")
     out = out.withColumn("_v", F.coalesce(F.when(few, F.col("v2")).otherwise(F.col("v1")), none))

@@ -164,7 +164,7 @@ used{tag} AS (SELECT *, 1 / pow(greatest(d, 0.1), {power}) AS w FROM (SELECT *,
          WHERE p < 3 OR d <= {preferred} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY d, station_id) <= 8),
 sums{tag} AS (SELECT {keys}, count(*) AS n_stations, sum(w * u) / sum(w) AS u, sum(w * v) / sum(w) AS v, sum(w * (u * u + v * v)) / sum(w) AS ms, count(*) FILTER (WHERE calm) AS n_calm, min(d) AS nearest_km, max(d) AS farthest_km,
           max(offset_s) AS max_offset, count(*) FILTER (WHERE kind = 'nearest_only') AS one_sided FROM used{tag} GROUP BY {keys}),
-i0{tag} AS (SELECT p.*, coalesce(s.n_stations, 0) AS n_stations, s.u, s.v, sqrt(greatest(s.ms - s.u * s.u - s.v * s.v, 0)) AS disagreement, s.n_calm, s.nearest_km, s.farthest_km, s.max_offset, s.one_sided FROM (SELECT DISTINCT * FROM point) p LEFT JOIN sums{tag} s ON {on}),
+i0{tag} AS (SELECT p.*, coalesce(s.n_stations, 0) AS n_stations, s.u, s.v, CASE WHEN s.n_stations IS NOT NULL THEN sqrt(greatest(s.ms - s.u * s.u - s.v * s.v, 0)) END AS disagreement, s.n_calm, s.nearest_km, s.farthest_km, s.max_offset, s.one_sided FROM (SELECT DISTINCT * FROM point) p LEFT JOIN sums{tag} s ON {on}),
 i1{tag} AS (SELECT *, n_stations >= 3 AS enough,
         CASE WHEN n_stations < 3 OR disagreement IS NULL OR disagreement >= 2 OR nearest_km > 20 OR farthest_km > 25 THEN 'high' WHEN disagreement >= 1 OR nearest_km > 10 OR farthest_km > 15 OR n_stations < 5 THEN 'medium' ELSE 'low' END AS spatial_uncertainty,
         CASE WHEN n_stations < 3 OR max_offset > 600 THEN 'STALE' WHEN one_sided > 0 THEN 'NEAREST_ONLY' ELSE 'EXACT_OR_BRACKETED' END AS temporal_uncertainty FROM i0{tag}),

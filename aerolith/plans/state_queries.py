@@ -161,7 +161,7 @@ def rel_set_ops(spark, d):
 
 
 _GAP = """dn AS (SELECT i // 12 AS "row", i % 12 AS col FROM range(156) r(i)),
-hv AS (SELECT CAST(least(floor((lat - 25.0) / ((25.12 - 25.0) / 13)), 12) AS INTEGER) AS "row", CAST(least(floor((lon - 121.4) / ((121.52 - 121.4) / 12)), 11) AS INTEGER) AS col, count(*) AS n FROM station WHERE lat BETWEEN 25.0 AND 25.12 AND lon BETWEEN 121.4 AND 121.52 GROUP BY 1, 2),
+hv AS (SELECT CAST(least(floor((lat - 25.0::DOUBLE) / ((25.12::DOUBLE - 25.0::DOUBLE) / 13)), 12) AS INTEGER) AS "row", CAST(least(floor((lon - 121.4::DOUBLE) / ((121.52::DOUBLE - 121.4::DOUBLE) / 12)), 11) AS INTEGER) AS col, count(*) AS n FROM station WHERE lat BETWEEN 25.0 AND 25.12 AND lon BETWEEN 121.4 AND 121.52 GROUP BY 1, 2),
 fu AS (SELECT dn."row", dn.col, coalesce(n, 0) AS n FROM dn LEFT JOIN hv USING ("row", col)), em AS (SELECT "row" * 12 + col AS id, "row", col FROM fu WHERE n = 0),
 eg AS (SELECT a.id AS u, b.id AS v FROM em a JOIN em b ON abs(a."row" - b."row") + abs(a.col - b.col) = 1),
 rr(id, r) AS (SELECT id, id FROM em UNION SELECT eg.v, rr.r FROM rr JOIN eg ON eg.u = rr.id), ga AS (SELECT id, min(r) AS gap FROM rr GROUP BY 1)"""

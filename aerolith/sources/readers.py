@@ -26,7 +26,8 @@ def fires(raw: DataFrame) -> DataFrame:
     """Parsed hotspot rows: time from date and HHMM, confidence from words or percent, default one half."""
     at = F.try_to_timestamp(F.concat_ws(" ", "acq_date", F.lpad(F.split("acq_time", r"\.")[0], 4, "0")), F.lit("yyyy-MM-dd HHmm"))
     text = F.lower(F.trim("confidence"))
-    share = F.when(text.isin("h", "high"), 1.0).when(text.isin("n", "nominal"), 0.6).when(text.isin("l", "low"), 0.3).otherwise(F.coalesce(F.least(F.greatest(text.try_cast("double") / 100, F.lit(0.0)), F.lit(1.0)), F.lit(0.5)))
+    percent = text.try_cast("double")
+    share = F.when(text.isin("h", "high"), 1.0).when(text.isin("n", "nominal"), 0.6).when(text.isin("l", "low"), 0.3).when(percent.isNull(), 0.5).otherwise(F.least(F.greatest(percent / 100, F.lit(0.0)), F.lit(1.0)))
     return raw.withColumns({"acquired_at": at, "confidence_share": share})
 
 
