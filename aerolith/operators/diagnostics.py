@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_km
+from ..functions.geo import angle_between, bearing_deg, haversine_km
 from ..functions.text import number
 from .graph import components
 
@@ -91,3 +91,15 @@ def unpivot_hours(wide: DataFrame, keys: list[str], prefix: str, hours: int = 24
     names = [f"{prefix}{h:02d}" for h in range(hours)]
     long = wide.select(*keys, *[F.col(n).cast("string").alias(n) for n in names]).unpivot(keys, names, "name", "raw")
     return long.select(*keys, F.substring("name", -2, 2).cast("int").alias("hour"), number(F.col("raw")).alias("value")).where("value is not null")
+
+
+def wind_relation(pairs: DataFrame) -> DataFrame:
+    """Adds how a point lies to the wind at a source, and the travel time in minutes.
+
+    ``pairs`` has f_lat, f_lon, lat, lon, toward_deg and speed_mps (null where there is no wind). Up to 45 degrees off is downwind, under 135
+    crosswind, else upwind; without a direction it is unknown, and without wind there is no travel time.
+    """
+    off = angle_between(bearing_deg("f_lat", "f_lon", "lat", "lon"), "toward_deg")
+    km = haversine_km("f_lat", "f_lon", "lat", "lon")
+    kind = F.when(F.col("toward_deg").isNull(), "unknown").when(off <= 45, "downwind").when(off < 135, "crosswind").otherwise("upwind")
+    return pairs.withColumns({"distance_km": km, "off_deg": off, "relation": kind, "travel_minutes": F.when(F.col("speed_mps") > 0, km * 1000 / F.col("speed_mps") / 60)})

@@ -29,6 +29,17 @@ def fire_response(spark, d):
     return out.select("fire_id", "station_id", "n", "response", *_r("baseline", "during", "post", "peak", "delta"))
 
 
+def fire_wind_relation(spark, d):
+    """A wind of its own for each fire, from its key; every tenth is still."""
+    f = views.fires(spark, d).where("frp > 120").select("fire_id", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), F.col("frp"))
+    still = F.col("fire_id") % 10 == 0
+    f = f.withColumns({"toward_deg": F.when(~still, ((F.col("fire_id") * 47) % 360).cast("double")), "speed_mps": F.when(still, 0.0).otherwise(F.col("frp") / 20)})
+    a = f.withColumns({"a_lat": F.col("f_lat"), "a_lon": F.col("f_lon")})
+    b = views.stations(spark).withColumns({"b_lat": F.col("lat"), "b_lon": F.col("lon")})
+    out = diagnostics.wind_relation(spatial.distance_join(a, b, 3.0).where("distance_km > 0.01"))
+    return out.select("fire_id", "station_id", "relation", *_r("distance_km", "off_deg", "travel_minutes"))
+
+
 def ring_baseline(spark, d):
     pairs = spatial.neighbor_pairs(views.stations(spark), 5.0)
     values = _bins(spark, d).select(F.col("station_id").alias("b"), "bucket", F.col("smoothed").alias("value"))
@@ -176,6 +187,11 @@ QUERIES = {
               max(value) FILTER (WHERE d >= 0) AS peak, count(value) FILTER (WHERE d >= 0) AS n FROM m GROUP BY 1, 2)
         SELECT fire_id, station_id, n, CASE WHEN peak - baseline IS NULL THEN 'no_data' WHEN peak - baseline >= 5 THEN 'clear' WHEN peak - baseline >= 2 THEN 'weak' ELSE 'none' END AS response,
                round(baseline, 6) AS baseline, round(during, 6) AS during, round(post, 6) AS post, round(peak, 6) AS peak, round(peak - baseline, 6) AS delta FROM g"""),
+    "fire_wind_relation": (fire_wind_relation, with_("station", "fire") + f""", p AS (SELECT f.fire_id, s.station_id, {hav('f', 's')} AS d, CASE WHEN f.fire_id % 10 <> 0 THEN ((f.fire_id * 47) % 360)::DOUBLE END AS toward, CASE WHEN f.fire_id % 10 = 0 THEN 0.0 ELSE f.frp / 20 END AS speed,
+        ((degrees(atan2(sin(radians(s.lon - f.lon)) * cos(radians(s.lat)), cos(radians(f.lat)) * sin(radians(s.lat)) - sin(radians(f.lat)) * cos(radians(s.lat)) * cos(radians(s.lon - f.lon)))) % 360) + 360) % 360 AS brg FROM fire f, station s WHERE f.frp > 120),
+        q AS (SELECT *, least((brg - toward + 720) % 360, 360 - (brg - toward + 720) % 360) AS off_deg FROM p WHERE d <= 3.0 AND d > 0.01)
+        SELECT fire_id, station_id, CASE WHEN toward IS NULL THEN 'unknown' WHEN off_deg <= 45 THEN 'downwind' WHEN off_deg < 135 THEN 'crosswind' ELSE 'upwind' END AS relation, round(d, 6) AS distance_km,
+               round(CASE WHEN toward IS NOT NULL THEN off_deg END, 6) AS off_deg, round(CASE WHEN speed > 0 THEN d * 1000 / speed / 60 END, 6) AS travel_minutes FROM q"""),
     "ring_baseline": (ring_baseline, with_("obs", "station", BINNED, _PAIR) + f" SELECT a, bucket, ring, count(*) AS n, round(quantile_cont(smoothed, 0.5), 6) AS median FROM pr JOIN {_RING} ON d >= lo AND (d < hi OR (closed AND d <= hi)) JOIN smoothed ON station_id = b GROUP BY 1, 2, 3"),
     "lagged_corr": (lagged_corr, with_("obs", "station", BINNED, _PAIR) + """, c AS (SELECT a, b, lag, count(*) AS n, corr(x.smoothed, y.smoothed) AS r FROM pr JOIN smoothed x ON x.station_id = a, (VALUES (-2), (-1), (0), (1), (2)) l(lag), smoothed y
         WHERE d <= 3.0 AND y.station_id = b AND y.bucket = x.bucket + lag * 21600 GROUP BY 1, 2, 3) SELECT a, b, lag, n, round(CASE WHEN n >= 5 AND NOT isnan(r) THEN r END, 6) AS r FROM c"""),
