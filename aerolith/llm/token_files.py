@@ -14,9 +14,11 @@ read by its index entry alone: its frame is the only one decompressed.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +34,20 @@ HEAD, ENTRY = "<8sBQ32s", np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "
 #: Documents that the dictionary is trained on, its size, and what a shard holds at most (one document at least) before it is closed.
 SAMPLE_DOCS, DICTIONARY_BYTES, SHARD_BYTES, SHARD_DOCS = 400, 32_768, 4_000_000, 8_192
 #: Documents in one range of ids, and chunks of text whose ids a worker keeps.
-BUCKET_DOCS, KEPT_CHUNKS = 20_000, 400_000
+BUCKET_DOCS, KEPT_CHUNKS, KEPT_PIECES = 20_000, 300_000, 200_000
+#: Fixed value: the pattern of byte-level pre-tokenizers.
+GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_KNOWN: dict[tuple[str, int], dict[str, bytes]] = {}
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+_KNOWN: dict[tuple[str, int], tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 def chunks(text: str) -> list[str]:
@@ -58,29 +71,60 @@ def chunks(text: str) -> list[str]:
 
 
 class Encoder:
-    """The ids of texts by a tokenizer file, in ``width`` bytes each; the ids of frequent chunks are kept by the worker."""
+    """The ids of texts by a tokenizer file of the tokenizers library, in ``width`` bytes each.
+
+    A byte-level tokenizer without normalizer encodes each match of its pattern by itself. So a new
+    chunk is cut into those pieces and each new piece goes to the library's model; what frequent chunks and pieces gave is kept by the worker.
+    Chunks that hold an added token, and all texts of other tokenizers, go through the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known = _KNOWN.setdefault((path, self.width), {})
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width, self.kind = (2, "H") if size <= 1 << 16 else (4, "I")
+        self.known, self.pieces = _KNOWN.setdefault((path, self.width), ({}, {}))
+        rules = json.loads(self.tokenizer.to_str())
+        pre = rules.get("pre_tokenizer") or {}
+        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not rules.get("normalizer")
+        self.added = [t["content"] for t in rules.get("added_tokens", [])]
+        self.cut = regex.compile(GPT2_PATTERN).findall
+
+    def _piece(self, p: str) -> bytes:
+        ids = self.pieces.get(p)
+        if ids is None:
+            if len(self.pieces) >= KEPT_PIECES:
+                self.pieces.clear()
+            tokens = self.tokenizer.model.tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_LETTERS))
+            ids = self.pieces[p] = array(self.kind, [t.id for t in tokens]).tobytes()
+        return ids
+
+    def _chunk(self, c: str) -> bytes:
+        word = c[1:] if c[0] == " " else c
+        if word.isalpha():
+            return self._piece(c)
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return self._piece(c[:-1]) + self._piece(c[-1])
+        if not self.by_piece or any(a in c for a in self.added):
+            return array(self.kind, self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self._piece, self.cut(c)))
 
     def encode(self, texts: list[str | None], end_id: int | None) -> list[bytes]:
-        known, kind = self.known, f"<u{self.width}"
+        tail = b"" if end_id is None else array(self.kind, [end_id]).tobytes()
+        if not self.by_piece:
+            return [array(self.kind, self.tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() + tail for t in texts]
+        known = self.known
         split = [chunks(t) if t else [] for t in texts]
-        new = list({c for cs in split for c in cs if c not in known})
+        new = {c for cs in split for c in cs if c not in known}
         if len(known) + len(new) > KEPT_CHUNKS:
             kept = {c: known[c] for cs in split for c in cs if c in known}
             known.clear()
             known.update(kept)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, dtype=kind).tobytes()
-        tail = b"" if end_id is None else np.array([end_id], dtype=kind).tobytes()
+        for c in new:
+            known[c] = self._chunk(c)
         return [b"".join([known[c] for c in cs]) + tail for cs in split]
 
 
