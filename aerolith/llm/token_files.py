@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -34,7 +35,7 @@ HEAD, ENTRY = "<8sBQ32s", np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "
 #: Documents that the dictionary is trained on, its size, and what a shard holds at most (one document at least) before it is closed.
 SAMPLE_DOCS, DICTIONARY_BYTES, SHARD_BYTES, SHARD_DOCS = 400, 32_768, 4_000_000, 8_192
 #: Documents in one range of ids, and chunks of text whose ids a worker keeps.
-BUCKET_DOCS, KEPT_CHUNKS, KEPT_PIECES = 20_000, 300_000, 200_000
+BUCKET_DOCS, KEPT_CHUNKS, KEPT_PIECES = 20_000, 160_000, 160_000
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -47,7 +48,36 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
-_KNOWN: dict[tuple[str, int], tuple[dict[str, bytes], dict[str, bytes]]] = {}
+#: A place where a text must not be cut: a space beside other white space or at an end.
+UNSAFE = re.compile(r" (?:\s|\Z)|(?:\A|\s) ")
+#: White space but spaces and line feeds: rare, so most texts are cleared by plain searches.
+OTHER_SPACE = re.compile(r"[^\S \n]")
+_ENCODERS: dict[str, Encoder] = {}
+
+
+class _Kept(dict):
+    """Values by key, made when first asked for; what wasn't asked for during a whole generation of ``cap`` new keys is forgotten."""
+
+    def __init__(self, make, cap: int):
+        super().__init__()
+        self.make, self.cap, self.old = make, cap, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.cap:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def safe(text: str) -> bool:
+    """Whether every space of a text is a place to cut before."""
+    if text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text:
+        return False
+    return not OTHER_SPACE.search(text) or not UNSAFE.search(text)
 
 
 def chunks(text: str) -> list[str]:
@@ -86,46 +116,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width, self.kind = (2, "H") if size <= 1 << 16 else (4, "I")
-        self.known, self.pieces = _KNOWN.setdefault((path, self.width), ({}, {}))
+        self.pieces = _Kept(self._piece, KEPT_PIECES)
+        self.heads = _Kept(self._chunk, KEPT_CHUNKS // 8)
+        self.words = _Kept(lambda word: self._chunk(" " + word), KEPT_CHUNKS)  # by what follows the space
         rules = json.loads(self.tokenizer.to_str())
         pre = rules.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not rules.get("normalizer")
         self.added = [t["content"] for t in rules.get("added_tokens", [])]
         self.cut = regex.compile(GPT2_PATTERN).findall
 
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The worker's encoder of a file."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
+
     def _piece(self, p: str) -> bytes:
-        ids = self.pieces.get(p)
-        if ids is None:
-            if len(self.pieces) >= KEPT_PIECES:
-                self.pieces.clear()
-            tokens = self.tokenizer.model.tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_LETTERS))
-            ids = self.pieces[p] = array(self.kind, [t.id for t in tokens]).tobytes()
-        return ids
+        tokens = self.tokenizer.model.tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_LETTERS))
+        return array(self.kind, [t.id for t in tokens]).tobytes()
 
     def _chunk(self, c: str) -> bytes:
         word = c[1:] if c[0] == " " else c
         if word.isalpha():
-            return self._piece(c)
+            return self.pieces[c]
         if word[:-1].isalpha() and word[-1] in ".,;:!?":
-            return self._piece(c[:-1]) + self._piece(c[-1])
+            return self.pieces[c[:-1]] + self.pieces[c[-1]]
         if not self.by_piece or any(a in c for a in self.added):
             return array(self.kind, self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self._piece, self.cut(c)))
+        return b"".join(map(self.pieces.__getitem__, self.cut(c)))
 
     def encode(self, texts: list[str | None], end_id: int | None) -> list[bytes]:
         tail = b"" if end_id is None else array(self.kind, [end_id]).tobytes()
         if not self.by_piece:
             return [array(self.kind, self.tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() + tail for t in texts]
-        known = self.known
-        split = [chunks(t) if t else [] for t in texts]
-        new = {c for cs in split for c in cs if c not in known}
-        if len(known) + len(new) > KEPT_CHUNKS:
-            kept = {c: known[c] for cs in split for c in cs if c in known}
-            known.clear()
-            known.update(kept)
-        for c in new:
-            known[c] = self._chunk(c)
-        return [b"".join([known[c] for c in cs]) + tail for cs in split]
+        out, word = [], self.words.__getitem__
+        for t in texts:
+            if not t:
+                out.append(tail)
+            elif not safe(t):
+                out.append(b"".join([*map(self.heads.__getitem__, chunks(t)), tail]))
+            else:
+                head, *rest = t.split(" ")
+                out.append(b"".join([self.heads[head], *map(word, rest), tail]))
+        return out
 
 
 def _parts(batch: pd.DataFrame, column: str, chars: int = 6_000_000) -> Iterator[pd.DataFrame]:
@@ -142,7 +176,7 @@ def train_dictionary(docs: DataFrame, tokenizer_file: str, end_id: int | None, n
     """
 
     def run(batches):
-        encoder = Encoder(tokenizer_file)
+        encoder = Encoder.of(tokenizer_file)
         for b in batches:
             yield pd.DataFrame({"ids": encoder.encode(b["text"].tolist(), end_id)})
 
@@ -168,7 +202,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | None =
     spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def run(batches):
-        encoder = Encoder(tokenizer_file)
+        encoder = Encoder.of(tokenizer_file)
         zdict = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=1, dict_data=zdict).compress
         index, frames, size, shard, bucket = [], [], 0, 0, 0
