@@ -9,7 +9,7 @@ Hamming distance of what meets there is verified.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -52,16 +52,18 @@ def fingerprint(text: str | None, size: int) -> int:
     return int(np.packbits(2 * counts > len(starts)).view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rk, fp): one row per input row; rk names the row by id and text; null and empty texts get fingerprint 0."""
+def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """(doc_id, rk, fp): one row per input row; rk names the row by id and text; null and empty texts get fingerprint 0. ``with_text`` adds th, a hash of the text."""
+    more = ["th"] if with_text else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.fromiter((fingerprint(x, size) for x in b["text"]), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "rk": b["rk"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "rk": b["rk"], "fp": fp.view(np.int64)} | {k: b[k] for k in more})
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.select("doc_id", row_hash("doc_id", "text").alias("rk"), "text").mapInPandas(run, "doc_id long, rk long, fp long")
+    hashes = [row_hash("doc_id", "text").alias("rk"), F.xxhash64("text").alias("th")]
+    return picked.select("doc_id", *hashes[: 1 + with_text], "text").mapInPandas(run, "doc_id long, rk long, fp long" + ", th long" * with_text)
 
 
 def row_hash(id_col: str, text_col: str) -> Column:
@@ -122,17 +124,17 @@ def spanning_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.n
     return a[keep], b[keep], dist[keep]
 
 
-def _linker(radius: int, keys: list[str]):
-    """A mapInPandas function over rows sorted by ``keys``; whole groups are compared as soon as they are complete."""
+def _group_ids(b: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Numbers the runs of equal ``keys``."""
+    change = np.zeros(len(b), dtype=bool)
+    for k in keys:
+        v = b[k].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    return np.cumsum(change)
 
-    def pairs(b: pd.DataFrame) -> pd.DataFrame:
-        change = np.zeros(len(b), dtype=bool)
-        for k in keys:
-            v = b[k].to_numpy()
-            change[1:] |= v[1:] != v[:-1]
-        fp = b["fp"].to_numpy().astype(np.int64)
-        x, y, d = spanning_links(np.cumsum(change), fp.view(np.uint64), radius)
-        return pd.DataFrame({"u": fp[x], "v": fp[y], "distance": d.astype(np.int32)})
+
+def _whole_groups(keys: list[str], pairs: Callable[[pd.DataFrame], pd.DataFrame]):
+    """A mapInPandas function over rows sorted by ``keys``; whole groups go to ``pairs`` as soon as they are complete."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -157,6 +159,17 @@ def _linker(radius: int, keys: list[str]):
     return run
 
 
+def _linker(radius: int, keys: list[str]):
+    """Rows sorted by ``keys`` -> links of each group."""
+
+    def pairs(b: pd.DataFrame) -> pd.DataFrame:
+        fp = b["fp"].to_numpy().astype(np.int64)
+        x, y, d = spanning_links(_group_ids(b, keys), fp.view(np.uint64), radius)
+        return pd.DataFrame({"u": fp[x], "v": fp[y], "distance": d.astype(np.int32)})
+
+    return _whole_groups(keys, pairs)
+
+
 def links(nodes: DataFrame, radius: int = 4, blocks: int = 7) -> DataFrame:
     """Distinct fingerprints (fp) -> (u, v, distance), links that connect what the pairs within ``radius`` connect.
 
@@ -185,43 +198,96 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 7) -> DataFrame:
     return small.union(large).distinct()
 
 
-def jaccard_links(edges: DataFrame, docs: DataFrame, size: int, at_least: float) -> DataFrame:
-    """Keeps the links whose two texts have Jaccard similarity ``at_least`` on distinct word shingles.
+def similar_links(fp: np.ndarray, sets: list[np.ndarray], radius: int, at_least: float) -> list[tuple[int, int]]:
+    """Positions (a, b) of a spanning forest of all pairs within ``radius`` bits whose sorted shingle sets have Jaccard similarity ``at_least``.
 
-    ``docs`` has (fp, text), one text per fingerprint. Only texts that have a link are moved.
+    A pair that fails leaves all other pairs of its groups to be tried; only pairs that are connected already are left out. Sets that
+    similar share one of their first n - ceil(s n) + 1 shingles in any common order (here the rarest first), so others aren't compared.
+    """
+    sizes, labels, picked = np.array([len(x) for x in sets]), np.arange(len(sets)), []
+    tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+    holders: dict[int, list[int]] = {}
+
+    def linked(a: int, b: int) -> bool:
+        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        ok = common >= at_least * (sizes[a] + sizes[b] - common) - 1e-9
+        if ok:
+            picked.append((a, b))
+            labels[labels == labels[b]] = labels[a]
+        return ok
+
+    for i, own in enumerate(sets):
+        df = counts[np.searchsorted(tokens, own)]
+        first = np.lexsort((own, df))[: len(own) - int(np.ceil(at_least * len(own) - 1e-9)) + 1]
+        prefix = own[first[df[first] > 1]].tolist()
+        low, high = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
+        left = np.flatnonzero((np.bitwise_count(fp[:i] ^ fp[i]) <= radius) & (low >= at_least * high - 1e-9))
+        if len(left) and linked(int(left[-1]), i):
+            left = left[labels[left] != labels[i]]
+        else:
+            left = left[:-1]
+        if len(left) and len(own):
+            left = np.intersect1d(left, np.array(sorted({j for h in prefix for j in holders.get(h, ())}), dtype=np.int64))
+        for j in left[::-1].tolist():
+            if labels[j] != labels[i]:
+                linked(j, i)
+        for h in prefix:
+            holders.setdefault(h, []).append(i)
+    return picked
+
+
+def jaccard_links(members: DataFrame, docs: DataFrame, size: int, radius: int, at_least: float) -> DataFrame:
+    """(cls, fp, th, rk) texts in classes -> (u, v), text hashes: links that connect what the pairs of a class do that lie within ``radius`` and have Jaccard similarity ``at_least`` on distinct word shingles.
+
+    ``docs`` has (rk, text). Only texts of classes with several move. A class with over ``CHUNK`` texts is cut by hash into chunks, and every pair of chunks is compared in a task of its own.
     """
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def shingles(text: str) -> set[int]:
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def shingles(text: str | None) -> bytes:
             joined, starts, ends = shingle_spans(text, size)
-            return {xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)}
+            return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)), dtype="<u8", count=len(starts))).tobytes()
 
         for b in batches:
-            ok = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                p, q = shingles(x), shingles(y)
-                ok.append(len(p & q) >= at_least * len(p | q) - 1e-9)
-            yield b.loc[np.array(ok, dtype=bool), ["u", "v"]]
+            yield b.drop(columns="text").assign(sh=[shingles(x) for x in b["text"]])
 
-    left, right = docs.select(F.col("fp").alias("u"), F.col("text").alias("x")), docs.select(F.col("fp").alias("v"), F.col("text").alias("y"))
-    return edges.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInPandas(score, "u long, v long")
+    keys = ["cls", "lo", "hi"]
+
+    def pairs(b: pd.DataFrame) -> pd.DataFrame:
+        fp, th, out = b["fp"].to_numpy().astype(np.int64).view(np.uint64), b["th"].to_numpy(), []
+        bounds = np.flatnonzero(np.diff(_group_ids(b, keys), prepend=-1, append=-1))
+        for s, e in zip(bounds, bounds[1:], strict=False):
+            sets = [np.frombuffer(x, dtype="<u8") for x in b["sh"].iloc[s:e]]
+            out += [(th[s + x], th[s + y]) for x, y in similar_links(fp[s:e], sets, radius, at_least)]
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    several = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    read = members.join(several, "cls").join(docs, "rk").dropDuplicates(["th"]).select("cls", "fp", "th", "n", "text")
+    texts = read.mapInPandas(hashed, "cls long, fp long, th long, n long, sh binary")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("th", "cls"), chunks).cast("int")
+    spread = texts.select("cls", "fp", "th", "sh", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    placed = spread.select("cls", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "th", "sh")
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_whole_groups(keys, pairs), "u long, v long")
 
 
 def _classes(docs: DataFrame, size: int, radius: int, blocks: int, at_least: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rk, fp) of all rows, and (fp, first, root) of all fingerprints: ``first`` is the row that stands for one, ``root`` names its class."""
-    marked = materialise(fingerprints(docs, size, id_col, text_col))
+    """(doc_id, rk, fp, node) of all rows, and (node, first, root): ``first`` is the row that stands for a node, ``root`` names its class.
+
+    A node is a fingerprint, or with ``at_least`` a distinct text: texts with close or equal fingerprints only meet, and are then compared.
+    """
+    exact = at_least is not None
+    marked = materialise(fingerprints(docs, size, id_col, text_col, exact))
+    marked = marked.withColumn("node", F.col("th" if exact else "fp"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")
-    nodes = marked.groupBy("fp").agg(F.min(order).alias("first"))
-    edges = links(nodes.select("fp"), radius, blocks)
-    if at_least is not None:
-        edges = materialise(edges)
-        named = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).distinct()
-        chosen = named.join(nodes, "fp").select("fp", F.col("first.rk").alias("rk"))
+    nodes = marked.groupBy("node").agg(F.min(order).alias("first"), *[F.first("fp").alias("fp")] * exact)
+    if exact:
+        nodes = materialise(nodes)
+    roots = components(links(nodes.select("fp").distinct() if exact else nodes.select(F.col("node").alias("fp")), radius, blocks))
+    if exact:
+        met = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("cls"), "fp", F.col("node").alias("th"), F.col("first.rk").alias("rk"))
         texts = docs.select(row_hash(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text"))
-        texts = chosen.join(texts, "rk").groupBy("fp").agg(F.first("text").alias("text"))
-        edges = jaccard_links(edges, texts, size, at_least)
-    roots = components(edges)
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        roots = components(jaccard_links(materialise(met), texts, size, radius, at_least))
+    placed = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     return marked, placed
 
 
@@ -232,18 +298,18 @@ def near_duplicates(
 
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the
     smallest doc_id reachable over links, the document's own included. With
-    ``at_least`` a link between different fingerprints also needs that Jaccard
-    similarity on word shingles, checked on the links of the minimum spanning forest.
+    ``at_least`` a link between different texts, also of the same fingerprint, needs
+    that Jaccard similarity on distinct word shingles as well.
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a
-    null doc_id keep it and take the component of their fingerprint, null if no other
-    row of it has an id. Repeated rows are each returned. An empty table gives an empty
+    null doc_id keep it and take the component of their fingerprint or text, null if no
+    other row of it has an id. Repeated rows are each returned. An empty table gives an empty
     table; columns other than the two named are not read.
     """
     marked, placed = _classes(docs, size, radius, blocks, at_least, id_col, text_col)
     least = placed.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
-    of_fp = materialise(placed.join(least, "root").select("fp", "component_id"))
-    return marked.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_node = materialise(placed.join(least, "root").select("node", "component_id"))
+    return marked.join(of_node, "node").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(

@@ -100,3 +100,42 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     want = {x: min(names[:40]) for x in names[:40]} | {x: min(names[40:]) for x in names[40:]}
     assert got == {k: v for k, v in want.items() if k != v}
+
+
+def test_equal_fingerprints_are_verified(spark, monkeypatch):
+    """Texts that a repeated line gives one fingerprint stay apart; repeats and texts alike by 0.8 join, whatever the chunks."""
+    rng = random.Random(5)
+    line = "the same line of eleven words stands here again and again"
+    own = [" ".join(rng.choices([f"w{i}" for i in range(5000)], k=150)) for _ in range(60)]
+    texts = [f"{t} " + " ".join([line] * 150) for t in own]
+    # two variants of every fifth text, alike to it by over 0.8
+    texts += [t.replace(" ", " extra ", 1) for t in texts[::5]] + texts[:3]
+    fps = brute(texts, 5)
+    assert max(fps.count(f) for f in set(fps)) > 30
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for chunk in (1024, 7):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == list(range(60))
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, 8, 11, 0.8).collect()}
+        assert got == {i: i for i in range(60)} | {60 + k: 5 * k for k in range(12)} | {72: 0, 73: 1, 74: 2}
+
+
+def test_a_failed_link_leaves_the_other_pairs_of_a_class():
+    """Similar links against all pairs: random sets of all sizes, dense and sparse groups, equal and far fingerprints, empty sets."""
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        bases = [rng.choice(1000, rng.integers(1, 60), replace=False) for _ in range(4)]
+        sets = []
+        for _ in range(60):
+            s = bases[rng.integers(4)]
+            s = s[rng.random(len(s)) > rng.choice([0.0, 0.05, 0.2])]
+            sets.append(np.unique(np.concatenate([s, rng.integers(1000, 1020, rng.integers(0, 4))])).astype("<u8"))
+        sets += [np.zeros(0, "<u8")] * 2
+        fp = np.array([(1 << int(k)) - 1 for k in rng.integers(0, 14, len(sets))], dtype=np.uint64)
+        labels = [list(range(len(sets))) for _ in range(2)]
+        pairs = [(a, b) for a in range(len(sets)) for b in range(a) if int(fp[a] ^ fp[b]).bit_count() <= 8 and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})]
+        for lab, edges in zip(labels, (pairs, simhash.similar_links(fp, sets, 8, 0.8)), strict=True):
+            for a, b in edges:
+                lab[:] = [lab[a] if x == lab[b] else x for x in lab]
+        same = [[lab.index(x) for x in lab] for lab in labels]
+        assert same[0] == same[1]
