@@ -6,9 +6,11 @@ weighted by how often each occurs, the sum of the smaller counts over the sum of
 
 1. Windows: a window that similar lacks few of the item's shingles, so of a few chosen ones, the
    item's anchors, it has all but that many. The windows of the item's size that cover
-   enough anchors are the candidates; no other window can be similar enough.
+   enough anchors are the candidates; no other window can be similar enough. A document with fewer shingles than
+   the item is one window, which may lack more of them.
 2. Each candidate gets a 64-bit SimHash of its shingles. Fingerprints within a radius r share at least one
    of r + 1 blocks: windows and items meet on (item, block), and the Hamming distance is checked.
+   Windows smaller than their item are few and meet it without blocks.
 3. The shingle counts of what is left are compared exactly.
 
 The radius of 20 bits: at similarity 0.8 two fingerprints differ in 9.7 bits on average with a
@@ -91,21 +93,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         some = hashed.join(with_hit, "rk", "left_semi")
     some = materialise(some.dropDuplicates(["rk"]))
     at = some.select("rk", F.posexplode("sh").alias("pos", "h")).join(anchors, "h")
-    hits = at.groupBy("rk", "item_id", "n_words", "m", "least").agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("hits"))
+    hits = at.groupBy("rk", "item_id", "n_words", "m", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("hits"))
     return _best(some.join(hits, "rk"), items, bounded)
 
 
+def _missing(m: Column, n: Column) -> Column:
+    """How many of an item's m shingles a window of n <= m shingles may lack: J >= s needs s (n + m) / (1 + s) common ones."""
+    return F.floor(m - AT_LEAST * (n + m) / (1 + AT_LEAST) + 1e-9).cast("int")
+
+
 def anchors_of(items: DataFrame) -> DataFrame:
-    """(item_id, n_words, m, least, h): some distinct shingles of each item, and how many of them a similar window has at least.
+    """(item_id, n_words, m, k, h): some distinct shingles of each item, and how many these are.
 
-    J >= s between two windows of m shingles needs 2 s m / (1 + s) common ones, so at most m (1-s)/(1+s) of
-    the item's are missing, and of any k of its distinct shingles at least k less that number are there.
+    Of any k distinct shingles of an item a similar window has at least k less the number of those it may lack. Where
+    repeats leave so few that this could be none, all the item's shingles are taken: a similar window has one of them.
     """
-    missing = F.floor(F.size("sh") * ((1 - AT_LEAST) / (1 + AT_LEAST)) + 1e-9).cast("int")
-    k = F.least(3 * (missing + 1), F.size("sh"))
-    place = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.floor(i * F.size("sh") / k).cast("int"))
-    chosen = items.withColumn("a", F.array_distinct(F.transform(place, lambda i: F.get(F.col("sh"), i))))
-    return chosen.select("item_id", "n_words", F.size("sh").alias("m"), F.greatest(F.size("a") - missing, F.lit(1)).alias("least"), F.explode_outer("a").alias("h"))
+    m = F.size("sh")
+    k = F.least(3 * (_missing(m, m) + 1), m)
+    place = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.floor(i * m / k).cast("int"))
+    some = items.withColumn("a", F.array_distinct(F.transform(place, lambda i: F.get(F.col("sh"), i))))
+    # the smallest window that can be similar has s m shingles
+    chosen = some.withColumn("a", F.when(F.size("a") > _missing(m, AT_LEAST * m), F.col("a")).otherwise(F.array_distinct("sh")))
+    return chosen.select("item_id", "n_words", m.alias("m"), F.size("a").alias("k"), F.explode_outer("a").alias("h"))
 
 
 # The outer forms of explode are used on computed arrays: for the others the optimiser adds a filter that computes the array once more.
@@ -114,15 +123,18 @@ def _best(hits: DataFrame, items: DataFrame, bounded: bool) -> DataFrame:
     m, last = F.col("m"), F.greatest(F.size("sh") - F.col("m"), F.lit(0))
     covering = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.least(F.greatest(p["pos"] - m + 1, F.lit(0)), last), F.least(p["pos"], last)))))
     inside = lambda s: F.filter("hits", lambda p: (p["pos"] >= s) & (p["pos"] < s + m))
-    starts = F.filter(covering, lambda s: F.size(F.array_distinct(F.transform(inside(s), lambda p: p["h"]))) >= F.col("least"))
-    windows = hits.select("doc_id", "item_id", F.explode_outer(F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("sh", s + 1, m).alias("win")))).alias("x"))
-    prints = windows.select("doc_id", "item_id", "x.*").where("start is not null").withColumn("fp", fingerprint(F.col("win")))
-    left = prints.select("*", F.posexplode_outer(_blocks(F.col("fp"), RADIUS)).alias("i", "block"))
-    right = items.withColumn("item_fp", fingerprint(F.col("sh"))).select("item_id", "n_words", F.col("sh").alias("own"), "item_fp", F.explode_outer(_blocks(F.col("item_fp"), RADIUS)).alias("block"))
-    met = left.join(F.broadcast(right) if bounded else right, ["item_id", "block"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    least = F.greatest(F.col("k") - _missing(m, F.least(F.size("sh"), m)), F.lit(1))
+    starts = F.filter(covering, lambda s: F.size(F.array_distinct(F.transform(inside(s), lambda p: p["h"]))) >= least)
+    windows = hits.select("doc_id", "item_id", "m", F.explode_outer(F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("sh", s + 1, m).alias("win")))).alias("x"))
+    prints = windows.select("doc_id", "item_id", "m", "x.*").where("start is not null").withColumn("fp", fingerprint(F.col("win")))
+    # a document smaller than the item has one window, and few shingles make fingerprints differ more: it is compared without them
+    smaller, every = F.size("win") < F.col("m"), F.array(F.lit(-1).cast("bigint"))
+    left = prints.select("*", F.posexplode_outer(F.when(smaller, every).otherwise(_blocks(F.col("fp"), RADIUS))).alias("i", "block"))
+    right = items.withColumn("item_fp", fingerprint(F.col("sh"))).select("item_id", "n_words", F.col("sh").alias("own"), "item_fp", F.explode_outer(F.concat(_blocks(F.col("item_fp"), RADIUS), every)).alias("block"))
+    met = left.join(F.broadcast(right) if bounded else right, ["item_id", "block"]).where(smaller | (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS))
     # a pair that shares several blocks goes on from the first of them
     same = F.zip_with(_blocks(F.col("fp"), RADIUS), _blocks(F.col("item_fp"), RADIUS), lambda a, b: a == b)
-    near = met.where(F.array_position(same, True) - 1 == F.col("i"))
+    near = met.where(smaller | (F.array_position(same, True) - 1 == F.col("i")))
     # exact: the window's shingle counts against the item's
     count = lambda a, h: F.size(F.filter(a, lambda y: y == h))
     once = (F.size(F.array_distinct("win")) == F.size("win")) & (F.size(F.array_distinct("own")) == F.size("own"))

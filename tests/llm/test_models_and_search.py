@@ -143,3 +143,16 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ANCHORS", 3)
     assert {(r.doc_id, r.item_id, round(r.similarity, 9), r.start_word) for r in decontaminate.contaminated(d, b).collect()} == want
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0 and decontaminate.contaminated(d.limit(0), b).count() == 0
+
+
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    """Documents that are an item without its first or last one to four words, and items that are mostly repeats."""
+    rng = random.Random(8)
+    items = [(n, " ".join(f"w{rng.randrange(3000)}" for _ in range(n))) for n in (6, 8, *range(9, 26), 40)] + [(90, "a " * 30 + "b c d e f g"), (91, "a b " * 20 + "c d e")]
+    docs = [(100 * i + 10 * cut + side, " ".join(t.split()[cut:] if side else t.split()[: len(t.split()) - cut])) for i, t in items for cut in range(5) for side in (0, 1)]
+    want = brute_contaminated(docs, items)
+    assert {(900 + 11, 9), (1400 + 21, 14), (1900 + 31, 19)} <= {(d, i) for d, i, *_ in want}
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, round(r.similarity, 9), r.start_word) for r in decontaminate.contaminated(d, b).collect()} == want
+
