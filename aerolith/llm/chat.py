@@ -18,6 +18,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of a record without its string values from which its schema can't be told: it is an error then, never a record without turns.
+MOST_FIELDS = 100_000_000
 TURNS = "array<struct<role:string,text:string>>"
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Strings with a meaning in this or other templates; the first covers all of this one's.
@@ -61,8 +63,14 @@ def schema_text(paths: list[str]) -> str:
 
 
 def fingerprint(record: Column) -> Column:
-    """SHA-256 of a JSON record's nested field paths; null for what isn't JSON. Types of leaves don't matter, a null is a leaf."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    """SHA-256 of a JSON record's nested field paths; null for what isn't JSON. Types of leaves don't matter, a null is a leaf.
+
+    String values are emptied first, so the length of a text can't decide its layout.
+    """
+    plain = F.replace(F.replace(record, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+    bare = F.regexp_replace(plain, r'"([^"]*+)"(\s*+:)|"[^"]*+"', '"$1"$2')
+    too_long = F.raise_error(F.lit("a record's fields alone are too long for a fingerprint")).cast("string")
+    schema = F.schema_of_variant(F.try_parse_json(F.when(F.length(bare) < MOST_FIELDS, bare).otherwise(F.when(record.isNotNull(), too_long))))
     return F.sha2(F.regexp_replace(schema, r"(?<=[:<] ?)(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL\([0-9]+,[0-9]+\)|VARIANT|DATE|TIMESTAMP(?:_NTZ)?|BINARY|INT|SMALLINT|TINYINT)(?=[,>]|$)", "_"), 256)
 
 
@@ -84,17 +92,17 @@ def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame
     """Adds ``layout`` and ``turns`` (array of role, text) to rows with a JSON record.
 
     Null texts become empty, null roles empty; a record whose fingerprint isn't registered, a null and what
-    isn't JSON get layout null and no turns. Existing columns of these names are replaced.
+    isn't JSON get layout null and no turns. Existing columns of these names are replaced; all others stay.
     """
     names = _registry()
-    chosen = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("_fp")]
-    out = records.drop("layout", "turns").withColumn("_fp", fingerprint(F.col(record_col))).withColumn("layout", chosen)
+    chosen = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[fingerprint(F.col(record_col))]
+    out = records.drop("layout", "turns").withColumn("layout", chosen)
     turns = F.lit(None).cast(TURNS)
     for name, (_, _, kind, expression) in MAPPINGS.items():
         # an array of the one record, so that the expression can name it
-        mapped = F.expr(f"transform(array(from_json({record_col}, '{kind}')), r -> {expression})[0]").cast(TURNS)
+        mapped = F.expr(f"transform(array(from_json({record_col}, '{kind}', map('maxStringLen', '{2**31 - 1}'))), r -> {expression})[0]").cast(TURNS)
         turns = F.when(F.col("layout") == name, mapped).otherwise(turns)
-    return out.withColumn("turns", F.coalesce(turns, F.array().cast(TURNS))).drop("_fp")
+    return out.withColumn("turns", F.coalesce(turns, F.array().cast(TURNS)))
 
 
 def escaped(text: Column) -> Column:
@@ -147,6 +155,7 @@ def records_of(conversations: DataFrame, conv_col: str = "conv_id", turn_col: st
 
 
 def op2_chat_format(spark, sf_dir: str) -> DataFrame:
+    """Turns, loss text and length of every conversation's formatted text, read back from it; see ``records_of`` for nulls, ties and repeated rows. An empty table gives the fixed conversation alone."""
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")

@@ -138,5 +138,6 @@ def sanitised_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of ``documents``: counts and digest of the base matches, and all spans. One row per document; see ``sanitise`` for nulls, repeated rows and empty tables."""
     out = sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

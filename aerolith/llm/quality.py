@@ -135,6 +135,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, at_least: float = 0.5) -> Data
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
+    """Score and decision for every row of ``documents``, learned from ``labels``; see ``scored`` for nulls, empty tables and labels without matches."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = scored(docs, labels, score_col="score")
     return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("keep"))

@@ -326,4 +326,5 @@ def deduplicate(
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; see ``near_duplicates`` for nulls, empty texts, repeated rows and empty tables."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,6 +1,7 @@
 import json
 
 from aerolith.llm import chat
+from pyspark.sql import functions as F
 
 RECORDS = [
     ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b\\<|im_end|>"}]}, "messages", [("user", "a"), ("assistant", "b\\<|im_end|>")]),
@@ -48,3 +49,19 @@ def test_rows_of_conversations(spark):
     out = {r.conv_id: [tuple(t) for t in r.read_turns] for r in chat.read_back(chat.formatted(chat.canonical_turns(chat.records_of(df)))).collect()}
     assert out == {1: [("user", "hi"), ("user", "hi"), ("assistant", "")], None: [("", "x")], 2: [("user", "\x00  ")], 3: [("assistant", "y" * 100_000)]}
     assert chat.records_of(df.limit(0)).count() == 0
+
+
+def test_a_very_long_turn_comes_back_whole(spark):
+    """Beyond the JSON reader's usual limit of 20 million characters, with quotes and backslashes that look like structure."""
+    n = 21_000_000
+    said = 'q \\\\", \\'
+    df = spark.range(2).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 0, said).otherwise(F.repeat(F.lit("x"), n)).alias("text"))
+    out = chat.read_back(chat.formatted(chat.canonical_turns(chat.records_of(df)))).selectExpr("layout", "read_turns[0].text a", "length(read_turns[1].text) b", "length(loss_text) c").collect()
+    assert [tuple(r) for r in out] == [("turn_rows", said, n, n)]
+
+
+def test_keys_with_escapes_and_clashing_columns(spark):
+    rows = [('{"\\u0074ext": "t: \\"x\\", {"}', 1), ('{"te\\\\xt": "t"}', 2), ('{"text": ["a"]}', 3), ('{"text" : "a\\\\"}', 4)]
+    df = spark.createDataFrame(rows, "record string, _fp int")
+    out = {r._fp: (r.layout, [tuple(t) for t in r.turns]) for r in chat.canonical_turns(df).collect()}
+    assert out == {1: ("text_only", [("assistant", 't: "x", {')]), 2: (None, []), 3: (None, []), 4: ("text_only", [("assistant", "a\\")])}
