@@ -1,16 +1,18 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct pieces (pattern matches) of a batch of texts are laid out in one sequence of
-symbols. An inverted index leads from each mergeable pair's rank to the positions where the
+The corpus's words are counted, and the merges are replayed over the distinct ones: their pieces (pattern matches) are
+laid out in one sequence of symbols. An inverted index leads from each mergeable pair's rank to the positions where the
 pair stands. Ranks are taken in order from a heap; each is applied to all its
 positions, left to right, and only the two neighbours of a merged position are looked at again.
-Pieces never touch, so every piece goes through the merges that it would go through alone.
+Pieces never touch, so every piece goes through the merges that it would go through alone. Frequent words are
+replayed once and given to all tasks; a rare one is replayed by the workers that meet it, together with all others that are new to them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -20,55 +22,53 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pieces kept from batch to batch, and bytes of new pieces replayed at once: memory bounds, without effect on results.
-KEPT_PIECES = 200_000
-REPLAY_BYTES = 2_000_000
+from .common import discard, materialise
+from .words import BYTE_LEVEL_PATTERN, WordIds, cut
+
+#: Bytes of new pieces replayed at once, and distinct words that a task counts before it sends them on: bounds of memory, without effect on results.
+REPLAY_BYTES, WINDOW = 64_000, 200_000
+#: Words that all tasks are given, how long these may be, and how often a window must meet them. Also without effect on results.
+FREQUENT, LONGEST, LEAST = 100_000, 64, 4
+_REPLAYS: dict[str, MergeReplay] = {}
+_WORDS: dict[str, WordIds] = {}
 
 
 class MergeReplay:
     """Encodes pieces of bytes with a rank table; the rank of a token is its id."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
         self.token = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             self.token[v] = k
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pair: dict[tuple[int, int], int] = {}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        n = self.stride = len(self.token)
+        #: Rank of every pair of tokens whose concatenation is a token.
+        self.pair = {x * n + y: r for k, r in ranks.items() for i in range(1, len(k)) if (x := ranks.get(k[:i])) is not None and (y := ranks.get(k[i:])) is not None}
+        self.bytes = np.array([[self.pair.get(int(x) * n + int(y), -1) for y in self.single] for x in self.single])
 
     @classmethod
     def from_file(cls, path: str) -> MergeReplay:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
-    def rank(self, a: int, b: int) -> int:
-        """The id of the two tokens' concatenation, -1 if it is no token."""
-        r = self.pair.get((a, b))
-        if r is None:
-            if len(self.pair) > 1_000_000:
-                self.pair.clear()
-            r = self.pair[a, b] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return r
-
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        rank, single = self.rank, self.single
-        sym: list[int] = []
-        ends: list[int] = []
-        for p in pieces:
-            sym.extend([single[x] for x in p])
-            ends.append(len(sym))
-        n = len(sym)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        start = 0
-        for end in ends:
-            if end > start:
-                nxt[end - 1], prv[start] = -1, -1
-            for i in range(start, end - 1):
-                r = rank(sym[i], sym[i + 1])
-                if r >= 0:
-                    index.setdefault(r, []).append(i)
-            start = end
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as little-endian unsigned 32-bit integers."""
+        full = [p for p in pieces if p]
+        if not full:
+            return [b""] * len(pieces)
+        codes = np.frombuffer(b"".join(full), dtype=np.uint8)
+        ends = np.cumsum([len(p) for p in full])
+        n, rank, stride = len(codes), self.pair.get, self.stride
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt[ends - 1], prv[np.append(0, ends[:-1])] = -1, -1
+        ranks = np.append(self.bytes[codes[:-1], codes[1:]], -1)
+        ranks[ends - 1] = -1
+        # the inverted index: rank of a pair of neighbours -> positions of its first half
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        found, first = np.unique(ranks[at], return_index=True)
+        index = {r: places.tolist() for r, places in zip(found.tolist(), np.split(at, first[1:]), strict=False)}
+        sym, nxt, prv, pair = self.single[codes].tolist(), nxt.tolist(), prv.tolist(), ranks.tolist()
         heap = list(index)
         heapify(heap)
         while heap:
@@ -77,44 +77,45 @@ class MergeReplay:
             if places is None:
                 continue
             places.sort()
+            left_of = r * stride
             late: list[int] = []
             until = -1  # a merge made a lower rank in the piece that ends here: its further positions wait
             for i in places:
-                a = sym[i]
-                j = nxt[i] if a >= 0 else -1
-                if j < 0 or rank(a, sym[j]) != r:
+                if pair[i] != r:
                     continue
                 if i < until:
                     late.append(i)
                     continue
-                sym[i], sym[j] = r, -1
-                k, h = nxt[j], prv[i]
-                nxt[i] = k
-                lower = False
+                j, h = nxt[i], prv[i]
+                k = nxt[j]
+                sym[i], sym[j], pair[j], nxt[i] = r, -1, -1, k
+                least = r
                 if k >= 0:
                     prv[k] = i
-                    x = rank(r, sym[k])
-                    if x >= 0:
-                        if x in index:
-                            index[x].append(i)
-                        elif x == r:
-                            late.append(i)
-                        else:
-                            index[x] = [i]
-                            heappush(heap, x)
-                        lower |= x < r
+                    x = pair[i] = rank(left_of + sym[k], -1)
+                    if x in index:
+                        index[x].append(i)
+                    elif x == r:
+                        late.append(i)
+                    elif x >= 0:
+                        index[x] = [i]
+                        heappush(heap, x)
+                    if 0 <= x < least:
+                        least = x
+                else:
+                    pair[i] = -1
                 if h >= 0:
-                    x = rank(sym[h], r)
-                    if x >= 0:
-                        if x in index:
-                            index[x].append(h)
-                        elif x == r:
-                            late.append(h)
-                        else:
-                            index[x] = [h]
-                            heappush(heap, x)
-                        lower |= x < r
-                if lower:
+                    x = pair[h] = rank(sym[h] * stride + r, -1)
+                    if x in index:
+                        index[x].append(h)
+                    elif x == r:
+                        late.append(h)
+                    elif x >= 0:
+                        index[x] = [h]
+                        heappush(heap, x)
+                    if 0 <= x < least:
+                        least = x
+                if least < r:
                     end = k if k >= 0 else j
                     while nxt[end] >= 0:
                         end = nxt[end]
@@ -122,38 +123,100 @@ class MergeReplay:
             if late:
                 index[r] = late
                 heappush(heap, r)
-        out, start = [], 0
-        for end in ends:
-            out.append([x for x in sym[start:end] if x >= 0])
-            start = end
+        ids = np.array(sym, dtype="<i4")
+        left = ids >= 0
+        stops = (np.cumsum(left)[ends - 1] * 4).tolist()
+        buffer, out, start = ids[left].tobytes(), [], 0
+        of = iter(stops)
+        for p in pieces:
+            stop = next(of) if p else start
+            out.append(buffer[start:stop])
+            start = stop
         return out
 
     def decode(self, ids) -> bytes:
-        token = self.token
-        return b"".join([token[i] for i in ids])
-
-
-def encoded_batches(texts: Iterator[list[str]], replay: MergeReplay, pattern: str) -> Iterator[list[bytes]]:
-    """For each list of texts, their ids as little-endian unsigned 32-bit integers."""
-    matches, known = regex.compile(pattern).findall, {}
-    for batch in texts:
-        split = [matches(t) if t else [] for t in batch]
-        new = list({p for words in split for p in words if p not in known})
-        if len(known) + len(new) > KEPT_PIECES:
-            known = {p: known[p] for words in split for p in words if p in known}
-        at = 0
-        while at < len(new):
-            part, size = [], 0
-            while at < len(new) and (size < REPLAY_BYTES or not part):
-                part.append(new[at].encode("utf-8", "surrogatepass"))
-                size += len(part[-1])
-                at += 1
-            for p, ids in zip(new[at - len(part) : at], replay.encode(part), strict=True):
-                known[p] = np.array(ids, dtype="<u4").tobytes()
-        yield [b"".join([known[p] for p in words]) for words in split]
-
-
-def small_batches(b: pd.DataFrame, column: str, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+        return b"".join(map(self.token.__getitem__, ids))
+
+
+def replay_of(rank_file: str) -> MergeReplay:
+    """The worker's rank table of a file."""
+    if rank_file not in _REPLAYS:
+        _REPLAYS[rank_file] = MergeReplay.from_file(rank_file)
+    return _REPLAYS[rank_file]
+
+
+def _many(replay: MergeReplay):
+    def many(pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces; as many are laid out at once as fit into a processor's cache."""
+        out, part, size = [], [], 0
+        for p in pieces:
+            part.append(p.encode("utf-8", "surrogatepass"))
+            size += len(part[-1])
+            if size >= REPLAY_BYTES:
+                out += replay.encode(part)
+                part, size = [], 0
+        return out + replay.encode(part)
+
+    return many
+
+
+def vocabulary(docs: DataFrame, rank_file: str, text_col: str = "text") -> dict[str, bytes]:
+    """Ids by word (what follows a space) for the corpus's ``FREQUENT`` most frequent words: each is replayed once for all tasks.
+
+    Words are counted over all texts, in windows of as many distinct words as a task may hold; what a window meets less than ``LEAST`` times
+    isn't sent on, for it can't be among the frequent ones of a large corpus. The table only saves work: a task replays the words it lacks.
+    At most ``FREQUENT`` words of ``LONGEST`` characters reach the driver.
+    """
+
+    def count(batches):
+        seen: Counter = Counter()
+
+        def often():
+            kept = [(w, n) for w, n in seen.items() if n >= LEAST and len(w) <= LONGEST]
+            if kept:
+                yield pd.DataFrame(kept, columns=["word", "n"])
+
+        for b in batches:
+            for part in small_batches(b, "text"):
+                for t in part["text"]:
+                    seen.update(cut(t)[1])
+                if len(seen) > WINDOW:
+                    yield from often()
+                    seen.clear()
+        yield from often()
+
+    def replayed(batches):
+        ids = WordIds(_many(replay_of(rank_file)))
+        for b in batches:
+            yield pd.DataFrame({"word": b["word"], "ids": ids.of_words(b["word"].tolist())})
+
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    frequent = materialise(counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word"))
+    made = frequent.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(replayed, "word string, ids binary")
+    out = {r.word: bytes(r.ids) for r in made.collect()}
+    discard(frequent)
+    return out
+
+
+def encoder(rank_file: str, pattern: str, given: dict[str, bytes]):
+    """A function from a list of texts to their ids as bytes; its tables stay with the worker."""
+    replay = replay_of(rank_file)
+    if pattern != BYTE_LEVEL_PATTERN:
+        find, many = regex.compile(pattern).findall, _many(replay)
+
+        def by_pattern(texts):
+            split = [find(t) if t else [] for t in texts]
+            need = list({p for ps in split for p in ps})
+            ids = dict(zip(need, many(need), strict=True))
+            return [b"".join([ids[p] for p in ps]) for ps in split]
+
+        return by_pattern
+    if rank_file not in _WORDS or _WORDS[rank_file].given is not given:
+        _WORDS[rank_file] = WordIds(_many(replay), given)
+    return _WORDS[rank_file].encode
+
+
+def small_batches(b: pd.DataFrame, column: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Cuts a batch so that each part has about so many characters at most, one row at least."""
     sizes = b[column].map(lambda x: len(x) if x else 0).to_numpy().cumsum()
     if len(b):
@@ -164,17 +227,17 @@ def small_batches(b: pd.DataFrame, column: str, chars: int = 4_000_000) -> Itera
 def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text") -> DataFrame:
     """Adds ``ids`` (array<int>) to every row; null and empty texts give an empty array.
 
-    All other columns pass through unchanged (a column named ``ids`` is replaced). Nothing is shuffled: each
-    task replays the merges over its own batches.
+    All other columns pass through unchanged (a column named ``ids`` is replaced). Texts aren't shuffled. Frequent words come
+    from ``vocabulary``; the others are replayed where they occur, by the same merges.
     """
+    given = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, rank_file, text_col))
     shape = docs.drop("ids").withColumn("ids", F.array().cast("array<int>")).schema
 
     def run(batches):
-        replay = MergeReplay.from_file(rank_file)
+        encoded = encoder(rank_file, pattern, given.value)
         for b in batches:
             for part in small_batches(b, text_col):
-                ids = next(encoded_batches(iter([part[text_col].tolist()]), replay, pattern))
-                yield part.assign(ids=[np.frombuffer(x, dtype="<i4") for x in ids])
+                yield part.assign(ids=[np.frombuffer(x, dtype="<i4") for x in encoded(part[text_col].tolist())])
 
     return docs.drop("ids").mapInPandas(run, shape)
 
@@ -184,7 +247,7 @@ def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids") -> DataFram
     shape = encoded.drop("bytes").withColumn("bytes", F.lit(b"")).schema
 
     def run(batches):
-        replay = MergeReplay.from_file(rank_file)
+        replay = replay_of(rank_file)
         for b in batches:
             yield b.assign(bytes=[None if x is None else replay.decode(x) for x in b[ids_col]])
 
@@ -199,34 +262,26 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, keep: list[str], text
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
-    def run(batches):
-        replay = MergeReplay.from_file(rank_file)
-
-        def parts():
-            for b in batches:
-                yield from small_batches(b, text_col)
-
-        waiting: list[pd.DataFrame] = []
+    given = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, rank_file, text_col))
 
-        def texts():
-            for part in parts():
-                waiting.append(part)
-                yield part[text_col].tolist()
-
-        for ids in encoded_batches(texts(), replay, pattern):
-            part = waiting.pop()
-            more = {"ids": [np.frombuffer(x, dtype="<i4") for x in ids]} if with_ids else {}
-            yield part[keep].assign(
-                n_tokens=[len(x) // 4 for x in ids],
-                ids_sha256=[sha(x) for x in ids],
-                decoded_sha256=[sha(replay.decode(np.frombuffer(x, dtype="<u4").tolist())) for x in ids],
-                **more,
-            )
+    def run(batches):
+        encoded, replay = encoder(rank_file, pattern, given.value), replay_of(rank_file)
+        for b in batches:
+            for part in small_batches(b, text_col):
+                ids = encoded(part[text_col].tolist())
+                more = {"ids": [np.frombuffer(x, dtype="<i4") for x in ids]} if with_ids else {}
+                yield part[keep].assign(
+                    n_tokens=[len(x) // 4 for x in ids],
+                    ids_sha256=[sha(x) for x in ids],
+                    decoded_sha256=[sha(replay.decode(np.frombuffer(x, dtype="<u4").tolist())) for x in ids],
+                    **more,
+                )
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInPandas(run, shape)
 
 
 def op6_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded bytes of every whole text of ``documents``; a null text has no ids. One row per document, an empty table gives none."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from aerolith.llm import bpe
+from aerolith.llm import bpe, words
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -17,7 +17,8 @@ def enc():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_all_documents_equal_the_library(spark, sf_dir, enc):
+def test_all_documents_equal_the_library(spark, sf_dir, enc, monkeypatch):
+    monkeypatch.setattr(bpe, "FREQUENT", 300)
     rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = bpe.op6_bpe_encode_decode(spark, sf_dir).collect()
     assert len(got) == len(rows)
@@ -27,16 +28,19 @@ def test_all_documents_equal_the_library(spark, sf_dir, enc):
         assert r.decoded_sha256 == hashlib.sha256(rows[r.doc_id].encode()).hexdigest()
 
 
-def test_random_pieces_equal_the_library(enc):
+def test_random_pieces_equal_the_library(enc, monkeypatch):
+    monkeypatch.setattr(words, "KEPT_WORDS", 40)
+    monkeypatch.setattr(bpe, "REPLAY_BYTES", 300)
     rng = random.Random(5)
     alphabets = ["ab", "aàbc ", "the ingr", "\x1c\x1d \t\n 　x", "0123 ١٢", "日本語漢字かな", "🙂👍🏽é́", "!?.-_<|endoftext|>"]
     texts = ["".join(rng.choices(rng.choice(alphabets) + rng.choice(alphabets), k=rng.randint(0, 60))) for _ in range(4000)] + ["a" * 5000, " " * 3000]
     replay = bpe.MergeReplay.from_file(PATH)
-    got = next(bpe.encoded_batches(iter([texts]), replay, public_tokenizers.PATTERN))
-    for t, x in zip(texts, got, strict=True):
-        ids = np.frombuffer(x, dtype="<u4").tolist()
-        assert ids == enc.encode_ordinary(t), repr(t)
-        assert replay.decode(ids) == t.encode()
+    by_word = bpe.encoder(PATH, public_tokenizers.PATTERN, {})
+    for got in ([x for at in range(0, len(texts), 50) for x in by_word(texts[at : at + 50])], bpe.encoder(PATH, f"(?:{public_tokenizers.PATTERN})", {})(texts)):
+        for t, x in zip(texts, got, strict=True):
+            ids = np.frombuffer(x, dtype="<u4").tolist()
+            assert ids == enc.encode_ordinary(t), repr(t)
+            assert replay.decode(ids) == t.encode()
 
 
 def test_random_rank_tables_where_merges_make_lower_ranks():
@@ -55,7 +59,7 @@ def test_random_rank_tables_where_merges_make_lower_ranks():
                 if best is None:
                     break
                 parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-            assert got == [ranks[x] for x in parts], (p, tokens)
+            assert np.frombuffer(got, dtype="<u4").tolist() == [ranks[x] for x in parts], (p, tokens)
 
 
 def test_edge_cases_round_trip(spark):
