@@ -28,16 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import discard, materialise, shared_dir
+from .words import WordIds
 
 MAGIC = b"AETOKID1"
 HEAD, ENTRY = "<8sBQ32s", np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "<u8"), ("ids", "<u8")])
 #: Documents that the dictionary is trained on, its size, and what a shard holds at most (one document at least) before it is closed.
 SAMPLE_DOCS, DICTIONARY_BYTES, SHARD_BYTES, SHARD_DOCS = 400, 32_768, 4_000_000, 8_192
-#: Documents in one range of ids, and chunks of text whose ids a worker keeps.
-BUCKET_DOCS, KEPT_CHUNKS, KEPT_PIECES = 20_000, 160_000, 160_000
-#: Fixed value: the pattern of byte-level pre-tokenizers.
-GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Documents in one range of ids, ranges that are summed together, and characters that a worker encodes at once.
+BUCKET_DOCS, GROUP, BATCH_CHARS = 20_000, 1_000, 2_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,82 +47,30 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
-#: A place where a text must not be cut: a space beside other white space or at an end.
-UNSAFE = re.compile(r" (?:\s|\Z)|(?:\A|\s) ")
-#: White space but spaces and line feeds: rare, so most texts are cleared by plain searches.
-OTHER_SPACE = re.compile(r"[^\S \n]")
 _ENCODERS: dict[str, Encoder] = {}
 
 
-class _Kept(dict):
-    """Values by key, made when first asked for; what wasn't asked for during a whole generation of ``cap`` new keys is forgotten."""
-
-    def __init__(self, make, cap: int):
-        super().__init__()
-        self.make, self.cap, self.old = make, cap, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.cap:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
-def safe(text: str) -> bool:
-    """Whether every space of a text is a place to cut before."""
-    if text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text:
-        return False
-    return not OTHER_SPACE.search(text) or not UNSAFE.search(text)
-
-
-def chunks(text: str) -> list[str]:
-    """Cuts a text before every single space between two characters that aren't white space.
-
-    A byte-level pre-tokenizer never joins characters across such a place: a space there begins the next
-    piece. So the chunks' ids, one after the other, are the text's ids.
-    """
-    parts = text.split(" ")
-    out = [parts[0], *[" " + p for p in parts[1:]]]
-    if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts):
-        joined: list[str] = []
-        for i, p in enumerate(out):
-            whole = i and parts[i] and parts[i - 1] and not parts[i][0].isspace() and not parts[i - 1][-1].isspace()
-            if whole or not joined:
-                joined.append(p)
-            else:
-                joined[-1] += p
-        return joined
-    return out
-
-
 class Encoder:
     """The ids of texts by a tokenizer file of the tokenizers library, in ``width`` bytes each.
 
-    A byte-level tokenizer without normalizer encodes each match of its pattern by itself. So a new
-    chunk is cut into those pieces and each new piece goes to the library's model; what frequent chunks and pieces gave is kept by the worker.
-    Chunks that hold an added token, and all texts of other tokenizers, go through the library whole.
+    A byte-level tokenizer without normalizer encodes each match of its pattern by itself. So texts are cut into words, the words that are
+    new into pieces, and each piece goes to the library's model; what a worker met lately is kept.
+    Words that hold an added token, and all texts of other tokenizers, go through the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width, self.kind = (2, "H") if size <= 1 << 16 else (4, "I")
-        self.pieces = _Kept(self._piece, KEPT_PIECES)
-        self.heads = _Kept(self._chunk, KEPT_CHUNKS // 8)
-        self.words = _Kept(lambda word: self._chunk(" " + word), KEPT_CHUNKS)  # by what follows the space
         rules = json.loads(self.tokenizer.to_str())
         pre = rules.get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not rules.get("normalizer")
-        self.added = [t["content"] for t in rules.get("added_tokens", [])]
-        self.cut = regex.compile(GPT2_PATTERN).findall
+        added = tuple(t["content"] for t in rules.get("added_tokens", []))
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not rules.get("normalizer")
+        self.by_word = plain and not any(re.search(r"\s", t) for t in added)
+        self.words = WordIds(self._pieces, whole=added, alone=self._whole)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -132,37 +79,22 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def _piece(self, p: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_LETTERS))
-        return array(self.kind, [t.id for t in tokens]).tobytes()
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _chunk(self, c: str) -> bytes:
-        word = c[1:] if c[0] == " " else c
-        if word.isalpha():
-            return self.pieces[c]
-        if word[:-1].isalpha() and word[-1] in ".,;:!?":
-            return self.pieces[c[:-1]] + self.pieces[c[-1]]
-        if not self.by_piece or any(a in c for a in self.added):
-            return array(self.kind, self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.pieces.__getitem__, self.cut(c)))
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        model, kind, out = self.tokenizer.model.tokenize, self.kind, []
+        for p in pieces:
+            letters = "Ġ" + p[1:] if p[0] == " " and p.isascii() and p[1:].isalpha() else p.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_LETTERS)
+            out.append(array(kind, [t.id for t in model(letters)]).tobytes())
+        return out
 
     def encode(self, texts: list[str | None], end_id: int | None) -> list[bytes]:
         tail = b"" if end_id is None else array(self.kind, [end_id]).tobytes()
-        if not self.by_piece:
-            return [array(self.kind, self.tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() + tail for t in texts]
-        out, word = [], self.words.__getitem__
-        for t in texts:
-            if not t:
-                out.append(tail)
-            elif not safe(t):
-                out.append(b"".join([*map(self.heads.__getitem__, chunks(t)), tail]))
-            else:
-                head, *rest = t.split(" ")
-                out.append(b"".join([self.heads[head], *map(word, rest), tail]))
-        return out
+        return self.words.encode(texts, tail) if self.by_word else [self._whole(t or "") + tail for t in texts]
 
 
-def _parts(batch: pd.DataFrame, column: str, chars: int = 6_000_000) -> Iterator[pd.DataFrame]:
+def _parts(batch: pd.DataFrame, column: str, chars: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:
     if len(batch):
         sizes = batch[column].map(lambda x: len(x) if x else 0).to_numpy().cumsum()
         for _, rows in batch.groupby(sizes // chars, sort=True):
@@ -191,8 +123,8 @@ def train_dictionary(docs: DataFrame, tokenizer_file: str, end_id: int | None, n
 def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text and writes the files under ``path``, in ascending order of id (nulls first, ties by the text's hash).
 
-    Null and empty texts have no ids but the end id. The table is dealt out by ranges of ids and sorted within each; a task
-    holds one batch and one shard. Other columns are not read.
+    Null and empty texts have no ids but the end id. Texts are encoded where they are read; only their frames are dealt out by ranges of ids
+    and sorted within each. A task holds one batch and one shard. Other columns are not read; an empty table gives files without documents.
     """
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -201,37 +133,44 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | None =
     digest = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
-    def run(batches):
+    def compress(batches):
         encoder = Encoder.of(tokenizer_file)
         zdict = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=1, dict_data=zdict).compress
+        for b in batches:
+            for part in _parts(b, "text"):
+                ids = encoder.encode(part["text"].tolist(), end_id)
+                yield pd.DataFrame({"id": part["id"], "null": part["null"], "th": part["th"], "n": [len(x) // encoder.width for x in ids], "frame": [press(x) for x in ids]})
+
+    def shards(batches):
+        width = Encoder.of(tokenizer_file).width
         index, frames, size, shard, bucket = [], [], 0, 0, 0
 
         def close():
             entries = np.array(index, dtype=ENTRY)
-            blob = struct.pack(HEAD, MAGIC, encoder.width, len(entries), digest) + entries.tobytes() + b"".join(frames)
+            blob = struct.pack(HEAD, MAGIC, width, len(entries), digest) + entries.tobytes() + b"".join(frames)
             real = entries["doc_id"][entries["null"] == 0]
             return pd.DataFrame(
                 {"bucket": [bucket], "shard": [shard], "n_docs": [len(entries)], "n_ids": [int(entries["ids"].sum())], "min_id": pd.array([real.min() if len(real) else None], dtype="Int64"), "max_id": pd.array([real.max() if len(real) else None], dtype="Int64"), "blob": [blob]}
             )
 
         for b in batches:
-            for part in _parts(b, "text"):
-                bucket = int(part["bucket"].iloc[0])
-                for (i, null), ids in zip(zip(part["id"], part["null"], strict=True), encoder.encode(part["text"].tolist(), end_id), strict=True):
-                    frame = press(ids)
-                    size += len(frame)
-                    frames.append(frame)
-                    index.append((i, null, size, len(ids) // encoder.width))
-                    if size >= SHARD_BYTES or len(index) >= SHARD_DOCS:
-                        yield close()
-                        index, frames, size, shard = [], [], 0, shard + 1
+            for i, null, k, frame, bucket in zip(b["id"], b["null"], b["n"], b["frame"], b["bucket"], strict=True):  # noqa: B007
+                size += len(frame)
+                frames.append(frame)
+                index.append((i, null, size, k))
+                if size >= SHARD_BYTES or len(index) >= SHARD_DOCS:
+                    yield close()
+                    index, frames, size, shard = [], [], 0, shard + 1
         if index:
             yield close()
 
-    ranged = read.repartitionByRange(max(1, -(-n // BUCKET_DOCS)), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows = ranged.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().cast("int").alias("null"), "text", F.spark_partition_id().alias("bucket"))
-    rows.mapInPandas(run, "bucket int, shard int, n_docs long, n_ids long, min_id long, max_id long, blob binary").write.parquet(f"{path}/shards")
+    rows = read.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().cast("int").alias("null"), F.xxhash64("text").alias("th"), "text")
+    encoded = materialise(rows.mapInPandas(compress, "id long, null int, th long, n long, frame binary"))
+    ranged = encoded.repartitionByRange(max(1, -(-n // BUCKET_DOCS)), F.desc("null"), "id").sortWithinPartitions(F.desc("null"), "id", "th")
+    made = ranged.withColumn("bucket", F.spark_partition_id()).mapInPandas(shards, "bucket int, shard int, n_docs long, n_ids long, min_id long, max_id long, blob binary")
+    made.write.parquet(f"{path}/shards")
+    discard(encoded)
 
 
 def unpack(blob: bytes, dictionary: bytes, only: set[int] | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
@@ -283,15 +222,19 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"bucket": bucket, "shard": shard, "doc_id": pd.array(ids, dtype="Int64"), "before": before, "n_tokens": n, "ids_crc32": crc})
 
     docs = shards.select("bucket", "shard", "blob").mapInPandas(run, "bucket int, shard int, doc_id long, before long, n_tokens long, ids_crc32 long")
-    # prefix sums on two levels: over buckets (one row each), then over the shards of each bucket
-    totals = shards.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
-    earlier = totals.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("bucket_start"))
-    own = shards.select("bucket", "shard", (F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("shard")) - F.col("n_ids")).alias("shard_start"))
-    starts = own.join(earlier, "bucket").select("bucket", "shard", (F.col("bucket_start") + F.col("shard_start")).alias("shard_start"))
+    # prefix sums on three levels: over groups of buckets, the buckets of a group, and the shards of a bucket
+    group = F.floor(F.col("bucket") / GROUP).alias("group")
+    before = lambda over: F.sum("n").over(over) - F.col("n")
+    totals = shards.groupBy("bucket", group).agg(F.sum("n_ids").alias("n"))
+    groups = totals.groupBy("group").agg(F.sum("n").alias("n")).select("group", before(Window.orderBy("group")).alias("group_start"))
+    buckets = totals.select("group", "bucket", before(Window.partitionBy("group").orderBy("bucket")).alias("bucket_start")).join(groups, "group")
+    own = shards.select("bucket", "shard", F.col("n_ids").alias("n")).select("bucket", "shard", before(Window.partitionBy("bucket").orderBy("shard")).alias("own_start"))
+    starts = own.join(buckets, "bucket").select("bucket", "shard", (F.col("group_start") + F.col("bucket_start") + F.col("own_start")).alias("shard_start"))
     return docs.join(starts, ["bucket", "shard"]).select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
+    """Writes the token ids of every whole text of ``documents`` and gives each document's place, count and checksum, read back from the files. Nulls, ties and empty tables: see ``write``."""
     import public_tokenizers
 
     path = shared_dir(spark)

@@ -70,7 +70,7 @@ class WordIds:
 
     def _pieces(self, word: str) -> list[str]:
         stem = word[1:]
-        if stem.isalpha():
+        if stem.isalpha() and (word[0] == " " or word[0].isalpha()):
             return [word]
         if stem[:-1].isalpha() and stem[-1] in ".,;:!?" and word[0] == " ":
             return [word[:-1], stem[-1]]
