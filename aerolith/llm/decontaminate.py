@@ -4,17 +4,16 @@ A document holds a benchmark item if one of its windows of as many words as the
 has a weighted Jaccard similarity of 0.8 or more with it: over five-word shingles,
 weighted by how often each occurs, the sum of the smaller counts over the sum of the larger ones.
 
-1. Windows: a window that similar lacks few of the item's shingles, so of a few chosen ones, the
-   item's anchors, it has all but that many. The windows of the item's size that cover
-   enough anchors are the candidates; no other window can be similar enough. A document with fewer shingles than
-   the item is one window, which may lack more of them.
-2. Each candidate gets a 64-bit SimHash of its shingles. Fingerprints within a radius r share at least one
-   of r + 1 blocks: windows and items meet on (item, block), and the Hamming distance is checked.
-   Windows smaller than their item are few and meet it without blocks.
+1. Windows of every size that items have. A window that is similar to any item of its size has most of its shingles
+   from the benchmark, so windows with fewer such shingles are left out; that loses nothing. A document with fewer
+   shingles than an item is one window.
+2. Each window gets a 64-bit SimHash of its shingles. Fingerprints within a radius r share at least one
+   of r + 1 blocks: windows and items of one size meet on equal blocks, and the Hamming distance is checked. This finds every
+   pair within the radius. Windows smaller than the item have few shingles, of which fingerprints say little: they meet all items of the size.
 3. The shingle counts of what is left are compared exactly.
 
-The radius of 20 bits: at similarity 0.8 two fingerprints differ in 9.7 bits on average with a
-deviation of 2.9, so a window is lost with a probability of about 0.0002 at the very threshold, less above it.
+The radius of 22 bits: at similarity 0.8 two fingerprints differ in 9.7 bits on average with a
+deviation of 2.9, so a window is lost with a probability of about 0.00001 at the very threshold, less above it.
 """
 
 from __future__ import annotations
@@ -24,9 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SHINGLE, AT_LEAST, RADIUS = 5, 0.8, 20
-#: Rows up to which the table of anchors is broadcast; beyond it the joins shuffle.
-BROADCAST_ANCHORS = 100_000
+SHINGLE, AT_LEAST, RADIUS = 5, 0.8, 22
+#: Shingles of a text that are searched at once; a longer text is cut into stretches that overlap by the largest item.
+STRETCH = 4096
+#: Bits of the benchmark's bitmap for each of its shingles, and the power of two of its size at most (16 MB).
+BITS_EACH, MOST_BITS = 32, 27
 
 
 def words(text: Column) -> Column:
@@ -78,64 +79,81 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for the result, though each text is searched by itself; a null id groups with itself. Empty tables give an empty table. Columns
     other than those named are not read.
     """
-    items = materialise(items_of(benchmark, item_col, item_text_col))
-    anchors = anchors_of(items)
-    bounded = anchors.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
+    items = materialise(items_of(benchmark, item_col, item_text_col).withColumn("m", F.size("sh")).withColumn("item_fp", fingerprint(F.col("sh"))))
+    n_hashes, longest = items.agg(F.sum("m"), F.max("m")).first()
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    hashed = read.select("doc_id", F.xxhash64("doc_id", "t").alias("rk"), words(F.col("t")).alias("w")).select("doc_id", "rk", shingles(F.col("w")).alias("sh"))
-    if bounded:
-        anchors = F.broadcast(anchors)
-        # one row of all anchors, of a checked size, tells the few documents that have any
-        every = F.broadcast(anchors.agg(F.collect_set("h").alias("anchors")))
-        some = hashed.join(every, F.arrays_overlap("sh", "anchors")).drop("anchors")
-    else:
-        with_hit = hashed.select("rk", F.explode("sh").alias("h")).join(anchors.select("h").distinct(), "h", "left_semi").select("rk").distinct()
-        some = hashed.join(with_hit, "rk", "left_semi")
-    some = materialise(some.dropDuplicates(["rk"]))
-    at = some.select("rk", F.posexplode("sh").alias("pos", "h")).join(anchors, "h")
-    hits = at.groupBy("rk", "item_id", "n_words", "m", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("hits"))
-    return _best(some.join(hits, "rk"), items, bounded)
-
-
-def _missing(m: Column, n: Column) -> Column:
-    """How many of an item's m shingles a window of n <= m shingles may lack: J >= s needs s (n + m) / (1 + s) common ones."""
-    return F.floor(m - AT_LEAST * (n + m) / (1 + AT_LEAST) + 1e-9).cast("int")
-
-
-def anchors_of(items: DataFrame) -> DataFrame:
-    """(item_id, n_words, m, k, h): some distinct shingles of each item, and how many these are.
-
-    Of any k distinct shingles of an item a similar window has at least k less the number of those it may lack. Where
-    repeats leave so few that this could be none, all the item's shingles are taken: a similar window has one of them.
-    """
-    m = F.size("sh")
-    k = F.least(3 * (_missing(m, m) + 1), m)
-    place = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.floor(i * m / k).cast("int"))
-    some = items.withColumn("a", F.array_distinct(F.transform(place, lambda i: F.get(F.col("sh"), i))))
-    # the smallest window that can be similar has s m shingles
-    chosen = some.withColumn("a", F.when(F.size("a") > _missing(m, AT_LEAST * m), F.col("a")).otherwise(F.array_distinct("sh")))
-    return chosen.select("item_id", "n_words", m.alias("m"), F.size("a").alias("k"), F.explode_outer("a").alias("h"))
+    if not longest:
+        none = read.limit(0).join(items.limit(0))
+        return none.select("doc_id", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("start_word"), F.lit(0).cast("long").alias("n_words"))
+    bits = min(MOST_BITS, max(10, (n_hashes * BITS_EACH - 1).bit_length()))
+    hashed = read.select("doc_id", words(F.col("t")).alias("w")).select("doc_id", shingles(F.col("w")).alias("sh"))
+    # one row of a bounded size: the benchmark's bitmap and the sizes that its items have
+    known = hashed.join(F.broadcast(_bitmap(items, bits)), F.exists("sh", lambda h: _in_bitmap(h, bits)))
+    step = max(STRETCH, longest)
+    cut = F.transform(F.sequence(F.lit(0), F.size("sh") - 1, F.lit(step)), lambda o: F.struct(o.alias("offset"), F.slice("sh", o + 1, step + longest - 1).alias("sh")))
+    parts = known.select("doc_id", F.size("sh").alias("n"), "bitmap", "sizes", F.explode_outer(cut).alias("x")).select("doc_id", "n", "bitmap", "sizes", "x.offset", "x.sh")
+    hits = F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: _in_bitmap(F.get(F.col("sh"), i), bits))
+    found = parts.select("doc_id", "n", "offset", "sh", "sizes", hits.alias("hits")).where(F.size("hits") > 0)
+    windows = materialise(_windows(found))
+    return _best(windows, items)
+
+
+def _slot(h: Column, bits: int, k: int) -> Column:
+    """The k-th of two places of a hash in the bitmap."""
+    return F.shiftrightunsigned(h, 31 * k).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+
+
+def _bitmap(items: DataFrame, bits: int) -> DataFrame:
+    """One row (bitmap array<bigint>, sizes array<int>): a Bloom filter of all items' shingles, and the numbers of shingles that items have."""
+    h = items.select(F.explode("sh").alias("h")).select(F.explode(F.array(_slot(F.col("h"), bits, 0), _slot(F.col("h"), bits, 1))).alias("at"))
+    set_ = h.select(F.floor(F.col("at") / 64).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    every = set_.union(items.sparkSession.range(max(1, (1 << bits) // 64)).select("id", F.lit(0).cast("bigint")))
+    words_ = every.groupBy("word").agg(F.bit_or("bit").alias("bit")).agg(F.array_sort(F.collect_list(F.struct("word", "bit"))).alias("w"))
+    return words_.select(F.transform("w", lambda x: x["bit"]).alias("bitmap")).join(F.broadcast(items.agg(F.sort_array(F.collect_set("m")).alias("sizes"))))
+
+
+def _in_bitmap(h: Column, bits: int) -> Column:
+    def one(k: int) -> Column:
+        at = _slot(h, bits, k)
+        word = F.get(F.col("bitmap"), F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", word, at.bitwiseAND(F.lit(63).cast("bigint")).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+    return one(0) & one(1)
+
+
+def _least_common(m: Column, n: Column) -> Column:
+    """How many shingles a window of n must share with an item of m: J >= s means s (n + m) / (1 + s) common ones."""
+    return F.greatest(F.ceil(AT_LEAST * (n + m) / (1 + AT_LEAST) - 1e-9).cast("int"), F.lit(1))
 
 
 # The outer forms of explode are used on computed arrays: for the others the optimiser adds a filter that computes the array once more.
-def _best(hits: DataFrame, items: DataFrame, bounded: bool) -> DataFrame:
-    # starts of windows of m shingles that cover enough anchors and lie in the text
-    m, last = F.col("m"), F.greatest(F.size("sh") - F.col("m"), F.lit(0))
-    covering = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.least(F.greatest(p["pos"] - m + 1, F.lit(0)), last), F.least(p["pos"], last)))))
-    inside = lambda s: F.filter("hits", lambda p: (p["pos"] >= s) & (p["pos"] < s + m))
-    least = F.greatest(F.col("k") - _missing(m, F.least(F.size("sh"), m)), F.lit(1))
-    starts = F.filter(covering, lambda s: F.size(F.array_distinct(F.transform(inside(s), lambda p: p["h"]))) >= least)
-    windows = hits.select("doc_id", "item_id", "m", F.explode_outer(F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("sh", s + 1, m).alias("win")))).alias("x"))
-    prints = windows.select("doc_id", "item_id", "m", "x.*").where("start is not null").withColumn("fp", fingerprint(F.col("win")))
-    # a document smaller than the item has one window, and few shingles make fingerprints differ more: it is compared without them
-    smaller, every = F.size("win") < F.col("m"), F.array(F.lit(-1).cast("bigint"))
-    left = prints.select("*", F.posexplode_outer(F.when(smaller, every).otherwise(_blocks(F.col("fp"), RADIUS))).alias("i", "block"))
-    right = items.withColumn("item_fp", fingerprint(F.col("sh"))).select("item_id", "n_words", F.col("sh").alias("own"), "item_fp", F.explode_outer(F.concat(_blocks(F.col("item_fp"), RADIUS), every)).alias("block"))
-    met = left.join(F.broadcast(right) if bounded else right, ["item_id", "block"]).where(smaller | (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS))
+def _windows(found: DataFrame) -> DataFrame:
+    """(doc_id, m, start, smaller, win, fp): the windows of m shingles with enough from the benchmark, as many as each ``hits`` allows."""
+    each = found.select("doc_id", "n", "offset", "sh", "hits", F.explode_outer("sizes").alias("m")).withColumn("c", _least_common(F.col("m"), F.least("m", "n")))
+    each = each.where(F.size("hits") >= F.col("c"))
+    m, c, hit = F.col("m"), F.col("c"), lambda j: F.get(F.col("hits"), j)
+    # c hits in a row that fit into a window: all its starts that cover them and lie in the text
+    fits = F.filter(F.sequence(F.lit(0), F.size("hits") - c), lambda j: hit(j + c - 1) - hit(j) < m)
+    last = F.size("sh") - m
+    spread = F.transform(fits, lambda j: F.when(last >= F.greatest(hit(j + c - 1) - m + 1, F.lit(0)), F.sequence(F.greatest(hit(j + c - 1) - m + 1, F.lit(0)), F.least(hit(j), last))).otherwise(F.array().cast("array<int>")))
+    smaller = F.col("n") < m
+    starts = F.when(smaller, F.array(F.lit(0))).otherwise(F.array_distinct(F.flatten(spread)))
+    made = F.transform(starts, lambda s: F.struct((F.col("offset") + s).alias("start"), F.slice("sh", s + 1, m).alias("win")))
+    out = each.select("doc_id", "m", smaller.alias("smaller"), F.explode_outer(made).alias("x")).select("doc_id", "m", "smaller", "x.*").where("start is not null")
+    return out.withColumn("fp", fingerprint(F.col("win")))
+
+
+def _best(windows: DataFrame, items: DataFrame) -> DataFrame:
+    every = F.array(F.lit(-1).cast("bigint"))
+    # copies have the same windows: their fingerprints meet the items once
+    left = windows.select("m", "smaller", "fp").distinct().select("*", F.posexplode_outer(F.when(F.col("smaller"), every).otherwise(_blocks(F.col("fp"), RADIUS))).alias("i", "block"))
+    right = items.select("item_id", "m", "item_fp", F.explode_outer(F.concat(_blocks(F.col("item_fp"), RADIUS), every)).alias("block"))
     # a pair that shares several blocks goes on from the first of them
     same = F.zip_with(_blocks(F.col("fp"), RADIUS), _blocks(F.col("item_fp"), RADIUS), lambda a, b: a == b)
-    near = met.where(smaller | (F.array_position(same, True) - 1 == F.col("i")))
+    close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & (F.array_position(same, True) - 1 == F.col("i"))
+    met = left.join(right, ["m", "block"]).where(F.col("smaller") | close).select("m", "smaller", "fp", "item_id")
     # exact: the window's shingle counts against the item's
+    near = windows.join(materialise(met), ["m", "smaller", "fp"]).join(items.select("item_id", "m", "n_words", F.col("sh").alias("own")), ["item_id", "m"])
     count = lambda a, h: F.size(F.filter(a, lambda y: y == h))
     once = (F.size(F.array_distinct("win")) == F.size("win")) & (F.size(F.array_distinct("own")) == F.size("own"))
     shared = F.array_intersect("win", "own")
@@ -147,11 +165,14 @@ def _best(hits: DataFrame, items: DataFrame, bounded: bool) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns stay. Rows with a null id are kept unless a row with a null id holds one."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    # written first, so that its size is known: a small table is broadcast, and the texts aren't shuffled
+    bad = materialise(contaminated(docs, benchmark, id_col, text_col).select("doc_id").distinct())
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"))
+    return row.join(bad, F.col("own_id").eqNullSafe(bad["doc_id"]), "left_anti").select("row.*")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Every document of ``documents`` that holds an item of ``benchmark``, with the item's best window; see ``contaminated`` for nulls, repeated ids and empty tables."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
