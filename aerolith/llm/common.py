@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,3 +48,60 @@ def discard(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of a bitmap for each key, and the power of two of its size at most (16 MB): what a sieve broadcasts.
+BITS_EACH, MOST_BITS = 32, 27
+#: At most so many keys can hold more than one row in so many; they are what ``join_hot`` broadcasts.
+HOT = 1_000
+
+
+def bitmap_bits(n_keys: int) -> int:
+    return min(MOST_BITS, max(10, (max(n_keys, 1) * BITS_EACH - 1).bit_length()))
+
+
+def _slot(h: Column, bits: int, k: int) -> Column:
+    """The k-th of two places of a hash in a bitmap."""
+    return F.shiftrightunsigned(h, 31 * k).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+
+
+def bitmap_of(hashes: DataFrame, bits: int) -> DataFrame:
+    """One row (bitmap array<bigint>): a Bloom filter of the column ``h`` of 64-bit hashes, of 2 ** bits bits however many these are."""
+    at = hashes.select(F.explode(F.array(_slot(F.col("h"), bits, 0), _slot(F.col("h"), bits, 1))).alias("at"))
+    is_set = at.select(F.floor(F.col("at") / 64).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    every = is_set.union(hashes.sparkSession.range(max(1, (1 << bits) // 64)).select("id", F.lit(0).cast("bigint")))
+    words = every.groupBy("word").agg(F.bit_or("bit").alias("bit")).agg(F.array_sort(F.collect_list(F.struct("word", "bit"))).alias("w"))
+    return words.select(F.transform("w", lambda x: x["bit"]).alias("bitmap"))
+
+
+def in_bitmap(h: Column, bits: int, bitmap: str = "bitmap") -> Column:
+    """Whether a hash may be in the bitmap: true for all that are, and for few others."""
+
+    def one(k: int) -> Column:
+        at = _slot(h, bits, k)
+        word = F.get(F.col(bitmap), F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", word, at.bitwiseAND(F.lit(63).cast("bigint")).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+    return one(0) & one(1)
+
+
+def sieve(rows: DataFrame, key: str, keys: DataFrame, n_keys: int) -> tuple[DataFrame, DataFrame]:
+    """Splits ``rows`` into those whose long ``key`` may be in the column ``h`` of ``keys``, and those for which it isn't.
+
+    Only a bitmap of bounded size is broadcast, so a join with few keys needs to shuffle few rows, not all.
+    """
+    bits = bitmap_bits(n_keys)
+    bitmap = F.broadcast(materialise(bitmap_of(keys, bits)).withColumnRenamed("bitmap", "_bitmap"))
+    may = in_bitmap(F.col(key), bits, "_bitmap")
+    return rows.join(bitmap, may).drop("_bitmap"), rows.join(bitmap, ~may).drop("_bitmap")
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row a key and in ``n`` how many of the ``total`` rows of ``left`` have it.
+
+    Keys that hold over one row in ``HOT`` are fewer than ``HOT``: that bounded part of ``right`` is broadcast, the rest is an ordinary join.
+    """
+    hot = F.broadcast(right.where(F.col("n") * HOT > total).drop("n"))
+    rest = right.where(F.col("n") * HOT <= total).drop("n")
+    usual = left.join(hot.select(key), key, "left_anti").join(rest, key)
+    return left.join(hot, key).unionByName(usual)

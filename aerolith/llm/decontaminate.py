@@ -21,13 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bitmap_bits, bitmap_of, in_bitmap, materialise
 
 SHINGLE, AT_LEAST, RADIUS = 5, 0.8, 22
 #: Shingles of a text that are searched at once; a longer text is cut into stretches that overlap by the largest item.
 STRETCH = 4096
-#: Bits of the benchmark's bitmap for each of its shingles, and the power of two of its size at most (16 MB).
-BITS_EACH, MOST_BITS = 32, 27
 
 
 def words(text: Column) -> Column:
@@ -85,42 +83,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if not longest:
         none = read.limit(0).join(items.limit(0))
         return none.select("doc_id", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("start_word"), F.lit(0).cast("long").alias("n_words"))
-    bits = min(MOST_BITS, max(10, (n_hashes * BITS_EACH - 1).bit_length()))
+    bits = bitmap_bits(n_hashes)
     hashed = read.select("doc_id", words(F.col("t")).alias("w")).select("doc_id", shingles(F.col("w")).alias("sh"))
     # one row of a bounded size: the benchmark's bitmap and the sizes that its items have
-    known = hashed.join(F.broadcast(_bitmap(items, bits)), F.exists("sh", lambda h: _in_bitmap(h, bits)))
+    benchmark_bits = bitmap_of(items.select(F.explode("sh").alias("h")), bits).join(F.broadcast(items.agg(F.sort_array(F.collect_set("m")).alias("sizes"))))
+    known = hashed.join(F.broadcast(benchmark_bits), F.exists("sh", lambda h: in_bitmap(h, bits)))
     step = max(STRETCH, longest)
     cut = F.transform(F.sequence(F.lit(0), F.size("sh") - 1, F.lit(step)), lambda o: F.struct(o.alias("offset"), F.slice("sh", o + 1, step + longest - 1).alias("sh")))
     parts = known.select("doc_id", F.size("sh").alias("n"), "bitmap", "sizes", F.explode_outer(cut).alias("x")).select("doc_id", "n", "bitmap", "sizes", "x.offset", "x.sh")
-    hits = F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: _in_bitmap(F.get(F.col("sh"), i), bits))
+    hits = F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: in_bitmap(F.get(F.col("sh"), i), bits))
     found = parts.select("doc_id", "n", "offset", "sh", "sizes", hits.alias("hits")).where(F.size("hits") > 0)
     windows = materialise(_windows(found))
     return _best(windows, items)
 
 
-def _slot(h: Column, bits: int, k: int) -> Column:
-    """The k-th of two places of a hash in the bitmap."""
-    return F.shiftrightunsigned(h, 31 * k).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
-
-
-def _bitmap(items: DataFrame, bits: int) -> DataFrame:
-    """One row (bitmap array<bigint>, sizes array<int>): a Bloom filter of all items' shingles, and the numbers of shingles that items have."""
-    h = items.select(F.explode("sh").alias("h")).select(F.explode(F.array(_slot(F.col("h"), bits, 0), _slot(F.col("h"), bits, 1))).alias("at"))
-    set_ = h.select(F.floor(F.col("at") / 64).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
-    every = set_.union(items.sparkSession.range(max(1, (1 << bits) // 64)).select("id", F.lit(0).cast("bigint")))
-    words_ = every.groupBy("word").agg(F.bit_or("bit").alias("bit")).agg(F.array_sort(F.collect_list(F.struct("word", "bit"))).alias("w"))
-    return words_.select(F.transform("w", lambda x: x["bit"]).alias("bitmap")).join(F.broadcast(items.agg(F.sort_array(F.collect_set("m")).alias("sizes"))))
-
-
-def _in_bitmap(h: Column, bits: int) -> Column:
-    def one(k: int) -> Column:
-        at = _slot(h, bits, k)
-        word = F.get(F.col("bitmap"), F.shiftright(at, 6).cast("int"))
-        return F.call_function("shiftrightunsigned", word, at.bitwiseAND(F.lit(63).cast("bigint")).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
-
-    return one(0) & one(1)
-
-
 def _least_common(m: Column, n: Column) -> Column:
     """How many shingles a window of n must share with an item of m: J >= s means s (n + m) / (1 + s) common ones."""
     return F.greatest(F.ceil(AT_LEAST * (n + m) / (1 + AT_LEAST) - 1e-9).cast("int"), F.lit(1))

@@ -5,6 +5,9 @@ XXH64 hashes of its word shingles. To find all pairs that differ in at most r bi
 the fingerprint is cut into m blocks: such a pair agrees in at least m - r of them,
 so it shares the key made of some m - r blocks. Documents meet on those keys, and the
 Hamming distance of what meets there is verified.
+
+For pairs by similarity two independent fingerprints of the distinct shingles are taken. Their keys bring pairs together, the distance of
+both decides which are worth a comparison, and the shingle sets are compared exactly.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import join_hot, materialise, sieve
 from .components import components
 
 SEED = 42
 #: Members of a key that one comparison holds at once; larger groups are cut into pairs of chunks.
 CHUNK = 1024
+#: Shingles of all texts of a chunk, in the mean.
+CHUNK_SHINGLES = 2_000_000
 #: Shingles that are hashed at once, so that a very long text needs no more memory than this.
 STRETCH = 1 << 16
 
@@ -52,31 +57,59 @@ def fingerprint(text: str | None, size: int) -> int:
     return int(np.packbits(2 * counts > len(starts)).view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """(doc_id, rk, fp): one row per input row; rk names the row by id and text; null and empty texts get fingerprint 0. ``with_text`` adds th, a hash of the text."""
-    more = ["th"] if with_text else []
+def set_prints(text: str | None, size: int) -> tuple[int, int, int, int]:
+    """Two fingerprints of a text's distinct shingles, a hash of their set, and how many they are."""
+    h = shingle_set(text, size)
+    if not len(h):
+        return 0, 0, 0, 0
+    mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = []
+    for x in (h, mixed ^ (mixed >> np.uint64(32))):
+        counts = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(x), STRETCH):
+            counts += np.unpackbits(x[at : at + STRETCH].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(x)).view("<u8")[0]))
+    return out[0], out[1], xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h)
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles."""
+    joined, starts, ends = shingle_spans(text, size)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)), dtype="<u8", count=len(starts)))
+
+
+def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """(doc_id, rk, node, f0), one row per input row; rk names the row by id and text, node is the fingerprint; null and empty texts get 0.
+
+    With ``sets`` (doc_id, rk, node, f0, f1, size): node is a hash of the set of distinct shingles, size how many they are.
+    """
+    names = ["node", "f0", "f1", "size"] if sets else ["node", "f0"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x, size) for x in b["text"]), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "rk": b["rk"], "fp": fp.view(np.int64)} | {k: b[k] for k in more})
+            if sets:
+                made = [set_prints(x, size) for x in b["text"]]
+                cols = np.array([(th, f0, f1, n) for f0, f1, th, n in made], dtype=np.uint64).reshape(-1, 4)
+            else:
+                cols = np.repeat(np.array([fingerprint(x, size) for x in b["text"]], dtype=np.uint64)[:, None], 2, axis=1)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "rk": b["rk"]} | {k: cols[:, i].copy().view(np.int64) for i, k in enumerate(names)})
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hashes = [row_hash("doc_id", "text").alias("rk"), F.xxhash64("text").alias("th")]
-    return picked.select("doc_id", *hashes[: 1 + with_text], "text").mapInPandas(run, "doc_id long, rk long, fp long" + ", th long" * with_text)
+    return picked.select("doc_id", row_hash("doc_id", "text").alias("rk"), "text").mapInPandas(run, "doc_id long, rk long, " + ", ".join(f"{k} long" for k in names))
 
 
 def row_hash(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
-def block_masks(radius: int, blocks: int) -> list[int]:
-    """Signed 64-bit masks of every choice of ``blocks - radius`` blocks."""
-    if not 0 <= radius < blocks <= 64:
-        raise ValueError("0 <= radius < blocks <= 64")
+def block_masks(blocks: int, agree: int) -> list[int]:
+    """Signed 64-bit masks of every choice of ``agree`` of so many blocks."""
+    if not 0 < agree <= blocks <= 64:
+        raise ValueError("0 < agree <= blocks <= 64")
     cut = [64 * i // blocks for i in range(blocks + 1)]
     one = [((1 << (cut[i + 1] - cut[i])) - 1) << cut[i] for i in range(blocks)]
-    return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(one, blocks - radius))]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(one, agree))]
 
 
 def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,16 +131,16 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         labels[:] = up[labels]
 
 
-def spanning_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in contiguous groups -> positions (a, b) and distances of a minimum spanning forest of the pairs within ``radius``."""
-    found, at, d = [], np.arange(len(fp)), 0
+def spanning_links(group: np.ndarray, fps: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in contiguous groups -> positions (a, b) and distances of a minimum spanning forest of the pairs within ``radius``, the sum over all fingerprints."""
+    found, at, d = [], np.arange(len(group)), 0
     while True:
         d += 1
-        at = at[at < len(fp) - d]
+        at = at[at < len(group) - d]
         at = at[group[at] == group[at + d]]
         if not len(at):
             break
-        dist = np.bitwise_count(fp[at] ^ fp[at + d])
+        dist = sum(np.bitwise_count(fp[at] ^ fp[at + d]) for fp in fps)
         near = dist <= radius
         if near.any():
             found.append((at[near], at[near] + d, dist[near]))
@@ -159,49 +192,56 @@ def _whole_groups(keys: list[str], pairs: Callable[[pd.DataFrame], pd.DataFrame]
     return run
 
 
-def _linker(radius: int, keys: list[str]):
+def _linker(radius: int, keys: list[str], fps: list[str]):
     """Rows sorted by ``keys`` -> links of each group."""
 
     def pairs(b: pd.DataFrame) -> pd.DataFrame:
-        fp = b["fp"].to_numpy().astype(np.int64)
-        x, y, d = spanning_links(_group_ids(b, keys), fp.view(np.uint64), radius)
-        return pd.DataFrame({"u": fp[x], "v": fp[y], "distance": d.astype(np.int32)})
+        own = [b[f].to_numpy().astype(np.int64) for f in fps]
+        x, y, d = spanning_links(_group_ids(b, keys), [f.view(np.uint64) for f in own], radius)
+        return pd.DataFrame({f"u{i}": f[x] for i, f in enumerate(own)} | {f"v{i}": f[y] for i, f in enumerate(own)} | {"distance": d.astype(np.int32)})
 
     return _whole_groups(keys, pairs)
 
 
-def links(nodes: DataFrame, radius: int = 4, blocks: int = 7) -> DataFrame:
-    """Distinct fingerprints (fp) -> (u, v, distance), links that connect what the pairs within ``radius`` connect.
+def _named(fps: list[str]) -> Column:
+    """One long that names a tuple of fingerprints."""
+    return F.xxhash64(*fps) if len(fps) > 1 else F.col(fps[0])
+
+
+def links(nodes: DataFrame, radius: int = 4, blocks: int = 7, agree: int | None = None, fps: tuple[str, ...] = ("f0",)) -> DataFrame:
+    """Distinct fingerprints -> (u, v, distance), links that connect what the pairs that meet within ``radius`` connect.
 
-    Each key's members are compared with each other, and of the close pairs only a
-    minimum spanning forest is returned, so a dense group of n near copies gives under
-    n rows per key, not n squared. A key with over ``CHUNK`` members is cut by hash into chunks, and
+    A key is made of ``agree`` of a fingerprint's blocks; by default ``blocks - radius``, so that every pair within the radius meets. Each key's
+    members are compared with each other, and of the close pairs only a minimum spanning forest is returned, so a dense group of n near copies
+    gives under n rows per key, not n squared. A key with over ``CHUNK`` members is cut by hash into chunks, and
     every pair of chunks is compared in a task of its own: no task holds more than
     two chunks, no pair is left out.
     """
-    masks = block_masks(radius, blocks)
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    keyed = nodes.select("fp", F.explode(keys).alias("key"))
+    names = list(fps)
+    masks = [(f, m) for f in names for m in block_masks(blocks, agree or blocks - radius)]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col(f).bitwiseAND(F.lit(m))) for i, (f, m) in enumerate(masks)])
+    keyed = nodes.select(*names, F.explode(keys).alias("key"))
     sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    shape = "u long, v long, distance int"
-    small = sized.where(F.col("n") <= CHUNK).select("key", "fp").sortWithinPartitions("key").mapInPandas(_linker(radius, ["key"]), shape)
+    shape = "".join(f"u{i} long, " for i in range(len(names))) + "".join(f"v{i} long, " for i in range(len(names))) + "distance int"
+    small = sized.where(F.col("n") <= CHUNK).select("key", *names).sortWithinPartitions("key").mapInPandas(_linker(radius, ["key"], names), shape)
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("fp", "key"), chunks).cast("int")
+    own = F.pmod(F.xxhash64(*names, "key"), chunks).cast("int")
     large = (
         sized.where(F.col("n") > CHUNK)
-        .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-        .select("key", "fp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .select("key", *names, own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+        .select("key", *names, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
         .repartition("key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi")
-        .mapInPandas(_linker(radius, ["key", "lo", "hi"]), shape)
+        .mapInPandas(_linker(radius, ["key", "lo", "hi"], names), shape)
     )
-    return small.union(large).distinct()
+    ends = [_named([f"{e}{i}" for i in range(len(names))]).alias(e) for e in "uv"]
+    return small.union(large).select(*ends, "distance").distinct()
 
 
-def similar_links(fp: np.ndarray, sets: list[np.ndarray], radius: int, at_least: float) -> list[tuple[int, int]]:
-    """Positions (a, b) of a spanning forest of all pairs within ``radius`` bits whose sorted shingle sets have Jaccard similarity ``at_least``.
+def similar_links(sets: list[np.ndarray], at_least: float) -> list[tuple[int, int]]:
+    """Positions (a, b) of a spanning forest of all pairs of sorted shingle sets with Jaccard similarity ``at_least``.
 
-    A pair that fails leaves all other pairs of its groups to be tried; only pairs that are connected already are left out. Sets that
+    A pair that fails leaves all other pairs to be tried; only pairs that are connected already are left out. Sets that
     similar share one of their first n - ceil(s n) + 1 shingles in any common order (here the rarest first), so others aren't compared.
     """
     sizes, labels, picked = np.array([len(x) for x in sets]), np.arange(len(sets)), []
@@ -221,7 +261,7 @@ def similar_links(fp: np.ndarray, sets: list[np.ndarray], radius: int, at_least:
         first = np.lexsort((own, df))[: len(own) - int(np.ceil(at_least * len(own) - 1e-9)) + 1]
         prefix = own[first[df[first] > 1]].tolist()
         low, high = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
-        left = np.flatnonzero((np.bitwise_count(fp[:i] ^ fp[i]) <= radius) & (low >= at_least * high - 1e-9))
+        left = np.flatnonzero(low >= at_least * high - 1e-9)
         if len(left) and linked(int(left[-1]), i):
             left = left[labels[left] != labels[i]]
         else:
@@ -236,93 +276,99 @@ def similar_links(fp: np.ndarray, sets: list[np.ndarray], radius: int, at_least:
     return picked
 
 
-def jaccard_links(members: DataFrame, docs: DataFrame, size: int, radius: int, at_least: float) -> DataFrame:
-    """(cls, fp, th, rk) texts in classes -> (u, v), text hashes: links that connect what the pairs of a class do that lie within ``radius`` and have Jaccard similarity ``at_least`` on distinct word shingles.
+def jaccard_links(members: DataFrame, total: int, docs: DataFrame, size: int, at_least: float) -> DataFrame:
+    """(cls, node, rk, size) texts in classes -> (u, v), nodes: links that connect what the pairs of a class do that have Jaccard similarity ``at_least`` on distinct word shingles.
 
-    ``docs`` has (rk, text). Only texts of classes with several move. A class with over ``CHUNK`` texts is cut by hash into chunks, and every pair of chunks is compared in a task of its own.
+    ``docs`` has (rk, text). Only texts of classes with several are shuffled, once. A class with over ``CHUNK`` texts or ``CHUNK_SHINGLES``
+    shingles is cut by hash into chunks, and every pair of chunks is compared in a task of its own.
     """
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def shingles(text: str | None) -> bytes:
-            joined, starts, ends = shingle_spans(text, size)
-            return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)), dtype="<u8", count=len(starts))).tobytes()
-
         for b in batches:
-            yield b.drop(columns="text").assign(sh=[shingles(x) for x in b["text"]])
+            yield b.drop(columns="text").assign(sh=[shingle_set(x, size).tobytes() for x in b["text"]])
 
     keys = ["cls", "lo", "hi"]
 
     def pairs(b: pd.DataFrame) -> pd.DataFrame:
-        fp, th, out = b["fp"].to_numpy().astype(np.int64).view(np.uint64), b["th"].to_numpy(), []
+        node, out = b["node"].to_numpy(), []
         bounds = np.flatnonzero(np.diff(_group_ids(b, keys), prepend=-1, append=-1))
         for s, e in zip(bounds, bounds[1:], strict=False):
             sets = [np.frombuffer(x, dtype="<u8") for x in b["sh"].iloc[s:e]]
-            out += [(th[s + x], th[s + y]) for x, y in similar_links(fp[s:e], sets, radius, at_least)]
+            out += [(node[s + x], node[s + y]) for x, y in similar_links(sets, at_least)]
         return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
 
-    several = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    read = members.join(several, "cls").join(docs, "rk").dropDuplicates(["th"]).select("cls", "fp", "th", "n", "text")
-    texts = read.mapInPandas(hashed, "cls long, fp long, th long, n long, sh binary")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("th", "cls"), chunks).cast("int")
-    spread = texts.select("cls", "fp", "th", "sh", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    placed = spread.select("cls", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "th", "sh")
+    pieces = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
+    several = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).where("n > 1").withColumn("chunks", pieces).drop("s")
+    some = materialise(join_hot(members, materialise(several), "cls", total).select("cls", "node", "rk", "chunks"))
+    near, _ = sieve(docs, "rk", some.select(F.col("rk").alias("h")), some.count())
+    read = near.join(some, "rk").dropDuplicates(["rk"]).select("cls", "node", "chunks", "text")
+    texts = read.mapInPandas(hashed, "cls long, node long, chunks int, sh binary")
+    own = F.pmod(F.xxhash64("node", "cls"), F.col("chunks")).cast("int")
+    spread = texts.select("cls", "node", "sh", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    placed = spread.select("cls", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "sh")
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_whole_groups(keys, pairs), "u long, v long")
 
 
-def _classes(docs: DataFrame, size: int, radius: int, blocks: int, at_least: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rk, fp, node) of all rows, and (node, first, root): ``first`` is the row that stands for a node, ``root`` names its class.
+def _classes(docs: DataFrame, size: int, radius: int, blocks: int, agree: int | None, at_least: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rk, node) of all rows, and (node, n, first, least): how many rows a node has, and the row that stands for its class (rk, and its id).
 
-    A node is a fingerprint, or with ``at_least`` a distinct text: texts with close or equal fingerprints only meet, and are then compared.
+    A node is a fingerprint, or with ``at_least`` a set of shingles: texts with close or equal fingerprints only meet, and are then compared.
     """
-    exact = at_least is not None
-    marked = materialise(fingerprints(docs, size, id_col, text_col, exact))
-    marked = marked.withColumn("node", F.col("th" if exact else "fp"))
+    sets = at_least is not None
+    marked = materialise(fingerprints(docs, size, id_col, text_col, sets))
+    fps = ["f0", "f1"] if sets else ["f0"]
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")
-    nodes = marked.groupBy("node").agg(F.min(order).alias("first"), *[F.first("fp").alias("fp")] * exact)
-    if exact:
-        nodes = materialise(nodes)
-    roots = components(links(nodes.select("fp").distinct() if exact else nodes.select(F.col("node").alias("fp")), radius, blocks))
-    if exact:
-        met = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("cls"), "fp", F.col("node").alias("th"), F.col("first.rk").alias("rk"))
+    nodes = materialise(marked.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), *[F.first(c).alias(c) for c in (*fps, "size") if c in marked.columns]))
+    roots = components(links(nodes.select(*fps).distinct(), radius, blocks, agree, tuple(fps)))
+    if sets:
+        own = nodes.select("node", F.col("first.rk").alias("rk"), "size", _named(fps).alias("id"))
+        met = own.join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("cls"), "node", "rk", "size")
         texts = docs.select(row_hash(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text"))
-        roots = components(jaccard_links(materialise(met), texts, size, radius, at_least))
-    placed = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    return marked, placed
+        roots = components(jaccard_links(materialise(met), nodes.count(), texts, size, at_least))
+    roots = materialise(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
+    placed = nodes.join(roots, "node").select("node", F.col("n").alias("rows"), "first", "root")
+    least = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least"))
+    joined = join_hot(placed, materialise(least), "root", roots.count()).select("node", F.col("rows").alias("n"), "first", "least")
+    alone = nodes.join(roots, "node", "left_anti").select("node", "n", "first", F.col("first").alias("least"))
+    return marked, materialise(joined.union(alone))
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 4, radius: int = 4, blocks: int = 7, at_least: float | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, size: int = 4, radius: int = 4, blocks: int = 7, agree: int | None = None, at_least: float | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row.
 
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the
     smallest doc_id reachable over links, the document's own included. With
-    ``at_least`` a link between different texts, also of the same fingerprint, needs
-    that Jaccard similarity on distinct word shingles as well.
+    ``at_least`` two fingerprints of the distinct shingles bring texts together (``radius`` is that of both), and texts link if they have that
+    Jaccard similarity.
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a
     null doc_id keep it and take the component of their fingerprint or text, null if no
     other row of it has an id. Repeated rows are each returned. An empty table gives an empty
     table; columns other than the two named are not read.
     """
-    marked, placed = _classes(docs, size, radius, blocks, at_least, id_col, text_col)
-    least = placed.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
-    of_node = materialise(placed.join(least, "root").select("node", "component_id"))
-    return marked.join(of_node, "node").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    marked, placed = _classes(docs, size, radius, blocks, agree, at_least, id_col, text_col)
+    of_node = placed.select("node", "n", F.col("least.doc_id").alias("component_id"))
+    return join_hot(marked, of_node, "node", marked.count()).select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(
-    docs: DataFrame, size: int = 5, radius: int = 8, blocks: int = 11, at_least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, size: int = 5, radius: int = 32, blocks: int = 10, agree: int = 3, at_least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` that stand for their classes, columns as they were: of each class the one with the smallest id.
 
-    Rows without an id come after all others, ties go by a hash of the row; of repeated rows one stays.
+    Rows without an id come after all others, ties go by a hash of the row; of repeated rows one stays. Null and empty texts are alike. An empty
+    table gives an empty table. Rows that can't be copies are neither shuffled nor compared with the list of those that go.
     """
-    _, placed = _classes(docs, size, radius, blocks, at_least, id_col, text_col)
-    stay = materialise(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rk").alias("_rk")).distinct())
-    named = docs.withColumn("_rk", row_hash(id_col, text_col))
-    return named.join(stay, "_rk", "left_semi").dropDuplicates(["_rk"]).drop("_rk")
+    marked, placed = _classes(docs, size, radius, blocks, agree, at_least, id_col, text_col)
+    among = placed.where((F.col("n") > 1) | (F.col("first.rk") != F.col("least.rk"))).select("node", "n", F.col("least.rk").alias("stays"))
+    judged = join_hot(marked.select("rk", "node"), materialise(among), "node", marked.count()).groupBy("rk").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("rk") != F.col("stays")).alias("goes"))
+    listed = materialise(judged.where("goes or times > 1"))
+    named = docs.select(F.struct("*").alias("row"), row_hash(id_col, text_col).alias("rk"))
+    maybe, clear = sieve(named, "rk", listed.select(F.col("rk").alias("h")), listed.count())
+    stay = maybe.join(listed.where("goes").select("rk"), "rk", "left_anti").dropDuplicates(["rk"])
+    return clear.select("row.*").unionByName(stay.select("row.*"))
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

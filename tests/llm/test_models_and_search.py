@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from aerolith.llm import decontaminate, langid, mtree, quality
+from aerolith.llm import common, decontaminate, langid, mtree, quality
 
 DE, EN = "der die das und nicht ist ein wir haben schön straße", "the and not is one we have road nice with that this"
 
@@ -141,7 +141,7 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     kept = decontaminate.decontaminate(d, b)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {x[0] for x in want}
     monkeypatch.setattr(decontaminate, "STRETCH", 7)
-    monkeypatch.setattr(decontaminate, "MOST_BITS", 6)
+    monkeypatch.setattr(common, "MOST_BITS", 6)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     assert {(r.doc_id, r.item_id, round(r.similarity, 9), r.start_word) for r in decontaminate.contaminated(d, b).collect()} == want
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
