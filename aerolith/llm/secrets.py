@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, sieve
 from .spans import by_start, labelled, masked, row_key, with_spans, written
 
 #: The base patterns.
@@ -100,12 +100,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, with every span of ``scan`` in the text replaced by ``[KIND]``; rows keep their number."""
-    marked = scan(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
-    with_key = docs.withColumn("_key", row_key(id_col, text_col)).join(marked, "_key", "left")
+    """All columns of ``docs``, with every span of ``scan`` in the text replaced by ``[KIND]``; rows keep their number.
+
+    Only rows that may have spans are shuffled to them. Null texts stay null, an empty table gives an empty table.
+    """
+    key = F.xxhash64(row_key(id_col, text_col))
+    marked = materialise(scan(docs, id_col, text_col).where(F.size("spans") > 0).select(F.xxhash64("key").alias("rk"), "spans").dropDuplicates(["rk"]))
+    named = docs.select(F.struct("*").alias("row"), key.alias("rk"))
+    maybe, clear = sieve(named, "rk", marked.select(F.col("rk").alias("h")), marked.count())
+    with_spans_ = maybe.join(marked, "rk", "left").select("row", "spans", F.col("row")[text_col].alias("text"))
     mask = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(masked(text_col, "_spans", mask))
-    return with_key.select(*[text.alias(c) if c == text_col else with_key[c] for c in docs.columns])
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked("text", "spans", mask))
+    return clear.select("row.*").unionByName(with_spans_.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:

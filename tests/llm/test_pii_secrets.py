@@ -150,3 +150,7 @@ def test_links_of_parts(spark):
     red = {r.doc_id: r.text for r in secrets.redacted(df.withColumn("spans", df.doc_id)).collect()}
     assert red[1] == "[IDENTIFIER] key [MIXED]" and red[3] == weak
     assert secrets.scan(df.limit(0)).count() == 0
+    clash = df.withColumns({"_key": df.doc_id, "_spans": df.doc_id, "rk": df.doc_id, "row": df.text})
+    out = secrets.redacted(clash)
+    assert out.columns == clash.columns and {(r.doc_id, r._key, r._spans, r.rk, r.text, r.row) for r in out.collect()} == {(i, i, i, i, red[i], texts[i]) for i in texts}
+    assert secrets.redacted(clash.limit(0)).count() == 0
