@@ -60,32 +60,63 @@ def test_quality_edges(spark):
 
 
 def brute_top(vectors, k, modulus, scale):
-    ok = [(i, np.floor(scale * np.array(v, dtype=float)).astype(int)) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, [int(np.floor(scale * x)) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, v in sorted({(i, tuple(v)) for i, v in ok if i % modulus == 0}):
-        best = sorted((-int(np.dot(v, w)), i) for i, w in ok if i != q)[:k]
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q)[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return out
 
 
-@pytest.mark.parametrize("shape", ["spread", "clustered", "hot"])
-def test_top_k_against_brute_force(spark, monkeypatch, shape):
-    monkeypatch.setattr(mtree, "PAGE", 16)
-    monkeypatch.setattr(mtree, "SHARD", 150)
-    monkeypatch.setattr(mtree, "BLOCK", 20)
+@pytest.mark.parametrize(("shape", "times"), [("spread", 1), ("clustered", 1), ("hot", 1), ("spread", 5e4), ("clustered", 4e5), ("spread", 3e6), ("zero", 1)])
+def test_top_k_against_brute_force(spark, monkeypatch, shape, times):
+    """Several levels of the tree, several blocks, components from small to far beyond 32 bits."""
+    for name, value in (("PAGE", 8), ("SHARD", 25), ("ROUTES", 6), ("BLOCK", 20)):
+        monkeypatch.setattr(mtree, name, value)
     rng = np.random.default_rng(3)
-    n, d = 600, 6
+    n, d = 400, 6
     x = rng.normal(size=(n, d))
     if shape == "clustered":
         x = rng.normal(size=(8, d))[rng.integers(0, 8, n)] * 3 + 0.05 * x
     if shape == "hot":
         x[rng.random(n) < 0.4] = x[0]
         x = np.round(x, 1)
-    vectors = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    if shape == "zero":
+        x[:, 0], x[::7, 1:] = 0, 0
+        x[::7, 0] = 1
+    vectors = [(int(i), (v * times).tolist()) for i, v in enumerate(x)]
     vectors += [(1000, None), (1005, []), (1010, [None] * d), (1015, [float("nan")] + [0.0] * (d - 1)), (1020, [float("inf")] * d), (None, [1.0] * d), (1025, [0.0] * d)]
     df = spark.createDataFrame([(i, v, "e") for i, v in vectors], "vec_id long, embedding array<double>, score string")
-    got = [tuple(r) for r in mtree.top_k(df, 10, 5, 64).orderBy("query_id", "rank").collect()]
-    assert got == brute_top(vectors, 10, 5, 64)
+    got = [(*r[:3], int(r[3])) for r in mtree.top_k(df, 10, 5, 1024).orderBy("query_id", "rank").collect()]
+    assert got == brute_top(vectors, 10, 5, 1024)
+
+
+def test_the_tree_covers_its_entries_and_rules_shards_out(spark, monkeypatch):
+    for name, value in (("SHARD", 60), ("ROUTES", 8)):
+        monkeypatch.setattr(mtree, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12, 6))[rng.integers(0, 12, 1500)] * 20 + rng.normal(size=(1500, 6))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    _, found = mtree.entries(df, 1024.0, 10, "vec_id", "embedding")
+    space, total = mtree.space_of(found)
+    nodes, cells = mtree.load(found, space)
+    tree, entries = {r.node: r for r in nodes.collect()}, cells.collect()
+    assert len(entries) == total == 1500 and max(n.count("/") for n in tree) > 1
+    lifted = lambda v: space.lift(space.matrix([v]))
+    for e in entries:
+        at = e.node
+        while at:
+            assert mtree.distances(lifted(e.v), lifted(tree[at].pivot))[0, 0] <= tree[at].radius + 1e-6
+            at = at.rpartition("/")[0]
+    shards = {e.node for e in entries}
+    start = found.limit(40).selectExpr("v", "cast('inf' as double) bound", "'' node", "cast('nan' as double) d")
+    kth = {bytes(r.v): sorted(((space.matrix([r.v]) @ space.matrix([e.v]).T)[0, 0] for e in entries), reverse=True)[10] for r in start.collect()}
+    start = spark.createDataFrame([(v, float(b), "", float("nan")) for v, b in kth.items()], mtree.FRONTIER)
+    visited = mtree.descend(start, nodes, space, nearest=False).collect()
+    assert len(visited) < 0.5 * len(kth) * len(shards)
+    for v, b in kth.items():
+        own = {r.node for r in visited if bytes(r.v) == v}
+        assert {e.node for e in entries if (space.matrix([v]) @ space.matrix([e.v]).T)[0, 0] >= b} <= own
 
 
 def test_top_k_small_tables(spark):
