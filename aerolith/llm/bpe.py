@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
-from .words import BYTE_LEVEL_PATTERN, WordIds, cut
+from .words import BYTE_LEVEL_PATTERN, Cut, WordIds
 
 #: Bytes of new pieces replayed at once, and distinct words that a task counts before it sends them on: bounds of memory, without effect on results.
 REPLAY_BYTES, WINDOW = 64_000, 200_000
@@ -178,8 +178,9 @@ def vocabulary(docs: DataFrame, rank_file: str, text_col: str = "text") -> dict[
 
         for b in batches:
             for part in small_batches(b, "text"):
-                for t in part["text"]:
-                    seen.update(cut(t)[1])
+                counts = Cut(part["text"].tolist()).words.value_counts()
+                for word, n in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
+                    seen[word] += n
                 if len(seen) > WINDOW:
                     yield from often()
                     seen.clear()
@@ -216,7 +217,7 @@ def encoder(rank_file: str, pattern: str, given: dict[str, bytes]):
     return _WORDS[rank_file].encode
 
 
-def small_batches(b: pd.DataFrame, column: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def small_batches(b: pd.DataFrame, column: str, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """Cuts a batch so that each part has about so many characters at most, one row at least."""
     sizes = b[column].map(lambda x: len(x) if x else 0).to_numpy().cumsum()
     if len(b):

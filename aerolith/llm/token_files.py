@@ -36,7 +36,7 @@ HEAD, ENTRY = "<8sBQ32s", np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "
 #: Documents that the dictionary is trained on, its size, and what a shard holds at most (one document at least) before it is closed.
 SAMPLE_DOCS, DICTIONARY_BYTES, SHARD_BYTES, SHARD_DOCS = 400, 32_768, 4_000_000, 8_192
 #: Documents in one range of ids, ranges that are summed together, and characters that a worker encodes at once.
-BUCKET_DOCS, GROUP, BATCH_CHARS = 20_000, 1_000, 2_000_000
+BUCKET_DOCS, GROUP, BATCH_CHARS = 20_000, 1_000, 4_000_000
 
 
 def _byte_letters() -> dict[int, str]:

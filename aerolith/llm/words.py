@@ -9,12 +9,17 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Fixed value: the pattern of byte-level pre-tokenizers, for which the above holds.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a worker keeps in one generation; it holds two. A memory bound, without effect on results.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
+#: Fixed value: ASCII marks that the pattern takes in one run; the apostrophe may begin a piece of its own.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A place where a text must not be cut: a space beside other white space or at an end.
 UNSAFE = re.compile(r" (?:\s|\Z)|(?:\A|\s) ")
 #: White space but spaces and line feeds: rare, so most texts are cleared by plain searches.
@@ -56,10 +61,32 @@ def cut(text: str | None) -> tuple[str, list[str]]:
     return head, [p[1:] for p in parts]
 
 
+class Cut:
+    """Texts cut into words: ``heads`` are the first ones, ``words`` all others in order (an Arrow array), text i having those from starts[i] to ends[i]."""
+
+    def __init__(self, texts: list[str | None]):
+        plain = [i for i, t in enumerate(texts) if t and safe(t)]
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+        bounds = lists.offsets.to_numpy()
+        self.starts, self.ends = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        self.starts[plain], self.ends[plain] = bounds[:-1] + 1, bounds[1:]
+        self.heads, more, at = [""] * len(texts), [], int(bounds[-1])
+        flat = lists.values
+        for i, head in zip(plain, flat.take(pa.array(bounds[:-1])).to_pylist(), strict=True):
+            self.heads[i] = head
+        special = set(range(len(texts))).difference(plain)
+        for i in sorted(special):
+            self.heads[i], rest = cut(texts[i])
+            self.starts[i], self.ends[i] = at + len(more), at + len(more) + len(rest)
+            more += rest
+        self.words = pa.concat_arrays([flat, pa.array(more, pa.string())]) if more else flat
+
+
 class WordIds:
     """Token ids of texts, as bytes, by word. ``many`` gives the ids of a list of distinct pieces; ``given`` has ids by word (after its space) from elsewhere.
 
-    ``whole`` may name strings that aren't pieces' business: a word that holds one goes to ``alone``.
+    ``whole`` may name strings that aren't pieces' business: a word that holds one goes to ``alone``. Only the distinct words of a batch are
+    looked up; Arrow tells them apart and puts their ids in the texts' order.
     """
 
     def __init__(self, many: Callable[[list[str]], list[bytes]], given: dict[str, bytes] | None = None, whole: tuple[str, ...] = (), alone: Callable[[str], bytes] | None = None):
@@ -68,49 +95,67 @@ class WordIds:
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _pieces(self, word: str) -> list[str]:
-        stem = word[1:]
-        if stem.isalpha() and (word[0] == " " or word[0].isalpha()):
-            return [word]
-        if stem[:-1].isalpha() and stem[-1] in ".,;:!?" and word[0] == " ":
-            return [word[:-1], stem[-1]]
-        return self.find(word)
-
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of words with what stands before them; each distinct piece is encoded once."""
-        special = {w: self.alone(w) for w in words if any(x in w for x in self.whole)} if self.whole else {}
-        split = [() if w in special else self._pieces(w) for w in words]
-        need = list({p for ps in split for p in ps})
+        special = {}
+        if self.whole:
+            every = "\n".join(words)
+            if any(x in every for x in self.whole):
+                special = {w: self.alone(w) for w in words if any(x in w for x in self.whole)}
+        split, need, several, find = [], set(), set(), self.find
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if w in special:
+                split.append(None)
+            elif stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()):
+                if len(stem) == len(w):
+                    split.append(w)
+                    need.add(w)
+                else:
+                    parts = (stem, w[len(stem) :])
+                    split.append(parts)
+                    several.update(parts)
+            else:
+                parts = find(w)
+                split.append(parts)
+                several.update(parts)
         ids = {}
-        for p in need:
-            if p[0] == " " and p[1:].isalpha():
-                had = self.given.get(p[1:]) or self.words.get(p[1:]) or self.old.get(p[1:])
-                if had is not None:
-                    ids[p] = had
-        left = [p for p in need if p not in ids]
+        for p in several:
+            # a piece that is a word with its space may be known already
+            had = None if p[0] != " " or not p[1:].isalpha() else self.words.get(p[1:]) or self.given.get(p[1:]) or self.old.get(p[1:])
+            if had is None:
+                need.add(p)
+            else:
+                ids[p] = had
+        left = list(need)
         ids.update(zip(left, self.many(left), strict=True))
-        return [special[w] if w in special else ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps]) for w, ps in zip(words, split, strict=True)]
+        return [ids[ps] if type(ps) is str else special[w] if ps is None else b"".join([ids[p] for p in ps]) for w, ps in zip(words, split, strict=True)]
 
     def of_words(self, words: list[str]) -> list[bytes]:
         """The ids of words with the space before them."""
-        return self._ids([" " + w for w in words])
+        found = list(map(self.words.get, words))
+        new = [i for i, v in enumerate(found) if v is None]
+        make = []
+        for i in new:
+            v = found[i] = self.old.get(words[i]) or self.given.get(words[i])
+            if v is None:
+                make.append(i)
+        for i, v in zip(make, self._ids([" " + words[i] for i in make]), strict=True):
+            found[i] = v
+        if len(self.words) > KEPT_WORDS:
+            # what no batch of a generation asks for is forgotten
+            self.old, self.words = self.words, {}
+        self.words.update([(words[i], found[i]) for i in new])
+        return found
 
     def encode(self, texts: list[str | None], tail: bytes = b"") -> list[bytes]:
         """The ids of every text, then ``tail``."""
-        parts = [cut(t) for t in texts]
-        new = set().union(*[rest for _, rest in parts])
-        new.difference_update(self.words)
-        if len(self.words) > KEPT_WORDS:
-            # what this batch needs stays at hand; what no batch of a generation asks for is forgotten
-            self.old = self.words
-            self.words = {}
-            new = set().union(*[rest for _, rest in parts])
-        known = {w: v for w in new if (v := self.given.get(w) or self.old.get(w)) is not None}
-        self.words.update(known)
-        make = [w for w in new if w not in known]
-        heads = list({h for h, _ in parts if h})
-        made = self._ids([" " + w for w in make] + heads)
-        self.words.update(zip(make, made, strict=False))
-        first = dict(zip(heads, made[len(make) :], strict=True)) | {"": b""}
-        of = self.words.__getitem__
-        return [b"".join([first[head], *map(of, rest), tail]) for head, rest in parts]
+        parts = Cut(texts)
+        coded = parts.words.dictionary_encode()
+        ids = pa.array(self.of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        _, places, data = ids.buffers()
+        places, data = np.frombuffer(places, dtype=np.int64) if places else np.zeros(1, np.int64), data.to_pybytes() if data else b""
+        heads = list({h for h in parts.heads if h})
+        first = dict(zip(heads, self._ids(heads), strict=True)) | {"": b""}
+        starts, ends = places[parts.starts].tolist(), places[parts.ends].tolist()
+        return [first[h] + data[a:b] + tail for h, a, b in zip(parts.heads, starts, ends, strict=True)]
