@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +53,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bits of a bitmap for each key, and the power of two of its size at most (16 MB): what a sieve broadcasts.
-BITS_EACH, MOST_BITS = 32, 27
+BITS_EACH, MOST_BITS, PROBES = 128, 27, 3
 #: At most so many keys can hold more than one row in so many; they are what ``join_hot`` broadcasts.
 HOT = 1_000
 
@@ -61,13 +63,13 @@ def bitmap_bits(n_keys: int) -> int:
 
 
 def _slot(h: Column, bits: int, k: int) -> Column:
-    """The k-th of two places of a hash in a bitmap."""
-    return F.shiftrightunsigned(h, 31 * k).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+    """The k-th of the places of a hash in a bitmap."""
+    return F.shiftrightunsigned(h, 18 * k).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
 
 
 def bitmap_of(hashes: DataFrame, bits: int) -> DataFrame:
     """One row (bitmap array<bigint>): a Bloom filter of the column ``h`` of 64-bit hashes, of 2 ** bits bits however many these are."""
-    at = hashes.select(F.explode(F.array(_slot(F.col("h"), bits, 0), _slot(F.col("h"), bits, 1))).alias("at"))
+    at = hashes.select(F.explode(F.array(*[_slot(F.col("h"), bits, k) for k in range(PROBES)])).alias("at"))
     is_set = at.select(F.floor(F.col("at") / 64).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
     every = is_set.union(hashes.sparkSession.range(max(1, (1 << bits) // 64)).select("id", F.lit(0).cast("bigint")))
     words = every.groupBy("word").agg(F.bit_or("bit").alias("bit")).agg(F.array_sort(F.collect_list(F.struct("word", "bit"))).alias("w"))
@@ -82,7 +84,7 @@ def in_bitmap(h: Column, bits: int, bitmap: str = "bitmap") -> Column:
         word = F.get(F.col(bitmap), F.shiftright(at, 6).cast("int"))
         return F.call_function("shiftrightunsigned", word, at.bitwiseAND(F.lit(63).cast("bigint")).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
 
-    return one(0) & one(1)
+    return reduce(and_, map(one, range(PROBES)))
 
 
 def sieve(rows: DataFrame, key: str, keys: DataFrame, n_keys: int) -> tuple[DataFrame, DataFrame]:
