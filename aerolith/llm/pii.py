@@ -3,8 +3,8 @@
 A term discloses an entity as far as its pointwise mutual information with it
 comes near the entity's information content: with N documents, PMI(t; e) =
 log2(c(t,e) N / (df(t) n(e))) and IC(e) = log2(N / n(e)); disclosure is PMI / IC. It
-is 1 where the term stands in documents of that entity alone. df(t) counts all documents
-of the corpus, c(t,e) those in which the term stands beside the entity.
+is 1 where the term stands in documents of that entity alone. df(t), n(e) and c(t,e) count the documents
+of the whole corpus that hold the term, the entity, and both, wherever in the text these stand.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone"]
 #: A word of context: letters alone, not part of an address or a number.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![\p{N}@_%+-]|\.\p{L})"
-CONTEXT, WORDS, MIN_DOCS, DISCLOSES, REMOVES = 120, 5, 2, 0.9, 0.97
+MIN_DOCS, DISCLOSES, REMOVES = 2, 0.9, 0.97
 
 
 def _luhn(digits: Column) -> Column:
@@ -37,7 +37,7 @@ def _small(part: Column) -> Column:
 
 
 def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the arrays email, ip, card and phone of (start, end, hit, before, after) that pass their checks."""
+    """Adds the arrays email, ip, card and phone of (start, end, hit) that pass their checks."""
     t = F.col(text_col)
     searches = {
         "email": (EMAIL, t.contains("@")),
@@ -50,59 +50,54 @@ def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "card": lambda s: F.when(F.length(F.regexp_replace(s["hit"], "[^0-9]", "")).between(16, 19), _luhn(F.regexp_replace(s["hit"], "[^0-9]", ""))).otherwise(False),
         "phone": lambda s: F.length(F.regexp_replace(s["hit"], "[^0-9]", "")).between(8, 15),
     }
-    return with_spans(docs, text_col, searches, CONTEXT).withColumns({k: F.filter(k, f) for k, f in checks.items()})
+    return with_spans(docs, text_col, searches).withColumns({k: F.filter(k, f) for k, f in checks.items()})
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df): in how many rows each word of four letters or more stands, lower-cased; over all rows and whole texts."""
-    words = F.array_distinct(F.filter(F.split(F.lower(text_col), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def terms_of(text: Column) -> Column:
+    """The different terms of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _terms_beside(mentions: DataFrame) -> DataFrame:
-    """(key, entity, term, start, end): the ``WORDS`` nearest words on either side of each entity."""
-    both = mentions.withColumn("l", F.col("span.before")).withColumn("r", F.col("span.after"))
-    near = with_spans(with_spans(both, "l", {"lw": (TERM, F.col("l") != "")}), "r", {"rw": (TERM, F.col("r") != "")})
-    whole = F.filter("lw", lambda s: (s["start"] > 0) | (F.length("l") < CONTEXT))
-    whole_r = F.filter("rw", lambda s: (s["end"] < F.length("r")) | (F.length("r") < CONTEXT))
-    left = F.slice(whole, -F.least(F.lit(WORDS), F.size(whole)), F.least(F.lit(WORDS), F.size(whole)))
-    place = lambda base: lambda s: F.struct(F.lower(s["hit"]).alias("term"), (base + s["start"]).alias("start"), (base + s["end"]).alias("end"))
-    words = F.concat(
-        F.when(F.size(whole) > 0, F.transform(left, place(F.col("span.start") - F.length("l")))).otherwise(F.array()),
-        F.transform(F.slice(whole_r, 1, WORDS), place(F.col("span.end"))),
-    )
-    return near.select("key", "entity", F.explode(words).alias("w")).select("key", "entity", "w.*")
+def disclosing(holders: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
+    """(row, term, disclosure): which terms of a row disclose an entity that it holds, at or over ``DISCLOSES``.
 
-
-def _rows_with(found: DataFrame, place: str, *by: str) -> DataFrame:
-    """(by..., rows): in how many input rows each value occurs; repeated rows share a key and count each."""
-    return found.groupBy("key", *by, place).count().groupBy("key", *by).agg(F.max("count").alias("k")).groupBy(*by).agg(F.sum("k").alias("rows"))
-
-
-def disclosing(beside: DataFrame, mentions: DataFrame, frequencies: DataFrame, n_docs: int) -> DataFrame:
-    """(entity, term, disclosure) at or over ``DISCLOSES``, of terms beside an entity in ``MIN_DOCS`` documents or more."""
-    pairs = _rows_with(beside, "start", "entity", "term").withColumnRenamed("rows", "c").where(F.col("c") >= MIN_DOCS)
-    entities = _rows_with(mentions.withColumn("start", F.col("span.start")), "start", "entity").withColumnRenamed("rows", "n")
+    ``holders`` has (row, entities, terms) of the rows that hold some, ``docs`` all texts. Terms and entities have ``MIN_DOCS`` documents or more in
+    common. A term in too many documents for any entity that it could disclose is left out before it is paired: c is at most n, so a
+    disclosure of d needs df <= n (N / n) ** (1 - d).
+    """
     n = F.lit(float(n_docs))
-    pmi = F.log2(F.col("c") * n / (F.col("df") * F.col("n")))
-    share = F.when(F.col("n") < n, pmi / F.log2(n / F.col("n"))).otherwise(0.0)
-    return pairs.join(entities, "entity").join(frequencies, "term").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= DISCLOSES)
+    most = lambda k: k * F.pow(n / k, F.lit(1 - DISCLOSES)) * (1 + 1e-9)
+    named = holders.select("row", F.explode_outer("entities").alias("entity"))
+    entities = materialise(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= MIN_DOCS) & (F.col("n") < n)))
+    largest = entities.agg(F.max(most(F.col("n")))).first()[0] or 0.0
+    own = holders.select("row", F.explode_outer("terms").alias("term")).where("term is not null")
+    df = docs.select(F.explode_outer(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rare = materialise(df.where((F.col("df") >= MIN_DOCS) & (F.col("df") <= largest)).join(own.select("term").distinct(), "term", "left_semi"))
+    pairs = materialise(named.join(entities, "entity").join(own.join(rare, "term"), "row").where(F.col("df") <= most(F.col("n"))))
+    counted = pairs.groupBy("entity", "term", "n", "df").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= MIN_DOCS)
+    share = F.log2(F.col("c") * n / (F.col("df") * F.col("n"))) / F.log2(n / F.col("n"))
+    marks = materialise(counted.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= DISCLOSES))
+    return pairs.select("row", "entity", "term").join(marks, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, base, spans, n_email, n_ip, n_card, n_phone, sanitised), one row per input row.
+    """(doc_id, key, base, spans, terms, n_email, n_ip, n_card, n_phone), one row per input row.
 
-    ``base`` has the pattern matches, ``spans`` also those of disclosing terms (kind ``term``, by kind, then start).
-    A term is only marked beside the entity that it discloses, so texts without
-    personal data stay as they are. In ``sanitised`` entities become ``[KIND]``; terms from
-    ``REMOVES`` on become ``[TERM]``, the others are generalised to their first letter and a star.
+    ``base`` has the pattern matches, ``spans`` also those of disclosing terms (kind ``term``, by kind, then start), ``terms`` (start, end, removed)
+    says which of these are removed and which generalised. A term is marked wherever it stands in a text that holds the entity which it discloses, so texts without
+    personal data stay as they are.
 
-    Null and empty texts have no spans; null ids are kept, repeated rows are each returned; an
+    Null and empty texts have no spans; null ids are kept, repeated rows are each returned and counted; an
     empty table gives an empty table. Columns other than the two named are not read.
     """
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hits = materialise(found(read).select("doc_id", row_key("doc_id", "text").alias("key"), *KINDS))
-    terms = _disclosing_spans(hits, read)
+    named = lambda k: F.transform(F.col(k), lambda s: F.concat(F.lit(f"{k}:"), F.lower(s["hit"])))
+    entities = F.array_distinct(F.concat(*map(named, KINDS)))
+    has = F.size(F.concat(*[F.transform(F.col(k), lambda s: s["start"]) for k in KINDS])) > 0
+    hits = found(read).select("doc_id", row_key("doc_id", "text").alias("key"), "text", *KINDS)
+    # what holds an entity keeps its text: these rows need it again
+    hits = materialise(hits.select("doc_id", "key", *KINDS, F.when(has, F.col("text")).alias("text")))
+    terms = _disclosing_spans(hits.where("text is not null").select("key", "text", entities.alias("entities")), read, max(hits.count(), 1))
     flat = hits.select("doc_id", "key", labelled(KINDS).alias("base"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS])
     joined = flat.join(terms, "key", "left")
     more = F.transform(F.col("terms"), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -110,17 +105,15 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return joined.select("doc_id", "key", "base", spans.alias("spans"), F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")).alias("terms"), *[f"n_{k}" for k in KINDS])
 
 
-def _disclosing_spans(hits: DataFrame, read: DataFrame) -> DataFrame:
-    def named(k: str) -> Column:
-        return F.transform(F.col(k), lambda s: F.struct(F.lit(k).alias("kind"), s.alias("span")))
-
-    each = F.concat(*map(named, KINDS))
-    mentions = hits.select("key", F.explode(each).alias("m")).select("key", F.concat_ws(":", "m.kind", F.lower("m.span.hit")).alias("entity"), "m.span")
-    beside = materialise(_terms_beside(mentions))
-    marks = disclosing(beside, mentions, document_frequencies(read), max(hits.count(), 1))
-    one = F.struct("start", "end", (F.col("disclosure") >= REMOVES).alias("removed"))
-    at = beside.join(marks, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return at.groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("terms"))
+def _disclosing_spans(rows: DataFrame, read: DataFrame, n_docs: int) -> DataFrame:
+    holders = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "key", "text", "entities", terms_of(F.col("text")).alias("terms")))
+    marks = disclosing(holders.select("row", "entities", "terms"), read, n_docs)
+    of_row = marks.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("d"))
+    marked = holders.select("row", "key", "text").join(of_row, "row").dropDuplicates(["key"])
+    at = with_spans(marked, "text", {"w": (TERM, F.lit(True))}).select("key", F.explode_outer("w").alias("w"), "d")
+    spans = at.select("key", "w.start", "w.end", F.col("d")[F.lower("w.hit")].alias("d")).where("d is not null")
+    one = F.struct("start", "end", (F.col("d") >= REMOVES).alias("removed"))
+    return spans.groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("terms"))
 
 
 def sanitised_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,11 +17,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialise, sieve
+from .common import join_hot, materialise, sieve, slices
 from .components import components
 
 SEED = 42
@@ -86,17 +87,18 @@ def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_co
     """
     names = ["node", "f0", "f1", "size"] if sets else ["node", "f0"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            texts = b.column("text").to_pylist()
             if sets:
-                made = [set_prints(x, size) for x in b["text"]]
-                cols = np.array([(th, f0, f1, n) for f0, f1, th, n in made], dtype=np.uint64).reshape(-1, 4)
+                made = [set_prints(x, size) for x in texts]
+                cols = np.array([(th, f0, f1, n) for f0, f1, th, n in made], dtype=np.uint64)
             else:
-                cols = np.repeat(np.array([fingerprint(x, size) for x in b["text"]], dtype=np.uint64)[:, None], 2, axis=1)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "rk": b["rk"]} | {k: cols[:, i].copy().view(np.int64) for i, k in enumerate(names)})
+                cols = np.repeat(np.array([fingerprint(x, size) for x in texts], dtype=np.uint64)[:, None], 2, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), *[pa.array(cols[:, i].copy().view(np.int64)) for i in range(len(names))]], ["doc_id", "rk", *names])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.select("doc_id", row_hash("doc_id", "text").alias("rk"), "text").mapInPandas(run, "doc_id long, rk long, " + ", ".join(f"{k} long" for k in names))
+    return picked.select("doc_id", row_hash("doc_id", "text").alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, " + ", ".join(f"{k} long" for k in names))
 
 
 def row_hash(id_col: str, text_col: str) -> Column:
@@ -283,9 +285,10 @@ def jaccard_links(members: DataFrame, total: int, docs: DataFrame, size: int, at
     shingles is cut by hash into chunks, and every pair of chunks is compared in a task of its own.
     """
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.drop(columns="text").assign(sh=[shingle_set(x, size).tobytes() for x in b["text"]])
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            made = pa.array([shingle_set(x, size).tobytes() for x in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("cls", "node", "chunks")], made], ["cls", "node", "chunks", "sh"])
 
     keys = ["cls", "lo", "hi"]
 
@@ -302,7 +305,7 @@ def jaccard_links(members: DataFrame, total: int, docs: DataFrame, size: int, at
     some = materialise(join_hot(members, materialise(several), "cls", total).select("cls", "node", "rk", "chunks"))
     near, _ = sieve(docs, "rk", some.select(F.col("rk").alias("h")), some.count())
     read = near.join(some, "rk").dropDuplicates(["rk"]).select("cls", "node", "chunks", "text")
-    texts = read.mapInPandas(hashed, "cls long, node long, chunks int, sh binary")
+    texts = read.mapInArrow(hashed, "cls long, node long, chunks int, sh binary")
     own = F.pmod(F.xxhash64("node", "cls"), F.col("chunks")).cast("int")
     spread = texts.select("cls", "node", "sh", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     placed = spread.select("cls", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "sh")

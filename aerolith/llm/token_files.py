@@ -24,19 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, shared_dir
+from .common import discard, materialise, shared_dir, slices
 from .words import WordIds
 
 MAGIC = b"AETOKID1"
 HEAD, ENTRY = "<8sBQ32s", np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "<u8"), ("ids", "<u8")])
 #: Documents that the dictionary is trained on, its size, and what a shard holds at most (one document at least) before it is closed.
 SAMPLE_DOCS, DICTIONARY_BYTES, SHARD_BYTES, SHARD_DOCS = 400, 32_768, 4_000_000, 8_192
-#: Documents in one range of ids, ranges that are summed together, and characters that a worker encodes at once.
-BUCKET_DOCS, GROUP, BATCH_CHARS = 20_000, 1_000, 4_000_000
+#: Documents in one range of ids, ranges that are summed together, and bytes of text that a worker encodes at once.
+BUCKET_DOCS, GROUP, BATCH_BYTES = 20_000, 1_000, 2_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -94,13 +95,6 @@ class Encoder:
         return self.words.encode(texts, tail) if self.by_word else [self._whole(t or "") + tail for t in texts]
 
 
-def _parts(batch: pd.DataFrame, column: str, chars: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:
-    if len(batch):
-        sizes = batch[column].map(lambda x: len(x) if x else 0).to_numpy().cumsum()
-        for _, rows in batch.groupby(sizes // chars, sort=True):
-            yield rows
-
-
 def train_dictionary(docs: DataFrame, tokenizer_file: str, end_id: int | None, n_docs: int) -> bytes:
     """A zstandard dictionary trained on the whole id arrays of at most ``SAMPLE_DOCS`` documents, chosen by hash.
 
@@ -109,11 +103,11 @@ def train_dictionary(docs: DataFrame, tokenizer_file: str, end_id: int | None, n
 
     def run(batches):
         encoder = Encoder.of(tokenizer_file)
-        for b in batches:
-            yield pd.DataFrame({"ids": encoder.encode(b["text"].tolist(), end_id)})
+        for part in slices(batches, "text", BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(encoder.encode(part.column("text").to_pylist(), end_id), pa.binary())], ["ids"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs // SAMPLE_DOCS))) == 0).select("text").limit(SAMPLE_DOCS)
-    samples = [bytes(r.ids) for r in some.mapInPandas(run, "ids binary").collect()]
+    samples = [bytes(r.ids) for r in some.mapInArrow(run, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -137,10 +131,10 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | None =
         encoder = Encoder.of(tokenizer_file)
         zdict = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=1, dict_data=zdict).compress
-        for b in batches:
-            for part in _parts(b, "text"):
-                ids = encoder.encode(part["text"].tolist(), end_id)
-                yield pd.DataFrame({"id": part["id"], "null": part["null"], "th": part["th"], "n": [len(x) // encoder.width for x in ids], "frame": [press(x) for x in ids]})
+        for part in slices(batches, "text", BATCH_BYTES):
+            ids = encoder.encode(part.column("text").to_pylist(), end_id)
+            own = [part.column(c) for c in ("id", "null", "th")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(x) // encoder.width for x in ids], pa.int64()), pa.array([press(x) for x in ids], pa.binary())], ["id", "null", "th", "n", "frame"])
 
     def shards(batches):
         width = Encoder.of(tokenizer_file).width
@@ -166,7 +160,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | None =
             yield close()
 
     rows = read.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().cast("int").alias("null"), F.xxhash64("text").alias("th"), "text")
-    encoded = materialise(rows.mapInPandas(compress, "id long, null int, th long, n long, frame binary"))
+    encoded = materialise(rows.mapInArrow(compress, "id long, null int, th long, n long, frame binary"))
     ranged = encoded.repartitionByRange(max(1, -(-n // BUCKET_DOCS)), F.desc("null"), "id").sortWithinPartitions(F.desc("null"), "id", "th")
     made = ranged.withColumn("bucket", F.spark_partition_id()).mapInPandas(shards, "bucket int, shard int, n_docs long, n_ids long, min_id long, max_id long, blob binary")
     made.write.parquet(f"{path}/shards")
