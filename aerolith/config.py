@@ -23,10 +23,10 @@ class EventConfig:
     bin_seconds: int = 180
     eps_km: float = 0.75
     centroid_km: float = 1.0
+    member_km: float = 0.75
     max_gap_bins: int = 1
     support_score: float = 0.35
     support_excess: float = 3.0
-    strong_seed: float = 8.0
     movement_km: float = 0.1
 
 

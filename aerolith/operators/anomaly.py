@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AnomalyConfig
-from ..functions.geo import clip
+from ..functions.geo import clip, finite
 from ..functions.robust import array_mad, array_median, sigma
 from .spatial import neighbor_pairs
 from .timeseries import bin_last, smooth, temporal_baseline
@@ -50,6 +50,21 @@ def anomaly_rows(obs: DataFrame, stations: DataFrame, cfg: AnomalyConfig) -> Dat
     return flagged(out, cfg).drop("_v", "v1", "v2", "s1", "s2")
 
 
+def with_absent(rows: DataFrame, stations: DataFrame) -> DataFrame:
+    """``rows`` and, for every bin that any station has, a row for each station without a usable value in it.
+
+    ``status`` is usable or missing, ``flags`` names the missing value; its measures are null, its counts zero, and it is no candidate. Bins and
+    stations are dimensions; their product is the size of the result.
+    """
+    zero = {"history_count": 0, "neighbor_count": 0, "support_count": 0}
+    spine = rows.select("bucket").distinct().join(F.broadcast(stations.agg(F.collect_set("station_id").alias("s")))).select("bucket", F.explode("s").alias("station_id"))
+    out = spine.join(rows.withColumn("status", F.lit("usable")), ["bucket", "station_id"], "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+    none = F.col("status") == "missing"
+    fill = {c: F.coalesce(c, F.lit(v).cast("long")) for c, v in zero.items()} | {c: F.coalesce(c, F.lit(False)) for c in ("is_candidate", "is_isolated")}
+    labels = {"temporal_status": F.when(none, "insufficient_history").otherwise(F.col("temporal_status")), "spatial_status": F.when(none, "insufficient_neighbors").otherwise(F.col("spatial_status"))}
+    return out.withColumns(fill | labels | {"flags": F.when(none, "missing_current_value").otherwise("")})
+
+
 def score(z_t="z_t", z_s="z_s", te="temporal_excess", se="spatial_excess", fraction="support_fraction"):
     """0 to 10; null where a part is missing. The excess counts by its size, dips included; no support still leaves a quarter of the spatial part."""
     both = F.greatest(F.abs(F.col(te)), F.abs(F.col(se)))
@@ -60,12 +75,15 @@ def score(z_t="z_t", z_s="z_s", te="temporal_excess", se="spatial_excess", fract
 
 def flagged(rows: DataFrame, cfg: AnomalyConfig) -> DataFrame:
     both = (F.col("temporal_status") == "sufficient") & (F.col("spatial_status") == "sufficient")
+    known = F.lit(True)
+    for c in ("temporal_excess", "spatial_excess", "z_t", "z_s"):
+        known = known & finite(c)
     temporal = (F.col("temporal_excess") >= cfg.min_excess) & (F.col("z_t") >= cfg.min_z)
     spatial = (F.col("spatial_excess") >= cfg.min_excess) & (F.col("z_s") >= cfg.min_z)
     return rows.withColumns(
         {
             "anomaly_score": score(),
-            "is_candidate": F.coalesce(both & temporal & spatial & (F.col("support_count") >= 1), F.lit(False)),
+            "is_candidate": F.coalesce(both & known & temporal & spatial & (F.col("support_count") >= 1), F.lit(False)),
             "is_isolated": F.coalesce((F.col("temporal_status") == "sufficient") & temporal & ~F.coalesce(spatial, F.lit(False)), F.lit(False)),
         }
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import angle_between, bearing_deg, haversine_km
 from ..functions.text import number
 from .graph import components
+from .spatial import distance_join
 
 
 def response(obs: DataFrame, fires: DataFrame, stations: DataFrame, km: float, before: int, during: int, after: int) -> DataFrame:
@@ -16,8 +17,8 @@ def response(obs: DataFrame, fires: DataFrame, stations: DataFrame, km: float, b
     Fires meet stations by distance, and observations of those stations by time slots as wide as the whole window.
     """
     width = before + during + after
-    near = fires.select("fire_id", F.col("t").alias("fire_t"), F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"))
-    pairs = near.join(F.broadcast(stations), haversine_km("f_lat", "f_lon", "lat", "lon") <= km).select("fire_id", "fire_t", "station_id")
+    near = fires.select("fire_id", F.col("t").alias("fire_t"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    pairs = distance_join(near, stations.select("station_id", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), km).select("fire_id", "fire_t", "station_id")
     slots = F.explode(F.sequence(F.floor((F.col("fire_t") - before) / width), F.floor((F.col("fire_t") + during + after) / width)))
     met = pairs.withColumn("slot", slots).join(obs.select("station_id", "t", "value", F.floor(F.col("t") / width).alias("slot")), ["station_id", "slot"])
     d = F.col("t") - F.col("fire_t")
@@ -53,20 +54,32 @@ def lagged_correlation(pairs: DataFrame, values: DataFrame, step: int, lags: lis
     return out.withColumn("r", F.when((F.col("n") >= least) & ~F.isnan("r"), F.col("r")))
 
 
-def morphology(bins: DataFrame, base: str = "base", step: int = 180, rise: float = 3.0) -> DataFrame:
-    """Per station the shape of its elevated bins: none, one, several peaks, a sustained rise or a short pulse.
+def peaks(bins: DataFrame, base: str = "base", rise: float = 3.0, refractory: int = 360) -> DataFrame:
+    """(station_id, bucket) of local maxima over the base by ``rise`` that come ``refractory`` seconds or more after the last accepted one.
 
-    A peak is at least as high as both neighbours and over the base by ``rise``; peaks less than two bins after the last bin that was one count once.
+    Candidates further apart than that don't affect each other, so the accepted ones are chosen within short chains.
     """
     w = Window.partitionBy("station_id").orderBy("bucket")
-    high = F.col("value") > F.col(base) + rise
     prev, nxt = F.lag("value").over(w), F.lead("value").over(w)
-    marked = bins.withColumns({"_high": high, "_peak": high & (F.col("value") >= F.coalesce(prev, F.col("value"))) & (F.col("value") >= F.coalesce(nxt, F.col("value")))})
-    marked = marked.withColumn("_peak", F.col("_peak") & ~F.coalesce(F.lag("_peak").over(w) & (F.col("bucket") - F.lag("bucket").over(w) <= 2 * step), F.lit(False)))
+    top = (F.col("value") > F.col(base) + rise) & (F.col("value") >= F.coalesce(prev, F.col("value"))) & (F.col("value") >= F.coalesce(nxt, F.col("value")))
+    some = bins.withColumn("_top", top).where("_top")
+    far = F.coalesce((F.col("bucket") - F.lag("bucket").over(w) >= refractory).cast("int"), F.lit(1))
+    chains = some.withColumn("_far", far).withColumn("_chain", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    each = chains.groupBy("station_id", "_chain").agg(F.array_sort(F.collect_list("bucket")).alias("b"))
+    take = lambda kept, b: F.when((F.size(kept) == 0) | (b - F.element_at(kept, -1) >= refractory), F.concat(kept, F.array(b))).otherwise(kept)
+    return each.select("station_id", F.explode(F.aggregate("b", F.array().cast("array<bigint>"), take)).alias("bucket"))
+
+
+def morphology(bins: DataFrame, base: str = "base", step: int = 180, rise: float = 3.0) -> DataFrame:
+    """Per station the shape of its elevated bins: none, one, several ``peaks`` (two bins apart at least), a sustained rise or a short pulse."""
+    w = Window.partitionBy("station_id").orderBy("bucket")
+    marked = bins.withColumn("_high", F.col("value") > F.col(base) + rise)
     new = F.when(F.lag("_high").over(w) & (F.col("bucket") - F.lag("bucket").over(w) == step), 0).otherwise(1)
-    runs = marked.withColumn("_run", F.sum(F.coalesce(new, F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.withColumn("_new", F.coalesce(new, F.lit(1))).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     length = F.count_if("_high").over(Window.partitionBy("station_id", "_run"))
-    out = runs.withColumn("_len", length).groupBy("station_id").agg(F.count_if("_high").alias("elevated"), F.count_if("_peak").alias("peaks"), F.max(F.when(F.col("_high"), F.col("_len")).otherwise(0)).alias("longest"))
+    out = runs.withColumn("_len", length).groupBy("station_id").agg(F.count_if("_high").alias("elevated"), F.max(F.when(F.col("_high"), F.col("_len")).otherwise(0)).alias("longest"))
+    tops = peaks(bins, base, rise, 2 * step).groupBy("station_id").agg(F.count(F.lit(1)).alias("peaks"))
+    out = out.join(tops, "station_id", "left").withColumn("peaks", F.coalesce("peaks", F.lit(0)))
     kind = F.when(F.col("elevated") == 0, "NO_CLEAR_SPIKE").when(F.col("peaks") >= 2, "MULTI_PEAK").when(F.col("elevated") == 1, "SINGLE_BIN_SPIKE").when(F.col("longest") >= 3, "SUSTAINED_RISE").otherwise("SHORT_PULSE")
     return out.withColumn("shape", kind)
 

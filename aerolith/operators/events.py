@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from math import asin, cos, radians, sin, sqrt
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EventConfig
-from ..functions.geo import bearing_deg, haversine_km
+from ..functions.geo import EARTH_KM, bearing_deg, finite, haversine_km
 from .graph import components, cut
-from .spatial import neighbor_pairs
+from .spatial import distance_join, neighbor_pairs
 
 
 def roles(rows: DataFrame, cfg: EventConfig) -> DataFrame:
     """Usable rows that are seeds (candidates) or support (score and both excesses high enough)."""
-    usable = (F.col("temporal_status") == "sufficient") & (F.col("spatial_status") == "sufficient") & F.col("anomaly_score").isNotNull()
+    usable = (F.col("temporal_status") == "sufficient") & (F.col("spatial_status") == "sufficient") & finite("anomaly_score")
+    for c in ("lat", "lon"):
+        usable = usable & finite(c) if c in rows.columns else usable
+    if "flags" in rows.columns:
+        usable = usable & ~F.coalesce(F.col("flags").contains("stale_current_observation"), F.lit(False))
     support = (F.col("anomaly_score") >= cfg.support_score) & (F.col("temporal_excess") >= cfg.support_excess) & (F.col("spatial_excess") >= cfg.support_excess)
     return rows.where(usable).withColumn("role", F.when(F.col("is_candidate"), "seed").when(support, "support")).where("role is not null")
 
@@ -54,7 +60,7 @@ def cluster_stats(clustered: DataFrame) -> DataFrame:
         F.max("temporal_excess").alias("max_te"),
         F.max("spatial_excess").alias("max_se"),
         F.max("smoothed").alias("peak_value"),
-        F.array_sort(F.collect_list("station_id")).alias("members"),
+        F.array_sort(F.collect_list(F.struct("station_id", F.col("lat").alias("lat"), F.col("lon").alias("lon")))).alias("points"),
     )
     far = clustered.join(base.select(*key, F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")), key)
     spread = far.groupBy(*key).agg(F.max(haversine_km("c_lat", "c_lon", "lat", "lon")).alias("spread_km"))
@@ -62,27 +68,41 @@ def cluster_stats(clustered: DataFrame) -> DataFrame:
     strength = part(F.col("seed_count").cast("double"), 3, 0.45) + part(F.col("member_count").cast("double"), 5, 0.2) + part(F.col("max_score"), 10, 0.2) + part(F.col("max_te"), 10, 0.075) + part(F.col("max_se"), 10, 0.075)
     alone = (F.col("member_count") == 1) & (F.col("seed_count") == 1)
     out = base.join(spread, key).withColumn("strength", F.when(alone, F.least(strength, F.lit(0.3))).otherwise(strength))
-    return out.withColumn("eligible", F.col("seed_count") > 0)
+    return out.withColumn("eligible", F.col("seed_count") > 0).withColumn("members", F.transform("points", lambda p: p["station_id"]))
 
 
 def _km(a: dict, b: dict) -> float:
-    from math import asin, cos, radians, sin, sqrt
-
     h = sin(radians(b["lat"] - a["lat"]) / 2) ** 2 + cos(radians(a["lat"])) * cos(radians(b["lat"])) * sin(radians(b["lon"] - a["lon"]) / 2) ** 2
-    return 2 * 6371.0088 * asin(min(1.0, sqrt(h)))
+    return 2 * EARTH_KM * asin(min(1.0, sqrt(h)))
+
+
+def linkable(stats: DataFrame, cfg: EventConfig) -> DataFrame:
+    """(u, v) of clusters that may follow each other: up to ``max_gap_bins`` silent bins apart, with a shared member, close centroids or close members.
+
+    All three are equi-joins on the bin: by station, and by cells of the two distances.
+    """
+    here = F.struct("bucket", "cluster_station")
+    later = F.explode(F.array(*[F.col("bucket") + k * cfg.bin_seconds for k in range(1, cfg.max_gap_bins + 2)])).alias("at")
+    points = stats.select(here.alias("v"), F.col("bucket").alias("at"), F.explode("points").alias("p"))
+    before = stats.select(here.alias("u"), later, F.col("points")).select("u", "at", F.explode("points").alias("p"))
+    shared = before.select("u", "at", "p.station_id").join(points.select("v", "at", "p.station_id"), ["at", "station_id"]).select("u", "v")
+    near = distance_join(before.select("u", "at", F.col("p.lat").alias("a_lat"), F.col("p.lon").alias("a_lon")), points.select("v", "at", F.col("p.lat").alias("b_lat"), F.col("p.lon").alias("b_lon")), cfg.member_km, ["at"])
+    first = stats.select(here.alias("u"), later, F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    centres = distance_join(first, stats.select(here.alias("v"), F.col("bucket").alias("at"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), cfg.centroid_km, ["at"])
+    return shared.union(near.select("u", "v")).union(centres.select("u", "v")).distinct()
 
 
 class Linker:
-    """The state of the events of one region: which are active, and where each was last."""
+    """The state of the events of one family of clusters: which are active, and where each was last."""
 
     def __init__(self, cfg: EventConfig):
-        self.cfg, self.events, self.made = cfg, {}, 0
+        self.cfg, self.events = cfg, {}
 
-    def bin(self, index: int, found: list[dict]) -> list[tuple[str, dict]]:
-        """Links the clusters of one bin; returns (event_id, cluster) pairs."""
+    def bin(self, index: int, found: list[dict]) -> list[tuple[tuple[int, int], dict]]:
+        """Links the clusters of one bin; returns (event, cluster) pairs. An event is named by its first cluster, so names sort by start."""
         live = {k: e for k, e in self.events.items() if not e["merged_into"] and index - e["index"] <= self.cfg.max_gap_bins + 1}
         links = {c["cluster_station"]: [k for k, e in live.items() if self._close(e["last"], c)] for c in found}
-        heirs: dict[str, dict] = {}
+        heirs: dict[tuple, dict] = {}
         for k, e in live.items():
             mine = [c for c in found if k in links[c["cluster_station"]]]
             if mine:
@@ -90,71 +110,75 @@ class Linker:
                 heirs[k] = min(mine, key=lambda c: (-len(set(c["members"]) & set(last["members"])), _km(last, c), -c["strength"], c["cluster_station"]))
         out = []
         for c in found:
-            own = sorted((k for k, h in heirs.items() if h is c), key=lambda k: (self.events[k]["start"], k))
+            own = sorted(k for k, h in heirs.items() if h is c)
             lost = [k for k in links[c["cluster_station"]] if k not in own]
-            if own:
-                keep = own[0]
-                for k in own[1:]:
-                    self.events[k]["merged_into"] = keep
-            elif not c["eligible"]:
-                continue
-            else:
-                self.made += 1
-                keep = f"evt-{self.made:04d}"
-                self.events[keep] = {"start": c["bucket"], "merged_into": None, "split_from": min(lost) if lost else None}
+            keep = own[0] if own else (c["bucket"], c["cluster_station"])
+            for k in own[1:]:
+                self.events[k]["merged_into"] = keep
+            if not own:
+                self.events[keep] = {"merged_into": None, "split_from": max(lost) if lost else None}
             self.events[keep] |= {"last": c, "index": index}
             out.append((keep, c))
         return out
 
     def _close(self, a: dict, b: dict) -> bool:
-        return bool(set(a["members"]) & set(b["members"])) or _km(a, b) <= self.cfg.centroid_km
+        return bool(set(a["members"]) & set(b["members"])) or _km(a, b) <= self.cfg.centroid_km or any(_km(p, q) <= self.cfg.member_km for p in a["points"] for q in b["points"])
 
 
-def link_events(stats: DataFrame, cfg: EventConfig, region: str | None = None) -> DataFrame:
-    """(region, event_id, bucket, cluster_station, merged_into, split_from) for every cluster that belongs to an event.
+def link_events(stats: DataFrame, cfg: EventConfig) -> DataFrame:
+    """(event_id, bucket, cluster_station, merged_into, split_from) for every eligible cluster.
 
     Linking is a state machine over bins in order: an event takes the cluster that shares most members with its last
     one; the others it touches start events that split from it; events that take the same cluster merge into the
-    earliest. It runs for each region by itself (all are one where no column is named), over clusters, of which a region has a few a bin.
+    earliest. Clusters that can't follow each other don't affect each other: the state machine runs for each connected family of
+    ``linkable`` clusters by itself, however many bins the table has. An event is named by the bin and station of its first cluster.
     """
-    keyed = stats.withColumn("region", F.col(region).cast("string") if region else F.lit("all"))
-    step = cfg.bin_seconds
+    eligible = cut(stats.where("eligible").select("bucket", "cluster_station", "members", "points", "lat", "lon", "strength"))
+    here = F.struct("bucket", "cluster_station")
+    families = components(eligible.select(here.alias("id")), linkable(eligible, cfg)).select("id.bucket", "id.cluster_station", F.col("root").alias("family"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         linker, rows = Linker(cfg), []
+        name = lambda k: None if k is None else f"evt-{k[0]:012d}-{k[1]:06d}"
         for bucket, group in pdf.sort_values(["bucket", "cluster_station"]).groupby("bucket", sort=True):
-            for k, c in linker.bin(int(bucket) // step, group.to_dict("records")):
-                rows.append((pdf["region"].iloc[0], k, int(bucket), int(c["cluster_station"])))
-        out = pd.DataFrame(rows, columns=["region", "event_id", "bucket", "cluster_station"])
-        out["merged_into"] = out["event_id"].map(lambda k: linker.events[k]["merged_into"])
-        out["split_from"] = out["event_id"].map(lambda k: linker.events[k]["split_from"])
-        return out
+            rows += [(k, int(bucket), int(c["cluster_station"])) for k, c in linker.bin(int(bucket) // cfg.bin_seconds, group.to_dict("records"))]
+        made = [(name(k), b, c, name(linker.events[k]["merged_into"]), name(linker.events[k]["split_from"])) for k, b, c in rows]
+        return pd.DataFrame(made, columns=["event_id", "bucket", "cluster_station", "merged_into", "split_from"])
 
-    small = keyed.select("region", "bucket", "cluster_station", "members", "lat", "lon", "strength", "eligible")
-    return small.groupBy("region").applyInPandas(run, "region string, event_id string, bucket long, cluster_station long, merged_into string, split_from string")
+    joined = eligible.join(families, ["bucket", "cluster_station"])
+    return joined.groupBy("family").applyInPandas(run, "event_id string, bucket long, cluster_station long, merged_into string, split_from string")
 
 
-def event_summary(linked: DataFrame, stats: DataFrame, cfg: EventConfig) -> DataFrame:
-    """One row per event: span, bins, gaps, distinct sensors, peaks and status."""
+def event_summary(linked: DataFrame, stats: DataFrame, cfg: EventConfig, final: DataFrame) -> DataFrame:
+    """One row per event: span, bins, gaps, distinct sensors, peaks and status. ``final`` has one row, the last bin of the table (final_bucket)."""
     both = linked.join(stats, ["bucket", "cluster_station"])
-    w = Window.partitionBy("region", "event_id").orderBy("bucket")
+    w = Window.partitionBy("event_id").orderBy("bucket")
     gaps = F.greatest(F.round((F.col("bucket") - F.lag("bucket").over(w)) / cfg.bin_seconds) - 1, F.lit(0))
-    out = both.withColumn("gap", F.coalesce(gaps, F.lit(0))).groupBy("region", "event_id", "merged_into", "split_from").agg(
+    out = both.withColumn("gap", F.coalesce(gaps, F.lit(0))).groupBy("event_id", "merged_into", "split_from").agg(
         F.min("bucket").alias("start"),
         F.max("bucket").alias("last_seen"),
         F.count(F.lit(1)).alias("bins_seen"),
         F.sum("gap").cast("long").alias("gap_bins"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("members")))).alias("sensors"),
         F.max("member_count").alias("peak_members"),
         F.max("strength").alias("strength"),
         F.max("max_score").alias("max_score"),
         F.max("peak_value").alias("peak_value"),
         F.max("mean_te").alias("max_te"),
+        F.every((F.col("member_count") == 1) & (F.col("seed_count") == 1)).alias("isolated"),
     )
+    sensors = both.select("event_id", F.explode("members").alias("s")).groupBy("event_id").agg(F.countDistinct("s").alias("sensors"))
+    out = out.join(sensors, "event_id").join(F.broadcast(final))
+    last = F.col("last_seen") == F.col("final_bucket")
     status = (
-        F.when(F.col("merged_into").isNotNull(), "ended").when((F.col("peak_members") == 1) & (F.col("bins_seen") == 1), "isolated").when(F.col("strength") < 0.35, "weak").when(F.col("bins_seen") == 1, "emerging").otherwise("active")
+        F.when(F.col("merged_into").isNotNull(), "ended")
+        .when(F.col("isolated"), "isolated")
+        .when(F.col("strength") < 0.35, "weak")
+        .when((F.col("bins_seen") == 1) & last, "emerging")
+        .when(F.col("bins_seen") == 1, "transient")
+        .when(last, "active")
+        .otherwise("ended")
     )
-    return out.withColumn("status", status).withColumn("duration_minutes", (F.col("last_seen") - F.col("start") + cfg.bin_seconds) / 60)
+    return out.withColumn("status", status).withColumn("duration_minutes", (F.col("last_seen") - F.col("start") + cfg.bin_seconds) / 60).drop("final_bucket")
 
 
 def path(points: DataFrame, keys: list[str], cfg: EventConfig) -> DataFrame:

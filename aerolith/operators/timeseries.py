@@ -11,13 +11,24 @@ from pyspark.sql import functions as F
 
 from ..config import AnomalyConfig
 from ..functions.robust import array_mad, array_median, sigma
+from ..functions.text import has_bad_time, tokens, valid_pm25
+
+
+def usable(obs: DataFrame) -> DataFrame:
+    """Observations with a finite value of zero or more whose flags (``quality_flags``, where there is such a column) name neither an invalid value nor a bad time."""
+    tok = tokens(F.col("quality_flags")) if "quality_flags" in obs.columns else F.array().cast("array<string>")
+    return obs.where(valid_pm25(F.col("value"), tok) & ~has_bad_time(tok))
 
 
 def bin_last(obs: DataFrame, seconds: int) -> DataFrame:
-    """(station_id, t, value, ...) -> one row per station and bin, the latest observation; ties go to the smallest obs_id."""
-    w = Window.partitionBy("station_id", "bucket").orderBy(F.desc("t"), "obs_id")
-    binned = obs.withColumn("bucket", F.col("t") - F.pmod(F.col("t"), F.lit(seconds)))
-    return binned.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """(station_id, t, value, ...) -> one row per station and bin, the latest usable observation; ties go to the smallest obs_id.
+
+    An aggregate with partial results, not a sort. Rows without station or time make no bin; an empty table gives an empty table.
+    """
+    binned = usable(obs).where("station_id is not null and t is not null").withColumn("bucket", F.col("t") - F.pmod(F.col("t"), F.lit(seconds)))
+    rest = [c for c in binned.columns if c not in ("station_id", "bucket")]
+    last = F.max_by(F.struct(*rest), F.struct("t", (-F.col("obs_id")).alias("first")))
+    return binned.groupBy("station_id", "bucket").agg(last.alias("last")).select("station_id", "bucket", "last.*")
 
 
 def smooth(bins: DataFrame, seconds: int) -> DataFrame:

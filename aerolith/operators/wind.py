@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import WindConfig
-from ..functions.geo import angle_between, clip, haversine_km, toward_deg
+from ..functions.geo import angle_between, clip, toward_deg
+from .spatial import distance_join
 
 
 def temporal_select(obs: DataFrame, times: DataFrame, cfg: WindConfig) -> DataFrame:
@@ -43,17 +44,18 @@ def idw(points: DataFrame, selected: DataFrame, stations: DataFrame, keys: list[
     """Wind at every (lat, lon, at) of ``points`` from the nearest stations that have a value then.
 
     The preferred circle counts if it holds enough stations, else the wide one; ``exclude`` names a column of ``points`` with a station to leave
-    out. The stations are a dimension of a few hundred rows: pairs of points and stations are limited by distance before any list is made.
+    out. Points may have a ``preferred_km`` and a ``power`` of their own. Points and stations meet on equal times and cells of the wide circle.
     """
-    have = selected.join(stations.select("station_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")), "station_id")
-    met = points.join(have, "at").withColumn("distance_km", haversine_km("lat", "lon", "s_lat", "s_lon")).where(F.col("distance_km") <= cfg.max_km)
+    have = selected.join(stations.select("station_id", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), "station_id")
+    met = distance_join(points.withColumns({"a_lat": F.col("lat"), "a_lon": F.col("lon")}), have, cfg.max_km, ["at"])
     if exclude:
         met = met.where(F.col("station_id") != F.col(exclude))
-    near = F.count_if(F.col("distance_km") <= cfg.preferred_km).over(Window.partitionBy(*keys))
-    met = met.withColumn("_p", near).where((F.col("_p") < cfg.min_stations) | (F.col("distance_km") <= cfg.preferred_km))
+    preferred, power = (F.col(c) if c in points.columns else F.lit(v) for c, v in (("preferred_km", cfg.preferred_km), ("power", cfg.power)))
+    near = F.count_if(F.col("distance_km") <= preferred).over(Window.partitionBy(*keys))
+    met = met.withColumn("_p", near).where((F.col("_p") < cfg.min_stations) | (F.col("distance_km") <= preferred))
     order = Window.partitionBy(*keys).orderBy("distance_km", "station_id")
     used = met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cfg.max_stations)
-    w = 1 / F.pow(F.greatest("distance_km", F.lit(cfg.epsilon_km)), F.lit(cfg.power))
+    w = 1 / F.pow(F.greatest("distance_km", F.lit(cfg.epsilon_km)), power)
     used = used.withColumn("_w", w)
     sums = used.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_stations"),
@@ -83,7 +85,7 @@ def idw(points: DataFrame, selected: DataFrame, stations: DataFrame, keys: list[
         .otherwise("GOOD")
     )
     ladder = lambda c, m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col(c)]
-    confidence = F.least(F.lit(1.0), n / 8) * F.greatest(F.lit(0.0), 1 - F.col("farthest_km") / 30) / (1 + d / 2)
+    confidence = F.least(F.lit(1.0), n / cfg.max_stations) * F.greatest(F.lit(0.0), 1 - F.col("farthest_km") / 30) / (1 + d / 2)
     confidence = confidence * ladder("spatial_uncertainty", {"low": 1.0, "medium": 0.7, "high": 0.4}) * ladder("temporal_uncertainty", {"EXACT_OR_BRACKETED": 1.0, "NEAREST_ONLY": 0.75, "STALE": 0.45})
     return out.withColumns(
         {
@@ -106,11 +108,15 @@ def grid_points(spark, south: float, west: float, north: float, east: float, km:
     return out.where((F.col("lat") <= north + 1e-10) & (F.col("lon") <= east + 1e-10))
 
 
-def leave_one_out(obs: DataFrame, stations: DataFrame, cfg: WindConfig) -> DataFrame:
-    """Each observation predicted from the other stations: actual, predicted and errors."""
+def leave_one_out(obs: DataFrame, stations: DataFrame, cfg: WindConfig, settings: list[tuple[float, float]] | None = None) -> DataFrame:
+    """Each observation predicted from the other stations: actual, predicted and errors. ``settings`` are pairs (preferred_km, power), each tried on every observation."""
     target = obs.join(stations, "station_id").select(F.col("station_id").alias("target"), F.col("t").alias("at"), "lat", "lon", F.col("u").alias("actual_u"), F.col("v").alias("actual_v"))
     keys = ["target", "at", "lat", "lon", "actual_u", "actual_v"]
-    out = idw(target, temporal_select(obs, target, cfg), stations, keys, cfg, exclude="target")
+    selected = temporal_select(obs, target, cfg)
+    if settings:
+        each = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("preferred_km"), F.lit(float(p)).alias("power")) for r, p in settings]))
+        target, keys = target.withColumn("s", each).select(*keys, "s.*"), [*keys, "preferred_km", "power"]
+    out = idw(target, selected, stations, keys, cfg, exclude="target")
     actual, predicted = F.hypot("actual_u", "actual_v"), F.hypot("u", "v")
     turn = angle_between(toward_deg("u", "v"), toward_deg("actual_u", "actual_v"))
     return out.withColumns({"vector_error": F.hypot(F.col("u") - F.col("actual_u"), F.col("v") - F.col("actual_v")), "speed_error": F.abs(predicted - actual), "direction_error": F.when(actual >= 0.5, turn)})

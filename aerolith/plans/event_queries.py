@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..config import AnomalyConfig, EventConfig, WindConfig
 from ..operators import anomaly, events, wind
-from ..functions.geo import angle_between, bearing_deg, toward_deg
+from ..functions.geo import toward_deg
 from . import views
 from .views import ANOMALY, BINNED, hav, with_
 
 LOOSE = AnomalyConfig(bin_seconds=21_600, baseline_seconds=432_000, radius_km=3.0, wide_radius_km=4.5, min_z=1.5)
-EVENTS = EventConfig(bin_seconds=21_600, eps_km=2.0, centroid_km=2.5)
+EVENTS = EventConfig(bin_seconds=21_600, eps_km=2.0, centroid_km=2.5, member_km=2.0)
 WIND = WindConfig(max_offset_seconds=10_800)
 SIX_HOURS = 21_600
+RADII, POWERS = (3.0, 5.0, 8.0), (1.0, 2.0, 3.0)
+#: South, west, north, east of the core box.
+CORE = (25.051429, 121.427692, 25.085714, 121.473846)
 
 
 def _r(*names):
@@ -51,7 +53,8 @@ def _linked(spark, d):
 
 def event_lifecycle(spark, d):
     linked, stats = _linked(spark, d)
-    return events.event_summary(linked, stats, EVENTS)
+    final = views.obs(spark, d).agg((F.max("t") - F.max("t") % SIX_HOURS).alias("final_bucket"))
+    return events.event_summary(linked, stats, EVENTS, final)
 
 
 def event_membership(spark, d):
@@ -117,20 +120,15 @@ def wind_idw(spark, d):
 
 
 def wind_grid(spark, d):
-    return wind.grid_points(spark, 25.051429, 121.427692, 25.085714, 121.473846, 1.0).select("i", "j", *_r("lat", "lon"))
+    """The wind at every point of a 1 km grid over the core box, at the last time of the spine."""
+    spots = wind.grid_points(spark, *CORE, 1.0)
+    points = spots.join(F.broadcast(_times(spark, d).agg(F.max("at").alias("at"))))
+    out = wind.idw(points, wind.temporal_select(views.weather(spark, d), points, WIND), _wstations(spark), ["i", "j", "lat", "lon", "at"], WIND)
+    return out.select("i", "j", "at", *_r("lat", "lon"), *OUT, *_r(*ROUND))
 
 
-def _loso(spark, d, cfg=WIND):
-    w = views.weather(spark, d)
-    targets = w.withColumn("b", F.floor(F.col("t") / SIX_HOURS)).groupBy("station_id", "b").agg(F.max("t").alias("t"))
-    st = _wstations(spark)
-    target = w.join(targets.select("station_id", "t"), ["station_id", "t"]).join(st, "station_id")
-    target = target.select(F.col("station_id").alias("target"), F.col("t").alias("at"), "lat", "lon", F.col("u").alias("actual_u"), F.col("v").alias("actual_v"))
-    keys = ["target", "at", "lat", "lon", "actual_u", "actual_v"]
-    out = wind.idw(target, wind.temporal_select(w, target, cfg), st, keys, cfg, exclude="target")
-    actual, predicted = F.hypot("actual_u", "actual_v"), F.hypot("u", "v")
-    turn = angle_between(toward_deg("u", "v"), toward_deg("actual_u", "actual_v"))
-    return out.withColumns({"vector_error": F.hypot(F.col("u") - F.col("actual_u"), F.col("v") - F.col("actual_v")), "speed_error": F.abs(predicted - actual), "direction_error": F.when(actual >= 0.5, turn)})
+def _loso(spark, d):
+    return wind.leave_one_out(views.weather(spark, d), _wstations(spark), WIND)
 
 
 def wind_loso(spark, d):
@@ -142,9 +140,9 @@ def wind_loso_strata(spark, d):
 
 
 def wind_param_sweep(spark, d):
-    runs = [(r, p) for r in (4.0, 8.0) for p in (1.0, 2.0)]
-    one = lambda r, p: wind.error_metrics(_loso(spark, d, WindConfig(max_offset_seconds=10_800, preferred_km=r, power=p)).withColumns({"radius_km": F.lit(r), "power": F.lit(p)}), ["radius_km", "power"])
-    return reduce(lambda a, b: a.union(b), [one(r, p) for r, p in runs])
+    """Every observation predicted with nine settings, three radii by three powers, in one pass over the met pairs."""
+    out = wind.leave_one_out(views.weather(spark, d), _wstations(spark), WIND, [(r, p) for r in RADII for p in POWERS])
+    return wind.error_metrics(out, ["preferred_km", "power"]).withColumnsRenamed({"preferred_km": "radius_km"})
 
 
 TIMES = "times AS (SELECT unnest(range(a - a % 21600 + 21600, b + 1, 21600)) AS at FROM (SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS a, CAST(floor(epoch(max(ts))) AS BIGINT) AS b FROM events))"
@@ -177,7 +175,10 @@ idw{tag} AS (SELECT * REPLACE (CASE WHEN enough THEN u END AS u, CASE WHEN enoug
 
 GRID = """point AS (SELECT i, j, 25.0::DOUBLE + i * (6.0::DOUBLE / 110.54::DOUBLE) AS lat, 121.4::DOUBLE + j * (6.0::DOUBLE / (111.32::DOUBLE * cos(radians((25.0::DOUBLE + 25.12::DOUBLE) / 2)))) AS lon, at
           FROM range(4) a(i), range(4) b(j), times WHERE 25.0::DOUBLE + i * (6.0::DOUBLE / 110.54::DOUBLE) <= 25.12 + 1e-10 AND 121.4::DOUBLE + j * (6.0::DOUBLE / (111.32::DOUBLE * cos(radians((25.0::DOUBLE + 25.12::DOUBLE) / 2)))) <= 121.52 + 1e-10)"""
-TARGET = "point AS (SELECT w.station_id AS target, w.t AS at, lat, lon, w.u AS actual_u, w.v AS actual_v FROM weather w JOIN (SELECT station_id, max(t) AS t FROM weather GROUP BY station_id, t // 21600) USING (station_id, t) JOIN wstation USING (station_id)), times AS (SELECT at FROM point)"
+_DLAT, _DLON = "(1.0::DOUBLE / 110.54::DOUBLE)", f"(1.0::DOUBLE / (111.32::DOUBLE * cos(radians(({CORE[0]}::DOUBLE + {CORE[2]}::DOUBLE) / 2))))"
+CORE_GRID = f"""point AS (SELECT i, j, {CORE[0]}::DOUBLE + i * {_DLAT} AS lat, {CORE[1]}::DOUBLE + j * {_DLON} AS lon, at FROM range(9) a(i), range(9) b(j), (SELECT max(at) AS at FROM times)
+          WHERE {CORE[0]}::DOUBLE + i * {_DLAT} <= {CORE[2]} + 1e-10 AND {CORE[1]}::DOUBLE + j * {_DLON} <= {CORE[3]} + 1e-10)"""
+TARGET = "point AS (SELECT w.station_id AS target, w.t AS at, lat, lon, w.u AS actual_u, w.v AS actual_v FROM weather w JOIN wstation USING (station_id)), times AS (SELECT at FROM point)"
 _TO = "CASE WHEN sqrt({u} * {u} + {v} * {v}) > 1e-12 THEN ((degrees(atan2({u}, {v})) % 360) + 360) % 360 END"
 
 
@@ -191,7 +192,7 @@ METRICS = """count(*) AS n, count(vector_error) AS predicted, round(avg(vector_e
     round(quantile_cont(vector_error, 0.9), 6) AS vector_p90, round(avg(speed_error), 6) AS speed_mae, round(quantile_cont(direction_error, 0.5), 6) AS direction_median, round(avg(u - actual_u), 6) AS bias_u, round(avg(v - actual_v), 6) AS bias_v"""
 LOSO = with_("weather", "wstation", TARGET, SELECT) + ",\n"
 _NOT_OWN = "s.station_id <> p.target"
-_SWEEP = [(r, p, f"_{int(r)}_{int(p)}") for r in (4.0, 8.0) for p in (1.0, 2.0)]
+_SWEEP = [(r, p, f"_{int(r)}_{int(p)}") for r in RADII for p in POWERS]
 
 _PLAIN = {
     "dbscan_clusters": (dbscan_clusters, _cluster_sql(" SELECT bucket, station_id, role, cluster_station FROM cl")),
@@ -206,7 +207,7 @@ _PLAIN = {
     "wind_vectors": (wind_vectors, with_("weather") + f" SELECT station_id, t, calm, round(u, 6) + 0.0 AS u, round(v, 6) + 0.0 AS v, round(sqrt(u * u + v * v), 6) AS speed, round({_TO.format(u='u', v='v')}, 6) AS toward FROM weather"),
     "wind_temporal_select": (wind_temporal_select, with_("weather", TIMES, SELECT) + " SELECT station_id, at, calm, CAST(offset_s AS BIGINT) AS offset_s, kind, round(u, 6) + 0.0 AS u, round(v, 6) + 0.0 AS v FROM sel"),
     "wind_idw": (wind_idw, with_("weather", "wstation", TIMES, SELECT, GRID, _idw_sql("i, j, at")) + f" SELECT i, j, at, {', '.join(OUT)}, {_sr(*ROUND)} FROM idw"),
-    "wind_grid": (wind_grid, None),
+    "wind_grid": (wind_grid, with_("weather", "wstation", TIMES, SELECT, CORE_GRID, _idw_sql("i, j, at")) + f" SELECT i, j, at, round(lat, 6) AS lat, round(lon, 6) AS lon, {', '.join(OUT)}, {_sr(*ROUND)} FROM idw"),
     "wind_loso": (wind_loso, LOSO + _idw_sql("target, at", _NOT_OWN) + ",\n" + _errors_sql() + f" SELECT target, at, n_stations, {_sr('vector_error', 'speed_error', 'direction_error')} FROM e"),
     "wind_loso_strata": (wind_loso_strata, LOSO + _idw_sql("target, at", _NOT_OWN) + ",\n" + _errors_sql() + f" SELECT CASE WHEN nearest_km IS NULL THEN 'unavailable' WHEN nearest_km <= 3 THEN '≤3 km' WHEN nearest_km <= 5 THEN '3–5 km' WHEN nearest_km <= 10 THEN '5–10 km' ELSE '>10 km' END AS bucket, {METRICS} FROM e GROUP BY 1"),
     "wind_param_sweep": (wind_param_sweep, LOSO + ",\n".join(f"{_idw_sql('target, at', _NOT_OWN, r, p, t)},\n{_errors_sql(t)}" for r, p, t in _SWEEP) + " UNION ALL ".join(f" SELECT {r}::DOUBLE AS radius_km, {p}::DOUBLE AS power, {METRICS} FROM e{t}" for r, p, t in _SWEEP)),

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_bbox
 from ..functions.text import has_bad_time, tokens, valid_pm25
 from ..operators import diagnostics, spatial, state
+from ..operators.graph import shared_dir
 from ..sources.readers import time_range
 from . import views
 from .anomaly_queries import _bins
@@ -24,14 +22,14 @@ def _r(*names):
 
 
 def fire_response(spark, d):
-    fires = views.fires(spark, d).where("frp > 120")
+    fires = views.fires(spark, d)
     out = diagnostics.response(views.obs(spark, d), fires, views.stations(spark), 3.0, 24 * HOUR, 12 * HOUR, 12 * HOUR)
     return out.select("fire_id", "station_id", "n", "response", *_r("baseline", "during", "post", "peak", "delta"))
 
 
 def fire_wind_relation(spark, d):
     """A wind of its own for each fire, from its key; every tenth is still."""
-    f = views.fires(spark, d).where("frp > 120").select("fire_id", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), F.col("frp"))
+    f = views.fires(spark, d).select("fire_id", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), F.col("frp"))
     still = F.col("fire_id") % 10 == 0
     f = f.withColumns({"toward_deg": F.when(~still, ((F.col("fire_id") * 47) % 360).cast("double")), "speed_mps": F.when(still, 0.0).otherwise(F.col("frp") / 20)})
     a = f.withColumns({"a_lat": F.col("f_lat"), "a_lon": F.col("f_lon")})
@@ -86,8 +84,7 @@ def latest_per_key(spark, d):
 
 def recorder_status(spark, d):
     o = views.obs(spark, d)
-    last = F.max("t").over(Window.partitionBy("event_type"))
-    o = o.withColumn("recent", F.col("t") >= last - 86_400)
+    o = o.join(o.groupBy("event_type").agg(F.max("t").alias("last")), "event_type").withColumn("recent", F.col("t") >= F.col("last") - 86_400)
     return o.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.count_if("recent").alias("rows_24h"), F.countDistinct(F.when(F.col("recent"), F.col("station_id"))).alias("stations_24h"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
@@ -143,15 +140,14 @@ def hourly_reference(spark, d):
 
 def stream_bin_dedupe(spark, d):
     """The stream of events, read as one, through tumbling six-hour bins; the final table after all that is there has been read."""
-    from ..streaming.ingest import running_bins
+    from ..streaming.ingest import current, running_bins, write_changes
 
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     stream = stream.withColumns({"ts": F.col("ts").cast("timestamp"), "station_id": F.pmod("user_id", F.lit(48))})
-    name = f"bins_{uuid.uuid4().hex}"
-    query = running_bins(stream, 360).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select("station_id", F.unix_seconds("w.start").alias("bucket"), "last_value", "n")
+    path = shared_dir(spark)
+    write_changes(running_bins(stream, 360), f"{path}/bins", f"{path}/checkpoint").awaitTermination()
+    return current(spark.read.parquet(f"{path}/bins"), ["w", "station_id"]).select("station_id", F.unix_seconds("w.start").alias("bucket"), "last_value", "n")
 
 
 def rel_semi_anti(spark, d):
@@ -181,14 +177,14 @@ _PAIR = f"pr AS (SELECT a.station_id AS a, b.station_id AS b, {hav('a', 'b')} AS
 _LATEST = "la AS (SELECT * FROM obs {where} QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY t DESC, obs_id) = 1)"
 
 QUERIES = {
-    "fire_response": (fire_response, with_("obs", "station", "fire") + f""", p AS (SELECT f.fire_id, f.t AS ft, s.station_id FROM fire f, station s WHERE f.frp > 120 AND {hav('f', 's')} <= 3.0),
+    "fire_response": (fire_response, with_("obs", "station", "fire") + f""", p AS (SELECT f.fire_id, f.t AS ft, s.station_id FROM fire f, station s WHERE {hav('f', 's')} <= 3.0),
         m AS (SELECT p.fire_id, p.station_id, o.value, o.t - p.ft AS d FROM p JOIN obs o ON o.station_id = p.station_id AND o.t - p.ft >= -86400 AND o.t - p.ft < 86400),
         g AS (SELECT fire_id, station_id, quantile_cont(value, 0.5) FILTER (WHERE d < 0) AS baseline, quantile_cont(value, 0.5) FILTER (WHERE d >= 0 AND d < 43200) AS during, quantile_cont(value, 0.5) FILTER (WHERE d >= 43200) AS post,
               max(value) FILTER (WHERE d >= 0) AS peak, count(value) FILTER (WHERE d >= 0) AS n FROM m GROUP BY 1, 2)
         SELECT fire_id, station_id, n, CASE WHEN peak - baseline IS NULL THEN 'no_data' WHEN peak - baseline >= 5 THEN 'clear' WHEN peak - baseline >= 2 THEN 'weak' ELSE 'none' END AS response,
                round(baseline, 6) AS baseline, round(during, 6) AS during, round(post, 6) AS post, round(peak, 6) AS peak, round(peak - baseline, 6) AS delta FROM g"""),
     "fire_wind_relation": (fire_wind_relation, with_("station", "fire") + f""", p AS (SELECT f.fire_id, s.station_id, {hav('f', 's')} AS d, CASE WHEN f.fire_id % 10 <> 0 THEN ((f.fire_id * 47) % 360)::DOUBLE END AS toward, CASE WHEN f.fire_id % 10 = 0 THEN 0.0 ELSE f.frp / 20 END AS speed,
-        ((degrees(atan2(sin(radians(s.lon - f.lon)) * cos(radians(s.lat)), cos(radians(f.lat)) * sin(radians(s.lat)) - sin(radians(f.lat)) * cos(radians(s.lat)) * cos(radians(s.lon - f.lon)))) % 360) + 360) % 360 AS brg FROM fire f, station s WHERE f.frp > 120),
+        ((degrees(atan2(sin(radians(s.lon - f.lon)) * cos(radians(s.lat)), cos(radians(f.lat)) * sin(radians(s.lat)) - sin(radians(f.lat)) * cos(radians(s.lat)) * cos(radians(s.lon - f.lon)))) % 360) + 360) % 360 AS brg FROM fire f, station s),
         q AS (SELECT *, least((brg - toward + 720) % 360, 360 - (brg - toward + 720) % 360) AS off_deg FROM p WHERE d <= 3.0 AND d > 0.01)
         SELECT fire_id, station_id, CASE WHEN toward IS NULL THEN 'unknown' WHEN off_deg <= 45 THEN 'downwind' WHEN off_deg < 135 THEN 'crosswind' ELSE 'upwind' END AS relation, round(d, 6) AS distance_km,
                round(CASE WHEN toward IS NOT NULL THEN off_deg END, 6) AS off_deg, round(CASE WHEN speed > 0 THEN d * 1000 / speed / 60 END, 6) AS travel_minutes FROM q"""),

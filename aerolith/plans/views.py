@@ -15,9 +15,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("t", F.unix_seconds(F.col("ts").cast("timestamp")))
 
 
+def _flags(k):
+    return F.concat_ws(";", F.when(k % 29 == 0, "invalid_pm25"), F.when(k % 31 == 0, "future_timestamp_ahead_seconds=12.000"), F.when(k % 3 == 0, "clock_ahead"))
+
+
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    return e.select(F.pmod("user_id", F.lit(48)).alias("station_id"), F.col("event_id").alias("obs_id"), "t", "value", "event_type")
+    return e.select(F.pmod("user_id", F.lit(48)).alias("station_id"), F.col("event_id").alias("obs_id"), "t", "value", "event_type", _flags(F.col("event_id")).alias("quality_flags"))
 
 
 def place(df: DataFrame, key: str) -> DataFrame:
@@ -57,7 +61,8 @@ def fires(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Common table expressions with the same content in SQL.
 SQL = {
-    "obs": "obs AS (SELECT user_id % 48 AS station_id, event_id AS obs_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, value, event_type FROM events)",
+    "obs": """obs AS (SELECT user_id % 48 AS station_id, event_id AS obs_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, value, event_type,
+        concat_ws(';', CASE WHEN event_id % 29 = 0 THEN 'invalid_pm25' END, CASE WHEN event_id % 31 = 0 THEN 'future_timestamp_ahead_seconds=12.000' END, CASE WHEN event_id % 3 = 0 THEN 'clock_ahead' END) AS quality_flags FROM events)""",
     "station": "station AS (SELECT s AS station_id, 25.0::DOUBLE + ((s * 37) % 121) / 1000.0::DOUBLE AS lat, 121.4::DOUBLE + ((s * 53) % 121) / 1000.0::DOUBLE AS lon FROM range(48) r(s))",
     "weather": """weather AS (SELECT station_id, t, arg_min(u, event_id) AS u, arg_min(v, event_id) AS v, arg_min(calm, event_id) AS calm FROM (
         SELECT user_id % 24 AS station_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id, event_type = 'error' AS calm,
@@ -75,7 +80,7 @@ def hav(a: str, b: str) -> str:
     return f"(2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))))"
 
 
-BINNED = """binned AS (SELECT *, t - t % 21600 AS bucket FROM obs QUALIFY row_number() OVER (PARTITION BY station_id, t - t % 21600 ORDER BY t DESC, obs_id) = 1),
+BINNED = """binned AS (SELECT *, t - t % 21600 AS bucket FROM obs WHERE value >= 0 AND value < 'inf'::DOUBLE AND NOT contains(quality_flags, 'invalid_pm25') AND NOT contains(quality_flags, 'future_timestamp') QUALIFY row_number() OVER (PARTITION BY station_id, t - t % 21600 ORDER BY t DESC, obs_id) = 1),
 smoothed AS (SELECT *, avg(value) OVER (PARTITION BY station_id ORDER BY bucket RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW) AS smoothed FROM binned),
 hist AS (SELECT *, list(smoothed) OVER (PARTITION BY station_id ORDER BY bucket RANGE BETWEEN 432000 PRECEDING AND 1 PRECEDING) AS h FROM smoothed),
 tb0 AS (SELECT *, coalesce(len(h), 0) AS history_count, list_median(h) AS t_median FROM hist),

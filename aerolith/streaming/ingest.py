@@ -22,6 +22,24 @@ def running_bins(stream: DataFrame, minutes: int = 180, late: str = "1 day") ->
     return once.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "station_id").agg(F.max_by("value", "ts").alias("last_value"), F.count(F.lit(1)).alias("n"))
 
 
+def write_changes(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends each batch's changed rows to Parquet with the batch's number; ``current`` reads the newest state. A batch that is run again writes its rows once more, with the same number.
+
+    Update mode: only what a batch changes is written, and bins behind the watermark leave the state.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+
+    return stream.writeStream.foreachBatch(append).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row of each key of a table that ``write_changes`` wrote."""
+    rest = [c for c in changes.columns if c not in (*keys, "batch_id")]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("m")).select(*keys, "m.*")
+
+
 def write_facts(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
     """Appends rows whose keys the table lacks. A batch that is run again adds nothing: its keys are there already."""
 
