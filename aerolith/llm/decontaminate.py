@@ -5,7 +5,7 @@ has a weighted Jaccard similarity of 0.8 or more with it: over five-word shingle
 weighted by how often each occurs, the sum of the smaller counts over the sum of the larger ones.
 
 1. Windows of every size that items have. A window that is similar to any item of its size has most of its shingles
-   from the benchmark, so texts and windows with fewer such shingles are left out; that loses nothing. A document with fewer
+   from the items of that size, so texts and windows with fewer such shingles are left out; that loses nothing. A document with fewer
    shingles than an item is one window.
 2. Each window gets a 64-bit SimHash of its shingles. Fingerprints within a radius r share at least one
    of r + 1 blocks: windows and items of one size meet on equal blocks, and the Hamming distance is checked. This finds every
@@ -80,7 +80,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     other than those named are not read.
     """
     items = materialise(items_of(benchmark, item_col, item_text_col).withColumn("m", F.size("sh")).withColumn("item_fp", fingerprint(F.col("sh"))))
-    known = materialise(items.select(F.explode("sh").alias("h")).distinct())
+    known = materialise(items.select(F.explode("sh").alias("h"), "m").distinct())
     # the different sizes of items, as numbers of shingles
     sizes = sorted(r.m for r in items.select("m").distinct().collect())
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.xxhash64(id_col, F.col(text_col).cast("string")).alias("rk"))
@@ -90,15 +90,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # texts with fewer of the benchmark's shingles than any similar window needs go no further
     least = max(1, min(ceil(AT_LEAST * m - 1e-9) for m in sizes))
     each = _shingled(read).select("rk", F.explode_outer("sh").alias("h"))
-    some = materialise(each.join(known, "h").groupBy("rk").count().where(F.col("count") >= least).select("rk"))
+    some = materialise(each.join(known.select("h").distinct(), "h").groupBy("rk").count().where(F.col("count") >= least).select("rk"))
     maybe, _ = sieve(read, "rk", some.select(F.col("rk").alias("h")), some.count())
     texts = _shingled(maybe.join(some, "rk", "left_semi").dropDuplicates(["rk"]))
     step = max(STRETCH, sizes[-1])
     cut = F.transform(F.sequence(F.lit(0), F.size("sh") - 1, F.lit(step)), lambda o: F.struct(o.alias("offset"), F.slice("sh", o + 1, step + sizes[-1] - 1).alias("sh")))
     parts = materialise(texts.select("doc_id", "rk", F.size("sh").alias("n"), F.explode_outer(cut).alias("x")).select("doc_id", "rk", "n", "x.offset", "x.sh"))
     at = parts.select("rk", "offset", F.posexplode("sh").alias("pos", "h")).join(known, "h")
-    hits = at.groupBy("rk", "offset").agg(F.array_sort(F.collect_list("pos")).alias("hits"))
-    return _best(materialise(_windows(parts.join(hits, ["rk", "offset"]), sizes)), items)
+    # the positions of shingles that items of one size have: a window of that size must be made of them
+    hits = at.groupBy("rk", "offset", "m").agg(F.array_sort(F.collect_list("pos")).alias("hits"))
+    return _best(materialise(_windows(parts.join(hits, ["rk", "offset"]))), items)
 
 
 def _shingled(read: DataFrame) -> DataFrame:
@@ -111,9 +112,9 @@ def _least_common(m: Column, n: Column) -> Column:
 
 
 # The outer forms of explode are used on computed arrays: for the others the optimiser adds a filter that computes the array once more.
-def _windows(found: DataFrame, sizes: list[int]) -> DataFrame:
+def _windows(found: DataFrame) -> DataFrame:
     """(doc_id, m, start, smaller, win, fp): the windows of m shingles with enough from the benchmark, as many as each ``hits`` allows."""
-    each = found.select("doc_id", "n", "offset", "sh", "hits", F.explode_outer(F.array(*map(F.lit, sizes))).alias("m")).withColumn("c", _least_common(F.col("m"), F.least("m", "n")))
+    each = found.withColumn("c", _least_common(F.col("m"), F.least("m", "n")))
     each = each.where(F.size("hits") >= F.col("c"))
     m, c, hit = F.col("m"), F.col("c"), lambda j: F.get(F.col("hits"), j)
     # c hits in a row that fit into a window: all its starts that cover them and lie in the text
