@@ -36,3 +36,10 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def counts_within(points: DataFrame, radii: list[float]) -> DataFrame:
     """Cumulative counts of rows (with distance_km) per key ``a``."""
     return points.groupBy("a").agg(*[F.count_if(F.col("distance_km") <= r).alias(f"within_{r:g}km") for r in radii])
+
+
+def upsert_newest(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of both tables, one a key: those of ``new`` replace those of ``old``, and within a table the largest ``order`` counts. Rows with a null key are dropped."""
+    both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1))).dropna(subset=keys)
+    rest = [c for c in old.columns if c not in keys]
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_side", order)).alias("m")).select(*keys, "m.*")
