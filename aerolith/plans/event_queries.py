@@ -6,8 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..config import AnomalyConfig, EventConfig, WindConfig
-from ..operators import anomaly, events, wind
+from ..config import AnomalyConfig, EventConfig, TraceConfig, WindConfig
+from ..operators import anomaly, backtrace, events, wind
+from ..operators.graph import cut
 from ..functions.geo import toward_deg
 from . import views
 from .views import ANOMALY, BINNED, hav, with_
@@ -16,6 +17,9 @@ LOOSE = AnomalyConfig(bin_seconds=21_600, baseline_seconds=432_000, radius_km=3.
 EVENTS = EventConfig(bin_seconds=21_600, eps_km=2.0, centroid_km=2.5, member_km=2.0)
 WIND = WindConfig(max_offset_seconds=10_800)
 SIX_HOURS = 21_600
+#: The trace of the queries: coarse steps through six hours, as the tables' winds are hours apart.
+TRACE = TraceConfig(particles=40, dt_seconds=600, minutes=180, block_seconds=3600)
+LAT0, LON0, EXTENT = 25.06, 121.46, (-40_000.0, -40_000.0, 40_000.0, 40_000.0)
 RADII, POWERS = (3.0, 5.0, 8.0), (1.0, 2.0, 3.0)
 #: South, west, north, east of the core box.
 CORE = (25.051429, 121.427692, 25.085714, 121.473846)
@@ -145,6 +149,44 @@ def wind_param_sweep(spark, d):
     return wind.error_metrics(out, ["preferred_km", "power"]).withColumnsRenamed({"preferred_km": "radius_km"})
 
 
+def residual_table(spark, d):
+    return backtrace.residual_table(_loso(spark, d)).select("target", "at", "bucket", "quality", *_r("du", "dv"))
+
+
+def _event_members(spark, d):
+    clustered = _clusters(spark, d)
+    linked = events.link_events(events.cluster_stats(clustered), EVENTS)
+    return linked.select("event_id", "bucket", "cluster_station").join(clustered, ["bucket", "cluster_station"])
+
+
+def _traced(spark, d):
+    seeds = cut(backtrace.event_receptors(_event_members(spark, d)))
+    pool = backtrace.pools(backtrace.residual_table(_loso(spark, d)))
+    return seeds, cut(backtrace.trace(seeds, views.weather(spark, d), _wstations(spark), pool, TRACE, WIND, LAT0, LON0, EXTENT))
+
+
+def trace_terminations(spark, d):
+    """How the particles of every event end, and from which residuals they drew."""
+    _, passed = _traced(spark, d)
+    return passed.where("ci is null").groupBy("event_id", "ended", "source").agg(F.sum("hits").alias("particles"))
+
+
+def trace_surface(spark, d):
+    seeds, passed = _traced(spark, d)
+    return backtrace.surface(passed, seeds, TRACE).select("event_id", "ci", "cj", "support_count", F.size("times").cast("long").alias("n_times"), *_r("density", "support_fraction", "score"))
+
+
+def trace_regions(spark, d):
+    seeds, passed = _traced(spark, d)
+    return backtrace.regions(backtrace.surface(passed, seeds, TRACE)).select("event_id", "rank", "cells", "support", F.size("times").cast("long").alias("n_times"), *_r("peak", "mean", "x", "y", "west", "east", "south", "north", "area_km2"))
+
+
+def movement_consistency(spark, d):
+    path = events.cluster_stats(_clusters(spark, d)).select("bucket", "cluster_station", "lat", "lon").withColumn("event_id", F.col("cluster_station").cast("string"))
+    out = backtrace.movement(path, views.weather(spark, d), _wstations(spark), WIND)
+    return out.select("event_id", "status", *_r("displacement_km", "observed_deg", "wind_deg", "difference_deg"))
+
+
 TIMES = "times AS (SELECT unnest(range(a - a % 21600 + 21600, b + 1, 21600)) AS at FROM (SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS a, CAST(floor(epoch(max(ts))) AS BIGINT) AS b FROM events))"
 SELECT = """near AS (SELECT o.station_id, a.at, o.t, o.u, o.v, o.calm FROM weather o JOIN (SELECT DISTINCT at FROM times) a ON o.t BETWEEN a.at - 10800 AND a.at + 10800),
 sides AS (SELECT station_id, at, arg_max(struct_pack(t := t, u := u, v := v, calm := calm), t) FILTER (WHERE t <= at) AS b, arg_min(struct_pack(t := t, u := u, v := v, calm := calm), t) FILTER (WHERE t >= at) AS a FROM near GROUP BY 1, 2),
@@ -210,6 +252,12 @@ _PLAIN = {
     "wind_grid": (wind_grid, with_("weather", "wstation", TIMES, SELECT, CORE_GRID, _idw_sql("i, j, at")) + f" SELECT i, j, at, round(lat, 6) AS lat, round(lon, 6) AS lon, {', '.join(OUT)}, {_sr(*ROUND)} FROM idw"),
     "wind_loso": (wind_loso, LOSO + _idw_sql("target, at", _NOT_OWN) + ",\n" + _errors_sql() + f" SELECT target, at, n_stations, {_sr('vector_error', 'speed_error', 'direction_error')} FROM e"),
     "wind_loso_strata": (wind_loso_strata, LOSO + _idw_sql("target, at", _NOT_OWN) + ",\n" + _errors_sql() + f" SELECT CASE WHEN nearest_km IS NULL THEN 'unavailable' WHEN nearest_km <= 3 THEN '≤3 km' WHEN nearest_km <= 5 THEN '3–5 km' WHEN nearest_km <= 10 THEN '5–10 km' ELSE '>10 km' END AS bucket, {METRICS} FROM e GROUP BY 1"),
+    "residual_table": (residual_table, LOSO + _idw_sql("target, at", _NOT_OWN) + """ SELECT target, at, CASE WHEN nearest_km IS NULL THEN 'unavailable' WHEN nearest_km <= 3 THEN '≤3 km' WHEN nearest_km <= 5 THEN '3–5 km' WHEN nearest_km <= 10 THEN '5–10 km' ELSE '>10 km' END AS bucket, quality,
+        round(actual_u - u, 6) + 0.0 AS du, round(actual_v - v, 6) + 0.0 AS dv FROM idw WHERE u IS NOT NULL"""),
+    "trace_terminations": (trace_terminations, None),
+    "trace_surface": (trace_surface, None),
+    "trace_regions": (trace_regions, None),
+    "movement_consistency": (movement_consistency, None),
     "wind_param_sweep": (wind_param_sweep, LOSO + ",\n".join(f"{_idw_sql('target, at', _NOT_OWN, r, p, t)},\n{_errors_sql(t)}" for r, p, t in _SWEEP) + " UNION ALL ".join(f" SELECT {r}::DOUBLE AS radius_km, {p}::DOUBLE AS power, {METRICS} FROM e{t}" for r, p, t in _SWEEP)),
 }
 
