@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, text_batches
 from .words import BYTE_LEVEL_PATTERN, Cut, WordIds
 
 #: Bytes of new pieces replayed at once, and distinct words that a task counts before it sends them on: bounds of memory, without effect on results.
@@ -191,7 +191,7 @@ def vocabulary(docs: DataFrame, rank_file: str, text_col: str = "text") -> dict[
         for b in batches:
             yield pd.DataFrame({"word": b["word"], "ids": ids.of_words(b["word"].tolist())})
 
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = text_batches(docs).select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     frequent = materialise(counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word"))
     made = frequent.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(replayed, "word string, ids binary")
     out = {r.word: bytes(r.ids) for r in made.collect()}

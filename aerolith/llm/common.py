@@ -62,10 +62,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000
                 yield b.slice(a, z - a)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands whole texts to Python in batches of ``BATCH_ROWS`` rows, unless its user has set another size.
+
+    The usual ten thousand texts are held by executor and worker at once, several times over.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 1_000
 #: Bits of a bitmap for each key, and the power of two of its size at most (16 MB): what a sieve broadcasts.
 BITS_EACH, MOST_BITS, PROBES = 128, 27, 3
 #: At most so many keys can hold more than one row in so many; they are what ``join_hot`` broadcasts.

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import ngrams
+from .common import text_batches
 
 BITS, ORDERS = 14, (1, 2, 3)
 #: Bounds of the fit: documents of each language, of which every fifth goes to the temperature; passes over them.
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Document frequencies cover all of those; the weights see about ``PER_LANGUAGE`` of each language, never over twice as many, chosen by a hash of the text.
     """
-    train = docs.where(~held_out(F.col(id_col))).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    train = text_batches(docs).where(~held_out(F.col(id_col))).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     df, n = frequencies(train)
     sizes = {r.lang: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import ngrams
-from .common import materialise
+from .common import materialise, text_batches
 
 #: Bounds of the fit: labelled documents of each class, rounds, and documents passed on per view, class and round.
 LABELLED, ROUNDS, PASSED, SURE = 1000, 3, 100, 0.9
@@ -124,7 +124,7 @@ def co_train(xa: np.ndarray, xb: np.ndarray, y: np.ndarray, pass_on) -> dict:
 
 def _read(docs: DataFrame, *more: Column) -> DataFrame:
     """The columns that the views see, null where the table lacks them."""
-    return docs.select(*[(docs[c] if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()], *more)
+    return text_batches(docs).select(*[(docs[c] if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()], *more)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> dict | None:

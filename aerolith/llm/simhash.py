@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialise, sieve, slices
+from .common import join_hot, materialise, sieve, slices, text_batches
 from .components import components
 
 SEED = 42
@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), *[pa.array(cols[:, i].copy().view(np.int64)) for i in range(len(names))]], ["doc_id", "rk", *names])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.select("doc_id", row_hash("doc_id", "text").alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, " + ", ".join(f"{k} long" for k in names))
+    return text_batches(picked).select("doc_id", row_hash("doc_id", "text").alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, " + ", ".join(f"{k} long" for k in names))
 
 
 def row_hash(id_col: str, text_col: str) -> Column:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, shared_dir, slices
+from .common import discard, materialise, shared_dir, slices, text_batches
 from .words import WordIds
 
 MAGIC = b"AETOKID1"
@@ -121,7 +121,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | None =
     and sorted within each. A task holds one batch and one shard. Other columns are not read; an empty table gives files without documents.
     """
     spark = docs.sparkSession
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    read = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = read.count()
     dictionary = train_dictionary(read, tokenizer_file, end_id, n)
     digest = hashlib.sha256(dictionary).digest()
