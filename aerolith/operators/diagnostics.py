@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import angle_between, bearing_deg, haversine_km
+from ..functions.labels import relative_delta
 from ..functions.text import number
 from .graph import components
 from .spatial import distance_join
@@ -35,6 +36,60 @@ def response(obs: DataFrame, fires: DataFrame, stations: DataFrame, km: float, b
     return out.withColumns({"delta": delta, "response": kind})
 
 
+def event_response(obs: DataFrame, fires: DataFrame, stations: DataFrame, near_km: float, far_km: float, before: int, during: int, post: int) -> DataFrame:
+    """Per fire and station within ``far_km``: medians before, during and after (and in the first, second and last two quarters after), the peak and its time, excess, delta and percent.
+
+    ``local`` tells the stations within ``near_km``, the others are its background. A value in none of the windows is left out; what a window lacks is null.
+    """
+    width = before + during + post
+    near = fires.select("fire_id", F.col("t").alias("fire_t"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    pairs = distance_join(near, stations.select("station_id", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), far_km).select("fire_id", "fire_t", "station_id", "distance_km")
+    slots = F.explode(F.sequence(F.floor((F.col("fire_t") - before) / width), F.floor((F.col("fire_t") + during + post) / width)))
+    met = pairs.withColumn("slot", slots).join(obs.select("station_id", "t", "value", F.floor(F.col("t") / width).alias("slot")), ["station_id", "slot"])
+    d = F.col("t") - F.col("fire_t")
+    median = lambda a, b: F.percentile(F.when((d >= a) & (d < b), F.col("value")), F.lit(0.5))
+    later = F.when(d >= 0, F.col("value"))
+    out = met.where((d >= -before) & (d < during + post)).groupBy("fire_id", "station_id").agg(
+        (F.first("distance_km") <= near_km).alias("local"),
+        median(-before, 0).alias("baseline"),
+        median(0, during).alias("during"),
+        median(during, during + post).alias("post"),
+        median(during, during + post // 4).alias("post_first"),
+        median(during + post // 4, during + post // 2).alias("post_second"),
+        median(during + post // 2, during + post).alias("post_last"),
+        F.max(later).alias("peak"),
+        F.max_by(F.when(d >= 0, F.col("t")), F.struct(later.alias("v"), (-F.col("t")).alias("first"))).alias("peak_t"),
+    )
+    delta = F.col("during") - F.col("baseline")
+    return out.withColumns({"excess": F.col("peak") - F.col("baseline"), "delta": delta, "percent": relative_delta(delta, F.col("baseline"))})
+
+
+def classify_fires(responses: DataFrame, clear: float = 5.0, weak: float = 2.0, regional: float = 2.0, fraction: float = 0.5) -> DataFrame:
+    """(fire_id, measured, positive, clear, downwind_clear, class) from ``event_response`` with ``relation``, the station's side of the wind.
+
+    A rise that the background shares is no response; a clear one needs two stations downwind, or three. Fires without a measured local station lack coverage.
+    """
+    here = F.col("local") & F.col("excess").isNotNull()
+    strong = here & (F.col("excess") >= clear)
+    sums = responses.groupBy("fire_id").agg(
+        F.count_if(here).alias("measured"),
+        F.count_if(here & (F.col("excess") >= weak)).alias("positive"),
+        F.count_if(strong).alias("clear"),
+        F.count_if(strong & (F.col("relation") == "downwind")).alias("downwind_clear"),
+        F.count_if(~F.col("local") & F.col("delta").isNotNull()).alias("around"),
+        F.count_if(~F.col("local") & (F.col("delta") >= regional)).alias("around_up"),
+    )
+    shared = (F.col("around") > 0) & (F.col("around_up") >= fraction * F.col("around")) & (F.col("positive") >= fraction * F.col("measured"))
+    kind = (
+        F.when(F.col("measured") == 0, "INSUFFICIENT_SENSOR_COVERAGE")
+        .when(shared, "AMBIGUOUS_REGIONAL_BACKGROUND")
+        .when((F.col("clear") >= 3) | ((F.col("clear") >= 2) & (F.col("downwind_clear") >= 2)), "CLEAR_SENSOR_RESPONSE")
+        .when(F.col("positive") > 0, "WEAK_SENSOR_RESPONSE")
+        .otherwise("NO_MEASURABLE_RESPONSE")
+    )
+    return sums.withColumn("class", kind).drop("around", "around_up")
+
+
 #: Rings around a point in km: the last one is closed at both ends.
 RINGS = [("1_2", 1.0, 2.0, False), ("1_3", 1.0, 3.0, False), ("2_3", 2.0, 3.0, False), ("2_5", 2.0, 5.0, True)]
 

@@ -43,3 +43,15 @@ def upsert_newest(old: DataFrame, new: DataFrame, keys: list[str], order: str) -
     both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1))).dropna(subset=keys)
     rest = [c for c in old.columns if c not in keys]
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_side", order)).alias("m")).select(*keys, "m.*")
+
+
+def window_of(rows: DataFrame, t: str, start: int | None = None, end: int | None = None, latest_hours: int | None = None) -> DataFrame:
+    """Rows of an explicit window (replay), or of the last hours before the table's latest time (live); both bounds belong to it."""
+    if start is not None and end is not None:
+        if end < start:
+            raise ValueError("end is before start")
+        return rows.where(F.col(t).between(start, end))
+    if not latest_hours or latest_hours < 0:
+        raise ValueError("give start and end, or how many hours before the latest row")
+    last = rows.agg(F.max(t).alias("_last"))
+    return rows.join(F.broadcast(last), F.col(t) >= F.col("_last") - latest_hours * 3600).drop("_last")

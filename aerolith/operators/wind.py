@@ -127,6 +127,15 @@ def distance_bucket(km: str):
     return F.when(c.isNull(), "unavailable").when(c <= 3, "≤3 km").when(c <= 5, "3–5 km").when(c <= 10, "5–10 km").otherwise(">10 km")
 
 
+DISTANCES = ["≤3 km", "3–5 km", "5–10 km", ">10 km", "unavailable"]
+
+
+def with_empty_strata(metrics: DataFrame, by: str, names: list[str]) -> DataFrame:
+    """Metrics by stratum, those without rows included, with a count of zero."""
+    every = metrics.sparkSession.createDataFrame([(n,) for n in names], f"{by} string")
+    return every.join(metrics, by, "left").fillna(0, ["n", "predicted"])
+
+
 def error_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 6)
     return rows.groupBy(*by).agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import COARSE
@@ -55,6 +56,13 @@ def anomaly_isolated(spark, d):
     return _rows(spark, d).where("is_isolated").select("station_id", "bucket", *_r("temporal_excess", "z_t"))
 
 
+def anomaly_absent(spark, d):
+    """Every station in every bin, those without a usable value included, in order of score: a missing score and zero come after all others."""
+    out = anomaly.with_absent(_rows(spark, d), views.stations(spark))
+    place = Window.partitionBy("bucket").orderBy(F.desc(F.coalesce(F.when(F.col("anomaly_score") != 0, F.round("anomaly_score", 5)), F.lit(-1.0))), "station_id")
+    return out.withColumn("place", F.row_number().over(place)).select("bucket", "station_id", "place", "status", "flags", "temporal_status", "spatial_status", "history_count", "neighbor_count", "is_candidate")
+
+
 def anomaly_summary(spark, d):
     return _rows(spark, d).groupBy("bucket").agg(
         F.count(F.lit(1)).alias("sensors"),
@@ -97,6 +105,11 @@ QUERIES = {
     "neighbor_pairs": (neighbor_pairs, with_("station") + f", p AS (SELECT a.station_id AS a, b.station_id AS b, {hav('a', 'b')} AS d FROM station a, station b WHERE a.station_id <> b.station_id) SELECT a, b, round(d, 6) AS distance_km FROM p WHERE d <= 4.5"),
     "anomaly_rows": (anomaly_rows, with_("obs", "station", BINNED, ANOMALY) + f" SELECT * REPLACE (CAST(history_count AS BIGINT) AS history_count, CAST(neighbor_count AS BIGINT) AS neighbor_count, CAST(support_count AS BIGINT) AS support_count) FROM (SELECT {', '.join(COLUMNS)}, {_sql_round(*ROUNDED)} FROM an)"),
     "anomaly_candidates_topk": (anomaly_candidates_topk, with_("obs", "station", BINNED, ANOMALY) + " SELECT station_id, bucket, anomaly_score FROM an WHERE is_candidate ORDER BY anomaly_score DESC, station_id, bucket LIMIT 15"),
+    "anomaly_absent": (anomaly_absent, with_("obs", "station", BINNED, ANOMALY) + """, sp AS (SELECT * FROM (SELECT DISTINCT bucket FROM an), (SELECT station_id FROM station)),
+        ab AS (SELECT sp.bucket, sp.station_id, an.* EXCLUDE (bucket, station_id), an.station_id IS NULL AS none FROM sp LEFT JOIN an USING (bucket, station_id))
+        SELECT bucket, station_id, CAST(row_number() OVER (PARTITION BY bucket ORDER BY coalesce(CASE WHEN anomaly_score <> 0 THEN round(anomaly_score, 5) END, -1.0) DESC, station_id) AS INTEGER) AS place,
+               CASE WHEN none THEN 'missing' ELSE 'usable' END AS status, CASE WHEN none THEN 'missing_current_value' ELSE '' END AS flags, coalesce(temporal_status, 'insufficient_history') AS temporal_status,
+               coalesce(spatial_status, 'insufficient_neighbors') AS spatial_status, coalesce(history_count, 0) AS history_count, coalesce(neighbor_count, 0) AS neighbor_count, coalesce(is_candidate, false) AS is_candidate FROM ab"""),
     "anomaly_isolated": (anomaly_isolated, with_("obs", "station", BINNED, ANOMALY) + f" SELECT station_id, bucket, {_sql_round('temporal_excess', 'z_t')} FROM an WHERE is_isolated"),
     "anomaly_summary": (anomaly_summary, with_("obs", "station", BINNED, ANOMALY) + """ SELECT bucket, count(*) AS sensors, count(*) FILTER (WHERE temporal_status <> 'sufficient') AS insufficient_history,
         count(*) FILTER (WHERE spatial_status <> 'sufficient') AS insufficient_neighbors, count(*) FILTER (WHERE is_candidate) AS candidates, count(*) FILTER (WHERE is_isolated) AS isolated,

@@ -140,7 +140,8 @@ def wind_loso(spark, d):
 
 
 def wind_loso_strata(spark, d):
-    return wind.error_metrics(_loso(spark, d).withColumn("bucket", wind.distance_bucket("nearest_km")), ["bucket"])
+    metrics = wind.error_metrics(_loso(spark, d).withColumn("bucket", wind.distance_bucket("nearest_km")), ["bucket"])
+    return wind.with_empty_strata(metrics, "bucket", wind.DISTANCES)
 
 
 def wind_param_sweep(spark, d):
@@ -251,7 +252,7 @@ _PLAIN = {
     "wind_idw": (wind_idw, with_("weather", "wstation", TIMES, SELECT, GRID, _idw_sql("i, j, at")) + f" SELECT i, j, at, {', '.join(OUT)}, {_sr(*ROUND)} FROM idw"),
     "wind_grid": (wind_grid, with_("weather", "wstation", TIMES, SELECT, CORE_GRID, _idw_sql("i, j, at")) + f" SELECT i, j, at, round(lat, 6) AS lat, round(lon, 6) AS lon, {', '.join(OUT)}, {_sr(*ROUND)} FROM idw"),
     "wind_loso": (wind_loso, LOSO + _idw_sql("target, at", _NOT_OWN) + ",\n" + _errors_sql() + f" SELECT target, at, n_stations, {_sr('vector_error', 'speed_error', 'direction_error')} FROM e"),
-    "wind_loso_strata": (wind_loso_strata, LOSO + _idw_sql("target, at", _NOT_OWN) + ",\n" + _errors_sql() + f" SELECT CASE WHEN nearest_km IS NULL THEN 'unavailable' WHEN nearest_km <= 3 THEN '≤3 km' WHEN nearest_km <= 5 THEN '3–5 km' WHEN nearest_km <= 10 THEN '5–10 km' ELSE '>10 km' END AS bucket, {METRICS} FROM e GROUP BY 1"),
+    "wind_loso_strata": (wind_loso_strata, LOSO + _idw_sql("target, at", _NOT_OWN) + ",\n" + _errors_sql() + f", me AS (SELECT CASE WHEN nearest_km IS NULL THEN 'unavailable' WHEN nearest_km <= 3 THEN '≤3 km' WHEN nearest_km <= 5 THEN '3–5 km' WHEN nearest_km <= 10 THEN '5–10 km' ELSE '>10 km' END AS bucket, {METRICS} FROM e GROUP BY 1) SELECT * REPLACE (coalesce(n, 0) AS n, coalesce(predicted, 0) AS predicted) FROM (SELECT unnest({wind.DISTANCES}) AS bucket) LEFT JOIN me USING (bucket)"),
     "residual_table": (residual_table, LOSO + _idw_sql("target, at", _NOT_OWN) + """ SELECT target, at, CASE WHEN nearest_km IS NULL THEN 'unavailable' WHEN nearest_km <= 3 THEN '≤3 km' WHEN nearest_km <= 5 THEN '3–5 km' WHEN nearest_km <= 10 THEN '5–10 km' ELSE '>10 km' END AS bucket, quality,
         round(actual_u - u, 6) + 0.0 AS du, round(actual_v - v, 6) + 0.0 AS dv FROM idw WHERE u IS NOT NULL"""),
     "trace_terminations": (trace_terminations, None),

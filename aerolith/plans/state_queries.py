@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import in_bbox
 from ..functions.text import has_bad_time, tokens, valid_pm25
-from ..operators import diagnostics, spatial, state
+from ..operators import diagnostics, evidence, spatial, state
 from ..operators.graph import shared_dir
 from ..sources.readers import time_range
+from ..streaming.ingest import current, present, running_bins, sliding, write_changes
 from . import views
 from .anomaly_queries import _bins
 from .views import BINNED, hav, table, with_
@@ -27,17 +28,60 @@ def fire_response(spark, d):
     return out.select("fire_id", "station_id", "n", "response", *_r("baseline", "during", "post", "peak", "delta"))
 
 
-def fire_wind_relation(spark, d):
-    """A wind of its own for each fire, from its key; every tenth is still."""
+def _windy_fires(spark, d):
+    """Fires with a wind of their own, from their key; every tenth is still."""
     f = views.fires(spark, d).select("fire_id", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), F.col("frp"))
     still = F.col("fire_id") % 10 == 0
-    f = f.withColumns({"toward_deg": F.when(~still, ((F.col("fire_id") * 47) % 360).cast("double")), "speed_mps": F.when(still, 0.0).otherwise(F.col("frp") / 20)})
+    return f.withColumns({"toward_deg": F.when(~still, ((F.col("fire_id") * 47) % 360).cast("double")), "speed_mps": F.when(still, 0.0).otherwise(F.col("frp") / 20)})
+
+
+def fire_wind_relation(spark, d):
+    f = _windy_fires(spark, d)
     a = f.withColumns({"a_lat": F.col("f_lat"), "a_lon": F.col("f_lon")})
     b = views.stations(spark).withColumns({"b_lat": F.col("lat"), "b_lon": F.col("lon")})
     out = diagnostics.wind_relation(spatial.distance_join(a, b, 3.0).where("distance_km > 0.01"))
     return out.select("fire_id", "station_id", "relation", *_r("distance_km", "off_deg", "travel_minutes"))
 
 
+def _fire_responses(spark, d):
+    fires = _windy_fires(spark, d)
+    out = diagnostics.event_response(views.obs(spark, d), views.fires(spark, d), views.stations(spark), 3.0, 6.0, 24 * HOUR, 12 * HOUR, 24 * HOUR)
+    sides = diagnostics.wind_relation(out.join(fires, "fire_id").join(views.stations(spark), "station_id"))
+    return sides.drop("f_lat", "f_lon", "lat", "lon", "frp")
+
+
+def fire_response_windows(spark, d):
+    out = _fire_responses(spark, d)
+    return out.select("fire_id", "station_id", "local", "peak_t", *_r("baseline", "during", "post", "post_first", "post_second", "post_last", "peak", "excess", "delta", "percent"))
+
+
+def fire_classes(spark, d):
+    return diagnostics.classify_fires(_fire_responses(spark, d))
+
+
+def stream_sliding(spark, d):
+    """Sliding windows of a day, every six hours, over the stream; readings flagged as from the future are left out before the watermark sees them."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = stream.withColumns({"ts": F.col("ts").cast("timestamp"), "station_id": F.pmod("user_id", F.lit(48)), "quality_flags": views._flags(F.col("event_id"))})
+    path = shared_dir(spark)
+    write_changes(sliding(present(stream), "1 day", "6 hours"), f"{path}/windows", f"{path}/checkpoint").awaitTermination()
+    return current(spark.read.parquet(f"{path}/windows"), ["w", "station_id"]).select("station_id", F.unix_seconds("w.start").alias("start"), "n", F.round("mean", 6).alias("mean"), "high")
+
+
+def live_window(spark, d):
+    """The last two days of the table, found from its latest time, and how many rows each station has there."""
+    o = views.obs(spark, d)
+    return state.window_of(o, "t", latest_hours=48).groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"))
+
+
+def facility_monitored(spark, d):
+    """Facilities with a flag that their control number, as written or normalised, is among the monitored ones."""
+    f = table(spark, d, "supplier").select("s_suppkey", F.concat(F.when(F.col("s_suppkey") % 2 == 0, " a ").otherwise("A"), F.col("s_suppkey").cast("string")).alias("number"))
+    monitored = table(spark, d, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("A"), F.col("l_suppkey").cast("string")).alias("number"))
+    return evidence.flagged(f, monitored, "number", "monitored").select("s_suppkey", "monitored")
+
+
 def ring_baseline(spark, d):
     pairs = spatial.neighbor_pairs(views.stations(spark), 5.0)
     values = _bins(spark, d).select(F.col("station_id").alias("b"), "bucket", F.col("smoothed").alias("value"))
@@ -140,8 +184,6 @@ def hourly_reference(spark, d):
 
 def stream_bin_dedupe(spark, d):
     """The stream of events, read as one, through tumbling six-hour bins; the final table after all that is there has been read."""
-    from ..streaming.ingest import current, running_bins, write_changes
-
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     stream = stream.withColumns({"ts": F.col("ts").cast("timestamp"), "station_id": F.pmod("user_id", F.lit(48))})
@@ -167,6 +209,13 @@ def rel_set_ops(spark, d):
     return a.intersect(b).withColumn("kind", F.lit("both")).union(a.subtract(b).withColumn("kind", F.lit("only"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
 
 
+_BRG = "((degrees(atan2(sin(radians(s.lon - f.lon)) * cos(radians(s.lat)), cos(radians(f.lat)) * sin(radians(s.lat)) - sin(radians(f.lat)) * cos(radians(s.lat)) * cos(radians(s.lon - f.lon)))) % 360) + 360) % 360"
+_RESPONSES = f""", rp AS (SELECT f.fire_id, f.t AS ft, s.station_id, {hav('f', 's')} AS km, {_BRG} AS brg, CASE WHEN f.fire_id % 10 <> 0 THEN ((f.fire_id * 47) % 360)::DOUBLE END AS toward FROM fire f, station s),
+        rm AS (SELECT p.*, o.value, o.t, o.t - p.ft AS d FROM (SELECT * FROM rp WHERE km <= 6.0) p JOIN obs o ON o.station_id = p.station_id AND o.t - p.ft >= -86400 AND o.t - p.ft < 129600),
+        rg AS (SELECT fire_id, station_id, any_value(km) <= 3.0 AS local, any_value(brg) AS brg, any_value(toward) AS toward, quantile_cont(value, 0.5) FILTER (WHERE d < 0) AS baseline, quantile_cont(value, 0.5) FILTER (WHERE d >= 0 AND d < 43200) AS during,
+            quantile_cont(value, 0.5) FILTER (WHERE d >= 43200) AS post, quantile_cont(value, 0.5) FILTER (WHERE d >= 43200 AND d < 64800) AS post_first, quantile_cont(value, 0.5) FILTER (WHERE d >= 64800 AND d < 86400) AS post_second,
+            quantile_cont(value, 0.5) FILTER (WHERE d >= 86400) AS post_last, max(value) FILTER (WHERE d >= 0) AS peak, arg_max(t, (value, -t)) FILTER (WHERE d >= 0) AS peak_t FROM rm GROUP BY 1, 2),
+        rs AS (SELECT *, peak - baseline AS excess, during - baseline AS delta, least((brg - toward + 720) % 360, 360 - (brg - toward + 720) % 360) AS off_deg FROM rg)"""
 _GAP = """dn AS (SELECT i // 12 AS "row", i % 12 AS col FROM range(156) r(i)),
 hv AS (SELECT CAST(least(floor((lat - 25.0::DOUBLE) / ((25.12::DOUBLE - 25.0::DOUBLE) / 13)), 12) AS INTEGER) AS "row", CAST(least(floor((lon - 121.4::DOUBLE) / ((121.52::DOUBLE - 121.4::DOUBLE) / 12)), 11) AS INTEGER) AS col, count(*) AS n FROM station WHERE lat BETWEEN 25.0 AND 25.12 AND lon BETWEEN 121.4 AND 121.52 GROUP BY 1, 2),
 fu AS (SELECT dn."row", dn.col, coalesce(n, 0) AS n FROM dn LEFT JOIN hv USING ("row", col)), em AS (SELECT "row" * 12 + col AS id, "row", col FROM fu WHERE n = 0),
@@ -188,6 +237,16 @@ QUERIES = {
         q AS (SELECT *, least((brg - toward + 720) % 360, 360 - (brg - toward + 720) % 360) AS off_deg FROM p WHERE d <= 3.0 AND d > 0.01)
         SELECT fire_id, station_id, CASE WHEN toward IS NULL THEN 'unknown' WHEN off_deg <= 45 THEN 'downwind' WHEN off_deg < 135 THEN 'crosswind' ELSE 'upwind' END AS relation, round(d, 6) AS distance_km,
                round(CASE WHEN toward IS NOT NULL THEN off_deg END, 6) AS off_deg, round(CASE WHEN speed > 0 THEN d * 1000 / speed / 60 END, 6) AS travel_minutes FROM q"""),
+    "fire_response_windows": (fire_response_windows, with_("obs", "station", "fire") + _RESPONSES + """ SELECT fire_id, station_id, local, peak_t, round(baseline, 6) AS baseline, round(during, 6) AS during, round(post, 6) AS post, round(post_first, 6) AS post_first, round(post_second, 6) AS post_second,
+        round(post_last, 6) AS post_last, round(peak, 6) AS peak, round(excess, 6) AS excess, round(delta, 6) AS delta, round(100 * delta / greatest(abs(baseline), 1.0), 6) AS percent FROM rs"""),
+    "fire_classes": (fire_classes, with_("obs", "station", "fire") + _RESPONSES + """, cl AS (SELECT fire_id, count(*) FILTER (WHERE local AND excess IS NOT NULL) AS measured, count(*) FILTER (WHERE local AND excess >= 2) AS positive, count(*) FILTER (WHERE local AND excess >= 5) AS clear,
+        count(*) FILTER (WHERE local AND excess >= 5 AND off_deg <= 45) AS downwind_clear, count(*) FILTER (WHERE NOT local AND delta IS NOT NULL) AS around, count(*) FILTER (WHERE NOT local AND delta >= 2) AS around_up FROM rs GROUP BY 1)
+        SELECT fire_id, measured, positive, clear, downwind_clear, CASE WHEN measured = 0 THEN 'INSUFFICIENT_SENSOR_COVERAGE' WHEN around > 0 AND around_up >= 0.5 * around AND positive >= 0.5 * measured THEN 'AMBIGUOUS_REGIONAL_BACKGROUND'
+             WHEN clear >= 3 OR (clear >= 2 AND downwind_clear >= 2) THEN 'CLEAR_SENSOR_RESPONSE' WHEN positive > 0 THEN 'WEAK_SENSOR_RESPONSE' ELSE 'NO_MEASURABLE_RESPONSE' END AS class FROM cl"""),
+    "stream_sliding": (stream_sliding, with_("obs") + """, w AS (SELECT station_id, value, (t // 21600 - k) * 21600 AS start FROM obs, range(4) r(k) WHERE NOT contains(quality_flags, 'future_timestamp'))
+        SELECT station_id, start, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS high FROM w GROUP BY 1, 2"""),
+    "live_window": (live_window, with_("obs") + " SELECT station_id, count(*) AS n, min(t) AS first_t FROM obs WHERE t >= (SELECT max(t) FROM obs) - 172800 GROUP BY 1"),
+    "facility_monitored": (facility_monitored, "SELECT s_suppkey, EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 49 AND l_suppkey = s_suppkey) AS monitored FROM supplier"),
     "ring_baseline": (ring_baseline, with_("obs", "station", BINNED, _PAIR) + f" SELECT a, bucket, ring, count(*) AS n, round(quantile_cont(smoothed, 0.5), 6) AS median FROM pr JOIN {_RING} ON d >= lo AND (d < hi OR (closed AND d <= hi)) JOIN smoothed ON station_id = b GROUP BY 1, 2, 3"),
     "lagged_corr": (lagged_corr, with_("obs", "station", BINNED, _PAIR) + """, c AS (SELECT a, b, lag, count(*) AS n, corr(x.smoothed, y.smoothed) AS r FROM pr JOIN smoothed x ON x.station_id = a, (VALUES (-2), (-1), (0), (1), (2)) l(lag), smoothed y
         WHERE d <= 3.0 AND y.station_id = b AND y.bucket = x.bucket + lag * 21600 GROUP BY 1, 2, 3) SELECT a, b, lag, n, round(CASE WHEN n >= 5 AND NOT isnan(r) THEN r END, 6) AS r FROM c"""),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import has_bad_time, tokens
 from ..operators.state import insert_absent
 
 
@@ -22,6 +23,17 @@ def running_bins(stream: DataFrame, minutes: int = 180, late: str = "1 day") ->
     return once.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "station_id").agg(F.max_by("value", "ts").alias("last_value"), F.count(F.lit(1)).alias("n"))
 
 
+def present(stream: DataFrame) -> DataFrame:
+    """Readings whose flags don't put them in the future: others would move the watermark past what is still to come."""
+    return stream.where(~has_bad_time(tokens(F.col("quality_flags"))))
+
+
+def sliding(stream: DataFrame, width: str, step: str, late: str = "1 day") -> DataFrame:
+    """Count, mean and highest value per station and sliding window; a window leaves the state once the watermark has passed it."""
+    once = stream.withWatermark("ts", late)
+    return once.groupBy(F.window("ts", width, step).alias("w"), "station_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("high"))
+
+
 def write_changes(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends each batch's changed rows to Parquet with the batch's number; ``current`` reads the newest state. A batch that is run again writes its rows once more, with the same number.
 
@@ -40,8 +52,11 @@ def current(changes: DataFrame, keys: list[str]) -> DataFrame:
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("m")).select(*keys, "m.*")
 
 
-def write_facts(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Appends rows whose keys the table lacks. A batch that is run again adds nothing: its keys are there already."""
+def write_facts(stream: DataFrame, path: str, checkpoint: str, keys: list[str], health: str | None = None) -> StreamingQuery:
+    """Appends rows whose keys the table lacks. A batch that is run again adds nothing: its keys are there already.
+
+    With ``health`` each batch also appends a row there (batch_id, received, inserted, duplicates, error); a batch that fails leaves a row with its error and is raised.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -51,6 +66,18 @@ def write_facts(stream: DataFrame, path: str, checkpoint: str, keys: list[str])
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             old = batch.limit(0)
-        insert_absent(old, batch, keys).write.mode("append").parquet(path)
+        error, received, inserted = None, 0, 0
+        try:
+            received, new = batch.count(), insert_absent(old, batch, keys).cache()
+            inserted = new.count()
+            new.write.mode("append").parquet(path)
+            new.unpersist()
+        except Exception as e:
+            error = str(e)[:500]
+            raise
+        finally:
+            if health:
+                row = [(batch_id, received, inserted, received - inserted, error)]
+                spark.createDataFrame(row, "batch_id long, received long, inserted long, duplicates long, error string").coalesce(1).write.mode("append").json(health)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

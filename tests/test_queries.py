@@ -236,3 +236,42 @@ def test_readers_and_sinks(spark, tmp_path):
         back = readers.read(spark, str(tmp_path / kind), kind, raw.schema.simpleString()[7:-1].replace(":", " "))
         out = {r.frp: (str(r.acquired_at), r.confidence_share) for r in readers.fires(back).collect()}
         assert out == {1.0: ("2026-09-03 00:05:00", 1.0), 2.0: ("2026-09-03 12:30:00", 0.77), 3.0: ("None", 0.5)}
+
+
+def test_weather_documents(spark):
+    from aerolith.sources import readers
+
+    doc = """{"records": {"Station": [
+        {"StationId": "A", "StationName": "a", "ObsTime": {"DateTime": "2026-03-01T08:00:00+08:00"}, "GeoInfo": {"Coordinates": [{"CoordinateName": "TWD67", "StationLatitude": "1", "StationLongitude": "2"}, {"CoordinateName": " wgs84", "StationLatitude": "24.5", "StationLongitude": "121.0"}]}, "WeatherElement": {"WindDirection": "90", "WindSpeed": "2.0"}},
+        {"StationId": "B", "ObsTime": {}, "GeoInfo": {"Coordinates": []}, "WeatherElement": {"WindDirection": "990", "WindSpeed": "-99"}}]}}"""
+    a, b = readers.weather(spark.createDataFrame([(doc,), ("{}",), (None,)], "value string")).orderBy("station_id").collect()
+    assert (a.lat, a.lon, a.t, a.wind_status, round(a.u, 9), round(a.v, 9), a.quality_flags) == (24.5, 121.0, 1_772_323_200, "valid", -2.0, 0.0, "")
+    assert (b.lat, b.t, b.wind_status, b.quality_flags) == (None, None, "invalid", "invalid_wgs84_coordinate;invalid_observation_timestamp;invalid_wind")
+
+
+def test_thing_documents(spark):
+    from aerolith.sources import readers
+
+    doc = '{"@iot.id": 7, "name": "n", "Locations": [{"location": %s}], "Datastreams": [{"@iot.id": 1, "name": "PM2.5"}, {"@iot.id": 2, "name": "T"}]}'
+    rows = [(doc % x,) for x in ('{"type": "Point", "coordinates": [121.5, 25.0]}', "[121.5, 25.0]", '"121.5 25.0"', '"nowhere"')]
+    got = readers.things(spark.createDataFrame(rows, "value string")).collect()
+    assert len(got) == 8 and [(r.lat, r.lon) for r in got[::2]] == [(25.0, 121.5)] * 3 + [(None, None)] and {r.thing_id for r in got} == {"7"}
+
+
+def test_runs_snapshots_and_health(spark, tmp_path):
+    from aerolith.sources import sinks
+    from aerolith.streaming.ingest import read_stream, write_facts
+
+    name = sinks.run_id("2026-03-01T00:00:00Z", "2026-03-02T00:00:00Z", "core")
+    assert name == sinks.run_id("2026-03-01T00:00:00Z", "2026-03-02T00:00:00Z", "core") != sinks.run_id("2026-03-01T00:00:00Z", "2026-03-02T00:00:00Z", "wide")
+    sinks.write_run(spark, str(tmp_path / "runs"), name, {"good": lambda: spark.range(3), "bad": lambda: spark.range(1).selectExpr("raise_error('no')"), "after": lambda: spark.range(1)})
+    assert [(r.run, r.stage, r.status, r.rows) for r in sinks.runs(spark, str(tmp_path / "runs"), str(tmp_path / "r*")).collect()] == [(name, "after", "ok", 1), (name, "bad", "failed", None), (name, "good", "ok", 3)]
+    raw = spark.createDataFrame([("2026-03-01 10:00:00", 1), ("2026-03-02 10:00:00", 2)], "ingested_at string, v int").withColumn("ingested_at", F.to_timestamp("ingested_at"))
+    for _ in range(2):
+        sinks.snapshot(raw, str(tmp_path / "raw"))
+    assert spark.read.json(str(tmp_path / "raw")).groupBy("dt").count().orderBy("dt").collect()[0]["count"] == 2
+    rows = spark.createDataFrame([(i % 15, float(i)) for i in range(20)], "id long, v double")
+    rows.write.parquet(str(tmp_path / "in"))
+    for run in (1, 2):
+        write_facts(read_stream(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "out"), str(tmp_path / f"c{run}"), ["id"], str(tmp_path / "health")).awaitTermination()
+    assert sorted((r.received, r.inserted, r.duplicates) for r in spark.read.json(str(tmp_path / "health")).collect()) == [(20, 0, 20), (20, 15, 5)]
