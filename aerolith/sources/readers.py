@@ -52,4 +52,4 @@ def things(raw: DataFrame, column: str = "value") -> DataFrame:
     at = parse.point(F.get(t["Locations"], F.lit(0))["location"])
     one = raw.select(t["@iot.id"].alias("thing_id"), t["name"].alias("station_name"), at.alias("p"), t["Datastreams"].alias("d"))
     each = one.select("thing_id", "station_name", "p", F.explode_outer("d").alias("d"))
-    return each.select("thing_id", "station_name", "p.lat", "p.lon", F.col("d.@iot.id").alias("datastream_id"), F.col("d.name").alias("datastream"))
+    return each.select("thing_id", "station_name", "p.lat", "p.lon", F.col("d.`@iot.id`").alias("datastream_id"), F.col("d.name").alias("datastream"))
