@@ -16,14 +16,21 @@ def temporal_select(obs: DataFrame, times: DataFrame, cfg: WindConfig) -> DataFr
     """(station_id, at, u, v, calm, offset_s, kind): each station's wind at each time.
 
     Exact where observed, linear between the nearest observations on both sides within the tolerance, else the
-    nearest on one side. Times meet observations by buckets of the tolerance, each time in three of them, so
-    no station's whole series meets all times.
+    nearest on one side. Observations go to the time slots (as wide as the tolerance) that they can reach, and in each slot of a station
+    the last and the next observation of every time are found by two sorts: as many rows as the result has, no pairs of times and observations.
+    Times without any observation in reach give no row.
     """
     width = cfg.max_offset_seconds
-    asked = times.select("at").distinct().withColumn("_b", F.explode(F.array(*[F.floor(F.col("at") / width) + i for i in (-1, 0, 1)])))
-    near = obs.withColumn("_b", F.floor(F.col("t") / width)).join(asked, "_b").where(F.abs(F.col("t") - F.col("at")) <= width)
     point = F.struct("t", "u", "v", "calm")
-    sides = near.groupBy("station_id", "at").agg(F.max_by(point, F.when(F.col("t") <= F.col("at"), F.col("t"))).alias("b"), F.min_by(point, F.when(F.col("t") >= F.col("at"), F.col("t"))).alias("a"))
+    reach = obs.select("station_id", F.col("t").alias("_time"), point.alias("_p"), F.explode(F.array(*[F.floor(F.col("t") / width) + i for i in (-1, 0, 1)])).alias("_b"))
+    asked = times.select("at").distinct().withColumn("_b", F.floor(F.col("at") / width)).join(reach.select("station_id", "_b").distinct(), "_b")
+    none = F.lit(None).cast(reach.schema["_p"].dataType)
+    both = reach.withColumn("_ask", F.lit(0)).unionByName(asked.select("station_id", F.col("at").alias("_time"), none.alias("_p"), "_b", F.lit(1).alias("_ask")))
+    slot = Window.partitionBy("station_id", "_b")
+    past, future = (slot.orderBy(o, "_ask").rowsBetween(Window.unboundedPreceding, 0) for o in ("_time", F.desc("_time")))
+    found = both.withColumns({"b": F.last("_p", ignorenulls=True).over(past), "a": F.last("_p", ignorenulls=True).over(future)}).where("_ask = 1").withColumnRenamed("_time", "at")
+    near = lambda c: F.when(F.abs(F.col(f"{c}.t") - F.col("at")) <= width, F.col(c))
+    sides = found.withColumns({"b": near("b"), "a": near("a")}).where("a is not null or b is not null")
     before, after = F.col("b"), F.col("a")
     two, exact = before.isNotNull() & after.isNotNull(), before["t"] == F.col("at")
     f = (F.col("at") - before["t"]) / (after["t"] - before["t"])
