@@ -76,3 +76,19 @@ def test_stages_keep_rows_without_ids_and_drop_repeats(spark):
     assert sorted((r.doc_id or -1) for r in out) == [-1, -1, 3, 5]
     assert secrets.redacted(df).count() == len(rows)
     assert simhash.deduplicate(df.limit(0)).count() == 0
+
+
+def written(spark, path, documents, labels):
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_empty_tables_and_labels_without_matches(spark, tmp_path):
+    assert cp.run(spark, written(spark, tmp_path / "a", [], [])).count() == 0
+    rows = [(1, None, None, None, None), (2, "", "en", None, 0), (None, "words without an id", None, "s", 3), (3, "so one two three four five six seven eight nine ten", "en", "s", 5), (4, "token=abcdef0123", None, None, None), (5, "Token=abcdef0123", None, None, None)]
+    out = cp.run(spark, written(spark, tmp_path / "b", rows, [(99, 1, 0), (98, 0, 0), (None, None, None)])).collect()
+    # no model, so none is rejected; null and empty texts are alike; one holds the item; two are copies
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in out) == [(-1, 4), (1, 0), (4, len(next(r.ids for r in out if r.doc_id == 4)))]
+    assert bpe.replay_of(cp.public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).decode(next(r.ids for r in out if r.doc_id == 4)) == b"[ASSIGN]"
