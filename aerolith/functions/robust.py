@@ -21,7 +21,7 @@ def sigma(mad: Column, floor: float = 1.5) -> Column:
 
 
 def stats_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Count, median, MAD, sigma, quartiles, p90 and Tukey's high outliers of each group: two shuffles on the keys, no lists."""
+    """Count, median, MAD, sigma, quartiles, p90 and Tukey's high outliers of each group: two shuffles on the keys. Exact percentiles keep a group's different values, so a key of very many should be rounded first."""
     q = df.groupBy(*keys).agg(F.count(value).alias("n"), *[F.percentile(value, F.lit(p)).alias(name) for p, name in ((0.5, "median"), (0.25, "q1"), (0.75, "q3"), (0.9, "p90"))])
     joined = df.join(q, keys)
     more = joined.groupBy(*keys).agg(

@@ -28,9 +28,3 @@ def number(x: Column) -> Column:
     """A number, or null for the missing markers and for what is none."""
     t = F.lower(F.trim(x))
     return F.when(~t.isin("", "x", "-", "-99", "na", "n/a", "null", "none", "nan"), t.try_cast("double"))
-
-
-def yes_no(x: Column) -> Column:
-    """Three-valued: true, false or null."""
-    t = F.lower(F.trim(x))
-    return F.when(t.isin("是", "有", "y", "yes", "1", "true"), True).when(t.isin("否", "無", "n", "no", "0", "false"), False)

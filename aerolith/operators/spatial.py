@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from math import cos, floor, radians
+from math import ceil, cos, floor, radians
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_km
+from ..functions.geo import M_PER_DEG_LAT, M_PER_DEG_LON, haversine_km
 
 
 def distance_join(left: DataFrame, right: DataFrame, km: float, on: list[str] | None = None, max_abs_lat: float = 60.0) -> DataFrame:
     """All pairs within ``km`` (closed). ``left`` has a_lat, a_lon; ``right`` b_lat, b_lon; ``on`` names further equal columns.
 
-    Cells are at least ``km`` wide up to ``max_abs_lat`` degrees, so a pair's cells touch: the left side goes to its
-    nine cells, an equi-join finds the candidates, the exact distance decides.
+    Cells are at least ``km`` wide up to ``max_abs_lat`` degrees, so a pair's cells touch, also over the date line: the left side goes to its
+    nine cells, an equi-join finds the candidates, the exact distance decides. A place nearer to a pole is an error, for its pairs could be
+    missed. Rows without a place, and empty tables, give no pairs; repeated rows give a pair each.
     """
     dlat = km / 110.0
-    dlon = dlat / cos(radians(max_abs_lat))
-    nine = F.explode(F.array(*[F.struct((F.floor(F.col("a_lat") / dlat) + i).alias("ci"), (F.floor(F.col("a_lon") / dlon) + j).alias("cj")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    columns = max(3, floor(360.0 * cos(radians(max_abs_lat)) / dlat))
+    low = lambda c: F.when(F.abs(F.col(c)) > max_abs_lat, F.raise_error(F.lit(f"a place beyond {max_abs_lat} degrees")).cast("double")).otherwise(F.col(c))
+    row = lambda c: F.floor(low(c) / dlat)
+    column = lambda c, shift=0: F.pmod(F.floor((F.col(c) + 180.0) * (columns / 360.0)) + shift, F.lit(columns))
+    nine = F.explode(F.array_distinct(F.array(*[F.struct((row("a_lat") + i).alias("ci"), column("a_lon", j).alias("cj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
     a = left.withColumn("_c", nine).withColumns({"_ci": F.col("_c.ci"), "_cj": F.col("_c.cj")}).drop("_c")
-    b = right.withColumns({"_ci": F.floor(F.col("b_lat") / dlat), "_cj": F.floor(F.col("b_lon") / dlon)})
+    b = right.withColumns({"_ci": row("b_lat"), "_cj": column("b_lon")})
     out = a.join(b, [*(on or []), "_ci", "_cj"]).withColumn("distance_km", haversine_km("a_lat", "a_lon", "b_lat", "b_lon"))
     return out.where(F.col("distance_km") <= km).drop("_ci", "_cj")
 
@@ -40,7 +44,6 @@ def nearest(pairs: DataFrame, key: list[str], k: int) -> DataFrame:
 
 def grid_shape(south: float, west: float, north: float, east: float, metres: float = 1000.0) -> tuple[int, int]:
     """Rows and columns of cells of about ``metres`` that cover a box."""
-    mid = radians((south + north) / 2)
-    rows = -(-(north - south) * 110_540.0 // metres)
-    cols = -(-(east - west) * 111_320.0 * cos(mid) // metres)
-    return max(1, floor(rows)), max(1, floor(cols))
+    rows = ceil((north - south) * M_PER_DEG_LAT / metres)
+    cols = ceil((east - west) * M_PER_DEG_LON * cos(radians((south + north) / 2)) / metres)
+    return max(1, rows), max(1, cols)

@@ -101,7 +101,8 @@ def spike_morphology(spark, d):
 
 
 def coverage_grid(spark, d):
-    return diagnostics.coverage(views.stations(spark), 25.0, 121.4, 25.12, 121.52, 13, 12).withColumn("gap", F.coalesce("gap", F.lit(-1)))
+    box = (25.0, 121.4, 25.12, 121.52)
+    return diagnostics.coverage(views.stations(spark), *box, *spatial.grid_shape(*box)).withColumn("gap", F.coalesce("gap", F.lit(-1)))
 
 
 def nn_spacing(spark, d):
@@ -216,9 +217,9 @@ _RESPONSES = f""", rp AS (SELECT f.fire_id, f.t AS ft, s.station_id, {hav('f', '
             quantile_cont(value, 0.5) FILTER (WHERE d >= 43200) AS post, quantile_cont(value, 0.5) FILTER (WHERE d >= 43200 AND d < 64800) AS post_first, quantile_cont(value, 0.5) FILTER (WHERE d >= 64800 AND d < 86400) AS post_second,
             quantile_cont(value, 0.5) FILTER (WHERE d >= 86400) AS post_last, max(value) FILTER (WHERE d >= 0) AS peak, arg_max(t, (value, -t)) FILTER (WHERE d >= 0) AS peak_t FROM rm GROUP BY 1, 2),
         rs AS (SELECT *, peak - baseline AS excess, during - baseline AS delta, least((brg - toward + 720) % 360, 360 - (brg - toward + 720) % 360) AS off_deg FROM rg)"""
-_GAP = """dn AS (SELECT i // 12 AS "row", i % 12 AS col FROM range(156) r(i)),
-hv AS (SELECT CAST(least(floor((lat - 25.0::DOUBLE) / ((25.12::DOUBLE - 25.0::DOUBLE) / 13)), 12) AS INTEGER) AS "row", CAST(least(floor((lon - 121.4::DOUBLE) / ((121.52::DOUBLE - 121.4::DOUBLE) / 12)), 11) AS INTEGER) AS col, count(*) AS n FROM station WHERE lat BETWEEN 25.0 AND 25.12 AND lon BETWEEN 121.4 AND 121.52 GROUP BY 1, 2),
-fu AS (SELECT dn."row", dn.col, coalesce(n, 0) AS n FROM dn LEFT JOIN hv USING ("row", col)), em AS (SELECT "row" * 12 + col AS id, "row", col FROM fu WHERE n = 0),
+_GAP = """dn AS (SELECT i // 13 AS "row", i % 13 AS col FROM range(182) r(i)),
+hv AS (SELECT CAST(least(floor((lat - 25.0::DOUBLE) / ((25.12::DOUBLE - 25.0::DOUBLE) / 14)), 13) AS INTEGER) AS "row", CAST(least(floor((lon - 121.4::DOUBLE) / ((121.52::DOUBLE - 121.4::DOUBLE) / 13)), 12) AS INTEGER) AS col, count(*) AS n FROM station WHERE lat BETWEEN 25.0 AND 25.12 AND lon BETWEEN 121.4 AND 121.52 GROUP BY 1, 2),
+fu AS (SELECT dn."row", dn.col, coalesce(n, 0) AS n FROM dn LEFT JOIN hv USING ("row", col)), em AS (SELECT "row" * 13 + col AS id, "row", col FROM fu WHERE n = 0),
 eg AS (SELECT a.id AS u, b.id AS v FROM em a JOIN em b ON abs(a."row" - b."row") + abs(a.col - b.col) = 1),
 rr(id, r) AS (SELECT id, id FROM em UNION SELECT eg.v, rr.r FROM rr JOIN eg ON eg.u = rr.id), ga AS (SELECT id, min(r) AS gap FROM rr GROUP BY 1)"""
 _RING = "(VALUES ('1_2', 1.0, 2.0, false), ('1_3', 1.0, 3.0, false), ('2_3', 2.0, 3.0, false), ('2_5', 2.0, 5.0, true)) r(ring, lo, hi, closed)"
@@ -251,7 +252,7 @@ QUERIES = {
     "lagged_corr": (lagged_corr, with_("obs", "station", BINNED, _PAIR) + """, c AS (SELECT a, b, lag, count(*) AS n, corr(x.smoothed, y.smoothed) AS r FROM pr JOIN smoothed x ON x.station_id = a, (VALUES (-2), (-1), (0), (1), (2)) l(lag), smoothed y
         WHERE d <= 3.0 AND y.station_id = b AND y.bucket = x.bucket + lag * 21600 GROUP BY 1, 2, 3) SELECT a, b, lag, n, round(CASE WHEN n >= 5 AND NOT isnan(r) THEN r END, 6) AS r FROM c"""),
     "spike_morphology": (spike_morphology, None),
-    "coverage_grid": (coverage_grid, with_("station", _GAP).replace("WITH ", "WITH RECURSIVE ", 1) + ' SELECT CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, n, coalesce(gap, -1) AS gap FROM fu LEFT JOIN ga ON ga.id = "row" * 12 + col'),
+    "coverage_grid": (coverage_grid, with_("station", _GAP).replace("WITH ", "WITH RECURSIVE ", 1) + ' SELECT CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, n, coalesce(gap, -1) AS gap FROM fu LEFT JOIN ga ON ga.id = "row" * 13 + col'),
     "nn_spacing": (nn_spacing, with_("station", _PAIR) + ", m AS (SELECT a, min(d) AS d FROM pr GROUP BY 1) SELECT count(*) AS stations, round(quantile_cont(d, 0.5), 6) AS median_km, round(quantile_cont(d, 0.9), 6) AS p90_km FROM m WHERE d <= 10"),
     "live_state": (live_state, with_("obs", "station", _LATEST.format(where="")) + f""", j AS (SELECT s.station_id, obs_id, t, value, (SELECT max(t) FROM obs) - t AS age_s FROM station s LEFT JOIN la ON la.station_id = s.station_id
         WHERE lat BETWEEN {BOX[0]} AND {BOX[2]} AND lon BETWEEN {BOX[1]} AND {BOX[3]}) SELECT *, CASE WHEN age_s IS NULL THEN 'offline' WHEN age_s < -60 THEN 'future_timestamp' WHEN age_s <= 7200 THEN 'fresh' WHEN age_s <= 43200 THEN 'stale' ELSE 'offline' END AS freshness FROM j"""),

@@ -275,3 +275,22 @@ def test_runs_snapshots_and_health(spark, tmp_path):
     for run in (1, 2):
         write_facts(read_stream(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "out"), str(tmp_path / f"c{run}"), ["id"], str(tmp_path / "health")).awaitTermination()
     assert sorted((r.received, r.inserted, r.duplicates) for r in spark.read.json(str(tmp_path / "health")).collect()) == [(20, 0, 20), (20, 15, 5)]
+
+
+def test_distance_join_against_all_pairs(spark):
+    """Random places up to 60 degrees, some at the date line; a place beyond is an error."""
+    rng = random.Random(6)
+    places = [(i, rng.uniform(-60, 60) if i % 3 else rng.uniform(-1, 1), rng.choice([179.99, -179.99, 0.0]) + rng.uniform(-0.009, 0.009)) for i in range(300)] + [(300, None, 1.0)]
+
+    def km(p, q):
+        x = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1, math.sqrt(x)))
+
+    for limit in (0.5, 40.0, 6000.0):
+        a = spark.createDataFrame(places, "a long, a_lat double, a_lon double")
+        b = spark.createDataFrame(places, "b long, b_lat double, b_lon double")
+        got = sorted((r.a, r.b) for r in spatial.distance_join(a, b, limit).collect())
+        assert got == sorted((p[0], q[0]) for p in places[:300] for q in places[:300] if km(p, q) <= limit)
+    far = spark.createDataFrame([(1, 70.0, 0.0)], "a long, a_lat double, a_lon double")
+    with pytest.raises(Exception, match="beyond 60"):
+        spatial.distance_join(far, b, 1.0).collect()
