@@ -101,6 +101,20 @@ def ring_medians(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return ringed.join(values, "b").groupBy("a", "bucket", "ring").agg(F.count(F.lit(1)).alias("n"), F.percentile("value", F.lit(0.5)).alias("median"))
 
 
+def ring_contrasts(medians: DataFrame, values: DataFrame) -> DataFrame:
+    """(a, bucket, value, near, far, over_near, over_far, gradient) from ``ring_medians``: a station's value against its near (1-2 km) and far (2-5 km) surroundings, and these against each other; null where a ring is empty."""
+    pick = lambda r: F.max(F.when(F.col("ring") == r, F.col("median")))
+    rings = medians.groupBy("a", "bucket").agg(pick("1_2").alias("near"), pick("2_5").alias("far"))
+    out = values.join(rings, ["a", "bucket"], "left")
+    return out.withColumns({"over_near": F.col("value") - F.col("near"), "over_far": F.col("value") - F.col("far"), "gradient": F.col("near") - F.col("far")})
+
+
+def prior_peaks(accepted: DataFrame, seconds: int) -> DataFrame:
+    """Accepted ``peaks`` with ``prior``, how many the station had in the ``seconds`` before, and ``since``, the seconds since the last; null for the first."""
+    w = Window.partitionBy("station_id").orderBy("bucket")
+    return accepted.withColumns({"prior": F.count(F.lit(1)).over(w.rangeBetween(-seconds, -1)), "since": F.col("bucket") - F.lag("bucket").over(w)})
+
+
 def lagged_correlation(pairs: DataFrame, values: DataFrame, step: int, lags: list[int], least: int = 5) -> DataFrame:
     """(a, b, lag, n, r) of a's series with b's, shifted by whole bins; null for fewer than ``least`` common bins or no variance."""
     a = values.select(F.col("station_id").alias("a"), "bucket", F.col("value").alias("x"))

@@ -45,6 +45,16 @@ def upsert_newest(old: DataFrame, new: DataFrame, keys: list[str], order: str) -
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_side", order)).alias("m")).select(*keys, "m.*")
 
 
+def regional_outliers(values: DataFrame, by: str, value: str) -> DataFrame:
+    """Rows of ``values`` outside the Tukey fences (1.5 interquartile ranges) of all rows with the same ``by``; groups of under four have none."""
+    q = lambda p: F.percentile(value, F.lit(p))
+    fences = values.groupBy(by).agg(q(0.25).alias("q1"), q(0.75).alias("q3"), F.count(value).alias("n")).where("n >= 4")
+    out = values.join(fences, by)
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    side = F.when(F.col(value) > F.col("q3") + reach, "high").when(F.col(value) < F.col("q1") - reach, "low")
+    return out.withColumn("side", side).where("side is not null").drop("q1", "q3", "n")
+
+
 def window_of(rows: DataFrame, t: str, start: int | None = None, end: int | None = None, latest_hours: int | None = None) -> DataFrame:
     """Rows of an explicit window (replay), or of the last hours before the table's latest time (live); both bounds belong to it."""
     if start is not None and end is not None:

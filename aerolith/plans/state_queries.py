@@ -15,7 +15,7 @@ from .anomaly_queries import _bins
 from .views import BINNED, hav, table, with_
 
 BOX = (25.03, 121.42, 25.09, 121.48)
-HOUR = 3600
+HOUR, LAGS = 3600, [-4, -3, -2, -1, 0, 1, 2, 3, 4]
 
 
 def _r(*names):
@@ -88,9 +88,32 @@ def ring_baseline(spark, d):
     return diagnostics.ring_medians(pairs, values).select("a", "bucket", "ring", "n", *_r("median"))
 
 
+def ring_contrasts(spark, d):
+    pairs = spatial.neighbor_pairs(views.stations(spark), 5.0)
+    bins = _bins(spark, d).select("station_id", "bucket", F.col("smoothed").alias("value"))
+    medians = diagnostics.ring_medians(pairs, bins.withColumnRenamed("station_id", "b"))
+    return diagnostics.ring_contrasts(medians, bins.withColumnRenamed("station_id", "a")).select("a", "bucket", *_r("value", "near", "far", "over_near", "over_far", "gradient"))
+
+
+def reference_nearest(spark, d):
+    """The fifteen nearest stations of each within 50 km."""
+    return spatial.nearest(spatial.neighbor_pairs(views.stations(spark), 50.0), ["a"], 15).select("a", "b", "rank", *_r("distance_km"))
+
+
+def regional_outliers(spark, d):
+    """Bins whose value is far from those of all stations in the same bin."""
+    return state.regional_outliers(_bins(spark, d).select("station_id", "bucket", "value"), "bucket", "value").select("station_id", "bucket", "side", *_r("value"))
+
+
+def prior_peaks(spark, d):
+    bins = _bins(spark, d)
+    base = bins.groupBy("station_id").agg(F.percentile("value", F.lit(0.7)).alias("base"))
+    return diagnostics.prior_peaks(diagnostics.peaks(bins.join(base, "station_id"), refractory=43_200), 7 * 86_400)
+
+
 def lagged_corr(spark, d):
     pairs = spatial.neighbor_pairs(views.stations(spark), 3.0)
-    out = diagnostics.lagged_correlation(pairs, _bins(spark, d).select("station_id", "bucket", F.col("smoothed").alias("value")), 21_600, [-2, -1, 0, 1, 2])
+    out = diagnostics.lagged_correlation(pairs, _bins(spark, d).select("station_id", "bucket", F.col("smoothed").alias("value")), 21_600, LAGS)
     return out.select("a", "b", "lag", "n", *_r("r"))
 
 
@@ -249,7 +272,14 @@ QUERIES = {
     "live_window": (live_window, with_("obs") + " SELECT station_id, count(*) AS n, min(t) AS first_t FROM obs WHERE t >= (SELECT max(t) FROM obs) - 172800 GROUP BY 1"),
     "facility_monitored": (facility_monitored, "SELECT s_suppkey, EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 49 AND l_suppkey = s_suppkey) AS monitored FROM supplier"),
     "ring_baseline": (ring_baseline, with_("obs", "station", BINNED, _PAIR) + f" SELECT a, bucket, ring, count(*) AS n, round(quantile_cont(smoothed, 0.5), 6) AS median FROM pr JOIN {_RING} ON d >= lo AND (d < hi OR (closed AND d <= hi)) JOIN smoothed ON station_id = b GROUP BY 1, 2, 3"),
-    "lagged_corr": (lagged_corr, with_("obs", "station", BINNED, _PAIR) + """, c AS (SELECT a, b, lag, count(*) AS n, corr(x.smoothed, y.smoothed) AS r FROM pr JOIN smoothed x ON x.station_id = a, (VALUES (-2), (-1), (0), (1), (2)) l(lag), smoothed y
+    "ring_contrasts": (ring_contrasts, with_("obs", "station", BINNED, _PAIR) + f""", rm AS (SELECT a, bucket, ring, quantile_cont(smoothed, 0.5) AS m FROM pr JOIN {_RING} ON d >= lo AND (d < hi OR (closed AND d <= hi)) JOIN smoothed ON station_id = b GROUP BY 1, 2, 3),
+        rc AS (SELECT station_id AS a, s.bucket, smoothed AS value, (SELECT m FROM rm WHERE rm.a = station_id AND rm.bucket = s.bucket AND ring = '1_2') AS near, (SELECT m FROM rm WHERE rm.a = station_id AND rm.bucket = s.bucket AND ring = '2_5') AS far FROM smoothed s)
+        SELECT a, bucket, round(value, 6) AS value, round(near, 6) AS near, round(far, 6) AS far, round(value - near, 6) AS over_near, round(value - far, 6) AS over_far, round(near - far, 6) AS gradient FROM rc"""),
+    "reference_nearest": (reference_nearest, with_("station", _PAIR) + " SELECT a, b, CAST(row_number() OVER (PARTITION BY a ORDER BY d, b) AS INTEGER) AS rank, round(d, 6) AS distance_km FROM pr WHERE d <= 50 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 15"),
+    "regional_outliers": (regional_outliers, with_("obs", BINNED) + """, f AS (SELECT bucket, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(*) AS n FROM binned GROUP BY 1)
+        SELECT station_id, b.bucket, CASE WHEN value > q3 + 1.5 * (q3 - q1) THEN 'high' ELSE 'low' END AS side, round(value, 6) AS value FROM binned b JOIN f USING (bucket) WHERE n >= 4 AND (value > q3 + 1.5 * (q3 - q1) OR value < q1 - 1.5 * (q3 - q1))"""),
+    "prior_peaks": (prior_peaks, None),
+    "lagged_corr": (lagged_corr, with_("obs", "station", BINNED, _PAIR) + """, c AS (SELECT a, b, lag, count(*) AS n, corr(x.smoothed, y.smoothed) AS r FROM pr JOIN smoothed x ON x.station_id = a, range(-4, 5) l(lag), smoothed y
         WHERE d <= 3.0 AND y.station_id = b AND y.bucket = x.bucket + lag * 21600 GROUP BY 1, 2, 3) SELECT a, b, lag, n, round(CASE WHEN n >= 5 AND NOT isnan(r) THEN r END, 6) AS r FROM c"""),
     "spike_morphology": (spike_morphology, None),
     "coverage_grid": (coverage_grid, with_("station", _GAP).replace("WITH ", "WITH RECURSIVE ", 1) + ' SELECT CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, n, coalesce(gap, -1) AS gap FROM fu LEFT JOIN ga ON ga.id = "row" * 13 + col'),

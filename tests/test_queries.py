@@ -81,6 +81,18 @@ def test_spike_morphology_on_the_tables(spark, duck):
     assert got == {s: plain_shape(ps, 3.0, 21_600) for s, ps in series.items()}
 
 
+def test_prior_peaks_on_the_tables(spark, duck):
+    rows = duck.execute("WITH " + views.SQL["obs"] + ", " + views.BINNED + " SELECT station_id, bucket, value, quantile_cont(value, 0.7) OVER (PARTITION BY station_id) FROM binned ORDER BY 1, 2").fetchall()
+    series: dict = {}
+    for s, *p in rows:
+        series.setdefault(s, []).append(tuple(p))
+    want = []
+    for s, points in series.items():
+        kept = plain_peaks(points, 3.0, 43_200)
+        want += [(s, t, sum(t - 7 * 86_400 <= k < t for k in kept), t - kept[i - 1] if i else None) for i, t in enumerate(kept)]
+    assert sorted((r.station_id, r.bucket, r.prior, r.since) for r in CATALOG["prior_peaks"][0](spark, SMALL).collect()) == sorted(want) and len(want) > 50
+
+
 def test_distances(spark):
     st = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 0.0, 1.0)], "station_id long, lat double, lon double")
     got = {(r.a, r.b): r.distance_km for r in spatial.neighbor_pairs(st, 112.0).collect()}
