@@ -22,15 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, text_batches
+from .common import discard, materialise, text_batches, worker_table
 from .words import BYTE_LEVEL_PATTERN, Cut, WordIds
 
 #: Bytes of new pieces replayed at once, and distinct words that a task counts before it sends them on: bounds of memory, without effect on results.
 REPLAY_BYTES, WINDOW = 64_000, 200_000
 #: Words that all tasks are given, how long these may be, and how often a window must meet them. Also without effect on results.
 FREQUENT, LONGEST, LEAST = 100_000, 64, 4
-_REPLAYS: dict[str, MergeReplay] = {}
-_WORDS: dict[str, WordIds] = {}
 
 
 class MergeReplay:
@@ -140,9 +138,7 @@ class MergeReplay:
 
 def replay_of(rank_file: str) -> MergeReplay:
     """The worker's rank table of a file."""
-    if rank_file not in _REPLAYS:
-        _REPLAYS[rank_file] = MergeReplay.from_file(rank_file)
-    return _REPLAYS[rank_file]
+    return worker_table(("bpe", rank_file), lambda: {"replay": MergeReplay.from_file(rank_file)})["replay"]
 
 
 def _many(replay: MergeReplay):
@@ -212,9 +208,10 @@ def encoder(rank_file: str, pattern: str, given: dict[str, bytes]):
             return [b"".join([ids[p] for p in ps]) for ps in split]
 
         return by_pattern
-    if rank_file not in _WORDS or _WORDS[rank_file].given is not given:
-        _WORDS[rank_file] = WordIds(_many(replay), given)
-    return _WORDS[rank_file].encode
+    kept = worker_table(("bpe", rank_file), dict)
+    if "words" not in kept or kept["words"].given is not given:
+        kept["words"] = WordIds(_many(replay), given)
+    return kept["words"].encode
 
 
 def small_batches(b: pd.DataFrame, column: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
@@ -62,6 +62,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000
                 yield b.slice(a, z - a)
 
 
+def worker_table(key: tuple, make: Callable):
+    """What a worker keeps from task to task; it keeps one operator's table at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget_tables() -> None:
+    """Tasks that keep nothing drop what an earlier operator left in their worker."""
+    _KEPT.clear()
+
+
 def text_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session that hands whole texts to Python in batches of ``BATCH_ROWS`` rows, unless its user has set another size.
 
@@ -78,6 +91,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 BATCH_ROWS = 1_000
+_KEPT: dict = {}
 #: Bits of a bitmap for each key, and the power of two of its size at most (16 MB): what a sieve broadcasts.
 BITS_EACH, MOST_BITS, PROBES = 128, 27, 3
 #: At most so many keys can hold more than one row in so many; they are what ``join_hot`` broadcasts.

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, materialise
+from .common import discard, materialise
 
 
 def _mark(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hands its smallest neighbour to its larger neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
-    return join_hot(both, least, "u", 2 * n_edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -34,12 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
     null end are ignored, an empty table gives an empty table. Rounds grow with the
     logarithm of a component's size. Each round is written to the shared folder;
     only a count and a checksum of the edges reach the driver. Star centres with
-    very many leaves are summed before the shuffle; the few that hold a large share of all edges are broadcast to them.
+    very many leaves are summed before the shuffle, and the joins on them are ordinary joins, which adaptive execution splits where a key is hot.
     """
     now = materialise(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
     while mark[0]:
-        after = materialise(_small_star(_large_star(now, mark[0])))
+        after = materialise(_small_star(_large_star(now)))
         discard(now)
         now, before, mark = after, mark, _mark(after)
         if before == mark:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import ngrams
-from .common import materialise, text_batches
+from .common import forget_tables, materialise, text_batches
 
 #: Bounds of the fit: labelled documents of each class, rounds, and documents passed on per view, class and round.
 LABELLED, ROUNDS, PASSED, SURE = 1000, 3, 100, 0.9
@@ -52,6 +52,7 @@ def views(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Batches of at most ``AT_ONCE`` rows, for a row's features are larger than the row."""
+    forget_tables()
     for b in batches:
         for at in range(0, len(b), AT_ONCE):
             yield b.iloc[at : at + AT_ONCE]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialise, sieve, slices, text_batches
+from .common import forget_tables, join_hot, materialise, sieve, slices, text_batches
 from .components import components
 
 SEED = 42
@@ -88,6 +88,7 @@ def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_co
     names = ["node", "f0", "f1", "size"] if sets else ["node", "f0"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for b in slices(batches, "text"):
             texts = b.column("text").to_pylist()
             if sets:

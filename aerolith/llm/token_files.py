@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, shared_dir, slices, text_batches
+from .common import discard, materialise, shared_dir, slices, text_batches, worker_table
 from .words import WordIds
 
 MAGIC = b"AETOKID1"
@@ -48,7 +48,6 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
-_ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -76,9 +75,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> Encoder:
         """The worker's encoder of a file."""
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+        return worker_table(("tokens", path), lambda: cls(path))
 
     def _whole(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

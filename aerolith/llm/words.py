@@ -17,7 +17,7 @@ import regex
 #: Fixed value: the pattern of byte-level pre-tokenizers, for which the above holds.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a worker keeps in one generation; it holds two. A memory bound, without effect on results.
-KEPT_WORDS = 120_000
+KEPT_WORDS = 90_000
 #: Fixed value: ASCII marks that the pattern takes in one run; the apostrophe may begin a piece of its own.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A place where a text must not be cut: a space beside other white space or at an end.
