@@ -28,7 +28,9 @@ from .words import BYTE_LEVEL_PATTERN, Cut, WordIds
 #: Bytes of new pieces replayed at once, and distinct words that a task counts before it sends them on: bounds of memory, without effect on results.
 REPLAY_BYTES, WINDOW = 64_000, 200_000
 #: Words that all tasks are given, how long these may be, and how often a window must meet them. Also without effect on results.
-FREQUENT, LONGEST, LEAST = 100_000, 64, 4
+FREQUENT, LONGEST, LEAST = 40_000, 64, 4
+#: Words whose ids a worker keeps in one generation, fewer than usual as the rank table needs room too.
+KEPT = 50_000
 
 
 class MergeReplay:
@@ -210,11 +212,11 @@ def encoder(rank_file: str, pattern: str, given: dict[str, bytes]):
         return by_pattern
     kept = worker_table(("bpe", rank_file), dict)
     if "words" not in kept or kept["words"].given is not given:
-        kept["words"] = WordIds(_many(replay), given)
+        kept["words"] = WordIds(_many(replay), given, kept=KEPT)
     return kept["words"].encode
 
 
-def small_batches(b: pd.DataFrame, column: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def small_batches(b: pd.DataFrame, column: str, chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Cuts a batch so that each part has about so many characters at most, one row at least."""
     sizes = b[column].map(lambda x: len(x) if x else 0).to_numpy().cumsum()
     if len(b):

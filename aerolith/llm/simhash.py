@@ -29,7 +29,7 @@ SEED = 42
 #: Members of a key that one comparison holds at once; larger groups are cut into pairs of chunks.
 CHUNK = 1024
 #: Shingles of all texts of a chunk, in the mean.
-CHUNK_SHINGLES = 2_000_000
+CHUNK_SHINGLES = 500_000
 #: Shingles that are hashed at once, so that a very long text needs no more memory than this.
 STRETCH = 1 << 16
 

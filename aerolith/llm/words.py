@@ -89,8 +89,8 @@ class WordIds:
     looked up; Arrow tells them apart and puts their ids in the texts' order.
     """
 
-    def __init__(self, many: Callable[[list[str]], list[bytes]], given: dict[str, bytes] | None = None, whole: tuple[str, ...] = (), alone: Callable[[str], bytes] | None = None):
-        self.many, self.given, self.whole, self.alone = many, given or {}, whole, alone
+    def __init__(self, many: Callable[[list[str]], list[bytes]], given: dict[str, bytes] | None = None, whole: tuple[str, ...] = (), alone: Callable[[str], bytes] | None = None, kept: int | None = None):
+        self.kept, self.many, self.given, self.whole, self.alone = kept or KEPT_WORDS, many, given or {}, whole, alone
         self.find = regex.compile(BYTE_LEVEL_PATTERN).findall
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -142,7 +142,7 @@ class WordIds:
                 make.append(i)
         for i, v in zip(make, self._ids([" " + words[i] for i in make]), strict=True):
             found[i] = v
-        if len(self.words) > KEPT_WORDS:
+        if len(self.words) > self.kept:
             # what no batch of a generation asks for is forgotten
             self.old, self.words = self.words, {}
         self.words.update([(words[i], found[i]) for i in new])
