@@ -1,5 +1,6 @@
 """The driver's entry module with and without the training-data subpackage."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -22,7 +23,11 @@ def test_queries_load_without_the_subpackage(tmp_path, gone):
         elif path.exists():
             path.unlink()
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q); print(*q)"
-    names = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+    # what the child finds must come from its own folder, so it gets no path that holds the repository
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and Path(p).resolve() not in (ROOT, ROOT / "src")]
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join(paths)}
+    names = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.split()
     assert "anomaly_rows" in names
-    if gone:
-        assert "pipeline" not in names and not [n for n in names if n.startswith("op")]
+    there = {n: (tmp_path / n).exists() for n in ("aerolith/llm", "corpus_pipeline.py")}
+    assert ("pipeline" in names) == all(there.values())
+    assert bool([n for n in names if n.startswith("op")]) == there["aerolith/llm"]
