@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, merkle, mtree, pii, quality, secrets, simhash, token_files
+from . import bpe, chat, decontaminate, langid, merkle, mtree, pii, quality, quantise, secrets, simhash, token_files
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_secret_scan": secrets.op10_secret_scan,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_vector_codes": quantise.op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": chat.ORACLE_SQL,
     "op4_decontamination": decontaminate.ORACLE_SQL,
     "op7_exact_top_k": mtree.ORACLE_SQL,
     "op12_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_vector_codes": quantise.ORACLE_SQL,
 }
