@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, merkle, mtree, pii, quality, quantise, secrets, simhash, token_files
+from . import bpe, chat, decontaminate, langid, merkle, mtree, pii, quality, quantise, secrets, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_quality": quality.op9_quality,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_vector_codes": quantise.op13_vector_codes,
 }
