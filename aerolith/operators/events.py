@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import asin, cos, radians, sin, sqrt
 
 import pandas as pd
@@ -76,77 +77,150 @@ def _km(a: dict, b: dict) -> float:
     return 2 * EARTH_KM * asin(min(1.0, sqrt(h)))
 
 
-def linkable(stats: DataFrame, cfg: EventConfig) -> DataFrame:
-    """(u, v) of clusters that may follow each other: up to ``max_gap_bins`` silent bins apart, with a shared member, close centroids or close members.
+def linkable(earlier: DataFrame, later: DataFrame, cfg: EventConfig) -> DataFrame:
+    """(u, v) of clusters ``v`` of ``later`` that may follow ``u`` of ``earlier``: up to ``max_gap_bins`` silent bins apart, with a shared member, close centroids or close members.
 
     All three are equi-joins on the bin: by station, and by cells of the two distances.
     """
     here = F.struct("bucket", "cluster_station")
-    later = F.explode(F.array(*[F.col("bucket") + k * cfg.bin_seconds for k in range(1, cfg.max_gap_bins + 2)])).alias("at")
-    points = stats.select(here.alias("v"), F.col("bucket").alias("at"), F.explode("points").alias("p"))
-    before = stats.select(here.alias("u"), later, F.col("points")).select("u", "at", F.explode("points").alias("p"))
+    ahead = F.explode(F.array(*[F.col("bucket") + k * cfg.bin_seconds for k in range(1, cfg.max_gap_bins + 2)])).alias("at")
+    points = later.select(here.alias("v"), F.col("bucket").alias("at"), F.explode("points").alias("p"))
+    before = earlier.select(here.alias("u"), ahead, F.col("points")).select("u", "at", F.explode("points").alias("p"))
     shared = before.select("u", "at", "p.station_id").join(points.select("v", "at", "p.station_id"), ["at", "station_id"]).select("u", "v")
     near = distance_join(before.select("u", "at", F.col("p.lat").alias("a_lat"), F.col("p.lon").alias("a_lon")), points.select("v", "at", F.col("p.lat").alias("b_lat"), F.col("p.lon").alias("b_lon")), cfg.member_km, ["at"])
-    first = stats.select(here.alias("u"), later, F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    centres = distance_join(first, stats.select(here.alias("v"), F.col("bucket").alias("at"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), cfg.centroid_km, ["at"])
+    first = earlier.select(here.alias("u"), ahead, F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    centres = distance_join(first, later.select(here.alias("v"), F.col("bucket").alias("at"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), cfg.centroid_km, ["at"])
     return shared.union(near.select("u", "v")).union(centres.select("u", "v")).distinct()
 
 
 class Linker:
-    """The state of the events of one family of clusters: which are active, and where each was last."""
+    """The events of one family of clusters that a later cluster may still follow: what is over is forgotten.
+
+    An event is named by the bin and station of its first cluster, so names sort by start. ``live`` has the last cluster of each.
+    """
 
     def __init__(self, cfg: EventConfig):
-        self.cfg, self.events = cfg, {}
+        self.cfg, self.live, self.at = cfg, {}, {}
+
+    def put(self, event: tuple, cluster: dict) -> None:
+        old = self.live.get(event)
+        if old is not None:
+            self.at.pop((old["bucket"], old["cluster_station"]), None)
+        self.live[event] = cluster
+        self.at[cluster["bucket"], cluster["cluster_station"]] = event
+
+    def drop(self, event: tuple) -> None:
+        last = self.live.pop(event)
+        self.at.pop((last["bucket"], last["cluster_station"]), None)
+
+    def bin(self, bucket: int, found: list[dict]) -> tuple[list[tuple], list[tuple]]:
+        """Links the clusters of one bin, whose ``near`` names the earlier clusters that each may follow.
 
-    def bin(self, index: int, found: list[dict]) -> list[tuple[tuple[int, int], dict]]:
-        """Links the clusters of one bin; returns (event, cluster) pairs. An event is named by its first cluster, so names sort by start."""
-        live = {k: e for k, e in self.events.items() if not e["merged_into"] and index - e["index"] <= self.cfg.max_gap_bins + 1}
-        links = {c["cluster_station"]: [k for k, e in live.items() if self._close(e["last"], c)] for c in found}
+        Returns (event, cluster) pairs, and the changes of the bin: (event, "merged_into" or "split_from", other event).
+        """
+        for k in [k for k, c in self.live.items() if bucket - c["bucket"] > (self.cfg.max_gap_bins + 1) * self.cfg.bin_seconds]:
+            self.drop(k)
+        links = {c["cluster_station"]: sorted(self.at[u] for u in c["near"] if u in self.at) for c in found}
         heirs: dict[tuple, dict] = {}
-        for k, e in live.items():
-            mine = [c for c in found if k in links[c["cluster_station"]]]
-            if mine:
-                last = e["last"]
-                heirs[k] = min(mine, key=lambda c: (-len(set(c["members"]) & set(last["members"])), _km(last, c), -c["strength"], c["cluster_station"]))
-        out = []
+        for k in sorted({k for ks in links.values() for k in ks}):
+            last, mine = self.live[k], [c for c in found if k in links[c["cluster_station"]]]
+            heirs[k] = min(mine, key=lambda c: (-len(set(c["members"]) & set(last["members"])), _km(last, c), -c["strength"], c["cluster_station"]))
+        out, changes = [], []
         for c in found:
             own = sorted(k for k, h in heirs.items() if h is c)
             lost = [k for k in links[c["cluster_station"]] if k not in own]
             keep = own[0] if own else (c["bucket"], c["cluster_station"])
+            changes += [(k, "merged_into", keep) for k in own[1:]]
+            if not own and lost:
+                changes.append((keep, "split_from", max(lost)))
+            out.append((keep, c, own))
+        for keep, c, own in out:  # only now, as the events of a bin are linked to those of the bins before
             for k in own[1:]:
-                self.events[k]["merged_into"] = keep
-            if not own:
-                self.events[keep] = {"merged_into": None, "split_from": max(lost) if lost else None}
-            self.events[keep] |= {"last": c, "index": index}
-            out.append((keep, c))
-        return out
+                self.drop(k)
+        for keep, c, _ in out:
+            self.put(keep, c)
+        return [(k, c) for k, c, _ in out], changes
 
-    def _close(self, a: dict, b: dict) -> bool:
-        return bool(set(a["members"]) & set(b["members"])) or _km(a, b) <= self.cfg.centroid_km or any(_km(p, q) <= self.cfg.member_km for p in a["points"] for q in b["points"])
 
+STATE = ["bucket", "cluster_station", "members", "points", "lat", "lon", "strength"]
 
-def link_events(stats: DataFrame, cfg: EventConfig) -> DataFrame:
-    """(event_id, bucket, cluster_station, merged_into, split_from) for every eligible cluster.
 
-    Linking is a state machine over bins in order: an event takes the cluster that shares most members with its last
-    one; the others it touches start events that split from it; events that take the same cluster merge into the
-    earliest. Clusters that can't follow each other don't affect each other: the state machine runs for each connected family of
-    ``linkable`` clusters by itself, however many bins the table has. An event is named by the bin and station of its first cluster.
+def link_step(clusters: DataFrame, live: DataFrame | None, cfg: EventConfig) -> tuple[DataFrame, DataFrame]:
+    """Links clusters to each other and to events that were live before them: (steps, live).
+
+    ``steps`` has a row for each cluster (kind ``cluster``: event_id, bucket, cluster_station) and one for each merge or split (kind ``merged_into`` or ``split_from``:
+    event_id, bucket, other). ``live`` has the events that clusters after these may still follow, each with its last cluster; it is what the next step starts from, and all
+    that it needs of the past. All clusters must be of later bins than those of ``live``.
+
+    Linking is a state machine over bins in order: an event takes the cluster that shares most members with its last one; the others it touches start events that split from
+    it; events that take the same cluster merge into the earliest. Clusters that can't follow each other don't affect each other, so the state machine runs for each
+    connected family by itself. A family's rows come to its task sorted by bin and are read as they come: however long it lives, the task holds its live events and one bin.
     """
-    eligible = cut(stats.where("eligible").select("bucket", "cluster_station", "members", "points", "lat", "lon", "strength"))
+    new = clusters.select(*STATE).withColumn("event_id", F.lit(None).cast("string"))
+    both = new if live is None else new.unionByName(live.select(*STATE, "event_id"))
+    both = cut(both)
+    new = both.where("event_id is null")
+    links = cut(linkable(both, new, cfg))
     here = F.struct("bucket", "cluster_station")
-    families = components(eligible.select(here.alias("id")), linkable(eligible, cfg)).select("id.bucket", "id.cluster_station", F.col("root").alias("family"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        linker, rows = Linker(cfg), []
-        name = lambda k: None if k is None else f"evt-{k[0]:012d}-{k[1]:06d}"
-        for bucket, group in pdf.sort_values(["bucket", "cluster_station"]).groupby("bucket", sort=True):
-            rows += [(k, int(bucket), int(c["cluster_station"])) for k, c in linker.bin(int(bucket) // cfg.bin_seconds, group.to_dict("records"))]
-        made = [(name(k), b, c, name(linker.events[k]["merged_into"]), name(linker.events[k]["split_from"])) for k, b, c in rows]
-        return pd.DataFrame(made, columns=["event_id", "bucket", "cluster_station", "merged_into", "split_from"])
-
-    joined = eligible.join(families, ["bucket", "cluster_station"])
-    return joined.groupBy("family").applyInPandas(run, "event_id string, bucket long, cluster_station long, merged_into string, split_from string")
+    families = components(both.select(here.alias("id")), links).select("id.bucket", "id.cluster_station", F.col("root").alias("family"))
+    near = links.groupBy("v").agg(F.sort_array(F.collect_set("u")).alias("near")).select("v.bucket", "v.cluster_station", "near")
+    rows = both.drop("points").join(families, ["bucket", "cluster_station"]).join(near, ["bucket", "cluster_station"], "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = lambda k: f"evt-{k[0]:012d}-{k[1]:06d}"
+        key = lambda e: tuple(int(x) for x in e.split("-")[1:])
+        linker, family, bucket, found = Linker(cfg), None, None, []
+
+        def close() -> list[tuple]:
+            if not found:
+                return []
+            linked, changes = linker.bin(bucket, found)
+            return [("cluster", name(k), bucket, c["cluster_station"], None) for k, c in linked] + [(kind, name(k), bucket, None, name(o)) for k, kind, o in changes]
+
+        def left() -> list[tuple]:
+            return [("live", name(k), c["bucket"], c["cluster_station"], None) for k, c in linker.live.items()]
+
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                of = (r["family"]["bucket"], r["family"]["cluster_station"])
+                if of != family or r["bucket"] != bucket:
+                    out += close()
+                    found = []
+                if of != family:
+                    out += left()
+                    linker, family = Linker(cfg), of
+                bucket = int(r["bucket"])
+                c = {"bucket": bucket, "cluster_station": int(r["cluster_station"]), "members": r["members"], "lat": r["lat"], "lon": r["lon"], "strength": r["strength"]}
+                if r["event_id"] is not None:
+                    linker.put(key(r["event_id"]), c)
+                else:
+                    found.append(c | {"near": [] if r["near"] is None else [(u["bucket"], u["cluster_station"]) for u in r["near"]]})
+            yield pd.DataFrame(out, columns=COLUMNS).astype({"cluster_station": "Int64"})
+        last = close() + left()
+        yield pd.DataFrame(last, columns=COLUMNS).astype({"cluster_station": "Int64"})
+
+    dealt = rows.repartition("family").sortWithinPartitions("family", "bucket", "cluster_station")
+    made = cut(dealt.mapInPandas(run, "kind string, event_id string, bucket long, cluster_station long, other string"))
+    # events that no cluster after the newest bin may follow are over
+    newest = both.agg(F.max("bucket").alias("_newest"))
+    kept = made.where("kind = 'live'").join(F.broadcast(newest), F.col("bucket") >= F.col("_newest") - cfg.max_gap_bins * cfg.bin_seconds)
+    return made.where("kind <> 'live'"), kept.select("event_id", "bucket", "cluster_station").join(both.drop("event_id"), ["bucket", "cluster_station"])
+
+
+COLUMNS = ["kind", "event_id", "bucket", "cluster_station", "other"]
+
+
+def linked(steps: DataFrame) -> DataFrame:
+    """(event_id, bucket, cluster_station, merged_into, split_from) of all ``steps``: every cluster with what became of its event, and what it came from."""
+    pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("other"))).alias(k)
+    changes = steps.where("kind <> 'cluster'").groupBy("event_id").agg(pick("merged_into"), pick("split_from"))
+    return steps.where("kind = 'cluster'").select("event_id", "bucket", "cluster_station").join(changes, "event_id", "left")
+
+
+def link_events(stats: DataFrame, cfg: EventConfig) -> DataFrame:
+    """(event_id, bucket, cluster_station, merged_into, split_from) for every eligible cluster, all bins in one step; see ``link_step``."""
+    return linked(link_step(stats.where("eligible"), None, cfg)[0])
 
 
 def event_summary(linked: DataFrame, stats: DataFrame, cfg: EventConfig, final: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def _r(*names):
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def _bins(spark, d):
+def smoothed_bins(spark, d):
     return timeseries.smooth(timeseries.bin_last(views.obs(spark, d), COARSE.bin_seconds), COARSE.bin_seconds)
 
 
@@ -29,11 +29,11 @@ def bin_last_value(spark, d):
 
 
 def bin_smooth(spark, d):
-    return _bins(spark, d).select("station_id", "bucket", *_r("smoothed"))
+    return smoothed_bins(spark, d).select("station_id", "bucket", *_r("smoothed"))
 
 
 def temporal_baseline(spark, d):
-    return timeseries.temporal_baseline(_bins(spark, d), COARSE).select("station_id", "bucket", "history_count", *_r("t_median", "t_mad", "temporal_excess", "z_t"), "temporal_status")
+    return timeseries.temporal_baseline(smoothed_bins(spark, d), COARSE).select("station_id", "bucket", "history_count", *_r("t_median", "t_mad", "temporal_excess", "z_t"), "temporal_status")
 
 
 def neighbor_pairs(spark, d):
@@ -82,7 +82,7 @@ def robust_stats_by_key(spark, d):
 
 
 def gap_island_runs(spark, d):
-    flagged = _bins(spark, d).withColumn("high", F.col("smoothed") > 60)
+    flagged = smoothed_bins(spark, d).withColumn("high", F.col("smoothed") > 60)
     return timeseries.islands(flagged, "station_id", "bucket", "high", 21_600).groupBy("station_id").agg(F.count(F.lit(1)).alias("runs"), F.max("n").alias("longest"), F.min("start").alias("first_start"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..config import AnomalyConfig, EventConfig, TraceConfig, WindConfig
 from ..operators import anomaly, backtrace, events, wind
-from ..operators.graph import cut
+from ..operators.graph import cut, shared_dir
+from ..streaming.live import LiveEvents
 from ..functions.geo import toward_deg
 from . import views
 from .views import ANOMALY, BINNED, hav, with_
@@ -33,25 +34,25 @@ def _sr(*names):
     return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
 
 
-def _clusters(spark, d):
+def clusters(spark, d):
     st = views.stations(spark)
     rows = anomaly.anomaly_rows(views.obs(spark, d), st, LOOSE)
     return events.clusters(events.roles(rows, EVENTS), st, EVENTS).join(st, "station_id")
 
 
 def dbscan_clusters(spark, d):
-    return _clusters(spark, d).select("bucket", "station_id", "role", "cluster_station")
+    return clusters(spark, d).select("bucket", "station_id", "role", "cluster_station")
 
 
 STATS = ["lat", "lon", "weighted_lat", "weighted_lon", "spread_km", "max_score", "mean_te", "mean_se", "peak_value", "strength"]
 
 
 def cluster_stats(spark, d):
-    return events.cluster_stats(_clusters(spark, d)).select("bucket", "cluster_station", "member_count", "seed_count", "eligible", *_r(*STATS))
+    return events.cluster_stats(clusters(spark, d)).select("bucket", "cluster_station", "member_count", "seed_count", "eligible", *_r(*STATS))
 
 
 def _linked(spark, d):
-    stats = events.cluster_stats(_clusters(spark, d))
+    stats = events.cluster_stats(clusters(spark, d))
     return events.link_events(stats, EVENTS), stats
 
 
@@ -61,6 +62,21 @@ def event_lifecycle(spark, d):
     return events.event_summary(linked, stats, EVENTS, final)
 
 
+def event_stream(spark, d):
+    """The events of a live stream of the observations, stopped and started anew twice, with a third of the time in each run."""
+    path = shared_dir(spark)
+    o = views.obs(spark, d).select("station_id", "obs_id", F.col("t").cast("long").alias("t"), "value", "quality_flags")
+    span = o.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
+    live = LiveEvents(spark, f"{path}/live", views.stations(spark), LOOSE, EVENTS, late=0)
+    part = F.least(F.floor((F.col("t") - span.low) * 3 / F.lit((span.high or 0) - (span.low or 0) + 1)), F.lit(2))
+    for k in range(3):
+        o.where(part == k).write.parquet(f"{path}/in/{k}")
+        stream = spark.readStream.schema(o.schema).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+        live.start(stream, f"{path}/checkpoint").awaitTermination()
+    live.finish()
+    return live.events()
+
+
 def event_membership(spark, d):
     linked, stats = _linked(spark, d)
     return linked.join(stats, ["bucket", "cluster_station"]).select("event_id", "bucket", F.explode("members").alias("station_id"))
@@ -68,7 +84,7 @@ def event_membership(spark, d):
 
 def event_path(spark, d):
     """Path metrics over a fixed sequence: the clusters named by the same station, as if each were an event."""
-    stats = events.cluster_stats(_clusters(spark, d)).select("cluster_station", "bucket", "lat", "lon")
+    stats = events.cluster_stats(clusters(spark, d)).select("cluster_station", "bucket", "lat", "lon")
     return events.path(stats, ["cluster_station"], EVENTS).select("cluster_station", "bucket", *_r("displacement_km", "bearing_deg", "speed_kmh"))
 
 
@@ -89,7 +105,7 @@ cs AS (SELECT *, least(0.45 * least(greatest(seed_count, 0) / 3, 1) + 0.2 * leas
        CASE WHEN member_count = 1 AND seed_count = 1 THEN 0.3 ELSE 10 END) AS strength FROM cs0 JOIN sp USING (bucket, cluster_station))"""
 
 
-def _cluster_sql(rest: str) -> str:
+def cluster_sql(rest: str) -> str:
     return with_("obs", "station", BINNED, LOOSE_ANOMALY, CLUSTER).replace("WITH ", "WITH RECURSIVE ", 1) + rest
 
 
@@ -155,7 +171,7 @@ def residual_table(spark, d):
 
 
 def _event_members(spark, d):
-    clustered = _clusters(spark, d)
+    clustered = clusters(spark, d)
     linked = events.link_events(events.cluster_stats(clustered), EVENTS)
     return linked.select("event_id", "bucket", "cluster_station").join(clustered, ["bucket", "cluster_station"])
 
@@ -183,7 +199,7 @@ def trace_regions(spark, d):
 
 
 def movement_consistency(spark, d):
-    path = events.cluster_stats(_clusters(spark, d)).select("bucket", "cluster_station", "lat", "lon").withColumn("event_id", F.col("cluster_station").cast("string"))
+    path = events.cluster_stats(clusters(spark, d)).select("bucket", "cluster_station", "lat", "lon").withColumn("event_id", F.col("cluster_station").cast("string"))
     out = backtrace.movement(path, views.weather(spark, d), _wstations(spark), WIND)
     return out.select("event_id", "status", *_r("displacement_km", "observed_deg", "wind_deg", "difference_deg"))
 
@@ -238,11 +254,12 @@ _NOT_OWN = "s.station_id <> p.target"
 _SWEEP = [(r, p, f"_{int(r)}_{int(p)}") for r in RADII for p in POWERS]
 
 _PLAIN = {
-    "dbscan_clusters": (dbscan_clusters, _cluster_sql(" SELECT bucket, station_id, role, cluster_station FROM cl")),
-    "cluster_stats": (cluster_stats, _cluster_sql(f" SELECT bucket, cluster_station, member_count, seed_count, seed_count > 0 AS eligible, {_sr(*STATS)} FROM cs")),
+    "dbscan_clusters": (dbscan_clusters, cluster_sql(" SELECT bucket, station_id, role, cluster_station FROM cl")),
+    "cluster_stats": (cluster_stats, cluster_sql(f" SELECT bucket, cluster_station, member_count, seed_count, seed_count > 0 AS eligible, {_sr(*STATS)} FROM cs")),
     "event_lifecycle": (event_lifecycle, None),
     "event_membership": (event_membership, None),
-    "event_path": (event_path, _cluster_sql(f""", pp AS (SELECT cluster_station, bucket, lat, lon, lag(lat) OVER w AS l1, lag(lon) OVER w AS o1, lag(bucket) OVER w AS t1 FROM cs WINDOW w AS (PARTITION BY cluster_station ORDER BY bucket)),
+    "event_stream": (event_stream, None),
+    "event_path": (event_path, cluster_sql(f""", pp AS (SELECT cluster_station, bucket, lat, lon, lag(lat) OVER w AS l1, lag(lon) OVER w AS o1, lag(bucket) OVER w AS t1 FROM cs WINDOW w AS (PARTITION BY cluster_station ORDER BY bucket)),
         dd AS (SELECT *, 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(lat - l1) / 2), 2) + cos(radians(l1)) * cos(radians(lat)) * pow(sin(radians(lon - o1) / 2), 2)))) AS d,
                ((degrees(atan2(sin(radians(lon - o1)) * cos(radians(lat)), cos(radians(l1)) * sin(radians(lat)) - sin(radians(l1)) * cos(radians(lat)) * cos(radians(lon - o1)))) % 360) + 360) % 360 AS brg FROM pp)
         SELECT cluster_station, bucket, round(CASE WHEN d < 0.1 THEN 0.0 ELSE d END, 6) AS displacement_km, round(CASE WHEN d >= 0.1 THEN brg END, 6) AS bearing_deg,

@@ -9,7 +9,7 @@ from ..functions import labels, parse
 from ..functions.geo import toward_deg
 from ..operators import state
 from . import views
-from .anomaly_queries import _bins
+from .anomaly_queries import smoothed_bins
 from .views import BINNED, with_
 
 LAT0, LON0 = 25.06, 121.45
@@ -131,7 +131,7 @@ def step_changes(spark, d):
 def isolated_spikes(spark, d):
     """Elevated bins whose neighbours right before and right after are there and are not."""
     w = Window.partitionBy("station_id").orderBy("bucket")
-    b = _bins(spark, d).withColumn("high", F.col("value") > 60)
+    b = smoothed_bins(spark, d).withColumn("high", F.col("value") > 60)
     calm = lambda f, step: f("bucket").over(w).eqNullSafe(F.col("bucket") + step) & ~f("high").over(w)
     return b.withColumn("alone", F.col("high") & calm(F.lag, -21_600) & calm(F.lead, 21_600)).where("alone").select("station_id", "bucket")
 
@@ -146,7 +146,7 @@ def bin_coverage(spark, d):
 
 def outside_intervals(spark, d):
     """Bins that lie in no interval of six hours from a fire: a join on time slots, then an anti join."""
-    bins = _bins(spark, d).select("station_id", "bucket")
+    bins = smoothed_bins(spark, d).select("station_id", "bucket")
     fires = views.fires(spark, d).select(F.explode(F.array(F.floor(F.col("t") / 21_600), F.floor(F.col("t") / 21_600) + 1)).alias("slot"), "t").withColumn("bucket", F.col("slot") * 21_600)
     inside = fires.where((F.col("bucket") >= F.col("t")) & (F.col("bucket") <= F.col("t") + 21_600)).select("bucket").distinct()
     return bins.join(inside, "bucket", "left_anti").select("station_id", "bucket")

@@ -11,7 +11,7 @@ from ..operators.graph import shared_dir
 from ..sources.readers import time_range
 from ..streaming.ingest import current, present, running_bins, sliding, write_changes
 from . import views
-from .anomaly_queries import _bins
+from .anomaly_queries import smoothed_bins
 from .views import BINNED, hav, table, with_
 
 BOX = (25.03, 121.42, 25.09, 121.48)
@@ -63,7 +63,7 @@ def stream_sliding(spark, d):
     """Sliding windows of a day, every six hours, over the stream; readings flagged as from the future are left out before the watermark sees them."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    stream = stream.withColumns({"ts": F.col("ts").cast("timestamp"), "station_id": F.pmod("user_id", F.lit(48)), "quality_flags": views._flags(F.col("event_id"))})
+    stream = stream.withColumns({"ts": F.col("ts").cast("timestamp"), "station_id": F.pmod("user_id", F.lit(48)), "quality_flags": views.flags(F.col("event_id"))})
     path = shared_dir(spark)
     write_changes(sliding(present(stream), "1 day", "6 hours"), f"{path}/windows", f"{path}/checkpoint").awaitTermination()
     return current(spark.read.parquet(f"{path}/windows"), ["w", "station_id"]).select("station_id", F.unix_seconds("w.start").alias("start"), "n", F.round("mean", 6).alias("mean"), "high")
@@ -84,13 +84,13 @@ def facility_monitored(spark, d):
 
 def ring_baseline(spark, d):
     pairs = spatial.neighbor_pairs(views.stations(spark), 5.0)
-    values = _bins(spark, d).select(F.col("station_id").alias("b"), "bucket", F.col("smoothed").alias("value"))
+    values = smoothed_bins(spark, d).select(F.col("station_id").alias("b"), "bucket", F.col("smoothed").alias("value"))
     return diagnostics.ring_medians(pairs, values).select("a", "bucket", "ring", "n", *_r("median"))
 
 
 def ring_contrasts(spark, d):
     pairs = spatial.neighbor_pairs(views.stations(spark), 5.0)
-    bins = _bins(spark, d).select("station_id", "bucket", F.col("smoothed").alias("value"))
+    bins = smoothed_bins(spark, d).select("station_id", "bucket", F.col("smoothed").alias("value"))
     medians = diagnostics.ring_medians(pairs, bins.withColumnRenamed("station_id", "b"))
     return diagnostics.ring_contrasts(medians, bins.withColumnRenamed("station_id", "a")).select("a", "bucket", *_r("value", "near", "far", "over_near", "over_far", "gradient"))
 
@@ -102,23 +102,23 @@ def reference_nearest(spark, d):
 
 def regional_outliers(spark, d):
     """Bins whose value is far from those of all stations in the same bin."""
-    return state.regional_outliers(_bins(spark, d).select("station_id", "bucket", "value"), "bucket", "value").select("station_id", "bucket", "side", *_r("value"))
+    return state.regional_outliers(smoothed_bins(spark, d).select("station_id", "bucket", "value"), "bucket", "value").select("station_id", "bucket", "side", *_r("value"))
 
 
 def prior_peaks(spark, d):
-    bins = _bins(spark, d)
+    bins = smoothed_bins(spark, d)
     base = bins.groupBy("station_id").agg(F.percentile("value", F.lit(0.7)).alias("base"))
     return diagnostics.prior_peaks(diagnostics.peaks(bins.join(base, "station_id"), refractory=43_200), 7 * 86_400)
 
 
 def lagged_corr(spark, d):
     pairs = spatial.neighbor_pairs(views.stations(spark), 3.0)
-    out = diagnostics.lagged_correlation(pairs, _bins(spark, d).select("station_id", "bucket", F.col("smoothed").alias("value")), 21_600, LAGS)
+    out = diagnostics.lagged_correlation(pairs, smoothed_bins(spark, d).select("station_id", "bucket", F.col("smoothed").alias("value")), 21_600, LAGS)
     return out.select("a", "b", "lag", "n", *_r("r"))
 
 
 def spike_morphology(spark, d):
-    bins = _bins(spark, d)
+    bins = smoothed_bins(spark, d)
     base = bins.groupBy("station_id").agg(F.percentile("value", F.lit(0.9)).alias("base"))
     return diagnostics.morphology(bins.join(base, "station_id"), step=21_600)
 

@@ -15,13 +15,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("t", F.unix_seconds(F.col("ts").cast("timestamp")))
 
 
-def _flags(k):
+def flags(k):
     return F.concat_ws(";", F.when(k % 29 == 0, "invalid_pm25"), F.when(k % 31 == 0, "future_timestamp_ahead_seconds=12.000"), F.when(k % 3 == 0, "clock_ahead"))
 
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    return e.select(F.pmod("user_id", F.lit(48)).alias("station_id"), F.col("event_id").alias("obs_id"), "t", "value", "event_type", _flags(F.col("event_id")).alias("quality_flags"))
+    return e.select(F.pmod("user_id", F.lit(48)).alias("station_id"), F.col("event_id").alias("obs_id"), "t", "value", "event_type", flags(F.col("event_id")).alias("quality_flags"))
 
 
 def place(df: DataFrame, key: str) -> DataFrame:
