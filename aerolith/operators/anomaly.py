@@ -12,11 +12,11 @@ from .spatial import neighbor_pairs
 from .timeseries import bin_last, smooth, temporal_baseline
 
 
-def anomaly_rows(obs: DataFrame, stations: DataFrame, cfg: AnomalyConfig) -> DataFrame:
+def anomaly_rows(obs: DataFrame, stations: DataFrame, cfg: AnomalyConfig, keep_values: bool = False) -> DataFrame:
     """One row per station and bin, all bins in one plan.
 
     Station pairs don't depend on time: they are found once and joined twice on equal (station, bin) keys. Neighbours are
-    those within the radius, or within the wide one where the radius holds too few.
+    those within the radius, or within the wide one where the radius holds too few. ``keep_values`` keeps their values, in ``neighbor_values``.
     """
     bins = temporal_baseline(smooth(bin_last(obs, cfg.bin_seconds), cfg.bin_seconds), cfg)
     pairs = neighbor_pairs(stations, cfg.wide_radius_km)
@@ -47,6 +47,7 @@ def anomaly_rows(obs: DataFrame, stations: DataFrame, cfg: AnomalyConfig) -> Dat
     out = out.withColumn("spatial_status", F.when(F.col("neighbor_count") >= cfg.min_neighbors, "sufficient").otherwise("insufficient_neighbors"))
     share = F.when(F.col("neighbor_count") > 0, F.col("support_count") / F.col("neighbor_count")).otherwise(0.0)
     out = out.withColumn("support_fraction", share)
+    out = out.withColumn("neighbor_values", F.col("_v")) if keep_values else out
     return flagged(out, cfg).drop("_v", "v1", "v2", "s1", "s2")
 
 

@@ -112,6 +112,41 @@ def counterfactual(fires: DataFrame, stations: DataFrame, rows: DataFrame, rings
     )
 
 
+def without_each(rows: DataFrame, cfg: AnomalyConfig) -> DataFrame:
+    """(station_id, bucket, neighbors, supports, kept, fragile): whether the neighbours support a value, and without how many of them, one at a time, they still do.
+
+    ``rows`` are ``anomaly.anomaly_rows`` with ``neighbor_values``; each list is judged again in its row without one value after the other. Support that hangs on one neighbour is fragile.
+    """
+    def passes(v: Column) -> Column:
+        median = array_median(v)
+        excess = F.col("smoothed") - median
+        return F.coalesce((F.size(v) >= cfg.min_neighbors) & (excess >= cfg.min_excess) & (excess / sigma(array_mad(v, median), cfg.sigma_floor) >= cfg.min_z), F.lit(False))
+
+    v = F.col("neighbor_values")
+    less = F.transform(v, lambda x, i: passes(F.filter(v, lambda y, j: i != j)))
+    out = rows.withColumns({"supports": passes(v), "kept": F.size(F.filter(less, lambda x: x)).cast("long"), "neighbors": F.size(v).cast("long")})
+    return out.select("station_id", "bucket", "neighbors", "supports", "kept", (F.col("supports") & (F.col("kept") < F.col("neighbors"))).alias("fragile"))
+
+
+def matched_controls(fires: DataFrame, stations: DataFrame, bins: DataFrame, cfg: ControlConfig, step: int, days: tuple[int, ...]) -> DataFrame:
+    """Per fire the highest contrast at the same place and time of day on other ``days``: (fire_id, controls, control_contrast, own_contrast, over_control).
+
+    A day counts as a control if a contrast could be measured in it and no other fire within the inner group's reach burnt then; the median of the controls is compared with the
+    fire's own highest contrast. All days are one plan.
+    """
+    moved = fires.select("fire_id", F.explode(F.array(*[F.lit(x) for x in (0, *days)])).alias("day"), "start", "end", "lat", "lon")
+    moved = moved.withColumns({"start": F.col("start") + 86_400 * F.col("day"), "end": F.col("end") + 86_400 * F.col("day"), "own": F.col("fire_id"), "fire_id": F.struct("fire_id", "day")})
+    lines = timeline(moved, stations, bins, cfg, step).where((F.col("bucket") >= F.col("start")) & (F.col("bucket") < F.col("end")))
+    tops = lines.groupBy("fire_id").agg(F.max("contrast").alias("contrast")).where("contrast is not null")
+    width = 86_400
+    a = moved.where("fire_id.day <> 0").select("fire_id", "start", "end", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_slot"))
+    b = fires.select(F.col("fire_id").alias("other"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_slot"))
+    clash = distance_join(a, b, GROUPS[0][2], ["_slot"]).where((F.col("other") != F.col("fire_id.fire_id")) & (F.col("b_start") < F.col("end")) & (F.col("b_end") > F.col("start"))).select("fire_id").distinct()
+    good = tops.join(clash, "fire_id", "left_anti").select("fire_id.*", "contrast")
+    out = good.groupBy("fire_id").agg(F.count_if(F.col("day") != 0).alias("controls"), F.percentile(F.when(F.col("day") != 0, F.col("contrast")), F.lit(0.5)).alias("control_contrast"), F.max(F.when(F.col("day") == 0, F.col("contrast"))).alias("own_contrast"))
+    return out.withColumn("over_control", F.col("own_contrast") - F.col("control_contrast"))
+
+
 def _behaviour(n: str, up: str, cfg: ControlConfig) -> Column:
     return F.when(F.coalesce(F.col(n), F.lit(0)) < cfg.least, "INSUFFICIENT_DATA").when(F.col(up) >= cfg.share * F.col(n), "REGIONAL_BACKGROUND_CONTAMINATION").otherwise("NO_REGIONAL_BACKGROUND_RISE")
 
@@ -128,7 +163,7 @@ def reference_control(fires: DataFrame, sites: DataFrame, measured: DataFrame, c
 def classify(lines: DataFrame, fires: DataFrame, production: DataFrame, reference: DataFrame, tested: DataFrame, cfg: ControlConfig) -> DataFrame:
     """One row for each fire: peaks and contrasts while it burns, both regional controls, what the rings say, whether its surroundings contaminate the baseline, and its class.
 
-    ``lines`` is ``timeline``; ``production`` (bucket, baseline) has the median of all sensors' spatial baselines in each bin; ``reference`` and ``tested`` are ``reference_control`` and
+    ``lines`` is ``timeline``; ``production`` (bucket, baseline) has the median of all sensors' spatial baselines of each bin; ``reference`` and ``tested`` are ``reference_control`` and
     ``counterfactual``. A fire without a bin in which an inner sensor and ``least`` outer ones have values has insufficient data. Fires without any sensor nearby have nulls and zeros.
     """
     t, active = F.col("bucket"), (F.col("bucket") >= F.col("start")) & (F.col("bucket") < F.col("end"))
@@ -146,6 +181,16 @@ def classify(lines: DataFrame, fires: DataFrame, production: DataFrame, referenc
         F.count_if(known >= cfg.rise).alias("outer_up"),
         F.percentile(known, F.lit(0.5)).alias("outer_delta"),
     )
-    # the production baseline has every bin, whether or not the fire has a sensor in it
-    spans = fires.select("fire_id", "start", "end").withColumn("one", F.lit(0)).join(F.broadcast(production.agg(F.array_sort(F.collect_list(F.struct("bucket", "baseline"))).alias("p")).withColumn("one", F.lit(0))), "one").drop("one")
-    return sums, spans, pre
+    slot = cfg.before + cfg.after
+    spans = fires.select("fire_id", "start", "end").withColumn("_slot", F.explode(F.sequence(F.floor((F.col("start") - cfg.before) / slot), F.floor(F.col("end") / slot))))
+    part = lambda when: F.percentile(F.when(when, F.col("baseline")), F.lit(0.5))
+    based = spans.join(production.withColumn("_slot", F.floor(t / slot)), "_slot").groupBy("fire_id").agg((part(active) - part(pre)).alias("baseline_rise"))
+    out = fires.select("fire_id").join(sums, "fire_id", "left").join(based, "fire_id", "left").join(reference, "fire_id", "left").join(tested, "fire_id", "left")
+    out = out.fillna(0, ["usable", "outer_bins", "outer_up", "sites", "sites_up", *[c for c in tested.columns if c != "fire_id"]])
+    out = out.withColumns({"outer_control": _behaviour("outer_bins", "outer_up", cfg), "reference_control": _behaviour("sites", "sites_up", cfg)})
+    few = (F.col("outer_control") == "INSUFFICIENT_DATA") | (F.col("reference_control") == "INSUFFICIENT_DATA")
+    regional = F.when(few, "INSUFFICIENT_DATA").when((F.col("outer_control") == F.col("reference_control")) & (F.col("outer_control") == "REGIONAL_BACKGROUND_CONTAMINATION"), "REGIONAL_BACKGROUND_CONTAMINATION").otherwise("NO_REGIONAL_BACKGROUND_RISE")
+    high = F.coalesce(F.col("max_contrast") >= cfg.contrast, F.lit(False))
+    contaminated = F.when(F.col("baseline_rise").isNull() | ~high, "AMBIGUOUS").when(F.col("baseline_rise") >= cfg.rise, "YES").otherwise("NO")
+    kind = F.when(F.col("usable") == 0, "INSUFFICIENT_DATA").when(F.col("regional") == "REGIONAL_BACKGROUND_CONTAMINATION", F.col("regional")).when(high, "LOCAL_CONTRAST_PRESENT").otherwise("NO_LOCAL_CONTRAST")
+    return out.withColumn("regional", regional).withColumns({"contamination": contaminated, "class": kind})
