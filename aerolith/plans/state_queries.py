@@ -28,7 +28,7 @@ def fire_response(spark, d):
     return out.select("fire_id", "station_id", "n", "response", *_r("baseline", "during", "post", "peak", "delta"))
 
 
-def _windy_fires(spark, d):
+def windy_fires(spark, d):
     """Fires with a wind of their own, from their key; every tenth is still."""
     f = views.fires(spark, d).select("fire_id", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), F.col("frp"))
     still = F.col("fire_id") % 10 == 0
@@ -36,7 +36,7 @@ def _windy_fires(spark, d):
 
 
 def fire_wind_relation(spark, d):
-    f = _windy_fires(spark, d)
+    f = windy_fires(spark, d)
     a = f.withColumns({"a_lat": F.col("f_lat"), "a_lon": F.col("f_lon")})
     b = views.stations(spark).withColumns({"b_lat": F.col("lat"), "b_lon": F.col("lon")})
     out = diagnostics.wind_relation(spatial.distance_join(a, b, 3.0).where("distance_km > 0.01"))
@@ -44,7 +44,7 @@ def fire_wind_relation(spark, d):
 
 
 def _fire_responses(spark, d):
-    fires = _windy_fires(spark, d)
+    fires = windy_fires(spark, d)
     out = diagnostics.event_response(views.obs(spark, d), views.fires(spark, d), views.stations(spark), 3.0, 6.0, 24 * HOUR, 12 * HOUR, 24 * HOUR)
     sides = diagnostics.wind_relation(out.join(fires, "fire_id").join(views.stations(spark), "station_id"))
     return sides.drop("f_lat", "f_lon", "lat", "lon", "frp")
