@@ -2,13 +2,14 @@
 
 Every receptor of an event starts particles at its own time. At each step back they move against the wind interpolated at
 their place and minute, and against an error of it, drawn from the validation's residuals and kept for a block of time.
-The winds of a receptor's hour are a snapshot of the stations at each step, so a task needs one receptor's rows only.
+Where the wind comes from is the user's choice: from stations (``Measured``), whose winds at each step are a snapshot in the receptor's row, so a task needs one receptor's rows only; or from a
+function (``Given``).
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -86,18 +87,77 @@ def _bucket_index(km: np.ndarray) -> np.ndarray:
     return np.select([np.isnan(km), km <= 3, km <= 5, km <= 10], [0, 1, 2, 3], 4)
 
 
-def snapshots(seeds: DataFrame, obs: DataFrame, stations: DataFrame, cfg: TraceConfig, wcfg: WindConfig) -> DataFrame:
-    """``seeds`` with ``field``: for each step the stations' winds at its time. Stations are a dimension, and the steps are of a fixed number."""
-    steps = cfg.minutes * 60 // cfg.dt_seconds
-    asked = seeds.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("at", F.col("seed_t") - F.col("step") * cfg.dt_seconds)
-    have = wind.temporal_select(obs, asked.select("at"), wcfg).join(stations.select("station_id", "lat", "lon"), "station_id")
-    row = F.struct("station_id", "lat", "lon", "u", "v", F.col("calm").cast("double").alias("calm"), F.col("offset_s").cast("double").alias("offset"), (F.col("kind") == "nearest_only").cast("double").alias("one_sided"))
-    then = have.groupBy("at").agg(F.array_sort(F.collect_list(row)).alias("winds"))
-    keys = seeds.columns
-    return asked.join(then, "at", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", "winds"))).alias("field"))
+class Measured:
+    """The wind as stations measured it, interpolated at a particle's place and time."""
+
+    def __init__(self, obs: DataFrame, stations: DataFrame, cfg: WindConfig):
+        self.obs, self.stations, self.cfg = obs, stations, cfg
+
+    def fields(self, seeds: DataFrame, cfg: TraceConfig, box: tuple[float, float, float, float]) -> DataFrame:
+        """``seeds`` with ``field``: for each step the winds at its time of the stations that a particle in the box (west, south, east, north in degrees) can use. The steps are of a fixed number."""
+        pad = self.cfg.max_km / 110.0
+        west, south, east, north = box
+        lon_pad = pad / max(0.1, float(np.cos(np.radians(max(abs(south), abs(north))))))
+        near = self.stations.where(F.col("lat").between(south - pad, north + pad) & F.col("lon").between(west - lon_pad, east + lon_pad)).select("station_id", "lat", "lon")
+        steps = cfg.minutes * 60 // cfg.dt_seconds
+        asked = seeds.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("at", F.col("seed_t") - F.col("step") * cfg.dt_seconds)
+        have = wind.temporal_select(self.obs.join(near.select("station_id"), "station_id", "left_semi"), asked.select("at"), self.cfg).join(near, "station_id")
+        row = F.struct("station_id", "lat", "lon", "u", "v", F.col("calm").cast("double").alias("calm"), F.col("offset_s").cast("double").alias("offset"), (F.col("kind") == "nearest_only").cast("double").alias("one_sided"))
+        then = have.groupBy("at").agg(F.array_sort(F.collect_list(row)).alias("winds"))
+        return asked.join(then, "at", "left").groupBy(*seeds.columns).agg(F.array_sort(F.collect_list(F.struct("step", "winds"))).alias("field"))
+
+    def at(self) -> Callable:
+        """(field, step, lat, lon, t) -> wind (u, v), nearest station and quality; what tasks are given."""
+        cfg, columns = self.cfg, ("lat", "lon", "u", "v", "calm", "offset", "one_sided")
+
+        def found(field, step: int, lat: np.ndarray, lon: np.ndarray, t: int):
+            got = next((f["winds"] for f in field if f["step"] == step), None)
+            then = np.array([[w[c] for c in columns] for w in got], dtype=float) if got is not None and len(got) else np.zeros((0, 7))
+            return estimate(lat, lon, then, cfg)
+
+        return found
+
+
+class Given:
+    """A wind that the user gives: ``wind(lat, lon, t)`` takes arrays of degrees and a time in seconds, and returns arrays u and v in metres a second, NaN where it knows none.
+
+    It is asked in tasks, for each place and minute once a task: places are rounded to ``decimals`` of a degree, times to whole minutes. A wind that is a table is no function: hand its points to
+    ``Measured`` as stations.
+    """
+
+    def __init__(self, wind: Callable, decimals: int = 4, most: int = 1_000_000):
+        self.wind, self.decimals, self.most = wind, decimals, most
+
+    def fields(self, seeds: DataFrame, cfg: TraceConfig, box: tuple[float, float, float, float]) -> DataFrame:
+        return seeds.withColumn("field", F.lit(None).cast("string"))
+
+    def at(self) -> Callable:
+        given, decimals, most, known = self.wind, self.decimals, self.most, {}
+
+        def found(field, step: int, lat: np.ndarray, lon: np.ndarray, t: int):
+            minute = int(t) // 60 * 60
+            keys = list(zip(np.round(lat, decimals).tolist(), np.round(lon, decimals).tolist(), strict=True))
+            new = [k for k in dict.fromkeys(keys) if (*k, minute) not in known]
+            if new:
+                if len(known) > most:
+                    known.clear()
+                    new = list(dict.fromkeys(keys))
+                places = np.array(new)
+                u, v = given(places[:, 0], places[:, 1], minute)
+                known.update({(*k, minute): w for k, w in zip(new, zip(np.broadcast_to(u, len(new)).tolist(), np.broadcast_to(v, len(new)).tolist(), strict=True), strict=True)})
+            uv = np.array([known[(*k, minute)] for k in keys], dtype=float).reshape(-1, 2)
+            # a wind without stations counts as near and good
+            return uv[:, 0], np.where(np.isnan(uv[:, 0]), np.nan, uv[:, 1]), np.zeros(len(uv)), np.full(len(uv), len(QUALITIES) - 1)
+
+        return found
+
+
+def even(u: float, v: float) -> Given:
+    """The same wind everywhere and always."""
+    return Given(lambda lat, lon, t: (np.full(len(lat), u), np.full(len(lat), v)))
 
 
-def trace(seeds: DataFrame, obs: DataFrame, stations: DataFrame, pool: dict, cfg: TraceConfig, wcfg: WindConfig, lat0: float, lon0: float, extent: tuple[float, float, float, float]) -> DataFrame:
+def trace(seeds: DataFrame, source: Measured | Given, pool: dict, cfg: TraceConfig, lat0: float, lon0: float, extent: tuple[float, float, float, float]) -> DataFrame:
     """(event_id, station_id, ci, cj, at, hits, ended, source): where each receptor's particles passed, and how they ended.
 
     ``seeds`` has event_id, station_id, seed_t, lat, lon; ``extent`` is west, south, east, north in metres from the origin. Rows with a cell count the
@@ -109,6 +169,7 @@ def trace(seeds: DataFrame, obs: DataFrame, stations: DataFrame, pool: dict, cfg
     west, south, east, north = extent
     chosen = {(i, j): fallback(pool, b, q) for i, b in enumerate(BUCKETS) for j, q in enumerate(QUALITIES)}
     columns = ["event_id", "station_id", "ci", "cj", "at", "hits", "ended", "source"]
+    wind_at = source.at()
 
     def one(event_id: str, station: int, t0, lat, lon, field) -> list[tuple]:
         rng = np.random.Generator(np.random.Philox(key=[cfg.seed, zlib.crc32(f"{event_id}|{station}".encode())]))
@@ -118,7 +179,6 @@ def trace(seeds: DataFrame, obs: DataFrame, stations: DataFrame, pool: dict, cfg
         def outside(p: np.ndarray) -> np.ndarray:
             return (p[:, 0] < west) | (p[:, 0] > east) | (p[:, 1] < south) | (p[:, 1] > north)
 
-        winds = {f["step"]: f["winds"] for f in field}
         for s in range(steps):
             live = np.flatnonzero(ended == "")
             gone = live[outside(pos[live])]
@@ -126,18 +186,16 @@ def trace(seeds: DataFrame, obs: DataFrame, stations: DataFrame, pool: dict, cfg
             live = live[~np.isin(live, gone)]
             if not len(live):
                 break
-            got = winds.get(s)
-            then = np.array([[w[c] for c in ("lat", "lon", "u", "v", "calm", "offset", "one_sided")] for w in got], dtype=float) if got is not None and len(got) else np.zeros((0, 7))
-            u, v, nearest, quality = estimate(lat0 + pos[live, 1] / M_PER_DEG_LAT, lon0 + pos[live, 0] / k, then, wcfg)
+            u, v, nearest, quality = wind_at(field, s, lat0 + pos[live, 1] / M_PER_DEG_LAT, lon0 + pos[live, 0] / k, t0 - s * dt)
             ended[live[np.isnan(u)]] = "wind_unavailable"
             ok = ~np.isnan(u)
             live, u, v, kind = live[ok], u[ok], v[ok], list(zip(_bucket_index(nearest[ok]).tolist(), quality[ok].tolist(), strict=True))
             if s % per_block == 0:
                 drawn = rng.random(n)[live]
                 for p, of, x in zip(live.tolist(), kind, drawn.tolist(), strict=True):
-                    source, some = chosen[of]
+                    name, some = chosen[of]
                     error[p] = some[int(x * len(some))]
-                    sources[source] = sources.get(source, 0) + 1
+                    sources[name] = sources.get(name, 0) + 1
             pos[live] -= (np.column_stack([u, v]) + error[live]) * dt
             left = outside(pos[live])
             ended[live[left]] = "domain_limit"
@@ -151,10 +209,12 @@ def trace(seeds: DataFrame, obs: DataFrame, stations: DataFrame, pool: dict, cfg
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                rows = one(r.event_id, int(r.station_id), r.seed_t, r.lat, r.lon, r.field)
+                nowhere = any(x is None or np.isnan(x) for x in (r.seed_t, r.lat, r.lon))
+                rows = [(r.event_id, int(r.station_id), None, None, None, n, "wind_unavailable", None)] if nowhere else one(r.event_id, int(r.station_id), r.seed_t, r.lat, r.lon, r.field)
                 yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("ci", "cj", "at")})
 
-    fields = snapshots(seeds.select("event_id", "station_id", "seed_t", "lat", "lon"), obs, stations, cfg, wcfg)
+    box = (lon0 + west / k, lat0 + south / M_PER_DEG_LAT, lon0 + east / k, lat0 + north / M_PER_DEG_LAT)
+    fields = source.fields(seeds.select("event_id", "station_id", "seed_t", "lat", "lon"), cfg, box)
     return fields.repartition("event_id", "station_id").mapInPandas(run, "event_id string, station_id long, ci int, cj int, at long, hits long, ended string, source string")
 
 
@@ -192,8 +252,10 @@ def regions(grid: DataFrame, share: float = 0.6, limit: int = 5, cell_m: float =
     out = each.groupBy("event_id", "root").agg(
         F.count(F.lit(1)).alias("cells"), F.max("score").alias("peak"), F.avg("score").alias("mean"), F.sum("score").alias("total"), centre("ci").alias("x"), centre("cj").alias("y"),
         (F.min("ci") * cell_m).alias("west"), ((F.max("ci") + 1) * cell_m).alias("east"), (F.min("cj") * cell_m).alias("south"), ((F.max("cj") + 1) * cell_m).alias("north"),
-        F.max("support_count").alias("support"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("times")))).alias("times"),
+        F.max("support_count").alias("support"),
     )
+    when = each.select("event_id", "root", F.explode("times").alias("x")).groupBy("event_id", "root").agg(F.array_sort(F.collect_set("x")).alias("times"))
+    out = out.join(when, ["event_id", "root"], "left")
     w = Window.partitionBy("event_id").orderBy(F.desc(F.round("peak", 9)), F.desc(F.round("total", 9)), "root")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("area_km2", F.col("cells") * cell_m * cell_m / 1e6).drop("root")
 

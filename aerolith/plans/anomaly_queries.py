@@ -37,7 +37,7 @@ def temporal_baseline(spark, d):
 
 
 def neighbor_pairs(spark, d):
-    return spatial.neighbor_pairs(views.stations(spark), 4.5).select("a", "b", *_r("distance_km"))
+    return spatial.neighbor_pairs(views.monitors(spark, d), 4.5).select("a", "b", *_r("distance_km"))
 
 
 COLUMNS = ["station_id", "bucket", "obs_id", "value", "history_count", "temporal_status", "neighbor_count", "radius_km", "support_count", "spatial_status", "anomaly_score", "is_candidate", "is_isolated"]
@@ -102,7 +102,7 @@ QUERIES = {
     "bin_last_value": (bin_last_value, with_("obs", BINNED) + " SELECT station_id, bucket, obs_id, t, value FROM binned"),
     "bin_smooth": (bin_smooth, with_("obs", BINNED) + " SELECT station_id, bucket, round(smoothed, 6) AS smoothed FROM smoothed"),
     "temporal_baseline": (temporal_baseline, with_("obs", BINNED) + f" SELECT station_id, bucket, CAST(history_count AS BIGINT) AS history_count, {_sql_round('t_median', 't_mad', 'temporal_excess', 'z_t')}, temporal_status FROM tb"),
-    "neighbor_pairs": (neighbor_pairs, with_("station") + f", p AS (SELECT a.station_id AS a, b.station_id AS b, {hav('a', 'b')} AS d FROM station a, station b WHERE a.station_id <> b.station_id) SELECT a, b, round(d, 6) AS distance_km FROM p WHERE d <= 4.5"),
+    "neighbor_pairs": (neighbor_pairs, with_("monitor") + f", p AS (SELECT a.station_id AS a, b.station_id AS b, {hav('a', 'b')} AS d FROM monitor a, monitor b WHERE a.station_id <> b.station_id) SELECT a, b, round(d, 6) AS distance_km FROM p WHERE d <= 4.5"),
     "anomaly_rows": (anomaly_rows, with_("obs", "station", BINNED, ANOMALY) + f" SELECT * REPLACE (CAST(history_count AS BIGINT) AS history_count, CAST(neighbor_count AS BIGINT) AS neighbor_count, CAST(support_count AS BIGINT) AS support_count) FROM (SELECT {', '.join(COLUMNS)}, {_sql_round(*ROUNDED)} FROM an)"),
     "anomaly_candidates_topk": (anomaly_candidates_topk, with_("obs", "station", BINNED, ANOMALY) + " SELECT station_id, bucket, anomaly_score FROM an WHERE is_candidate ORDER BY anomaly_score DESC, station_id, bucket LIMIT 15"),
     "anomaly_absent": (anomaly_absent, with_("obs", "station", BINNED, ANOMALY) + """, sp AS (SELECT * FROM (SELECT DISTINCT bucket FROM an), (SELECT station_id FROM station)),

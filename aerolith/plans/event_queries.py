@@ -179,7 +179,7 @@ def _event_members(spark, d):
 def _traced(spark, d):
     seeds = cut(backtrace.event_receptors(_event_members(spark, d)))
     pool = backtrace.pools(backtrace.residual_table(_loso(spark, d)))
-    return seeds, cut(backtrace.trace(seeds, views.weather(spark, d), _wstations(spark), pool, TRACE, WIND, LAT0, LON0, EXTENT))
+    return seeds, cut(backtrace.trace(seeds, backtrace.Measured(views.weather(spark, d), _wstations(spark), WIND), pool, TRACE, LAT0, LON0, EXTENT))
 
 
 def trace_terminations(spark, d):

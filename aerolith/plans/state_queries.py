@@ -15,6 +15,8 @@ from .anomaly_queries import smoothed_bins
 from .views import BINNED, hav, table, with_
 
 BOX = (25.03, 121.42, 25.09, 121.48)
+#: South, west, north, east of the monitors.
+COVERED = (24.8, 121.2, 25.43, 121.83)
 HOUR, LAGS = 3600, [-4, -3, -2, -1, 0, 1, 2, 3, 4]
 
 
@@ -97,7 +99,7 @@ def ring_contrasts(spark, d):
 
 def reference_nearest(spark, d):
     """The fifteen nearest stations of each within 50 km."""
-    return spatial.nearest(spatial.neighbor_pairs(views.stations(spark), 50.0), ["a"], 15).select("a", "b", "rank", *_r("distance_km"))
+    return spatial.nearest(spatial.neighbor_pairs(views.monitors(spark, d), 50.0), ["a"], 15).select("a", "b", "rank", *_r("distance_km"))
 
 
 def regional_outliers(spark, d):
@@ -124,12 +126,11 @@ def spike_morphology(spark, d):
 
 
 def coverage_grid(spark, d):
-    box = (25.0, 121.4, 25.12, 121.52)
-    return diagnostics.coverage(views.stations(spark), *box, *spatial.grid_shape(*box)).withColumn("gap", F.coalesce("gap", F.lit(-1)))
+    return diagnostics.coverage(views.monitors(spark, d), *COVERED, *spatial.grid_shape(*COVERED, 2500.0)).withColumn("gap", F.coalesce("gap", F.lit(-1)))
 
 
 def nn_spacing(spark, d):
-    one = spatial.nearest(spatial.neighbor_pairs(views.stations(spark), 10.0), ["a"], 1)
+    one = spatial.nearest(spatial.neighbor_pairs(views.monitors(spark, d), 10.0), ["a"], 1)
     return one.agg(F.count(F.lit(1)).alias("stations"), F.round(F.percentile("distance_km", F.lit(0.5)), 6).alias("median_km"), F.round(F.percentile("distance_km", F.lit(0.9)), 6).alias("p90_km"))
 
 
@@ -157,7 +158,7 @@ def recorder_status(spark, d):
 
 
 def radius_counts(spark, d):
-    return state.counts_within(spatial.neighbor_pairs(views.stations(spark), 5.0), [0.5, 1.0, 2.0, 5.0])
+    return state.counts_within(spatial.neighbor_pairs(views.monitors(spark, d), 5.0), [0.5, 1.0, 2.0, 5.0])
 
 
 def topk_industries(spark, d):
@@ -240,13 +241,16 @@ _RESPONSES = f""", rp AS (SELECT f.fire_id, f.t AS ft, s.station_id, {hav('f', '
             quantile_cont(value, 0.5) FILTER (WHERE d >= 43200) AS post, quantile_cont(value, 0.5) FILTER (WHERE d >= 43200 AND d < 64800) AS post_first, quantile_cont(value, 0.5) FILTER (WHERE d >= 64800 AND d < 86400) AS post_second,
             quantile_cont(value, 0.5) FILTER (WHERE d >= 86400) AS post_last, max(value) FILTER (WHERE d >= 0) AS peak, arg_max(t, (value, -t)) FILTER (WHERE d >= 0) AS peak_t FROM rm GROUP BY 1, 2),
         rs AS (SELECT *, peak - baseline AS excess, during - baseline AS delta, least((brg - toward + 720) % 360, 360 - (brg - toward + 720) % 360) AS off_deg FROM rg)"""
-_GAP = """dn AS (SELECT i // 13 AS "row", i % 13 AS col FROM range(182) r(i)),
-hv AS (SELECT CAST(least(floor((lat - 25.0::DOUBLE) / ((25.12::DOUBLE - 25.0::DOUBLE) / 14)), 13) AS INTEGER) AS "row", CAST(least(floor((lon - 121.4::DOUBLE) / ((121.52::DOUBLE - 121.4::DOUBLE) / 13)), 12) AS INTEGER) AS col, count(*) AS n FROM station WHERE lat BETWEEN 25.0 AND 25.12 AND lon BETWEEN 121.4 AND 121.52 GROUP BY 1, 2),
-fu AS (SELECT dn."row", dn.col, coalesce(n, 0) AS n FROM dn LEFT JOIN hv USING ("row", col)), em AS (SELECT "row" * 13 + col AS id, "row", col FROM fu WHERE n = 0),
+_ROWS, _COLS = spatial.grid_shape(*COVERED, 2500.0)
+_GAP = f"""dn AS (SELECT i // {_COLS} AS "row", i % {_COLS} AS col FROM range({_ROWS * _COLS}) r(i)),
+hv AS (SELECT CAST(least(floor((lat - {COVERED[0]}::DOUBLE) / (({COVERED[2]}::DOUBLE - {COVERED[0]}::DOUBLE) / {_ROWS})), {_ROWS - 1}) AS INTEGER) AS "row", CAST(least(floor((lon - {COVERED[1]}::DOUBLE) / (({COVERED[3]}::DOUBLE - {COVERED[1]}::DOUBLE) / {_COLS})), {_COLS - 1}) AS INTEGER) AS col, count(*) AS n
+    FROM monitor WHERE lat BETWEEN {COVERED[0]} AND {COVERED[2]} AND lon BETWEEN {COVERED[1]} AND {COVERED[3]} GROUP BY 1, 2),
+fu AS (SELECT dn."row", dn.col, coalesce(n, 0) AS n FROM dn LEFT JOIN hv USING ("row", col)), em AS (SELECT "row" * {_COLS} + col AS id, "row", col FROM fu WHERE n = 0),
 eg AS (SELECT a.id AS u, b.id AS v FROM em a JOIN em b ON abs(a."row" - b."row") + abs(a.col - b.col) = 1),
 rr(id, r) AS (SELECT id, id FROM em UNION SELECT eg.v, rr.r FROM rr JOIN eg ON eg.u = rr.id), ga AS (SELECT id, min(r) AS gap FROM rr GROUP BY 1)"""
 _RING = "(VALUES ('1_2', 1.0, 2.0, false), ('1_3', 1.0, 3.0, false), ('2_3', 2.0, 3.0, false), ('2_5', 2.0, 5.0, true)) r(ring, lo, hi, closed)"
 _PAIR = f"pr AS (SELECT a.station_id AS a, b.station_id AS b, {hav('a', 'b')} AS d FROM station a, station b WHERE a.station_id <> b.station_id)"
+_MPAIR = _PAIR.replace("FROM station a, station b", "FROM monitor a, monitor b")
 _LATEST = "la AS (SELECT * FROM obs {where} QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY t DESC, obs_id) = 1)"
 
 QUERIES = {
@@ -275,22 +279,22 @@ QUERIES = {
     "ring_contrasts": (ring_contrasts, with_("obs", "station", BINNED, _PAIR) + f""", rm AS (SELECT a, bucket, ring, quantile_cont(smoothed, 0.5) AS m FROM pr JOIN {_RING} ON d >= lo AND (d < hi OR (closed AND d <= hi)) JOIN smoothed ON station_id = b GROUP BY 1, 2, 3),
         rc AS (SELECT station_id AS a, s.bucket, smoothed AS value, (SELECT m FROM rm WHERE rm.a = station_id AND rm.bucket = s.bucket AND ring = '1_2') AS near, (SELECT m FROM rm WHERE rm.a = station_id AND rm.bucket = s.bucket AND ring = '2_5') AS far FROM smoothed s)
         SELECT a, bucket, round(value, 6) AS value, round(near, 6) AS near, round(far, 6) AS far, round(value - near, 6) AS over_near, round(value - far, 6) AS over_far, round(near - far, 6) AS gradient FROM rc"""),
-    "reference_nearest": (reference_nearest, with_("station", _PAIR) + " SELECT a, b, CAST(row_number() OVER (PARTITION BY a ORDER BY d, b) AS INTEGER) AS rank, round(d, 6) AS distance_km FROM pr WHERE d <= 50 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 15"),
+    "reference_nearest": (reference_nearest, with_("monitor", _MPAIR) + " SELECT a, b, CAST(row_number() OVER (PARTITION BY a ORDER BY d, b) AS INTEGER) AS rank, round(d, 6) AS distance_km FROM pr WHERE d <= 50 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 15"),
     "regional_outliers": (regional_outliers, with_("obs", BINNED) + """, f AS (SELECT bucket, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(*) AS n FROM binned GROUP BY 1)
         SELECT station_id, b.bucket, CASE WHEN value > q3 + 1.5 * (q3 - q1) THEN 'high' ELSE 'low' END AS side, round(value, 6) AS value FROM binned b JOIN f USING (bucket) WHERE n >= 4 AND (value > q3 + 1.5 * (q3 - q1) OR value < q1 - 1.5 * (q3 - q1))"""),
     "prior_peaks": (prior_peaks, None),
     "lagged_corr": (lagged_corr, with_("obs", "station", BINNED, _PAIR) + """, c AS (SELECT a, b, lag, count(*) AS n, corr(x.smoothed, y.smoothed) AS r FROM pr JOIN smoothed x ON x.station_id = a, range(-4, 5) l(lag), smoothed y
         WHERE d <= 3.0 AND y.station_id = b AND y.bucket = x.bucket + lag * 21600 GROUP BY 1, 2, 3) SELECT a, b, lag, n, round(CASE WHEN n >= 5 AND NOT isnan(r) THEN r END, 6) AS r FROM c"""),
     "spike_morphology": (spike_morphology, None),
-    "coverage_grid": (coverage_grid, with_("station", _GAP).replace("WITH ", "WITH RECURSIVE ", 1) + ' SELECT CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, n, coalesce(gap, -1) AS gap FROM fu LEFT JOIN ga ON ga.id = "row" * 13 + col'),
-    "nn_spacing": (nn_spacing, with_("station", _PAIR) + ", m AS (SELECT a, min(d) AS d FROM pr GROUP BY 1) SELECT count(*) AS stations, round(quantile_cont(d, 0.5), 6) AS median_km, round(quantile_cont(d, 0.9), 6) AS p90_km FROM m WHERE d <= 10"),
+    "coverage_grid": (coverage_grid, with_("monitor", _GAP).replace("WITH ", "WITH RECURSIVE ", 1) + ' SELECT CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, n, coalesce(gap, -1) AS gap FROM fu LEFT JOIN ga ON ga.id = "row" * ' + f"{_COLS} + col"),
+    "nn_spacing": (nn_spacing, with_("monitor", _MPAIR) + ", m AS (SELECT a, min(d) AS d FROM pr GROUP BY 1) SELECT count(*) AS stations, round(quantile_cont(d, 0.5), 6) AS median_km, round(quantile_cont(d, 0.9), 6) AS p90_km FROM m WHERE d <= 10"),
     "live_state": (live_state, with_("obs", "station", _LATEST.format(where="")) + f""", j AS (SELECT s.station_id, obs_id, t, value, (SELECT max(t) FROM obs) - t AS age_s FROM station s LEFT JOIN la ON la.station_id = s.station_id
         WHERE lat BETWEEN {BOX[0]} AND {BOX[2]} AND lon BETWEEN {BOX[1]} AND {BOX[3]}) SELECT *, CASE WHEN age_s IS NULL THEN 'offline' WHEN age_s < -60 THEN 'future_timestamp' WHEN age_s <= 7200 THEN 'fresh' WHEN age_s <= 43200 THEN 'stale' ELSE 'offline' END AS freshness FROM j"""),
     "historical_state_at": (historical_state_at, with_("obs", _LATEST.format(where="WHERE t <= 1704800000")) + " SELECT station_id, obs_id, t, value FROM la"),
     "latest_per_key": (latest_per_key, with_("obs", _LATEST.format(where="")) + " SELECT station_id, obs_id, t FROM la"),
     "recorder_status": (recorder_status, with_("obs") + """, x AS (SELECT *, t >= max(t) OVER (PARTITION BY event_type) - 86400 AS recent FROM obs)
         SELECT event_type, count(*) AS rows, count(*) FILTER (WHERE recent) AS rows_24h, count(DISTINCT station_id) FILTER (WHERE recent) AS stations_24h, min(t) AS first_t, max(t) AS last_t FROM x GROUP BY 1"""),
-    "radius_counts": (radius_counts, with_("station", _PAIR) + ' SELECT a, count(*) FILTER (WHERE d <= 0.5) AS "within_0.5km", count(*) FILTER (WHERE d <= 1) AS within_1km, count(*) FILTER (WHERE d <= 2) AS within_2km, count(*) FILTER (WHERE d <= 5) AS within_5km FROM pr WHERE d <= 5 GROUP BY 1'),
+    "radius_counts": (radius_counts, with_("monitor", _MPAIR) + ' SELECT a, count(*) FILTER (WHERE d <= 0.5) AS "within_0.5km", count(*) FILTER (WHERE d <= 1) AS within_1km, count(*) FILTER (WHERE d <= 2) AS within_2km, count(*) FILTER (WHERE d <= 5) AS within_5km FROM pr WHERE d <= 5 GROUP BY 1'),
     "topk_industries": (topk_industries, "SELECT c_mktsegment AS industry, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, industry LIMIT 3"),
     "scan_time_range": (scan_time_range, "SELECT event_id, user_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08'"),
     "span_stats": (span_stats, with_("obs") + " SELECT event_type, min(t) AS first_t, max(t) AS last_t, count(*) AS n FROM obs GROUP BY 1"),

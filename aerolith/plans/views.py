@@ -33,6 +33,13 @@ def stations(spark: SparkSession) -> DataFrame:
     return place(spark.range(48).withColumnRenamed("id", "station_id"), "station_id")
 
 
+def monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(station_id, lat, lon): a monitor at each supplier, so that there are as many as the table has."""
+    k = F.col("station_id")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("station_id"))
+    return s.withColumns({"lat": 24.8 + F.pmod(k * 7919, F.lit(10_007)) / 16_000.0, "lon": 121.2 + F.pmod(k * 104_729, F.lit(10_009)) / 16_000.0})
+
+
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(station_id, t, u, v, calm) of 24 weather stations; one row per station and time."""
     e = events(spark, sf_dir).where(F.col("event_type").isin("view", "click", "error"))
@@ -64,6 +71,7 @@ SQL = {
     "obs": """obs AS (SELECT user_id % 48 AS station_id, event_id AS obs_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, value, event_type,
         concat_ws(';', CASE WHEN event_id % 29 = 0 THEN 'invalid_pm25' END, CASE WHEN event_id % 31 = 0 THEN 'future_timestamp_ahead_seconds=12.000' END, CASE WHEN event_id % 3 = 0 THEN 'clock_ahead' END) AS quality_flags FROM events)""",
     "station": "station AS (SELECT s AS station_id, 25.0::DOUBLE + ((s * 37) % 121) / 1000.0::DOUBLE AS lat, 121.4::DOUBLE + ((s * 53) % 121) / 1000.0::DOUBLE AS lon FROM range(48) r(s))",
+    "monitor": "monitor AS (SELECT s_suppkey AS station_id, 24.8::DOUBLE + ((s_suppkey * 7919) % 10007) / 16000.0::DOUBLE AS lat, 121.2::DOUBLE + ((s_suppkey * 104729) % 10009) / 16000.0::DOUBLE AS lon FROM supplier)",
     "weather": """weather AS (SELECT station_id, t, arg_min(u, event_id) AS u, arg_min(v, event_id) AS v, arg_min(calm, event_id) AS calm FROM (
         SELECT user_id % 24 AS station_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id, event_type = 'error' AS calm,
                CASE WHEN event_type = 'error' THEN 0.0::DOUBLE ELSE -(value / 20) * sin(radians(((event_id * 47) % 360)::DOUBLE)) END AS u,

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from aerolith.config import TraceConfig, WindConfig
-from aerolith.operators import backtrace, wind
+from aerolith.operators import backtrace, trace, wind
 from aerolith.plans import event_queries
 
 LAT0, LON0 = 12.0, 33.0
@@ -24,7 +24,7 @@ def seeds(spark, *rows):
 
 def run(spark, u=1.0, v=0.5, pool=None, extent=WIDE, times=(0, 900, 1800), n=5, cfg=CFG, start=1800):
     st, obs = network(spark, u, v, times, n)
-    return backtrace.trace(seeds(spark, ("e", 7, start)), obs, st, pool or {}, cfg, WCFG, LAT0, LON0, extent).collect()
+    return backtrace.trace(seeds(spark, ("e", 7, start)), backtrace.Measured(obs, st, WCFG), pool or {}, cfg, LAT0, LON0, extent).collect()
 
 
 def test_even_wind_is_a_straight_line_back(spark):
@@ -57,6 +57,34 @@ def test_errors_are_kept_for_a_block(spark):
     assert rows == run(spark, pool=pool, cfg=one)
 
 
+def test_a_given_wind(spark):
+    """A constant function gives the closed form and what even measurements give; one that knows nothing ends the particles; each place and minute is asked once a task."""
+    start = seeds(spark, ("e", 7, 1800))
+    got = backtrace.trace(start, backtrace.even(1.0, 0.5), {}, CFG, LAT0, LON0, WIDE).collect()
+    assert sorted(map(str, got)) == sorted(map(str, run(spark)))
+    points = spark.createDataFrame([(7, 0.0, 0.0)], "station_id long, x double, y double")
+    want = {(int(np.floor(r.x / 250)), int(np.floor(r.y / 250)), 1800 - 60 * r.step) for r in trace.uniform_steps(points, 1.0, 0.5, CFG).collect()}
+    assert {(r.ci, r.cj, r["at"]) for r in got if r.ci is not None} == want
+    nothing = backtrace.Given(lambda lat, lon, t: (np.full(len(lat), np.nan), np.zeros(len(lat))))
+    assert [(r.ended, r.hits) for r in backtrace.trace(start, nothing, {}, CFG, LAT0, LON0, WIDE).collect() if r.ended] == [("wind_unavailable", 20)]
+    asked = []
+
+    def wind_of(lat, lon, t):
+        asked.extend(zip(lat, lon, [t] * len(lat), strict=True))
+        return 2.0 + 0 * lat, np.sin(lat)
+
+    at = backtrace.Given(wind_of, decimals=3).at()
+    for _ in range(3):
+        u, v, _, _ = at(None, 0, np.array([1.00011, 1.0002, 2.0]), np.array([5.0, 5.0, 5.0]), 61)
+    assert asked == [(1.0, 5.0, 60), (2.0, 5.0, 60)] and u.tolist() == [2.0] * 3 and v[0] == v[1] == np.sin(1.0)
+
+
+def test_a_seed_without_a_place(spark):
+    lost = spark.createDataFrame([("e", 1, None, LAT0, LON0), ("e", 2, 1800, None, LON0)], "event_id string, station_id long, seed_t long, lat double, lon double")
+    rows = backtrace.trace(lost, backtrace.even(1.0, 0.0), {}, CFG, LAT0, LON0, WIDE).collect()
+    assert sorted((r.station_id, r.ended, r.hits) for r in rows) == [(1, "wind_unavailable", 20), (2, "wind_unavailable", 20)]
+
+
 def test_fallbacks():
     pool = {("≤3 km", "GOOD"): np.array([[1.0, 0]]), ("≤3 km", "HIGH_UNCERTAINTY"): np.array([[2.0, 0]]), (">10 km", "MEDIUM_UNCERTAINTY"): np.array([[3.0, 0]])}
     got = {k: (name, sorted(x[:, 0])) for k in ((0, "a"),) for name, x in [backtrace.fallback(pool, "≤3 km", "GOOD")]}
