@@ -16,6 +16,8 @@ class AnomalyConfig:
     min_excess: float = 5.0
     min_z: float = 3.0
     sigma_floor: float = 1.5
+    #: A value that is older at the time of a report is stale.
+    max_age_seconds: int = 180
 
 
 @dataclass(frozen=True)
@@ -53,4 +55,4 @@ class TraceConfig:
 
 
 #: Six-hour bins and wider circles, for series with a few observations a day.
-COARSE = AnomalyConfig(bin_seconds=21_600, baseline_seconds=432_000, radius_km=3.0, wide_radius_km=4.5)
+COARSE = AnomalyConfig(bin_seconds=21_600, baseline_seconds=432_000, radius_km=3.0, wide_radius_km=4.5, max_age_seconds=10_800)

@@ -19,8 +19,13 @@ def anomaly_rows(obs: DataFrame, stations: DataFrame, cfg: AnomalyConfig, keep_v
     those within the radius, or within the wide one where the radius holds too few. ``keep_values`` keeps their values, in ``neighbor_values``.
     """
     bins = temporal_baseline(smooth(bin_last(obs, cfg.bin_seconds), cfg.bin_seconds), cfg)
+    return against_neighbors(bins, bins, stations, cfg, keep_values)
+
+
+def against_neighbors(bins: DataFrame, others: DataFrame, stations: DataFrame, cfg: AnomalyConfig, keep_values: bool = False) -> DataFrame:
+    """``bins`` of ``temporal_baseline`` with their spatial measures, score and classes, each against the rows of ``others`` with the same bucket at stations nearby."""
     pairs = neighbor_pairs(stations, cfg.wide_radius_km)
-    other = bins.select(F.col("station_id").alias("b"), "bucket", F.col("smoothed").alias("o_value"), F.col("history_count").alias("o_n"), F.col("temporal_excess").alias("o_te"), F.col("z_t").alias("o_z"))
+    other = others.select(F.col("station_id").alias("b"), "bucket", F.col("smoothed").alias("o_value"), F.col("history_count").alias("o_n"), F.col("temporal_excess").alias("o_te"), F.col("z_t").alias("o_z"))
     passes = (F.col("o_n") >= cfg.min_history) & (F.col("o_te") >= cfg.min_excess) & (F.col("o_z") >= cfg.min_z)
     met = bins.select(F.col("station_id").alias("a"), "bucket").join(pairs, "a").join(other, ["b", "bucket"])
     near = F.col("distance_km") <= cfg.radius_km
@@ -51,6 +56,50 @@ def anomaly_rows(obs: DataFrame, stations: DataFrame, cfg: AnomalyConfig, keep_v
     return flagged(out, cfg).drop("_v", "v1", "v2", "s1", "s2")
 
 
+def report_at(obs: DataFrame, stations: DataFrame, cutoff: int, cfg: AnomalyConfig, core: tuple[float, float, float, float], context: tuple[float, float, float, float], lookback: int = 86_400, now: int | None = None) -> DataFrame:
+    """One row for each station in the ``context`` box (south, west, north, east): its anomaly as it was known at ``cutoff``, its ``zone`` (core or context) and the ``status`` of its value.
+
+    Only observations of the ``lookback`` seconds before the cutoff are seen. A station's current value is its newest one, whatever bin it is in: ``missing`` if there is none, ``stale`` if it is older than
+    ``max_age_seconds`` at the cutoff, or lies over five minutes after ``now``; else ``usable``. Stale values are measured but are never candidates, never isolated, and nobody's neighbours. The core box doesn't cut
+    off neighbours: those are all usable stations of the context. Both zones are one plan.
+    """
+    within = lambda box: F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3])
+    around = stations.where(within(context)).select("station_id", "lat", "lon", F.when(within(core), "core").otherwise("context").alias("zone"))
+    seen = obs.where(F.col("t").between(cutoff - lookback, cutoff)).join(around.select("station_id"), "station_id", "left_semi")
+    bins = temporal_baseline(smooth(bin_last(seen, cfg.bin_seconds), cfg.bin_seconds), cfg)
+    rest = [c for c in bins.columns if c != "station_id"]
+    last = bins.groupBy("station_id").agg(F.max_by(F.struct(*rest), "t").alias("m")).select("station_id", "m.*")
+    age = F.greatest(F.lit(cutoff) - F.col("t"), F.lit(0))
+    ahead = F.lit(False) if now is None else F.col("t") > now + 300
+    flags = F.concat_ws(";", F.when(age > cfg.max_age_seconds, "stale_current_observation"), F.when(ahead, "suspicious_future_timestamp"))
+    last = last.withColumns({"age_minutes": age / 60, "flags": flags, "own_bucket": F.col("bucket"), "bucket": F.lit(cutoff)})
+    usable = F.col("flags") == ""
+    rows = against_neighbors(last, last.where(usable), around, cfg).withColumns({"status": F.when(usable, "usable").otherwise("stale"), "bucket": F.col("own_bucket")}).drop("own_bucket")
+    rows = rows.withColumns({c: F.col(c) & (F.col("status") == "usable") for c in ("is_candidate", "is_isolated")})
+    out = around.join(rows, "station_id", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+    none = F.col("status") == "missing"
+    labels = {"temporal_status": F.coalesce("temporal_status", F.lit("insufficient_history")), "spatial_status": F.coalesce("spatial_status", F.lit("insufficient_neighbors")), "flags": F.when(none, "missing_current_value").otherwise(F.col("flags"))}
+    fill = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("history_count", "neighbor_count", "support_count")} | {c: F.coalesce(c, F.lit(False)) for c in ("is_candidate", "is_isolated")}
+    return out.withColumns(labels | fill)
+
+
+def report_summary(rows: DataFrame) -> DataFrame:
+    """One row for each zone of a report, the context being all of it: how many sensors there are, are usable, lack history or neighbours, are candidates or isolated, and the median, lowest and highest usable value."""
+    zones = rows.withColumn("in_zone", F.explode(F.when(F.col("zone") == "core", F.array(F.lit("core"), F.lit("context"))).otherwise(F.array(F.lit("context")))))
+    value = F.when(F.col("status") == "usable", F.col("value"))
+    return zones.groupBy(F.col("in_zone").alias("zone")).agg(
+        F.count(F.lit(1)).alias("sensors"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in ("usable", "stale", "missing")],
+        F.count_if(F.col("temporal_status") != "sufficient").alias("insufficient_history"),
+        F.count_if(F.col("spatial_status") != "sufficient").alias("insufficient_neighbors"),
+        F.count_if("is_candidate").alias("candidates"),
+        F.count_if("is_isolated").alias("isolated"),
+        F.percentile(value, F.lit(0.5)).alias("median_value"),
+        F.min(value).alias("min_value"),
+        F.max(value).alias("max_value"),
+    )
+
+
 def with_absent(rows: DataFrame, stations: DataFrame) -> DataFrame:
     """``rows`` and, for every bin that any station has, a row for each station without a usable value in it.
 

@@ -63,6 +63,30 @@ def anomaly_absent(spark, d):
     return out.withColumn("place", F.row_number().over(place)).select("bucket", "station_id", "place", "status", "flags", "temporal_status", "spatial_status", "history_count", "neighbor_count", "is_candidate")
 
 
+#: South, west, north, east of what a report looks at, and of its core; days that it looks back.
+CONTEXT, CORE, LOOKBACK = (25.0, 121.41, 25.12, 121.52), (25.03, 121.43, 25.09, 121.49), 10 * 86_400
+
+
+def _report(spark, d):
+    o = views.obs(spark, d)
+    cutoff = o.agg(F.max("t")).first()[0]
+    return anomaly.report_at(o, views.stations(spark), int(cutoff or 0), COARSE, CORE, CONTEXT, LOOKBACK)
+
+
+REPORT = ["station_id", "zone", "status", "flags", "bucket", "value", "history_count", "temporal_status", "neighbor_count", "support_count", "spatial_status", "anomaly_score", "is_candidate", "is_isolated"]
+REPORTED = ["age_minutes", "smoothed", "temporal_excess", "z_t", "spatial_excess", "z_s"]
+
+
+def report_rows(spark, d):
+    """Every station of the context at the newest time of the table: missing, stale or usable, and its anomaly."""
+    return _report(spark, d).select(*REPORT, *_r(*REPORTED))
+
+
+def report_summary(spark, d):
+    """The report's zones."""
+    return anomaly.report_summary(_report(spark, d)).select("zone", "sensors", "usable", "stale", "missing", "insufficient_history", "insufficient_neighbors", "candidates", "isolated", *_r("median_value"), "min_value", "max_value")
+
+
 def anomaly_summary(spark, d):
     return _rows(spark, d).groupBy("bucket").agg(
         F.count(F.lit(1)).alias("sensors"),
@@ -98,7 +122,19 @@ def _sql_round(*names):
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
+_SEEN = f"cut AS (SELECT max(t) AS now FROM obs), cx AS (SELECT *, CASE WHEN lat BETWEEN {CORE[0]} AND {CORE[2]} AND lon BETWEEN {CORE[1]} AND {CORE[3]} THEN 'core' ELSE 'context' END AS zone FROM station WHERE lat BETWEEN {CONTEXT[0]} AND {CONTEXT[2]} AND lon BETWEEN {CONTEXT[1]} AND {CONTEXT[3]}), ob2 AS (SELECT * FROM obs WHERE t >= (SELECT now FROM cut) - {LOOKBACK} AND station_id IN (SELECT station_id FROM cx))"
+_NOW = f"""tc AS (SELECT * REPLACE ((SELECT now FROM cut) AS bucket), bucket AS own, ((SELECT now FROM cut) - t) / 60 AS age_minutes, (SELECT now FROM cut) - t > {COARSE.max_age_seconds} AS old FROM tb QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY t DESC) = 1), tu AS (SELECT * FROM tc WHERE NOT old)"""
+_AT = ANOMALY.replace("FROM tb x JOIN", "FROM tc x JOIN").replace("JOIN tb o", "JOIN tu o").replace("tb.*", "tc.*").replace("FROM tb LEFT JOIN", "FROM tc LEFT JOIN")
+_REPORT = f"""rp AS (SELECT cx.station_id, zone, CASE WHEN own IS NULL THEN 'missing' WHEN old THEN 'stale' ELSE 'usable' END AS status, CASE WHEN own IS NULL THEN 'missing_current_value' WHEN old THEN 'stale_current_observation' ELSE '' END AS flags, own AS bucket, value,
+    coalesce(history_count, 0) AS history_count, coalesce(temporal_status, 'insufficient_history') AS temporal_status, coalesce(neighbor_count, 0) AS neighbor_count, coalesce(support_count, 0) AS support_count, coalesce(spatial_status, 'insufficient_neighbors') AS spatial_status,
+    anomaly_score, coalesce(is_candidate AND NOT old, false) AS is_candidate, coalesce(is_isolated AND NOT old, false) AS is_isolated, {', '.join(REPORTED)} FROM cx LEFT JOIN an USING (station_id))"""
+_REPORTED = with_("obs", "station", _SEEN, BINNED.replace("FROM obs", "FROM ob2"), _NOW, _AT, _REPORT)
+
 QUERIES = {
+    "report_rows": (report_rows, _REPORTED + f" SELECT {', '.join(REPORT)}, {_sql_round(*REPORTED)} FROM rp"),
+    "report_summary": (report_summary, _REPORTED + """ SELECT z AS zone, count(*) AS sensors, count(*) FILTER (WHERE status = 'usable') AS usable, count(*) FILTER (WHERE status = 'stale') AS stale, count(*) FILTER (WHERE status = 'missing') AS missing,
+        count(*) FILTER (WHERE temporal_status <> 'sufficient') AS insufficient_history, count(*) FILTER (WHERE spatial_status <> 'sufficient') AS insufficient_neighbors, count(*) FILTER (WHERE is_candidate) AS candidates, count(*) FILTER (WHERE is_isolated) AS isolated,
+        round(quantile_cont(value, 0.5) FILTER (WHERE status = 'usable'), 6) AS median_value, min(value) FILTER (WHERE status = 'usable') AS min_value, max(value) FILTER (WHERE status = 'usable') AS max_value FROM rp, (SELECT unnest(['core', 'context']) AS z) WHERE z = 'context' OR zone = 'core' GROUP BY 1"""),
     "bin_last_value": (bin_last_value, with_("obs", BINNED) + " SELECT station_id, bucket, obs_id, t, value FROM binned"),
     "bin_smooth": (bin_smooth, with_("obs", BINNED) + " SELECT station_id, bucket, round(smoothed, 6) AS smoothed FROM smoothed"),
     "temporal_baseline": (temporal_baseline, with_("obs", BINNED) + f" SELECT station_id, bucket, CAST(history_count AS BIGINT) AS history_count, {_sql_round('t_median', 't_mad', 'temporal_excess', 'z_t')}, temporal_status FROM tb"),
