@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import angle_between, bearing_deg, haversine_km
 from ..functions.labels import relative_delta
 from ..functions.text import number
-from .graph import components
+from .graph import components, cut
 from .spatial import distance_join
 
 
@@ -168,6 +168,42 @@ def coverage(points: DataFrame, south: float, west: float, north: float, east: f
     return full.withColumn("id", (F.col("row") * cols + F.col("col")).cast("long")).join(gaps, "id", "left").select("row", "col", "n", "gap")
 
 
+def core_zone(points: DataFrame, box: tuple[float, float, float, float], rows: int, cols: int, dense: int = 2, share: float = 0.5, covered: float = 0.75) -> DataFrame:
+    """One row for the core that the fresh sensors of a box (south, west, north, east) suggest: bounds, cells, fresh and industrial sensors, how much of it has sensors, and how it was found.
+
+    ``points`` has lat, lon, fresh and industrial. Cells with ``dense`` fresh sensors or more, of which so many or a ``share`` are industrial, form components of touching cells (four neighbours); without any, the
+    cells at or over the upper quartile of those that have sensors do (``basis`` dense). The component with most industrial, then most fresh sensors, then most cells is the core (of equal ones the one with the first cell), grown by a cell on every
+    side unless less than ``covered`` of that would have sensors. Without a component there is no row. The grid is small beside the points, which are counted once.
+    """
+    south, west, north, east = box
+    at = lambda c, lo, hi, n: F.least(F.floor((F.col(c) - lo) / ((hi - lo) / n)), F.lit(n - 1)).cast("int")
+    inside = points.where(F.col("fresh") & F.col("lat").between(south, north) & F.col("lon").between(west, east))
+    cells = cut(inside.groupBy(at("lat", south, north, rows).alias("row"), at("lon", west, east, cols).alias("col")).agg(F.count(F.lit(1)).alias("n"), F.count_if("industrial").alias("k")))
+    affine = (F.col("n") >= dense) & ((F.col("k") >= dense) | (F.col("k") / F.col("n") >= share))
+    level = cells.agg(F.max(affine).alias("any"), F.percentile("n", F.lit(0.75)).alias("p75"))
+    chosen = cells.join(F.broadcast(level)).where(F.when(F.col("any"), affine).otherwise(F.col("n") >= F.greatest(F.lit(dense), F.floor("p75"))))
+    chosen = chosen.select("row", "col", "n", "k", F.when(F.col("any"), "industrial").otherwise("dense").alias("basis"), (F.col("row") * cols + F.col("col")).cast("long").alias("id"))
+    beside = F.explode(F.array(F.struct(F.col("row").alias("r"), (F.col("col") + 1).alias("c")), F.struct((F.col("row") + 1).alias("r"), F.col("col").alias("c"))))
+    edges = chosen.select(F.col("id").alias("u"), beside.alias("x")).select("u", "x.*").join(chosen.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("id").alias("v")), ["r", "c"]).select("u", "v")
+    each = chosen.join(components(chosen.select("id"), edges), "id").groupBy("root", "basis").agg(
+        F.sum("k").alias("industrial"), F.sum("n").alias("fresh"), F.count(F.lit(1)).alias("size"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")
+    )
+    best = cut(each.orderBy(F.desc("industrial"), F.desc("fresh"), F.desc("size"), "root").limit(1))
+    grown = best.withColumns({"r0": F.greatest(F.col("r0") - 1, F.lit(0)), "r1": F.least(F.col("r1") + 1, F.lit(rows - 1)), "c0": F.greatest(F.col("c0") - 1, F.lit(0)), "c1": F.least(F.col("c1") + 1, F.lit(cols - 1))})
+    window = F.broadcast(grown.select("r0", "r1", "c0", "c1"))
+    have = cells.join(window, F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))).agg(F.count(F.lit(1)).alias("w_have"), F.sum("n").alias("w_fresh"), F.sum("k").alias("w_industrial"))
+    area = (F.col("g.r1") - F.col("g.r0") + 1) * (F.col("g.c1") - F.col("g.c0") + 1)
+    both = best.alias("b").join(F.broadcast(grown.select("r0", "r1", "c0", "c1")).alias("g")).join(F.broadcast(have)).withColumn("wide", F.col("w_have") / area >= covered)
+    pick = lambda c: F.when(F.col("wide"), F.col(f"g.{c}")).otherwise(F.col(f"b.{c}"))
+    lat, lon = (north - south) / rows, (east - west) / cols
+    return both.select(
+        F.col("b.basis").alias("basis"), F.when(F.col("wide"), 1).otherwise(0).alias("grown"),
+        (south + pick("r0") * lat).alias("south"), (west + pick("c0") * lon).alias("west"), (south + (pick("r1") + 1) * lat).alias("north"), (west + (pick("c1") + 1) * lon).alias("east"),
+        F.when(F.col("wide"), area).otherwise(F.col("b.size")).cast("long").alias("cells"), F.when(F.col("wide"), F.col("w_fresh")).otherwise(F.col("b.fresh")).alias("fresh"),
+        F.when(F.col("wide"), F.col("w_industrial")).otherwise(F.col("b.industrial")).alias("industrial"), F.when(F.col("wide"), F.col("w_have") / area).otherwise(1.0).alias("coverage"),
+    )
+
+
 def unpivot_hours(wide: DataFrame, keys: list[str], prefix: str, hours: int = 24) -> DataFrame:
     """Wide hourly columns (prefix00 ...) -> one row per hour with a number; missing markers are left out."""
     names = [f"{prefix}{h:02d}" for h in range(hours)]

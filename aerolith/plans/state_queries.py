@@ -129,6 +129,17 @@ def coverage_grid(spark, d):
     return diagnostics.coverage(views.monitors(spark, d), *COVERED, *spatial.grid_shape(*COVERED, 2500.0)).withColumn("gap", F.coalesce("gap", F.lit(-1)))
 
 
+#: South, west, north, east of the customers' places.
+HOMES = (25.0, 121.4, 25.12, 121.52)
+
+
+def core_zone(spark, d):
+    """The core that the customers in credit suggest, machinery and cars being industrial."""
+    c = views.place(table(spark, d, "customer").withColumn("k", F.col("c_custkey")), "k")
+    points = c.select("lat", "lon", (F.col("c_acctbal") > 6000).alias("fresh"), F.col("c_mktsegment").isin("MACHINERY", "AUTOMOBILE").alias("industrial"))
+    return diagnostics.core_zone(points, HOMES, *spatial.grid_shape(*HOMES)).select("basis", "grown", "cells", "fresh", "industrial", *_r("south", "west", "north", "east", "coverage"))
+
+
 def nn_spacing(spark, d):
     one = spatial.nearest(spatial.neighbor_pairs(views.monitors(spark, d), 10.0), ["a"], 1)
     return one.agg(F.count(F.lit(1)).alias("stations"), F.round(F.percentile("distance_km", F.lit(0.5)), 6).alias("median_km"), F.round(F.percentile("distance_km", F.lit(0.9)), 6).alias("p90_km"))
@@ -253,7 +264,23 @@ _PAIR = f"pr AS (SELECT a.station_id AS a, b.station_id AS b, {hav('a', 'b')} AS
 _MPAIR = _PAIR.replace("FROM station a, station b", "FROM monitor a, monitor b")
 _LATEST = "la AS (SELECT * FROM obs {where} QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY t DESC, obs_id) = 1)"
 
+_HR, _HC = spatial.grid_shape(*HOMES)
+_ZONE = f"""pt AS (SELECT 25.0::DOUBLE + ((c_custkey * 37) % 121) / 1000.0::DOUBLE AS lat, 121.4::DOUBLE + ((c_custkey * 53) % 121) / 1000.0::DOUBLE AS lon, c_mktsegment IN ('MACHINERY', 'AUTOMOBILE') AS ind FROM customer WHERE c_acctbal > 6000),
+ce AS (SELECT CAST(least(floor((lat - {HOMES[0]}::DOUBLE) / (({HOMES[2]}::DOUBLE - {HOMES[0]}::DOUBLE) / {_HR})), {_HR - 1}) AS INTEGER) AS r, CAST(least(floor((lon - {HOMES[1]}::DOUBLE) / (({HOMES[3]}::DOUBLE - {HOMES[1]}::DOUBLE) / {_HC})), {_HC - 1}) AS INTEGER) AS c, count(*) AS n, count(*) FILTER (WHERE ind) AS k
+    FROM pt WHERE lat BETWEEN {HOMES[0]} AND {HOMES[2]} AND lon BETWEEN {HOMES[1]} AND {HOMES[3]} GROUP BY 1, 2),
+ca AS (SELECT *, n >= 2 AND (k >= 2 OR k / n >= 0.5) AS aff FROM ce), cl AS (SELECT bool_or(aff) AS anyone, quantile_cont(n, 0.75) AS p FROM ca),
+ch AS (SELECT r, c, n, k, r * {_HC} + c AS id, CASE WHEN anyone THEN 'industrial' ELSE 'dense' END AS basis FROM ca, cl WHERE CASE WHEN anyone THEN aff ELSE n >= greatest(2, floor(p)) END),
+zr(id, root) AS (SELECT id, id FROM ch UNION SELECT b.id, zr.root FROM zr JOIN ch a ON a.id = zr.id JOIN ch b ON abs(a.r - b.r) + abs(a.c - b.c) = 1),
+zl AS (SELECT id, min(root) AS root FROM zr GROUP BY 1),
+zb AS (SELECT root, basis, sum(k) AS industrial, sum(n) AS fresh, count(*) AS size, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM ch JOIN zl USING (id) GROUP BY 1, 2 ORDER BY 3 DESC, 4 DESC, 5 DESC, 1 LIMIT 1),
+zg AS (SELECT greatest(r0 - 1, 0) AS r0, least(r1 + 1, {_HR - 1}) AS r1, greatest(c0 - 1, 0) AS c0, least(c1 + 1, {_HC - 1}) AS c1 FROM zb),
+zw AS (SELECT count(*) AS h, sum(n) AS f, sum(k) AS i, any_value((r1 - r0 + 1) * (c1 - c0 + 1)) AS area FROM ce, zg WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1),
+zf AS (SELECT basis, h / area >= 0.75 AS wide, size, fresh, industrial, h, f, i, area, CASE WHEN h / area >= 0.75 THEN zg.r0 ELSE zb.r0 END AS r0, CASE WHEN h / area >= 0.75 THEN zg.r1 ELSE zb.r1 END AS r1, CASE WHEN h / area >= 0.75 THEN zg.c0 ELSE zb.c0 END AS c0, CASE WHEN h / area >= 0.75 THEN zg.c1 ELSE zb.c1 END AS c1 FROM zb, zg, zw)"""
+
 QUERIES = {
+    "core_zone": (core_zone, "WITH RECURSIVE " + _ZONE + f""" SELECT basis, wide::INTEGER AS grown, CAST(CASE WHEN wide THEN area ELSE size END AS BIGINT) AS cells, CAST(CASE WHEN wide THEN f ELSE fresh END AS BIGINT) AS fresh, CAST(CASE WHEN wide THEN i ELSE industrial END AS BIGINT) AS industrial,
+        round({HOMES[0]} + r0 * ({HOMES[2]}::DOUBLE - {HOMES[0]}::DOUBLE) / {_HR}, 6) AS south, round({HOMES[1]} + c0 * ({HOMES[3]}::DOUBLE - {HOMES[1]}::DOUBLE) / {_HC}, 6) AS west, round({HOMES[0]} + (r1 + 1) * ({HOMES[2]}::DOUBLE - {HOMES[0]}::DOUBLE) / {_HR}, 6) AS north, round({HOMES[1]} + (c1 + 1) * ({HOMES[3]}::DOUBLE - {HOMES[1]}::DOUBLE) / {_HC}, 6) AS east,
+        round(CASE WHEN wide THEN h / area ELSE 1.0 END, 6) AS coverage FROM zf"""),
     "fire_response": (fire_response, with_("obs", "station", "fire") + f""", p AS (SELECT f.fire_id, f.t AS ft, s.station_id FROM fire f, station s WHERE {hav('f', 's')} <= 3.0),
         m AS (SELECT p.fire_id, p.station_id, o.value, o.t - p.ft AS d FROM p JOIN obs o ON o.station_id = p.station_id AND o.t - p.ft >= -86400 AND o.t - p.ft < 86400),
         g AS (SELECT fire_id, station_id, quantile_cont(value, 0.5) FILTER (WHERE d < 0) AS baseline, quantile_cont(value, 0.5) FILTER (WHERE d >= 0 AND d < 43200) AS during, quantile_cont(value, 0.5) FILTER (WHERE d >= 43200) AS post,
