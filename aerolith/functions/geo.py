@@ -16,7 +16,8 @@ def _c(x) -> Column:
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     a, b, c, d = map(_c, (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin(F.radians(c - a) / 2), 2) + F.cos(F.radians(a)) * F.cos(F.radians(c)) * F.pow(F.sin(F.radians(d - b) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # least() passes over nulls, but a distance from nowhere is null
+    return 2 * EARTH_KM * F.asin(F.when(h.isNotNull(), F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def bearing_deg(lat1, lon1, lat2, lon2) -> Column:

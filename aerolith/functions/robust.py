@@ -16,6 +16,11 @@ def array_mad(a: Column, center: Column) -> Column:
     return array_median(F.transform(a, lambda x: F.abs(x - center)))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Pearson's correlation as an aggregate; null where either column doesn't vary (``corr`` is an error there)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def sigma(mad: Column, floor: float = 1.5) -> Column:
     return F.greatest(1.4826 * mad, F.lit(floor))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import angle_between, bearing_deg, haversine_km
 from ..functions.labels import relative_delta
+from ..functions.robust import pearson
 from ..functions.text import number
 from .graph import components, cut
 from .spatial import distance_join
@@ -119,7 +120,7 @@ def lagged_correlation(pairs: DataFrame, values: DataFrame, step: int, lags: lis
     """(a, b, lag, n, r) of a's series with b's, shifted by whole bins; null for fewer than ``least`` common bins or no variance."""
     a = values.select(F.col("station_id").alias("a"), "bucket", F.col("value").alias("x"))
     b = values.select(F.col("station_id").alias("b"), F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("bucket") - k * step).alias("bucket")) for k in lags])).alias("s"), F.col("value").alias("y")).select("b", "s.*", "y")
-    out = pairs.select("a", "b").join(a, "a").join(b, ["b", "bucket"]).groupBy("a", "b", "lag").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
+    out = pairs.select("a", "b").join(a, "a").join(b, ["b", "bucket"]).groupBy("a", "b", "lag").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("r"))
     return out.withColumn("r", F.when((F.col("n") >= least) & ~F.isnan("r"), F.col("r")))
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.robust import pearson
 from .controls import around, met
 from .spatial import neighbor_pairs
 
@@ -118,10 +119,10 @@ def coherence(near: DataFrame, bins: DataFrame, stations: DataFrame, cfg: Forens
     from_bin, to_bin = F.col("start") - edge, F.col("end") + edge
     whole = lambda c: c - F.pmod(c, F.lit(cfg.step))
     a = rows.where((F.col("bucket") >= whole(from_bin)) & (F.col("bucket") <= whole(to_bin))).select("fire_id", F.col("station_id").alias("a"), "bucket", F.col("value").alias("x"))
-    lag = F.explode(F.sequence(F.lit(-cfg.lags), F.lit(cfg.lags)))
+    lag = F.explode(F.sequence(F.lit(-cfg.lags).cast("long"), F.lit(cfg.lags).cast("long")))
     b = rows.select("fire_id", F.col("station_id").alias("b"), "bucket", F.col("value").alias("y"), lag.alias("lag")).withColumn("bucket", F.col("bucket") - F.col("lag") * cfg.step)
     pairs = neighbor_pairs(stations, cfg.bands[-1]).select("a", "b")
-    r = a.join(pairs, "a").join(b, ["fire_id", "b", "bucket"]).groupBy("fire_id", "a", "b", "lag").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("x", "y"), 6).alias("r"))
+    r = a.join(pairs, "a").join(b, ["fire_id", "b", "bucket"]).groupBy("fire_id", "a", "b", "lag").agg(F.count(F.lit(1)).alias("n"), F.round(pearson("x", "y"), 6).alias("r"))
     best = r.where((F.col("n") >= 5) & F.col("r").isNotNull() & ~F.isnan("r")).groupBy("fire_id", "a", "b").agg(F.max(F.struct("r", (-F.col("lag")).alias("l"))).alias("m"))
     return best.groupBy("fire_id", F.col("a").alias("station_id")).agg(F.count(F.lit(1)).alias("neighbors"), F.max(F.struct(F.col("m.r").alias("r"), (-F.col("b")).alias("b"), F.col("m.l").alias("l"))).alias("m")).select("fire_id", "station_id", "neighbors", (-F.col("m.b")).alias("best_neighbor"), (-F.col("m.l")).alias("best_lag"), F.col("m.r").alias("best_r"))
 

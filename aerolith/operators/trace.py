@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import TraceConfig
 from ..functions.geo import M_PER_DEG_LAT, M_PER_DEG_LON, cell, haversine_km
+from ..functions.robust import pearson
 from .graph import components
 
 
@@ -101,10 +102,10 @@ def compare(a: DataFrame, b: DataFrame, lat0: float, lon0: float, cell_m: float
     """One row on two surfaces: correlation over the union of cells (missing ones are zero), whether the peaks are in the same cell, both areas, how far the top region's centroid has moved, and
     whether it stayed ``close`` and the surfaces are ``alike``. A surface without cells has no peak and no region.
     """
-    both = a.select("ci", "cj", F.col("score").alias("a")).join(b.select("ci", "cj", F.col("score").alias("b")), ["ci", "cj"], "full_outer")
+    both = a.select("ci", "cj", F.col("score").alias("a")).join(b.select("ci", "cj", F.col("score").alias("b")), ["ci", "cj"], "full_outer").withColumns({"a0": F.coalesce("a", F.lit(0.0)), "b0": F.coalesce("b", F.lit(0.0))})
     at = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.round(c, 9).alias("s"), (-F.col("ci")).alias("i"), (-F.col("cj")).alias("j"))))
     area = lambda c: (F.count(c) * cell_m * cell_m / 1e6).alias(f"area_{c}")
-    out = both.agg(F.count(F.lit(1)).alias("cells"), F.corr(F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))).alias("correlation"), at("a").alias("p"), at("b").alias("q"), area("a"), area("b"))
+    out = both.agg(F.count(F.lit(1)).alias("cells"), pearson("a0", "b0").alias("correlation"), at("a").alias("p"), at("b").alias("q"), area("a"), area("b"))
     k = M_PER_DEG_LON * float(np.cos(np.radians(lat0)))
     top = lambda g, t: regions(g, cell_m=cell_m).where("rank = 1").select((lat0 + F.col("y") / M_PER_DEG_LAT).alias(f"lat_{t}"), (lon0 + F.col("x") / k).alias(f"lon_{t}"))
     moved = out.join(F.broadcast(top(a, "a")), how="left").join(F.broadcast(top(b, "b")), how="left").withColumn("shift_km", haversine_km("lat_a", "lon_a", "lat_b", "lon_b"))
