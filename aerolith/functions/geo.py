@@ -42,6 +42,11 @@ def toward_deg(u, v) -> Column:
     return F.when(F.hypot(_c(u), _c(v)) > 1e-12, F.pmod(F.degrees(F.atan2(_c(u), _c(v))), F.lit(360.0)))
 
 
+def from_deg(u, v) -> Column:
+    """Where the wind comes from; null for still air."""
+    return F.pmod(toward_deg(u, v) + 180.0, F.lit(360.0))
+
+
 def in_bbox(lat, lon, south, west, north, east) -> Column:
     return F.coalesce(_c(lat).between(south, north) & _c(lon).between(west, east), F.lit(False))
 

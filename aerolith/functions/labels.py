@@ -62,6 +62,16 @@ def emission_source(rows: Column, complete: Column) -> Column:
     return F.when(rows == 0, "CEMS_CONTEXT_UNAVAILABLE").when(F.coalesce(~complete, F.lit(False)), "PARTIAL / UNAVAILABLE").otherwise("AVAILABLE")
 
 
+def cluster_name(t: Column, n: Column) -> Column:
+    """A cluster's name from its bin's time (seconds) and its number within the bin."""
+    return F.concat(F.date_format(F.timestamp_seconds(t), "yyyyMMdd'T'HHmmss'Z'"), F.lit("-c"), F.lpad(n.cast("string"), 2, "0"))
+
+
+def incident_name(prefix: str, t: Column, n: Column) -> Column:
+    """An incident's name from its time (seconds) and its number within the second."""
+    return F.concat(F.lit(prefix + "_"), F.date_format(F.timestamp_seconds(t), "yyyyMMddHHmmss"), F.lit("_"), F.lpad(n.cast("string"), 3, "0"))
+
+
 def local_metres(lat: Column, lon: Column, lat0: float, lon0: float) -> tuple[Column, Column]:
     """East and north of an origin, in metres."""
     return (lon - lon0) * (M_PER_DEG_LON * F.cos(F.radians(F.lit(lat0)))), (lat - lat0) * M_PER_DEG_LAT

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import AnomalyConfig
@@ -112,6 +112,15 @@ def counterfactual(fires: DataFrame, stations: DataFrame, rows: DataFrame, rings
     )
 
 
+def top_pairs(fires: DataFrame, stations: DataFrame, rows: DataFrame, step: int, limit: int = 20) -> DataFrame:
+    """(fire_id, rank, station_id, bucket, anomaly_score): the strongest anomaly rows of sensors within 5 km while a fire burns, of equal ones the largest station and time; a missing score, and zero, comes last."""
+    near = around(fires, stations, GROUPS[-1][2])
+    active = met(near, rows.select("station_id", "bucket", "anomaly_score"), "bucket", step, 0, 8 * step).where(F.col("bucket") >= F.col("start") - F.pmod("start", F.lit(step)))
+    score = F.coalesce(F.when(F.col("anomaly_score") != 0, F.col("anomaly_score")), F.lit(float("-inf")))
+    w = Window.partitionBy("fire_id").orderBy(score.desc(), F.desc("station_id"), F.desc("bucket"))
+    return active.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("fire_id", "rank", "station_id", "bucket", "anomaly_score")
+
+
 def without_each(rows: DataFrame, cfg: AnomalyConfig) -> DataFrame:
     """(station_id, bucket, neighbors, supports, kept, fragile): whether the neighbours support a value, and without how many of them, one at a time, they still do.
 

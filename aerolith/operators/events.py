@@ -223,6 +223,12 @@ def link_events(stats: DataFrame, cfg: EventConfig) -> DataFrame:
     return linked(link_step(stats.where("eligible"), None, cfg)[0])
 
 
+def named(events: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """The rows of ``events`` whose ``key`` is asked for, each asked key once or more: those that no event has are there with ``found`` false, so that a caller can warn of them. Null keys ask for nothing."""
+    ids = asked.select(key).where(F.col(key).isNotNull()).distinct()
+    return ids.join(events.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def event_summary(linked: DataFrame, stats: DataFrame, cfg: EventConfig, final: DataFrame) -> DataFrame:
     """One row per event: span, bins, gaps, distinct sensors, peaks and status. ``final`` has one row, the last bin of the table (final_bucket)."""
     both = linked.join(stats, ["bucket", "cluster_station"])

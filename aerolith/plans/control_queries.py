@@ -76,6 +76,12 @@ def fire_matched_controls(spark, d):
     return out.select("fire_id", "controls", *_r("control_contrast", "own_contrast", "over_control"))
 
 
+def fire_top_pairs(spark, d):
+    """The twenty strongest anomalies near each fire while it burns."""
+    rows = anomaly.anomaly_rows(views.obs(spark, d), views.stations(spark), COARSE)
+    return controls.top_pairs(_fires(spark, d), views.stations(spark), rows, STEP)
+
+
 _NEAR = f"""burn AS (SELECT fire_id, t AS s, t + {BURNS} AS e, lat, lon FROM fire),
 nr AS (SELECT fire_id, s, e, station_id, d FROM (SELECT f.fire_id, f.s, f.e, x.station_id, {hav('f', 'x')} AS d FROM burn f, station x) WHERE d <= 5.0),
 bn AS (SELECT station_id, bucket, smoothed AS value FROM smoothed)"""
@@ -131,6 +137,8 @@ ml AS (SELECT fire_id, day, max(c) AS contrast FROM (SELECT fire_id, day, bucket
 mg AS (SELECT ml.* FROM ml WHERE contrast IS NOT NULL AND (day = 0 OR NOT EXISTS (SELECT 1 FROM mv m, fire f WHERE m.fire_id = ml.fire_id AND m.day = ml.day AND f.fire_id <> m.fire_id AND f.t < m.e AND f.t + {BURNS} > m.s AND {hav('m', 'f')} <= 1.0)))"""
 
 QUERIES = {
+    "fire_top_pairs": (fire_top_pairs, with_("obs", "station", "fire", BINNED, ANOMALY, _NEAR) + f""", tq AS (SELECT fire_id, station_id, bucket, anomaly_score, row_number() OVER (PARTITION BY fire_id ORDER BY CASE WHEN anomaly_score <> 0 THEN anomaly_score ELSE -1e300 END DESC, station_id DESC, bucket DESC) AS k
+        FROM nr JOIN an USING (station_id) WHERE bucket >= s - s % {STEP} AND bucket < e) SELECT fire_id, CAST(k AS INTEGER) AS rank, station_id, bucket, anomaly_score FROM tq WHERE k <= 20"""),
     "support_without_each": (support_without_each, with_("obs", "station", BINNED, ANOMALY) + f""", wo AS (SELECT station_id, bucket, smoothed, vs, {_OK.format(v='vs')} AS supports FROM an),
         ex AS (SELECT station_id, bucket, i, vs, smoothed, {_LESS} AS less FROM wo, LATERAL (SELECT unnest(range(1, len(vs) + 1)) AS i)), ke AS (SELECT station_id, bucket, count(*) FILTER (WHERE {_OK.format(v='less')}) AS kept FROM ex GROUP BY 1, 2)
         SELECT station_id, bucket, CAST(len(vs) AS BIGINT) AS neighbors, coalesce(supports, false) AS supports, coalesce(kept, 0) AS kept, coalesce(supports, false) AND coalesce(kept, 0) < len(vs) AS fragile FROM wo LEFT JOIN ke USING (station_id, bucket)"""),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import labels, parse
-from ..functions.geo import toward_deg
-from ..operators import state
+from ..functions import labels, parse, text
+from ..functions.geo import from_deg, toward_deg
+from ..operators import events, state
 from . import views
 from .anomaly_queries import smoothed_bins
 from .views import BINNED, with_
@@ -187,7 +187,40 @@ _FRESH = f"CASE WHEN {_AGE} IS NULL THEN 'missing_observation' WHEN {_AGE} < -30
 _PLACE = "pl AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, 25.0::DOUBLE + ((event_id * 37) % 121) / 1000.0::DOUBLE AS lat, 121.4::DOUBLE + ((event_id * 53) % 121) / 1000.0::DOUBLE AS lon FROM events)"
 _LOCAL = f"lo AS (SELECT *, (lon - {LON0}::DOUBLE) * (111320.0::DOUBLE * cos(radians({LAT0}::DOUBLE))) AS x, (lat - {LAT0}::DOUBLE) * 110540.0::DOUBLE AS y FROM pl)"
 
+def checked_numbers(spark, d):
+    """Raw fields as numbers, with a flag for those that are no number or out of bounds."""
+    k = F.col("event_id") % 7
+    raw = F.when(k == 0, " N/A ").when(k == 1, "--").when(k == 2, "12,5").when(k == 3, "nan").otherwise(F.concat(F.lit(" "), F.round("value", 2).cast("string")))
+    out = views.events(spark, d).withColumn("c", text.checked_number(raw, 0.0, 60.0))
+    return out.select("event_id", "c.value", "c.invalid")
+
+
+def incident_names(spark, d):
+    """Names of fires from their times, numbered within the second."""
+    f = views.fires(spark, d)
+    n = F.row_number().over(Window.partitionBy("t").orderBy("fire_id"))
+    return f.withColumn("n", n).select("fire_id", labels.incident_name("FIRE", F.col("t"), F.col("n")).alias("incident"), labels.cluster_name(F.col("t") - F.col("t") % 21_600, F.col("n")).alias("cluster"))
+
+
+def wind_from(spark, d):
+    """Where every measured wind comes from."""
+    return views.weather(spark, d).select("station_id", "t", F.round(from_deg("u", "v"), 6).alias("from_deg"))
+
+
+def named_orders(spark, d):
+    """The orders of the suppliers' numbers, as events that are asked for by name: those that no order has are told."""
+    orders = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), "o_totalprice")
+    asked = views.table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("event_id"))
+    return events.named(orders, asked, "event_id").select("event_id", "found", "o_totalprice")
+
+
 QUERIES = {
+    "checked_numbers": (checked_numbers, """WITH r AS (SELECT event_id, event_id % 7 AS k, round(value, 2) AS v FROM events)
+        SELECT event_id, CASE WHEN k > 3 AND v <= 60 THEN v END AS value, k IN (2, 3) OR (k > 3 AND v > 60) AS invalid FROM r"""),
+    "incident_names": (incident_names, with_("fire") + """, n AS (SELECT fire_id, t, row_number() OVER (PARTITION BY t ORDER BY fire_id) AS n FROM fire)
+        SELECT fire_id, 'FIRE_' || strftime(make_timestamp(t * 1000000), '%Y%m%d%H%M%S') || '_' || lpad(n::VARCHAR, 3, '0') AS incident, strftime(make_timestamp((t - t % 21600) * 1000000), '%Y%m%dT%H%M%SZ') || '-c' || lpad(n::VARCHAR, 2, '0') AS cluster FROM n"""),
+    "wind_from": (wind_from, with_("weather") + " SELECT station_id, t, round(CASE WHEN sqrt(u * u + v * v) > 1e-12 THEN ((degrees(atan2(u, v)) + 180) % 360 + 360) % 360 END, 6) AS from_deg FROM weather"),
+    "named_orders": (named_orders, "SELECT a.event_id, o_orderkey IS NOT NULL AS found, o_totalprice FROM (SELECT DISTINCT s_suppkey * 3 AS event_id FROM supplier) a LEFT JOIN orders ON o_orderkey = a.event_id"),
     "wind_status": (wind_status, f"""WITH r AS (SELECT event_id, {_pick("event_id % 10", [(0, "NULL"), (1, "NULL"), (2, "990.0"), (3, "0.0"), (4, "NULL")], "(event_id * 37 % 361)::DOUBLE")} AS dir,
         CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 0.0 WHEN event_id % 13 = 0 THEN NULL ELSE (event_id % 9)::DOUBLE END AS sp FROM events),
         s AS (SELECT *, CASE WHEN dir IS NULL OR sp IS NULL THEN 'invalid' WHEN dir = 990 THEN 'variable' WHEN dir = 0 AND sp > 0 THEN 'inconsistent' WHEN dir = 0 THEN 'calm' ELSE 'valid' END AS status FROM r)

@@ -22,6 +22,25 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[st
         w.format(kind).save(path)
 
 
+def write_report(df: DataFrame, path: str, fields: list[str], kind: str = "csv", banner: str | None = None, context: dict[str, str] | None = None) -> None:
+    """Writes a small report as one CSV or JSON file with the given fields in order, after the columns of ``context`` (the same in every row), under a line ``# banner`` if there is one.
+
+    Numbers that are not finite are refused: the write fails, and nothing is left at ``path``. A banner is for CSV only. The rows of a report go through one task.
+    """
+    checked = [F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), F.raise_error(F.lit(f"{c} is not finite")).cast("double")).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.select(*fields).dtypes]
+    rows = df.select(*[F.lit(v).alias(k) for k, v in (context or {}).items()], *checked)
+    if kind == "json":
+        rows.coalesce(1).write.json(path)
+    elif banner is None:
+        rows.coalesce(1).write.csv(path, header=True)
+    else:
+        cells = F.to_csv(F.struct(*[F.col(c).cast("string").alias(c) for c in rows.columns]))
+        lines = rows.select(cells.alias("value"))
+        head = df.sparkSession.createDataFrame([(0, f"# {banner}"), (1, ",".join(rows.columns))], "i int, value string")
+        whole = head.unionByName(lines.withColumn("i", F.lit(2))).coalesce(1).sortWithinPartitions("i").select("value")
+        whole.write.text(path)
+
+
 def snapshot(raw: DataFrame, path: str, at: str = "ingested_at") -> None:
     """Appends raw records as gzipped JSON in folders by day; nothing that is there is overwritten."""
     raw.withColumn("dt", F.date_format(at, "yyyy-MM-dd")).write.mode("append").partitionBy("dt").json(path, compression="gzip")

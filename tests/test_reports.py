@@ -181,3 +181,18 @@ def test_forensics_of_empty_tables(spark):
     out = forensics.classify(shaped, forensics.bands(shaped, st, CFG), forensics.history(shaped, none, fires, CFG), forensics.faults(shaped, none, st, CFG), wind, CFG).collect()
     assert [(r["class"], r["shape"], r.clock, r.history) for r in out] == [("NO_SIGNIFICANT_RESPONSE", "NO_CLEAR_SPIKE", "UNAVAILABLE", "LIMITED_HISTORY")]
     assert forensics.responses(controls.around(fires.limit(0), st, 5.0), bins, CFG).count() == 0
+
+
+def test_report_files(spark, tmp_path):
+    """Context columns first, a banner line, and no file for numbers that are not finite."""
+    from aerolith.sources import sinks
+
+    df = spark.createDataFrame([(1, 2.5, "a,b", 0), (2, None, None, 0)], "id long, v double, s string, x int")
+    sinks.write_report(df, str(tmp_path / "a"), ["s", "id", "v"], banner="diagnostic only", context={"zone": "core"})
+    lines = next((tmp_path / "a").glob("part-*")).read_text().splitlines()
+    assert lines == ["# diagnostic only", "zone,s,id,v", 'core,"a,b",1,2.5', "core,,2,"]
+    sinks.write_report(df, str(tmp_path / "b"), ["id"], kind="json")
+    assert spark.read.json(str(tmp_path / "b")).count() == 2
+    with pytest.raises(Exception, match="not finite"):
+        sinks.write_report(spark.createDataFrame([(float("nan"),)], "v double"), str(tmp_path / "c"), ["v"])
+    assert not list(tmp_path.glob("c/part-*"))
