@@ -10,10 +10,12 @@ weighted by how often each occurs, the sum of the smaller counts over the sum of
 2. Each window gets a 64-bit SimHash of its shingles. Fingerprints within a radius r share at least one
    of r + 1 blocks: windows and items of one size meet on equal blocks, and the Hamming distance is checked. This finds every
    pair within the radius. Windows smaller than the item have few shingles, of which fingerprints say little: they meet all items of the size.
+   Nor do fingerprints say much of an item that repeats shingles, for single ones weigh a lot: such an item meets, without fingerprints, every window that has one of its
+   heaviest shingles, as many of these as no similar window can be without.
 3. The shingle counts of what is left are compared exactly.
 
 The radius of 22 bits: at similarity 0.8 two fingerprints differ in 9.7 bits on average with a
-deviation of 2.9, so a window is lost with a probability of about 0.00001 at the very threshold, less above it.
+deviation of 2.9, so a window of different shingles is lost with a probability of about 0.00001 at the very threshold, less above it.
 """
 
 from __future__ import annotations
@@ -128,6 +130,18 @@ def _windows(found: DataFrame) -> DataFrame:
     return out.withColumn("fp", fingerprint(F.col("win")))
 
 
+def _heaviest(items: DataFrame) -> DataFrame:
+    """(item_id, m, h): of each item that repeats shingles the heaviest ones, until what is left is too little for a similar window: one with none of them can't be similar."""
+    some = items.where(F.size(F.array_distinct("sh")) < F.col("m")).select("item_id", "m", F.explode("sh").alias("h"))
+    counts = some.groupBy("item_id", "m", "h").agg(F.count(F.lit(1)).alias("n"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "h")))
+    each = counts.groupBy("item_id", "m").agg(order.alias("o"))
+    spare = F.col("m") - _least_common(F.col("m"), F.col("m"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("h"))
+    taken = F.aggregate("o", zero, lambda acc, x: F.when(acc["n"] > spare, acc).otherwise(F.struct((acc["n"] - x["n"]).alias("n"), F.concat(acc["h"], F.array(x["h"])).alias("h"))))
+    return each.select("item_id", "m", F.explode(taken["h"]).alias("h"))
+
+
 def _best(windows: DataFrame, items: DataFrame) -> DataFrame:
     every = F.array(F.lit(-1).cast("bigint"))
     # copies have the same windows: their fingerprints meet the items once
@@ -137,6 +151,11 @@ def _best(windows: DataFrame, items: DataFrame) -> DataFrame:
     same = F.zip_with(_blocks(F.col("fp"), RADIUS), _blocks(F.col("item_fp"), RADIUS), lambda a, b: a == b)
     close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & (F.array_position(same, True) - 1 == F.col("i"))
     met = left.join(right, ["m", "block"]).where(F.col("smaller") | close).select("m", "smaller", "fp", "item_id")
+    heavy = materialise(_heaviest(items))
+    sizes = [r.m for r in heavy.select("m").distinct().collect()]
+    if sizes:
+        each = windows.where(~F.col("smaller") & F.col("m").isin(sizes)).select("m", "smaller", "fp", F.explode_outer(F.array_distinct("win")).alias("h"))
+        met = met.union(each.distinct().join(heavy, ["m", "h"]).select("m", "smaller", "fp", "item_id")).distinct()
     # exact: the window's shingle counts against the item's
     near = windows.join(materialise(met), ["m", "smaller", "fp"]).join(items.select("item_id", "m", "n_words", F.col("sh").alias("own")), ["item_id", "m"])
     count = lambda a, h: F.size(F.filter(a, lambda y: y == h))

@@ -283,3 +283,17 @@ def test_decontamination_of_truncated_items(spark):
     assert len({d for d, *_ in want}) == 300
     got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id, round(r.similarity, 9), r.start_word) for r in got.collect()} == want
+
+
+def test_decontamination_of_items_that_repeat_themselves(spark):
+    """Items of two words in turn and documents of the same twelve words and another: exactly at the threshold, with few different shingles; all are found, and near misses are not."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    items, docs = [], []
+    for i in range(120):
+        p, q, other = word(), word(), word()
+        items.append((i, " ".join([p, q] * 6 + [p])))
+        docs.append((2 * i, " ".join([p, q] * 6 + [other])))
+        docs.append((2 * i + 1, " ".join([p, q] * 5 + [other, word(), p])))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.similarity) for r in got.collect()} == {(2 * i, i, 0.8) for i in range(120)}
