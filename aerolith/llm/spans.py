@@ -32,13 +32,36 @@ def with_spans(df: DataFrame, text: str, searches: dict[str, tuple[str, Column]]
     return df.withColumns({n: F.coalesce(_spans(n, context), F.array().cast(SPAN)) for n in names}).drop(*[f"_{x}_{n}" for x in "mhgs" for n in names])
 
 
-def _starts(hits: Column, gaps: Column) -> Column:
-    lengths = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(h), F.lit(0)).alias("hit")))
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: within lambda functions an expression is computed wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _within(piece: Column) -> Column:
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["hit"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["gap"])).alias("out")
-    )
-    return F.when(F.size(hits) > 0, F.aggregate(lengths, zero, step, lambda acc: acc["out"]))
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+    return F.aggregate(piece, zero, step, lambda acc: acc["out"])
+
+
+def _running(values: Column) -> Column:
+    """The sums of an array of integers up to each of its elements.
+
+    Arrays can only be copied, not appended to: so sums run within pieces of about the square root of the array's length, and then over the pieces.
+    """
+    def cut(v: Column) -> Column:
+        k = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        return _let(k, lambda k: F.transform(F.sequence(F.lit(1), F.size(v), k), lambda o: _within(F.slice(v, o, k))))
+
+    def shifted(pieces: Column) -> Column:
+        before = _within(F.transform(pieces, lambda p: F.element_at(p, -1)))
+        return _let(before, lambda b: F.flatten(F.transform(pieces, lambda p, i: _let(F.coalesce(F.get(b, i - 1), F.lit(0)), lambda off: F.transform(p, lambda x: x + off)))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(cut(v), shifted)).otherwise(F.array().cast("array<int>")))
+
+
+def _starts(hits: Column, gaps: Column) -> Column:
+    both = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
+    return F.when(F.size(hits) > 0, _let(_running(both), lambda ends: F.transform(hits, lambda h, i: F.get(ends, i) - F.length(h))))
 
 
 def _spans(n: str, context: int) -> Column:

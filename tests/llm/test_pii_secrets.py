@@ -175,3 +175,19 @@ def test_linked_parts_against_all_pairs(spark, sf_dir):
     want = {i: linked_spans(t) for i, t in enumerate(texts)}
     assert {i for i in want if want[i] != got[i]} == set()
     assert sum(any(s[0] in secrets.WEAK for s in v) for v in want.values()) > 300
+
+
+def test_running_sums_of_any_length(spark):
+    """Sums within and over pieces against plain ones, lengths around squares included; a long text's spans come from them."""
+    from itertools import accumulate
+
+    from aerolith.llm import spans
+
+    rng = random.Random(4)
+    rows = [([rng.randrange(9) for _ in range(n)],) for n in (0, 1, 2, 3, 4, 5, 8, 9, 10, 99, 100, 101, 1000)] + [(None,)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    assert [r.s for r in df.select(spans._running(df.v).alias("s")).collect()] == [list(accumulate(v)) if v else [] for (v,) in rows]
+    words = [rng.choice(("alpha", "beta", "zz")) for _ in range(60_000)]
+    text = spark.createDataFrame([(" ".join(words),)], "t string")
+    got = spans.with_spans(text, "t", {"w": ("alpha|beta", text.t.isNotNull())}).selectExpr("transform(w, x -> x.start) s").first().s
+    assert got == [m.start() for m in re.finditer("alpha|beta", " ".join(words))]
