@@ -16,9 +16,9 @@ from .spatial import distance_join
 def response(obs: DataFrame, fires: DataFrame, stations: DataFrame, km: float, before: int, during: int, after: int) -> DataFrame:
     """Per fire and station within ``km``: medians before, during and after, peak, delta and class.
 
-    Fires meet stations by distance, and observations of those stations by time slots as wide as the whole window.
+    Fires meet stations by distance, and observations of those stations by time slots of an eighth of the whole window: few of those met are outside it.
     """
-    width = before + during + after
+    width = max(1, (before + during + after) // 8)
     near = fires.select("fire_id", F.col("t").alias("fire_t"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
     pairs = distance_join(near, stations.select("station_id", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), km).select("fire_id", "fire_t", "station_id")
     slots = F.explode(F.sequence(F.floor((F.col("fire_t") - before) / width), F.floor((F.col("fire_t") + during + after) / width)))
@@ -42,7 +42,7 @@ def event_response(obs: DataFrame, fires: DataFrame, stations: DataFrame, near_k
 
     ``local`` tells the stations within ``near_km``, the others are its background. A value in none of the windows is left out; what a window lacks is null.
     """
-    width = before + during + post
+    width = max(1, (before + during + post) // 8)
     near = fires.select("fire_id", F.col("t").alias("fire_t"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
     pairs = distance_join(near, stations.select("station_id", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), far_km).select("fire_id", "fire_t", "station_id", "distance_km")
     slots = F.explode(F.sequence(F.floor((F.col("fire_t") - before) / width), F.floor((F.col("fire_t") + during + post) / width)))
