@@ -126,7 +126,9 @@ def window_step(log: CommitLog, batch: DataFrame, batch_id: int, seconds: int, l
 
 
 def windows(log: CommitLog, corrected: bool = True) -> DataFrame:
-    """(station_id, bucket, n, mean, high, last_value, late_rows, closed): the bins of ``window_step``; ``corrected`` ones have the late rows merged into them."""
+    """(station_id, bucket, n, mean, high, last_value, late_rows, closed): the bins of ``window_step``; ``corrected`` ones have the late rows merged into them. Before the first batch there are none."""
+    if log.last() is None:
+        return log.spark.createDataFrame([], "station_id long, bucket long, n long, mean double, high double, last_value double, late_rows long, closed boolean")
     parts = log.read("parts").withColumn("late", F.lit(0).cast("long"))
     side = log.read("late")
     every = parts.unionByName(side.withColumn("late", F.col("n"))) if corrected else parts

@@ -59,6 +59,7 @@ def test_late_rows_correct_closed_windows(spark, tmp_path):
     batches = [rows[i : i + 150] for i in range(0, len(rows), 150)]
     very_late = [(1, 400, 99.0), (1, 750, 5.0), (3, 751, 0.5), (None, 750, 1.0), (2, None, 1.0)]
     log = CommitLog(spark, str(tmp_path / "log"))
+    assert ingest.windows(log).count() == 0
     shape = "station_id long, t long, value double"
     for i, b in enumerate([*batches[:4], very_late, *batches[4:]]):
         assert ingest.window_step(log, spark.createDataFrame(b, shape), i, 100, 700)
