@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.robust import pearson
 from .controls import around, met
+from .graph import cut
 from .spatial import neighbor_pairs
 
 
@@ -35,6 +36,26 @@ class ForensicsConfig:
         return [f"band_{i}" for i in range(1, len(self.bands))]
 
 
+def alike(near: DataFrame, cfg: ForensicsConfig) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``around`` of representative fires, (fire_id, as_id) of all): fires with the same sensors nearby whose times fall between the same bins see the same bins, so one of them answers for all.
+
+    That holds where the configured spans are whole bins; else a fire stands for those with the very same times only.
+    """
+    whole = cfg.before % cfg.step == 0 and cfg.after % cfg.step == 0
+    key = lambda c: F.floor((F.col(c) - 1) / cfg.step).alias(f"_{c}_after") if whole else F.col(c).alias(f"_{c}_after")
+    at = lambda c: F.floor(F.col(c) / cfg.step).alias(f"_{c}_at") if whole else F.col(c).alias(f"_{c}_at")
+    times = [f(c) for c in ("start", "end") for f in (key, at)]
+    seen = near.groupBy("fire_id", "start", "end").agg(F.array_sort(F.collect_set(F.struct("station_id", "distance_km"))).alias("_near")).select("fire_id", *times, "_near")
+    keys = [c for c in seen.columns if c != "fire_id"]
+    same = cut(seen.select("fire_id", F.min("fire_id").over(Window.partitionBy(*keys)).alias("as_id")))
+    return near.join(same.select(F.col("as_id").alias("fire_id")).distinct(), "fire_id", "left_semi"), same
+
+
+def each_fire(found: DataFrame, same: DataFrame) -> DataFrame:
+    """Rows of representatives as those of all fires that they answer for, from ``alike``."""
+    return same.join(found.withColumnRenamed("fire_id", "as_id"), "as_id").drop("as_id")
+
+
 def responses(near: DataFrame, bins: DataFrame, cfg: ForensicsConfig) -> DataFrame:
     """(fire_id, start, end, station_id, distance_km, baseline, peak, peak_bucket, peak_t, excess, series): a sensor's median before a fire, and its highest value, the first of equal ones, until
     ``after`` seconds after it.

@@ -32,8 +32,12 @@ def _near(spark, d):
     return controls.around(_fires(spark, d), views.stations(spark), CFG.km)
 
 
-def _shaped(spark, d):
-    return forensics.shapes(forensics.responses(_near(spark, d), _bins(spark, d), CFG), CFG)
+def _alike(spark, d):
+    return forensics.alike(_near(spark, d), CFG)
+
+
+def _shaped(spark, d, near):
+    return forensics.shapes(forensics.responses(near, _bins(spark, d), CFG), CFG)
 
 
 SHAPE = ["peak_bucket", "peak_t", "over_3", "over_5", "over_10", "longest", "peaks", "shape"]
@@ -42,7 +46,8 @@ LEVELS = ["baseline", "peak", "excess", "rise_rate", "fall_rate"]
 
 def sensor_shapes(spark, d):
     """The response of every sensor near every fire, and its shape."""
-    return _shaped(spark, d).select("fire_id", "station_id", *SHAPE, *_r(*LEVELS))
+    near, same = _alike(spark, d)
+    return forensics.each_fire(_shaped(spark, d, near).select("fire_id", "station_id", *SHAPE, *_r(*LEVELS)), same)
 
 
 BAND = ["sensors", "usable", "over_3", "over_5", "over_10", "within_2", "within_4", "corroborating"]
@@ -50,13 +55,15 @@ BAND = ["sensors", "usable", "over_3", "over_5", "over_10", "within_2", "within_
 
 def sensor_bands(spark, d):
     """The neighbours of every responding sensor, by distance."""
-    found = forensics.responses(_near(spark, d), _bins(spark, d), CFG)
-    return forensics.bands(found, views.stations(spark), CFG).select("fire_id", "station_id", "band", *BAND, *_r("baseline", "peak", "max_median"))
+    near, same = _alike(spark, d)
+    found = forensics.responses(near, _bins(spark, d), CFG)
+    return forensics.each_fire(forensics.bands(found, views.stations(spark), CFG).select("fire_id", "station_id", "band", *BAND, *_r("baseline", "peak", "max_median")), same)
 
 
 def sensor_coherence(spark, d):
     """The neighbour whose series goes best with a sensor's around a fire."""
-    return forensics.coherence(_near(spark, d), _bins(spark, d), views.stations(spark), CFG).select("fire_id", "station_id", "neighbors", "best_neighbor", "best_lag", "best_r")
+    near, same = _alike(spark, d)
+    return forensics.each_fire(forensics.coherence(near, _bins(spark, d), views.stations(spark), CFG).select("fire_id", "station_id", "neighbors", "best_neighbor", "best_lag", "best_r"), same)
 
 
 PRIOR = ["history_bins", "prior_10", "prior_20", "prior_30", "prior_similar", "interval", "history"]
@@ -64,8 +71,9 @@ PRIOR = ["history_bins", "prior_10", "prior_20", "prior_30", "prior_similar", "i
 
 def sensor_history(spark, d):
     """Earlier spikes of every responding sensor."""
-    found = forensics.responses(_near(spark, d), _bins(spark, d), CFG)
-    return forensics.history(found, _bins(spark, d), _fires(spark, d), CFG).select("fire_id", "station_id", *PRIOR, *_r("prior_base", "max_prior", "interval_share"))
+    near, same = _alike(spark, d)
+    found = forensics.responses(near, _bins(spark, d), CFG)
+    return forensics.each_fire(forensics.history(found, _bins(spark, d), _fires(spark, d), CFG).select("fire_id", "station_id", *PRIOR, *_r("prior_base", "max_prior", "interval_share")), same)
 
 
 def _plausible(spark, d):
@@ -85,12 +93,12 @@ SENSOR = ["shape", "corroborating", "prior_similar", "history", "seen", "missing
 
 def sensor_forensics(spark, d):
     """One row a fire and sensor near it: what was found, and its class."""
-    return _sensors(spark, d, _shaped(spark, d)).select("fire_id", "station_id", *SENSOR, *_r("excess", "cadence"))
+    return _sensors(spark, d, _shaped(spark, d, _near(spark, d))).select("fire_id", "station_id", *SENSOR, *_r("excess", "cadence"))
 
 
 def fire_forensics(spark, d):
     """Every fire's class by the sensors that responded most."""
-    shaped = _shaped(spark, d)
+    shaped = _shaped(spark, d, _near(spark, d))
     top = forensics.top_sensors(shaped, anomaly.anomaly_rows(views.obs(spark, d), views.stations(spark), COARSE), CFG)
     return forensics.classify_fires(_sensors(spark, d, shaped), top)
 

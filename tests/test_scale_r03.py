@@ -50,3 +50,31 @@ def test_timelines_are_grouped_once_a_place(spark, monkeypatch):
     fires = spark.createDataFrame([(f, 2000 + f, 2900 + f, 25.0, 121.0) for f in range(50)], "fire_id long, start long, end long, lat double, lon double")
     out = controls.timeline(fires, st, bins, controls.ControlConfig(before=600, after=600), 180)
     assert out.count() == out.select("fire_id", "bucket").distinct().count() > 500 and met == [30]
+
+
+def test_fires_between_the_same_bins_are_judged_once(spark):
+    from aerolith.operators import forensics
+
+    cfg = forensics.ForensicsConfig(step=100, before=200, after=300)
+    near = spark.createDataFrame([(1, 1001, 1501, 5, 0.5), (2, 1099, 1599, 5, 0.5), (3, 1000, 1500, 5, 0.5), (4, 1001, 1501, 6, 0.5)], "fire_id long, start long, end long, station_id long, distance_km double")
+    few, same = forensics.alike(near, cfg)
+    assert {r.fire_id: r.as_id for r in same.collect()} == {1: 1, 2: 1, 3: 3, 4: 4} and sorted(r.fire_id for r in few.collect()) == [1, 3, 4]
+    bins = spark.createDataFrame([(5, b * 100, b * 100, float(b % 7)) for b in range(30)], "station_id long, bucket long, t long, value double")
+    row = lambda r: (r.fire_id, r.station_id, r.baseline, r.peak, r.peak_bucket)
+    whole = sorted(map(row, forensics.responses(near, bins, cfg).collect()), key=str)
+    assert sorted(map(row, forensics.each_fire(forensics.responses(few, bins, cfg).drop("start", "end"), same).collect()), key=str) == whole
+
+
+def test_annotations_are_not_shuffled_after_they_are_met(spark):
+    from aerolith.operators import evidence
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        f = spark.createDataFrame([("A1",)], "number string")
+        m = spark.createDataFrame([("a 1", "x", 10, 1.0, 2.0, None, "")], "cno string, pollutant string, m_t long, value double, standard double, status string, code string")
+        e = spark.createDataFrame([(k, 5) for k in range(3)], "event_id long, t long")
+        out = evidence.monitor_annotations(f, m, e)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out.count() == 3 and plan.index("_slot#", plan.index("Join")) < plan.index("_id#", plan.index("Join"))
