@@ -99,7 +99,7 @@ def ring_contrasts(spark, d):
 
 def reference_nearest(spark, d):
     """The fifteen nearest stations of each within 50 km."""
-    return spatial.nearest(spatial.neighbor_pairs(views.monitors(spark, d), 50.0), ["a"], 15).select("a", "b", "rank", *_r("distance_km"))
+    return spatial.nearest_within(views.monitors(spark, d), 15, 50.0).select("a", "b", "rank", *_r("distance_km"))
 
 
 def regional_outliers(spark, d):
@@ -141,7 +141,7 @@ def core_zone(spark, d):
 
 
 def nn_spacing(spark, d):
-    one = spatial.nearest(spatial.neighbor_pairs(views.monitors(spark, d), 10.0), ["a"], 1)
+    one = spatial.nearest_within(views.monitors(spark, d), 1, 10.0)
     return one.agg(F.count(F.lit(1)).alias("stations"), F.round(F.percentile("distance_km", F.lit(0.5)), 6).alias("median_km"), F.round(F.percentile("distance_km", F.lit(0.9)), 6).alias("p90_km"))
 
 

@@ -78,3 +78,16 @@ def test_annotations_are_not_shuffled_after_they_are_met(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert out.count() == 3 and plan.index("_slot#", plan.index("Join")) < plan.index("_id#", plan.index("Join"))
+
+
+def test_nearest_in_growing_circles_equals_all_pairs(spark):
+    """Sparse and crowded places and copies of one place; and the first circle must not hold all pairs."""
+    from aerolith.operators import spatial
+
+    rng = np.random.default_rng(3)
+    at = [(25 + x * 0.4, 121 + y * 0.4) for x, y in rng.random((250, 2))] + [(25.1 + x * 0.002, 121.1 + y * 0.002) for x, y in rng.random((100, 2))] + [(25.3, 121.3)] * 40
+    st = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "station_id long, lat double, lon double")
+    for k, km in ((1, 3.0), (5, 30.0)):
+        row = lambda r: (r.a, r.b, r["rank"], r.distance_km)
+        want = sorted(map(row, spatial.nearest(spatial.neighbor_pairs(st, km), ["a"], k).collect()))
+        assert sorted(map(row, spatial.nearest_within(st, k, km).collect())) == want
