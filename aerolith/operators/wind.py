@@ -47,21 +47,26 @@ def temporal_select(obs: DataFrame, times: DataFrame, cfg: WindConfig) -> DataFr
     )
 
 
-def idw(points: DataFrame, selected: DataFrame, stations: DataFrame, keys: list[str], cfg: WindConfig, exclude: str | None = None) -> DataFrame:
+def idw(points: DataFrame, selected: DataFrame, stations: DataFrame, keys: list[str], cfg: WindConfig, exclude: str | None = None, settings: list[tuple[float, float]] | None = None) -> DataFrame:
     """Wind at every (lat, lon, at) of ``points`` from the nearest stations that have a value then.
 
     The preferred circle counts if it holds enough stations, else the wide one; ``exclude`` names a column of ``points`` with a station to leave
-    out. Points may have a ``preferred_km`` and a ``power`` of their own. Points and stations meet on equal times and cells of the wide circle.
+    out. ``settings`` are pairs (preferred_km, power): each gives a row of its own, from the same nearest stations. Points and stations meet on equal times and cells of the wide circle.
     """
     have = selected.join(stations.select("station_id", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), "station_id")
     met = distance_join(points.withColumns({"a_lat": F.col("lat"), "a_lon": F.col("lon")}), have, cfg.max_km, ["at"])
     if exclude:
         met = met.where(F.col("station_id") != F.col(exclude))
-    preferred, power = (F.col(c) if c in points.columns else F.lit(v) for c, v in (("preferred_km", cfg.preferred_km), ("power", cfg.power)))
-    near = F.count_if(F.col("distance_km") <= preferred).over(Window.partitionBy(*keys))
-    met = met.withColumn("_p", near).where((F.col("_p") < cfg.min_stations) | (F.col("distance_km") <= preferred))
     order = Window.partitionBy(*keys).orderBy("distance_km", "station_id")
-    used = met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cfg.max_stations)
+    # whether a circle holds enough stations is told by the distance of the last that would be needed
+    met = met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(cfg.max_stations, cfg.min_stations))
+    met = met.withColumn("_enough", F.max(F.when(F.col("_r") == cfg.min_stations, F.col("distance_km"))).over(Window.partitionBy(*keys)))
+    preferred, power, target = F.lit(cfg.preferred_km), F.lit(cfg.power), points.select(*keys).distinct()
+    if settings:
+        each = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("preferred_km"), F.lit(float(p)).alias("power")) for r, p in settings]))
+        met, target = (d.withColumn("_s", each).select(*d.columns, "_s.*") for d in (met, target))
+        preferred, power, keys = F.col("preferred_km"), F.col("power"), [*keys, "preferred_km", "power"]
+    used = met.where(F.col("_enough").isNull() | (F.col("_enough") > preferred) | (F.col("distance_km") <= preferred)).where(F.col("_r") <= cfg.max_stations)
     w = 1 / F.pow(F.greatest("distance_km", F.lit(cfg.epsilon_km)), power)
     used = used.withColumn("_w", w)
     sums = used.groupBy(*keys).agg(
@@ -79,7 +84,7 @@ def idw(points: DataFrame, selected: DataFrame, stations: DataFrame, keys: list[
     # the weighted mean square distance from the mean is the mean square less the square of the mean
     spread = F.sqrt(F.greatest(F.col("_s2") / F.col("_sw") - F.col("u") * F.col("u") - F.col("v") * F.col("v"), F.lit(0.0)))
     enough = F.col("n_stations") >= cfg.min_stations
-    out = points.select(*keys).distinct().join(sums.withColumn("disagreement", spread), keys, "left").withColumn("n_stations", F.coalesce("n_stations", F.lit(0)))
+    out = target.join(sums.withColumn("disagreement", spread), keys, "left").withColumn("n_stations", F.coalesce("n_stations", F.lit(0)))
     d, n = F.col("disagreement"), F.col("n_stations")
     spatial = F.when(~enough | d.isNull() | (d >= 2) | (F.col("nearest_km") > 20) | (F.col("farthest_km") > 25), "high").when((d >= 1) | (F.col("nearest_km") > 10) | (F.col("farthest_km") > 15) | (n < 5), "medium").otherwise("low")
     temporal = F.when(~enough | (F.col("max_offset_s") > 600), "STALE").when(F.col("one_sided") > 0, "NEAREST_ONLY").otherwise("EXACT_OR_BRACKETED")
@@ -120,10 +125,7 @@ def leave_one_out(obs: DataFrame, stations: DataFrame, cfg: WindConfig, settings
     target = obs.join(stations, "station_id").select(F.col("station_id").alias("target"), F.col("t").alias("at"), "lat", "lon", F.col("u").alias("actual_u"), F.col("v").alias("actual_v"))
     keys = ["target", "at", "lat", "lon", "actual_u", "actual_v"]
     selected = temporal_select(obs, target, cfg)
-    if settings:
-        each = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("preferred_km"), F.lit(float(p)).alias("power")) for r, p in settings]))
-        target, keys = target.withColumn("s", each).select(*keys, "s.*"), [*keys, "preferred_km", "power"]
-    out = idw(target, selected, stations, keys, cfg, exclude="target")
+    out = idw(target, selected, stations, keys, cfg, exclude="target", settings=settings)
     actual, predicted = F.hypot("actual_u", "actual_v"), F.hypot("u", "v")
     turn = angle_between(toward_deg("u", "v"), toward_deg("actual_u", "actual_v"))
     return out.withColumns({"vector_error": F.hypot(F.col("u") - F.col("actual_u"), F.col("v") - F.col("actual_v")), "speed_error": F.abs(predicted - actual), "direction_error": F.when(actual >= 0.5, turn)})

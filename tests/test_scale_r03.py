@@ -85,9 +85,26 @@ def test_nearest_in_growing_circles_equals_all_pairs(spark):
     from aerolith.operators import spatial
 
     rng = np.random.default_rng(3)
-    at = [(25 + x * 0.4, 121 + y * 0.4) for x, y in rng.random((250, 2))] + [(25.1 + x * 0.002, 121.1 + y * 0.002) for x, y in rng.random((100, 2))] + [(25.3, 121.3)] * 40
+    at = [(25 + x * 0.4, 121 + y * 0.4) for x, y in rng.random((250, 2)).tolist()] + [(25.1 + x * 0.002, 121.1 + y * 0.002) for x, y in rng.random((100, 2)).tolist()] + [(25.3, 121.3)] * 40
     st = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "station_id long, lat double, lon double")
     for k, km in ((1, 3.0), (5, 30.0)):
         row = lambda r: (r.a, r.b, r["rank"], r.distance_km)
         want = sorted(map(row, spatial.nearest(spatial.neighbor_pairs(st, km), ["a"], k).collect()))
         assert sorted(map(row, spatial.nearest_within(st, k, km).collect())) == want
+
+
+def test_settings_are_tried_on_the_nearest_stations_only(spark):
+    """A row for each setting is made after the nearest stations have been found, so all that is sorted has one row a station."""
+    from aerolith.config import WindConfig
+    from aerolith.operators import wind
+
+    st = spark.createDataFrame([(k, 25.0 + 0.03 * k, 121.0) for k in range(14)], "station_id long, lat double, lon double")
+    obs = spark.createDataFrame([(k, 60 * k, float(k), 1.0, False) for k in range(14)], "station_id long, t long, u double, v double, calm boolean")
+    cfg = WindConfig()
+    out = wind.leave_one_out(obs, st, cfg, [(3.0, 1.0), (8.0, 2.0)])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "preferred_km" in plan and "preferred_km" not in plan[plan.index("Window ["):].split("\n+- Join")[0].split("distinct")[0].split("Aggregate [")[0]
+    for radius, power in ((3.0, 1.0), (8.0, 2.0)):
+        alone = wind.leave_one_out(obs, st, WindConfig(preferred_km=radius, power=power))
+        row = lambda r: (r.target, r.n_stations, r.u, r.quality)
+        assert sorted(map(row, out.where((out.preferred_km == radius) & (out.power == power)).collect()), key=str) == sorted(map(row, alone.collect()), key=str)
