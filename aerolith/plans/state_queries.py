@@ -169,7 +169,7 @@ def recorder_status(spark, d):
 
 
 def radius_counts(spark, d):
-    return state.counts_within(spatial.neighbor_pairs(views.monitors(spark, d), 5.0), [0.5, 1.0, 2.0, 5.0])
+    return spatial.counts_within(views.monitors(spark, d), [0.5, 1.0, 2.0, 5.0])
 
 
 def topk_industries(spark, d):
