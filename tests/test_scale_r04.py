@@ -19,3 +19,30 @@ def test_many_pairs_of_few_stations_are_dealt_to_many_tasks(spark, monkeypatch):
         near, far = want.get(r.a, (0, 0))
         want[r.a] = (near + (r.distance_km <= 0.5), far + 1)
     assert counts == want and counts[151] == (1, 1) and 152 not in counts
+
+
+def test_fires_are_grouped_without_all_their_pairs(spark, monkeypatch):
+    """Places that burn again and again, nulls, NaN, an id at two places: the same groups as from all pairs, from few links."""
+    from aerolith.operators import evidence
+
+    links, real = [], evidence.components
+    monkeypatch.setattr(evidence, "components", lambda nodes, edges: links.append(edges.count()) or real(nodes, edges))
+    rng = np.random.default_rng(7)
+    spots = [(25.0, 121.0), (25.0, 121.008), (25.02, 121.0), (25.026, 121.0), (25.2, 121.0)]
+    rows = [(i, int(t), *spots[s]) for i, (t, s) in enumerate(zip(rng.integers(0, 4_000, 60) * 100, rng.integers(0, 5, 60), strict=True))]
+    rows += [(1000 + i, 900_000, 25.4, 121.4) for i in range(150)] + [(70, None, 25.0, 121.0), (71, 5, None, 121.0), (72, 900_000, float("nan"), 121.4), (3, 2_000_000, 25.0, 121.0), (74, 2_000_100, 25.0, 121.0)]
+    got = {r.fire_id: r.group_id for r in evidence.fire_groups(spark.createDataFrame(rows, "fire_id long, t long, lat double, lon double"), 1.0, 3600).collect()}
+    root = {r[0]: r[0] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = lambda a, b: None not in a and None not in b and abs(a[1] - b[1]) <= 3600 and 111.195 * np.hypot(a[2] - b[2], (a[3] - b[3]) * np.cos(np.radians(25))) <= 1.0
+    for a in rows:
+        for b in rows:
+            if near(a, b):
+                x, y = sorted((find(a[0]), find(b[0])))
+                root[y] = x
+    assert got == {k: find(k) for k in root} and links[0] < 300
