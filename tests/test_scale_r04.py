@@ -63,3 +63,20 @@ def test_clashes_of_times_equal_all_pairs_without_making_them(spark):
     want = {(m[0], m[1]) for m in moved for f in rows if f[0] != m[0] and m[2] < m[3] and f[1] < m[3] and f[2] > m[2] and near(m[4:], f[3:])}
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(moved)
+
+
+def test_percentiles_equal_the_builtin_and_keep_no_group_in_one_task(spark):
+    """Ties, nulls, NaN, infinities, groups of one value and of none; the plan has no aggregate that collects a group's values."""
+    from aerolith.operators import wind
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    rows = [("a", float(x), float(round(x))) for x in rng.exponential(5, 999)] + [("b", 2.5, None), ("c", None, None), ("d", 1.0, float("nan")), ("d", float("inf"), 3.0), ("d", -4.0, 2.0), *[("e", 7.0, 7.0)] * 20]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    asked = {"p": ("x", 0.5), "q": ("x", 0.9), "r": ("y", 0.25)}
+    out = wind.percentiles(df, ["k"], asked, bins=16)
+    want = df.groupBy("k").agg(*[F.percentile(c, F.lit(s)).alias(n) for n, (c, s) in asked.items()])
+    row = lambda r: (r.k, *[None if r[n] is None else str(round(r[n], 9)) for n in asked])
+    assert sorted(map(row, out.collect())) == sorted(row(r) for r in want.collect() if r.k != "c")
+    errors = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 0.0, 0.0, 0.0, 0.0)], "k string, vector_error double, speed_error double, direction_error double, u double, v double, actual_u double, actual_v double")
+    assert "percentile(" not in wind.error_metrics(errors, ["k"])._jdf.queryExecution().optimizedPlan().toString()
