@@ -13,7 +13,16 @@ from .graph import cut
 from .spatial import distance_join
 
 
-def temporal_select(obs: DataFrame, times: DataFrame, cfg: WindConfig) -> DataFrame:
+#: Rows of winds by station and time that a task sorts, where Spark's own number of shuffle partitions would give it more.
+ROWS_A_TASK = 400_000
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in so many partitions; as it is where ``tasks`` is None."""
+    return df.repartition(tasks, *keys) if tasks else df
+
+
+def temporal_select(obs: DataFrame, times: DataFrame, cfg: WindConfig, tasks: int | None = None) -> DataFrame:
     """(station_id, at, u, v, calm, offset_s, kind): each station's wind at each time.
 
     Exact where observed, linear between the nearest observations on both sides within the tolerance, else the
@@ -29,7 +38,7 @@ def temporal_select(obs: DataFrame, times: DataFrame, cfg: WindConfig) -> DataFr
     both = reach.withColumn("_ask", F.lit(0)).unionByName(asked.select("station_id", F.col("at").alias("_time"), none.alias("_p"), "_b", F.lit(1).alias("_ask")))
     slot = Window.partitionBy("station_id", "_b")
     past, future = (slot.orderBy(o, "_ask").rowsBetween(Window.unboundedPreceding, 0) for o in ("_time", F.desc("_time")))
-    found = both.withColumns({"b": F.last("_p", ignorenulls=True).over(past), "a": F.last("_p", ignorenulls=True).over(future)}).where("_ask = 1").withColumnRenamed("_time", "at")
+    found = dealt(both, tasks, "station_id", "_b").withColumns({"b": F.last("_p", ignorenulls=True).over(past), "a": F.last("_p", ignorenulls=True).over(future)}).where("_ask = 1").withColumnRenamed("_time", "at")
     near = lambda c: F.when(F.abs(F.col(f"{c}.t") - F.col("at")) <= width, F.col(c))
     sides = found.withColumns({"b": near("b"), "a": near("a")}).where("a is not null or b is not null")
     before, after = F.col("b"), F.col("a")
@@ -48,16 +57,17 @@ def temporal_select(obs: DataFrame, times: DataFrame, cfg: WindConfig) -> DataFr
     )
 
 
-def idw(points: DataFrame, selected: DataFrame, stations: DataFrame, keys: list[str], cfg: WindConfig, exclude: str | None = None, settings: list[tuple[float, float]] | None = None) -> DataFrame:
+def idw(points: DataFrame, selected: DataFrame, stations: DataFrame, keys: list[str], cfg: WindConfig, exclude: str | None = None, settings: list[tuple[float, float]] | None = None, tasks: int | None = None) -> DataFrame:
     """Wind at every (lat, lon, at) of ``points`` from the nearest stations that have a value then.
 
     The preferred circle counts if it holds enough stations, else the wide one; ``exclude`` names a column of ``points`` with a station to leave
     out. ``settings`` are pairs (preferred_km, power): each gives a row of its own, from the same nearest stations. Points and stations meet on equal times and cells of the wide circle.
     """
     have = selected.join(stations.select("station_id", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), "station_id")
-    met = distance_join(points.withColumns({"a_lat": F.col("lat"), "a_lon": F.col("lon")}), have, cfg.max_km, ["at"])
+    met = distance_join(points.withColumns({"a_lat": F.col("lat"), "a_lon": F.col("lon")}), have, cfg.max_km, ["at"], tasks=tasks)
     if exclude:
         met = met.where(F.col("station_id") != F.col(exclude))
+    met = dealt(met, tasks, *keys)
     order = Window.partitionBy(*keys).orderBy("distance_km", "station_id")
     # whether a circle holds enough stations is told by the distance of the last that would be needed
     met = met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(cfg.max_stations, cfg.min_stations))
@@ -122,11 +132,17 @@ def grid_points(spark, south: float, west: float, north: float, east: float, km:
 
 
 def leave_one_out(obs: DataFrame, stations: DataFrame, cfg: WindConfig, settings: list[tuple[float, float]] | None = None) -> DataFrame:
-    """Each observation predicted from the other stations: actual, predicted and errors. ``settings`` are pairs (preferred_km, power), each tried on every observation."""
+    """Each observation predicted from the other stations: actual, predicted and errors. ``settings`` are pairs (preferred_km, power), each tried on every observation.
+
+    Every observation meets all stations that have a wind then, so the steps are dealt to as many tasks as these rows need (``ROWS_A_TASK``), where that is more than Spark's number of shuffle partitions.
+    """
+    obs = cut(obs)
+    tasks = ceil(obs.count() * stations.count() / ROWS_A_TASK)
+    tasks = tasks if tasks > int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
     target = obs.join(stations, "station_id").select(F.col("station_id").alias("target"), F.col("t").alias("at"), "lat", "lon", F.col("u").alias("actual_u"), F.col("v").alias("actual_v"))
     keys = ["target", "at", "lat", "lon", "actual_u", "actual_v"]
-    selected = temporal_select(obs, target, cfg)
-    out = idw(target, selected, stations, keys, cfg, exclude="target", settings=settings)
+    selected = temporal_select(obs, target, cfg, tasks)
+    out = idw(target, selected, stations, keys, cfg, exclude="target", settings=settings, tasks=tasks)
     actual, predicted = F.hypot("actual_u", "actual_v"), F.hypot("u", "v")
     turn = angle_between(toward_deg("u", "v"), toward_deg("actual_u", "actual_v"))
     return out.withColumns({"vector_error": F.hypot(F.col("u") - F.col("actual_u"), F.col("v") - F.col("actual_v")), "speed_error": F.abs(predicted - actual), "direction_error": F.when(actual >= 0.5, turn)})

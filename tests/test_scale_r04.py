@@ -80,3 +80,18 @@ def test_percentiles_equal_the_builtin_and_keep_no_group_in_one_task(spark):
     assert sorted(map(row, out.collect())) == sorted(row(r) for r in want.collect() if r.k != "c")
     errors = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 0.0, 0.0, 0.0, 0.0)], "k string, vector_error double, speed_error double, direction_error double, u double, v double, actual_u double, actual_v double")
     assert "percentile(" not in wind.error_metrics(errors, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_validation_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    """A task's rows grew with the table, for the number of shuffle partitions is fixed."""
+    from aerolith.config import WindConfig
+    from aerolith.operators import wind
+
+    st = spark.createDataFrame([(k, 25.0 + 0.01 * k, 121.0) for k in range(6)], "station_id long, lat double, lon double")
+    obs = spark.createDataFrame([(k % 6, 60 * k, float(k), 1.0, False) for k in range(200)], "station_id long, t long, u double, v double, calm boolean")
+    row = lambda r: (r.target, r["at"], r.n_stations, r.u, r.quality)
+    want = sorted(map(row, wind.leave_one_out(obs, st, WindConfig()).collect()))
+    monkeypatch.setattr(wind, "ROWS_A_TASK", 100, raising=False)
+    out = wind.leave_one_out(obs, st, WindConfig())
+    assert sorted(map(row, out.collect())) == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") >= 2
