@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +29,15 @@ def project(df: DataFrame, lat0: float, lon0: float) -> DataFrame:
     return df.withColumns({"x": (F.col("lon") - lon0) * k, "y": (F.col("lat") - lat0) * M_PER_DEG_LAT})
 
 
+#: Steps that one task makes: a file of receptors is small, their steps are not.
+STEPS_A_TASK = 1_000_000
+
+
 def uniform_steps(points: DataFrame, u: float, v: float, cfg: TraceConfig) -> DataFrame:
-    """(receptor, step, x, y) of one particle per receptor in a constant wind, without residuals: a closed form, no loop."""
+    """(receptor, step, x, y) of one particle per receptor in a constant wind, without residuals: a closed form, no loop. Receptors are counted, and dealt to as many tasks as their steps need."""
     steps = cfg.minutes * 60 // cfg.dt_seconds
+    tasks = ceil(points.count() * steps / STEPS_A_TASK)
+    points = points.repartition(tasks, "station_id") if tasks > 1 else points
     out = points.select(F.col("station_id").alias("receptor"), "x", "y", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
     return out.withColumns({"x": F.col("x") - u * cfg.dt_seconds * F.col("step"), "y": F.col("y") - v * cfg.dt_seconds * F.col("step")})
 

@@ -95,3 +95,25 @@ def test_validation_takes_more_tasks_for_more_rows(spark, monkeypatch):
     out = wind.leave_one_out(obs, st, WindConfig())
     assert sorted(map(row, out.collect())) == want
     assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") >= 2
+
+
+def test_points_of_one_place_meet_cells_once(spark, monkeypatch):
+    """A point without a place has zeros; the distance join has a row for each place, not for each point."""
+    from aerolith.operators import evidence
+
+    met, real = [], evidence.distance_join
+    monkeypatch.setattr(evidence, "distance_join", lambda a, b, km: met.append(a.count()) or real(a, b, km))
+    points = spark.createDataFrame([(i, "x", 25.0, 121.0) for i in range(50)] + [(90, "y", 25.1, 121.0), (91, "y", None, 121.0)], "k long, kind string, lat double, lon double")
+    cells = spark.createDataFrame([(25.001, 121.0, 0.5, 0.2), (25.002, 121.0, 1.0, 0.1)], "lat double, lon double, score double, support_fraction double")
+    got = {r.k: (r.kind, r.local_max, r.support, r.nearest_km and round(r.nearest_km, 3)) for r in evidence.surface_metrics(points, cells, "k").collect()}
+    assert got == {**{i: ("x", 1.0, 0.2, 0.111) for i in range(50)}, 90: ("y", 0.0, 0.0, None), 91: ("y", 0.0, 0.0, None)} and met == [3]
+
+
+def test_steps_are_made_by_many_tasks(spark, monkeypatch):
+    from aerolith.config import TraceConfig
+    from aerolith.operators import trace
+
+    monkeypatch.setattr(trace, "STEPS_A_TASK", 600, raising=False)
+    points = spark.range(200).selectExpr("id as station_id", "cast(id as double) as x", "0.0D as y").coalesce(1)
+    sizes = trace.uniform_steps(points, 1.0, 0.5, TraceConfig()).rdd.glom().map(len).collect()
+    assert sum(sizes) == 12_000 and max(sizes) < 3_000
