@@ -2,7 +2,7 @@
 
 Every receptor of an event starts particles at its own time. At each step back they move against the wind interpolated at
 their place and minute, and against an error of it, drawn from the validation's residuals and kept for a block of time.
-Where the wind comes from is the user's choice: from stations (``Measured``), whose winds at each step are a snapshot in the receptor's row, so a task needs one receptor's rows only; or from a
+Where the wind comes from is the user's choice: from stations (``Measured``), whose winds at each step are a snapshot in the row of some receptors of one time, so a task needs that row only; or from a
 function (``Given``).
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,10 @@ from .graph import components, cut
 
 #: Residuals that a bucket's pool holds at most, chosen by hash: a bound on what tasks are given.
 POOL = 2_000
+#: Parts of a pool that are put in order by themselves.
+PARTS = 64
+#: Particles that are moved at once: receptors of one time come to tasks in lists of about so many, so no row grows with the receptors of a time.
+PARTICLES_AT_ONCE = 4_000
 QUALITIES = ["INSUFFICIENT_STATIONS", "CALM / LOW_DIRECTION_CONFIDENCE", "HIGH_UNCERTAINTY", "MEDIUM_UNCERTAINTY", "GOOD"]
 BUCKETS = ["unavailable", "≤3 km", "3–5 km", "5–10 km", ">10 km"]
 
@@ -34,9 +40,14 @@ def residual_table(validated: DataFrame) -> DataFrame:
 
 
 def pools(residuals: DataFrame) -> dict[tuple[str, str], np.ndarray]:
-    """Residuals by (distance bucket, quality), at most ``POOL`` of each."""
-    order = Window.partitionBy("bucket", "quality").orderBy(F.xxhash64("target", "at"), "target", "at", "du", "dv")
-    rows = residuals.withColumn("r", F.row_number().over(order)).where(F.col("r") <= POOL).orderBy("bucket", "quality", "r").collect()
+    """Residuals by (distance bucket, quality), at most ``POOL`` of each.
+
+    The first ones of ``PARTS`` parts of a pool are found before those of all of it, so no task sorts a whole pool; what is collected is of a fixed size.
+    """
+    order = [F.xxhash64("target", "at"), "target", "at", "du", "dv"]
+    first = lambda df, *keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= POOL)
+    parts = residuals.withColumn("_part", F.pmod(F.xxhash64("at", "target"), F.lit(PARTS)))
+    rows = sorted(first(first(parts, "bucket", "quality", "_part"), "bucket", "quality").select("bucket", "quality", "r", "du", "dv").collect())
     out: dict = {}
     for r in rows:
         out.setdefault((r.bucket, r.quality), []).append((r.du, r.dv))
@@ -93,27 +104,27 @@ class Measured:
     def __init__(self, obs: DataFrame, stations: DataFrame, cfg: WindConfig):
         self.obs, self.stations, self.cfg = obs, stations, cfg
 
-    def fields(self, seeds: DataFrame, cfg: TraceConfig, box: tuple[float, float, float, float]) -> DataFrame:
-        """``seeds`` with ``field``: for each step the winds at its time of the stations that a particle in the box (west, south, east, north in degrees) can use. The steps are of a fixed number."""
+    def fields(self, times: DataFrame, cfg: TraceConfig, box: tuple[float, float, float, float]) -> DataFrame:
+        """(seed_t, field) of ``times``, which are distinct: for each step back the winds of the stations that a particle in the box (west, south, east, north in degrees) can use, seven numbers each. The steps are of a fixed number."""
         pad = self.cfg.max_km / 110.0
         west, south, east, north = box
         lon_pad = pad / max(0.1, float(np.cos(np.radians(max(abs(south), abs(north))))))
         near = self.stations.where(F.col("lat").between(south - pad, north + pad) & F.col("lon").between(west - lon_pad, east + lon_pad)).select("station_id", "lat", "lon")
         steps = cfg.minutes * 60 // cfg.dt_seconds
-        asked = seeds.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("at", F.col("seed_t") - F.col("step") * cfg.dt_seconds)
+        asked = times.select("seed_t", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step")).withColumn("at", F.col("seed_t") - F.col("step") * cfg.dt_seconds)
         have = wind.temporal_select(self.obs.join(near.select("station_id"), "station_id", "left_semi"), asked.select("at"), self.cfg).join(near, "station_id")
         row = F.struct("station_id", "lat", "lon", "u", "v", F.col("calm").cast("double").alias("calm"), F.col("offset_s").cast("double").alias("offset"), (F.col("kind") == "nearest_only").cast("double").alias("one_sided"))
-        then = have.groupBy("at").agg(F.array_sort(F.collect_list(row)).alias("winds"))
-        return asked.join(then, "at", "left").groupBy(*seeds.columns).agg(F.array_sort(F.collect_list(F.struct("step", "winds"))).alias("field"))
+        numbers = lambda w: F.array(*[w[c] for c in ("lat", "lon", "u", "v", "calm", "offset", "one_sided")])
+        then = have.groupBy("at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(row)), numbers)).alias("winds"))
+        return asked.join(then, "at", "left").groupBy("seed_t").agg(F.array_sort(F.collect_list(F.struct("step", "winds"))).alias("field"))
 
     def at(self) -> Callable:
         """(field, step, lat, lon, t) -> wind (u, v), nearest station and quality; what tasks are given."""
-        cfg, columns = self.cfg, ("lat", "lon", "u", "v", "calm", "offset", "one_sided")
+        cfg = self.cfg
 
         def found(field, step: int, lat: np.ndarray, lon: np.ndarray, t: int):
             got = next((f["winds"] for f in field if f["step"] == step), None)
-            then = np.array([[w[c] for c in columns] for w in got], dtype=float) if got is not None and len(got) else np.zeros((0, 7))
-            return estimate(lat, lon, then, cfg)
+            return estimate(lat, lon, np.array([] if got is None else got, dtype=float).reshape(-1, 7), cfg)
 
         return found
 
@@ -128,8 +139,8 @@ class Given:
     def __init__(self, wind: Callable, decimals: int = 4, most: int = 1_000_000):
         self.wind, self.decimals, self.most = wind, decimals, most
 
-    def fields(self, seeds: DataFrame, cfg: TraceConfig, box: tuple[float, float, float, float]) -> DataFrame:
-        return seeds.withColumn("field", F.lit(None).cast("string"))
+    def fields(self, times: DataFrame, cfg: TraceConfig, box: tuple[float, float, float, float]) -> DataFrame:
+        return times.withColumn("field", F.lit(None).cast("string"))
 
     def at(self) -> Callable:
         given, decimals, most, known = self.wind, self.decimals, self.most, {}
@@ -157,65 +168,94 @@ def even(u: float, v: float) -> Given:
     return Given(lambda lat, lon, t: (np.full(len(lat), u), np.full(len(lat), v)))
 
 
-def trace(seeds: DataFrame, source: Measured | Given, pool: dict, cfg: TraceConfig, lat0: float, lon0: float, extent: tuple[float, float, float, float]) -> DataFrame:
+def _lists(seeds: DataFrame, most: int) -> DataFrame:
+    """(seed_t, receptors): the receptors of each time in lists of about ``most``. Which list a receptor is in bears on no result."""
+    n = seeds.groupBy("seed_t").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64("event_id", "station_id"), F.ceil(F.col("_n") / most))
+    return seeds.join(n, "seed_t").groupBy("seed_t", part.alias("_part")).agg(F.collect_list(F.struct("event_id", "station_id", "lat", "lon")).alias("receptors")).drop("_part")
+
+
+def trace(seeds: DataFrame, source: Measured | Given, pool: dict, cfg: TraceConfig, lat0: float, lon0: float, extent: tuple[float, float, float, float], cells: bool = True) -> DataFrame:
     """(event_id, station_id, ci, cj, at, hits, ended, source): where each receptor's particles passed, and how they ended.
 
-    ``seeds`` has event_id, station_id, seed_t, lat, lon; ``extent`` is west, south, east, north in metres from the origin. Rows with a cell count the
-    particles in it at a time; rows with ``ended`` count the particles that reached the time limit, left the extent or had no wind; rows with
+    ``seeds`` has event_id, station_id, seed_t, lat, lon, a row for each receptor; ``extent`` is west, south, east, north in metres from the origin. Rows with a cell count the
+    particles in it at a time (none if ``cells`` is false); rows with ``ended`` count the particles that reached the time limit, left the extent or had no wind; rows with
     ``source`` count from which pool errors were drawn. Draws depend on the seed and the receptor alone. A seed without time or place ends without wind; empty tables give an empty table.
+    Receptors of one time see the same winds, so a time's winds are gathered once and its particles are moved together.
     """
     steps, per_block, n, dt, size = cfg.minutes * 60 // cfg.dt_seconds, max(1, cfg.block_seconds // cfg.dt_seconds), cfg.particles, cfg.dt_seconds, cfg.cell_m
     k = M_PER_DEG_LON * float(np.cos(np.radians(lat0)))
     west, south, east, north = extent
-    chosen = {(i, j): fallback(pool, b, q) for i, b in enumerate(BUCKETS) for j, q in enumerate(QUALITIES)}
-    columns = ["event_id", "station_id", "ci", "cj", "at", "hits", "ended", "source"]
-    wind_at = source.at()
+    chosen = [fallback(pool, b, q) for b in BUCKETS for q in QUALITIES]
+    names, ends, most = sorted({name for name, _ in chosen}), ["", "domain_limit", "time_limit", "wind_unavailable"], max(1, PARTICLES_AT_ONCE // n)
+    blocks, wind_at = -(-steps // per_block), source.at()
+
+    def outside(p: np.ndarray) -> np.ndarray:
+        return (p[:, 0] < west) | (p[:, 0] > east) | (p[:, 1] < south) | (p[:, 1] > north)
+
+    def draws(event_id: str, station: int) -> np.ndarray:
+        return np.random.Generator(np.random.Philox(key=[cfg.seed, zlib.crc32(f"{event_id}|{station}".encode())])).random((blocks, n))
 
-    def one(event_id: str, station: int, t0, lat, lon, field) -> list[tuple]:
-        rng = np.random.Generator(np.random.Philox(key=[cfg.seed, zlib.crc32(f"{event_id}|{station}".encode())]))
-        pos = np.tile([(lon - lon0) * k, (lat - lat0) * M_PER_DEG_LAT], (n, 1))
-        ended, error, rows, sources = np.full(n, "", dtype=object), np.zeros((n, 2)), [], {}
+    def moved(t0: int, receptors: list, field) -> Iterator[pd.DataFrame]:
+        events, stations = np.array([r["event_id"] for r in receptors], dtype=object), np.array([int(r["station_id"]) for r in receptors])
+        lat, lon = np.array([r["lat"] for r in receptors]), np.array([r["lon"] for r in receptors])
+        count, of = len(receptors), np.repeat(np.arange(len(receptors)), n)
+        pos = np.repeat(np.column_stack([(lon - lon0) * k, (lat - lat0) * M_PER_DEG_LAT]), n, axis=0)
+        drawn = np.concatenate([draws(e, s) for e, s in zip(events, stations.tolist(), strict=True)], axis=1)
+        ended, error, sources, passed = np.zeros(len(of), dtype=int), np.zeros((len(of), 2)), np.zeros((count, len(names)), dtype=int), []
 
-        def outside(p: np.ndarray) -> np.ndarray:
-            return (p[:, 0] < west) | (p[:, 0] > east) | (p[:, 1] < south) | (p[:, 1] > north)
+        def rows(r: np.ndarray, hits: np.ndarray, **columns) -> pd.DataFrame:
+            missing = pd.array([pd.NA] * len(r), dtype="Int64")
+            out = {"event_id": events[r], "station_id": stations[r], "ci": missing, "cj": missing, "at": missing, "hits": hits, "ended": None, "source": None}
+            return pd.DataFrame(out | columns)
 
         for s in range(steps):
-            live = np.flatnonzero(ended == "")
-            gone = live[outside(pos[live])]
-            ended[gone] = "domain_limit"
-            live = live[~np.isin(live, gone)]
+            live = np.flatnonzero(ended == 0)
+            gone = outside(pos[live])
+            ended[live[gone]] = ends.index("domain_limit")
+            live = live[~gone]
             if not len(live):
                 break
             u, v, nearest, quality = wind_at(field, s, lat0 + pos[live, 1] / M_PER_DEG_LAT, lon0 + pos[live, 0] / k, t0 - s * dt)
-            ended[live[np.isnan(u)]] = "wind_unavailable"
             ok = ~np.isnan(u)
-            live, u, v, kind = live[ok], u[ok], v[ok], list(zip(_bucket_index(nearest[ok]).tolist(), quality[ok].tolist(), strict=True))
+            ended[live[~ok]] = ends.index("wind_unavailable")
+            live, u, v, kind = live[ok], u[ok], v[ok], _bucket_index(nearest[ok]) * len(QUALITIES) + quality[ok]
             if s % per_block == 0:
-                drawn = rng.random(n)[live]
-                for p, of, x in zip(live.tolist(), kind, drawn.tolist(), strict=True):
-                    name, some = chosen[of]
-                    error[p] = some[int(x * len(some))]
-                    sources[name] = sources.get(name, 0) + 1
+                for x in np.unique(kind).tolist():
+                    (name, some), here = chosen[x], live[kind == x]
+                    error[here] = some[(drawn[s // per_block, here] * len(some)).astype(int)]
+                    sources[:, names.index(name)] += np.bincount(of[here], minlength=count)
             pos[live] -= (np.column_stack([u, v]) + error[live]) * dt
             left = outside(pos[live])
-            ended[live[left]] = "domain_limit"
-            cells, hits = np.unique(np.floor(pos[live[~left]] / size).astype(int), axis=0, return_counts=True)
-            rows += [(event_id, station, int(c[0]), int(c[1]), int(t0) - (s + 1) * dt, int(h), None, None) for c, h in zip(cells, hits, strict=True)]
-        ended[ended == ""] = "time_limit"
-        names, counts = np.unique(ended.astype(str), return_counts=True)
-        rows += [(event_id, station, None, None, None, int(c), e, None) for e, c in zip(names.tolist(), counts, strict=True)]
-        return rows + [(event_id, station, None, None, None, c, None, x) for x, c in sorted(sources.items())]
+            ended[live[left]] = ends.index("domain_limit")
+            if cells and not left.all():
+                cell = np.column_stack([of[live[~left]], np.floor(pos[live[~left]] / size).astype(int)])
+                cell = cell[np.lexsort(cell.T[::-1])]
+                first = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
+                passed.append(np.column_stack([cell[first], np.full(len(first), int(t0) - (s + 1) * dt), np.diff(np.r_[first, len(cell)])]))
+        if passed:
+            r, ci, cj, at, hits = np.concatenate(passed).T
+            yield rows(r, hits, ci=ci, cj=cj, at=at)
+        ended[ended == 0] = ends.index("time_limit")
+        for labels, counts, column in ((ends, np.bincount(of * len(ends) + ended, minlength=count * len(ends)).reshape(count, -1), "ended"), (names, sources, "source")):
+            r, j = np.nonzero(counts)
+            yield rows(r, counts[r, j], **{column: np.array(labels, dtype=object)[j]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                nowhere = any(x is None or np.isnan(x) for x in (r.seed_t, r.lat, r.lon))
-                rows = [(r.event_id, int(r.station_id), None, None, None, n, "wind_unavailable", None)] if nowhere else one(r.event_id, int(r.station_id), r.seed_t, r.lat, r.lon, r.field)
-                yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("ci", "cj", "at")})
+                for i in range(0, len(r.receptors), most):
+                    yield from moved(r.seed_t, r.receptors[i : i + most], r.field)
 
     box = (lon0 + west / k, lat0 + south / M_PER_DEG_LAT, lon0 + east / k, lat0 + north / M_PER_DEG_LAT)
-    fields = source.fields(seeds.select("event_id", "station_id", "seed_t", "lat", "lon"), cfg, box)
-    return fields.repartition("event_id", "station_id").mapInPandas(run, "event_id string, station_id long, ci int, cj int, at long, hits long, ended string, source string")
+    seeds = seeds.select("event_id", F.col("station_id").cast("long").alias("station_id"), "seed_t", "lat", "lon").distinct()
+    nowhere = reduce(or_, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in ("seed_t", "lat", "lon")])
+    lists = _lists(seeds.where(~nowhere), most)
+    fields = lists.join(source.fields(seeds.where(~nowhere).select("seed_t").distinct(), cfg, box), "seed_t")
+    out = fields.repartition("seed_t", F.col("receptors")[0]["station_id"]).mapInPandas(run, "event_id string, station_id long, ci int, cj int, at long, hits long, ended string, source string")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    lost = seeds.where(nowhere).select("event_id", "station_id", none("ci", "int"), none("cj", "int"), none("at", "long"), F.lit(n).cast("long").alias("hits"), F.lit("wind_unavailable").alias("ended"), none("source", "string"))
+    return out.unionByName(lost)
 
 
 def event_receptors(members: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import WindConfig
 from ..functions.geo import angle_between, clip, toward_deg
 from .graph import cut
-from .spatial import distance_join
+from .spatial import distance_join, neighbor_pairs
 
 
 #: Rows of winds by station and time that a task sorts, where Spark's own number of shuffle partitions would give it more.
@@ -30,12 +30,23 @@ def temporal_select(obs: DataFrame, times: DataFrame, cfg: WindConfig, tasks: in
     the last and the next observation of every time are found by two sorts: as many rows as the result has, no pairs of times and observations.
     Times without any observation in reach give no row.
     """
-    width = cfg.max_offset_seconds
+    reach = _reach(obs, cfg)
+    asked = times.select("at").distinct().withColumn("_b", F.floor(F.col("at") / cfg.max_offset_seconds)).join(reach.select("station_id", "_b").distinct(), "_b")
+    return _selected(reach, asked, cfg, tasks)
+
+
+def _reach(obs: DataFrame, cfg: WindConfig) -> DataFrame:
+    """Observations in each time slot that they can reach."""
     point = F.struct("t", "u", "v", "calm")
-    reach = obs.select("station_id", F.col("t").alias("_time"), point.alias("_p"), F.explode(F.array(*[F.floor(F.col("t") / width) + i for i in (-1, 0, 1)])).alias("_b"))
-    asked = times.select("at").distinct().withColumn("_b", F.floor(F.col("at") / width)).join(reach.select("station_id", "_b").distinct(), "_b")
+    return obs.select("station_id", F.col("t").alias("_time"), point.alias("_p"), F.explode(F.array(*[F.floor(F.col("t") / cfg.max_offset_seconds) + i for i in (-1, 0, 1)])).alias("_b"))
+
+
+def _selected(reach: DataFrame, asked: DataFrame, cfg: WindConfig, tasks: int | None = None) -> DataFrame:
+    """``temporal_select`` of the stations and times of ``asked`` (station_id, at, _b), whose further columns stay with their rows."""
+    width, rest = cfg.max_offset_seconds, [c for c in asked.columns if c not in ("station_id", "at", "_b")]
     none = F.lit(None).cast(reach.schema["_p"].dataType)
-    both = reach.withColumn("_ask", F.lit(0)).unionByName(asked.select("station_id", F.col("at").alias("_time"), none.alias("_p"), "_b", F.lit(1).alias("_ask")))
+    seen = reach.withColumn("_ask", F.lit(0)).withColumns({c: F.lit(None).cast(asked.schema[c].dataType) for c in rest})
+    both = seen.unionByName(asked.select("station_id", F.col("at").alias("_time"), none.alias("_p"), "_b", F.lit(1).alias("_ask"), *rest))
     slot = Window.partitionBy("station_id", "_b")
     past, future = (slot.orderBy(o, "_ask").rowsBetween(Window.unboundedPreceding, 0) for o in ("_time", F.desc("_time")))
     found = dealt(both, tasks, "station_id", "_b").withColumns({"b": F.last("_p", ignorenulls=True).over(past), "a": F.last("_p", ignorenulls=True).over(future)}).where("_ask = 1").withColumnRenamed("_time", "at")
@@ -47,6 +58,7 @@ def temporal_select(obs: DataFrame, times: DataFrame, cfg: WindConfig, tasks: in
     mix = lambda c: F.when(exact, before[c]).when(two, before[c] + f * (after[c] - before[c])).otherwise(F.coalesce(before[c], after[c]))
     gap = F.greatest(F.coalesce(F.col("at") - before["t"], F.lit(0)), F.coalesce(after["t"] - F.col("at"), F.lit(0)))
     return sides.select(
+        *rest,
         "station_id",
         "at",
         mix("u").alias("u"),
@@ -67,12 +79,19 @@ def idw(points: DataFrame, selected: DataFrame, stations: DataFrame, keys: list[
     met = distance_join(points.withColumns({"a_lat": F.col("lat"), "a_lon": F.col("lon")}), have, cfg.max_km, ["at"], tasks=tasks)
     if exclude:
         met = met.where(F.col("station_id") != F.col(exclude))
+    return _weighed(points.select(*keys).distinct(), met, keys, cfg, settings, tasks)
+
+
+def _weighed(target: DataFrame, met: DataFrame, keys: list[str], cfg: WindConfig, settings: list[tuple[float, float]] | None = None, tasks: int | None = None, few: bool = False) -> DataFrame:
+    """``idw`` of the ``keys`` of ``target`` from the stations they met. If those are no more than can be needed (``few``), they are not ranked before the shuffle, and ``_found`` is their number."""
     met = dealt(met, tasks, *keys)
     order = Window.partitionBy(*keys).orderBy("distance_km", "station_id")
     # whether a circle holds enough stations is told by the distance of the last that would be needed
-    met = met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(cfg.max_stations, cfg.min_stations))
+    met = met.withColumn("_r", F.row_number().over(order))
+    met = met if few else met.where(F.col("_r") <= max(cfg.max_stations, cfg.min_stations))
     met = met.withColumn("_enough", F.max(F.when(F.col("_r") == cfg.min_stations, F.col("distance_km"))).over(Window.partitionBy(*keys)))
-    preferred, power, target = F.lit(cfg.preferred_km), F.lit(cfg.power), points.select(*keys).distinct()
+    met = met.withColumn("_found", F.max("_r").over(Window.partitionBy(*keys))) if few else met
+    preferred, power = F.lit(cfg.preferred_km), F.lit(cfg.power)
     if settings:
         each = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("preferred_km"), F.lit(float(p)).alias("power")) for r, p in settings]))
         met, target = (d.withColumn("_s", each).select(*d.columns, "_s.*") for d in (met, target))
@@ -91,6 +110,7 @@ def idw(points: DataFrame, selected: DataFrame, stations: DataFrame, keys: list[
         F.max("distance_km").alias("farthest_km"),
         F.max("offset_s").alias("max_offset_s"),
         F.count_if(F.col("kind") == "nearest_only").alias("one_sided"),
+        *[F.max(c).alias(c) for c in ["_found"] * few],
     )
     # the weighted mean square distance from the mean is the mean square less the square of the mean
     spread = F.sqrt(F.greatest(F.col("_s2") / F.col("_sw") - F.col("u") * F.col("u") - F.col("v") * F.col("v"), F.lit(0.0)))
@@ -134,15 +154,27 @@ def grid_points(spark, south: float, west: float, north: float, east: float, km:
 def leave_one_out(obs: DataFrame, stations: DataFrame, cfg: WindConfig, settings: list[tuple[float, float]] | None = None) -> DataFrame:
     """Each observation predicted from the other stations: actual, predicted and errors. ``settings`` are pairs (preferred_km, power), each tried on every observation.
 
-    Every observation meets all stations that have a wind then, so the steps are dealt to as many tasks as these rows need (``ROWS_A_TASK``), where that is more than Spark's number of shuffle partitions.
+    Which stations are nearest doesn't depend on time, so pairs of stations are found once, and an observation asks its nearest stations alone. Only where one of those has no wind then, it asks all
+    in reach. The steps are dealt to as many tasks as these rows need (``ROWS_A_TASK``), where that is more than Spark's number of shuffle partitions.
     """
-    obs = cut(obs)
-    tasks = ceil(obs.count() * stations.count() / ROWS_A_TASK)
+    obs, need = cut(obs), max(cfg.max_stations, cfg.min_stations)
+    tasks = ceil(obs.count() * min(need, stations.count()) / ROWS_A_TASK)
     tasks = tasks if tasks > int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
-    target = obs.join(stations, "station_id").select(F.col("station_id").alias("target"), F.col("t").alias("at"), "lat", "lon", F.col("u").alias("actual_u"), F.col("v").alias("actual_v"))
-    keys = ["target", "at", "lat", "lon", "actual_u", "actual_v"]
-    selected = temporal_select(obs, target, cfg, tasks)
-    out = idw(target, selected, stations, keys, cfg, exclude="target", settings=settings, tasks=tasks)
+    own = Window.partitionBy("a")
+    pairs = neighbor_pairs(stations, cfg.max_km).withColumns({"_rank": F.row_number().over(own.orderBy("distance_km", "b")), "_of": F.count(F.lit(1)).over(own)})
+    pairs = cut(pairs.select(F.col("a").alias("target"), F.col("b").alias("station_id"), "distance_km", "_rank", "_of"))
+    keys = ["target", "at", "actual_u", "actual_v"]
+    target = obs.join(stations.select("station_id"), "station_id").select(F.col("station_id").alias("target"), F.col("t").alias("at"), F.col("u").alias("actual_u"), F.col("v").alias("actual_v"))
+    ask = lambda df, near: df.join(near.select("target", "station_id", "distance_km"), "target").withColumn("_b", F.floor(F.col("at") / cfg.max_offset_seconds))
+    reach = _reach(obs, cfg)
+    first = cut(_weighed(target, _selected(reach, ask(target, pairs.where(F.col("_rank") <= need)), cfg, tasks), keys, cfg, settings, tasks, few=True))
+    short = F.coalesce("_found", F.lit(0)) < F.least(F.lit(need), F.coalesce("_of", F.lit(0)))
+    first = first.join(pairs.where("_rank = 1").select("target", "_of"), "target", "left").withColumn("_short", short).drop("_found", "_of")
+    rest = first.where("_short").select(*keys).distinct()
+    asked = ask(rest, pairs)
+    seen = reach.join(asked.select("station_id", "_b").distinct(), ["station_id", "_b"], "left_semi")
+    again = _weighed(rest, _selected(seen, asked, cfg, tasks), keys, cfg, settings, tasks)
+    out = first.where(~F.col("_short")).drop("_short").unionByName(again).join(stations.select(F.col("station_id").alias("target"), "lat", "lon"), "target")
     actual, predicted = F.hypot("actual_u", "actual_v"), F.hypot("u", "v")
     turn = angle_between(toward_deg("u", "v"), toward_deg("actual_u", "actual_v"))
     return out.withColumns({"vector_error": F.hypot(F.col("u") - F.col("actual_u"), F.col("v") - F.col("actual_v")), "speed_error": F.abs(predicted - actual), "direction_error": F.when(actual >= 0.5, turn)})
