@@ -79,4 +79,4 @@ def test_bins_and_clusters_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(anomaly, "BINS_A_TASK", 100, raising=False)
     monkeypatch.setattr(events, "CLUSTERS_A_TASK", 1, raising=False)
     rows, got, again = run()
-    assert got == want and again == links and "RepartitionByExpression" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert got == want and again == links and "RepartitionByExpression [station_id" in rows._jdf.queryExecution().optimizedPlan().toString()
