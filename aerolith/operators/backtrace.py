@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
+from math import ceil, log2
 from operator import or_
 
 import numpy as np
@@ -23,8 +25,10 @@ from ..functions.geo import EARTH_KM, M_PER_DEG_LAT, M_PER_DEG_LON, angle_betwee
 from . import wind
 from .graph import components, cut
 
-#: Residuals that a bucket's pool holds at most, chosen by hash: a bound on what tasks are given.
+#: Residuals of a bucket's pool that tasks are given at once, the first by hash; they ask for the others by number.
 POOL = 2_000
+#: Rows of a part of a pool that is numbered by itself.
+ROWS_A_PART = 20_000
 #: Parts of a pool that are put in order by themselves.
 PARTS = 64
 #: Particles that are moved at once: receptors of one time come to tasks in lists of about so many, so no row grows with the receptors of a time.
@@ -39,12 +43,16 @@ def residual_table(validated: DataFrame) -> DataFrame:
     return validated.where(known).select("target", "at", (F.col("actual_u") - F.col("u")).alias("du"), (F.col("actual_v") - F.col("v")).alias("dv"), wind.distance_bucket("nearest_km").alias("bucket"), "quality")
 
 
+def _order() -> list:
+    return [F.xxhash64("target", "at"), "target", "at", "du", "dv"]
+
+
 def pools(residuals: DataFrame) -> dict[tuple[str, str], np.ndarray]:
-    """Residuals by (distance bucket, quality), at most ``POOL`` of each.
+    """The first residuals by (distance bucket, quality), ``POOL`` of each; ``whole_pools`` has all.
 
     The first ones of ``PARTS`` parts of a pool are found before those of all of it, so no task sorts a whole pool; what is collected is of a fixed size.
     """
-    order = [F.xxhash64("target", "at"), "target", "at", "du", "dv"]
+    order = _order()
     first = lambda df, *keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= POOL)
     parts = residuals.withColumn("_part", F.pmod(F.xxhash64("at", "target"), F.lit(PARTS)))
     rows = sorted(first(first(parts, "bucket", "quality", "_part"), "bucket", "quality").select("bucket", "quality", "r", "du", "dv").collect())
@@ -54,15 +62,48 @@ def pools(residuals: DataFrame) -> dict[tuple[str, str], np.ndarray]:
     return {k: np.array(v) for k, v in out.items()}
 
 
-def fallback(pool: dict[tuple[str, str], np.ndarray], bucket: str, quality: str) -> tuple[str, np.ndarray]:
-    """The pool to draw from: of the bucket and the quality, else of the distance, else of the quality, else all; and which it is."""
-    if (bucket, quality) in pool:
-        return "exact_bucket", pool[bucket, quality]
+@dataclass(frozen=True)
+class Pools:
+    """Residuals by (distance bucket, quality): how many, the first of them, and a table (bucket, quality, r, du, dv) of all others, whose numbers r count from zero."""
+
+    sizes: dict[tuple[str, str], int]
+    first: dict[tuple[str, str], np.ndarray]
+    others: DataFrame | None = None
+
+
+def whole_pools(residuals: DataFrame) -> Pools:
+    """All residuals by (distance bucket, quality), in the order of ``pools``.
+
+    Only the first ones and the pools' sizes reach the driver. The others are numbered in parts of a pool, which are ranges of hashes, so no task sorts a whole pool.
+    """
+    residuals, keys = cut(residuals), ["bucket", "quality"]
+    sizes = {(r.bucket, r.quality): r["n"] for r in residuals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if max(sizes.values(), default=0) <= POOL:
+        return Pools(sizes, pools(residuals))
+    bits = max(1, ceil(log2(max(sizes.values()) / ROWS_A_PART + 1)))
+    parted = residuals.withColumn("_part", F.shiftright(F.xxhash64("target", "at"), 64 - bits))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parted.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*_order())) - 1
+    others = parted.withColumn("_in", within).join(starts, [*keys, "_part"]).withColumn("r", F.col("_start") + F.col("_in")).where(F.col("r") >= POOL)
+    return Pools(sizes, pools(residuals), cut(others.select(*keys, "r", "du", "dv")))
+
+
+def drawn_from(keys: list[tuple[str, str]], bucket: str, quality: str) -> tuple[str, list[tuple[str, str]]]:
+    """The pools to draw from: of the bucket and the quality, else of the distance, else of the quality, else all; and which it is."""
+    if (bucket, quality) in keys:
+        return "exact_bucket", [(bucket, quality)]
     for name, at, value in (("distance_fallback", 0, bucket), ("quality_fallback", 1, quality)):
-        some = [v for k, v in sorted(pool.items()) if k[at] == value]
+        some = [k for k in sorted(keys) if k[at] == value]
         if some:
-            return name, np.vstack(some)
-    return ("global_fallback", np.vstack([v for _, v in sorted(pool.items())])) if pool else ("none", np.zeros((1, 2)))
+            return name, some
+    return ("global_fallback", sorted(keys)) if keys else ("none", [])
+
+
+def fallback(pool: dict[tuple[str, str], np.ndarray], bucket: str, quality: str) -> tuple[str, np.ndarray]:
+    """``drawn_from`` of pools at hand: their residuals, and which it is."""
+    name, keys = drawn_from(list(pool), bucket, quality)
+    return name, np.vstack([pool[k] for k in keys]) if keys else np.zeros((1, 2))
 
 
 def estimate(lat: np.ndarray, lon: np.ndarray, s: np.ndarray, cfg: WindConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -169,26 +210,38 @@ def even(u: float, v: float) -> Given:
 
 
 def _lists(seeds: DataFrame, most: int) -> DataFrame:
-    """(seed_t, receptors): the receptors of each time in lists of about ``most``. Which list a receptor is in bears on no result."""
+    """(seed_t, part, receptors): the receptors of each time in lists of about ``most``. Which list a receptor is in bears on no result."""
     n = seeds.groupBy("seed_t").agg(F.count(F.lit(1)).alias("_n"))
     part = F.pmod(F.xxhash64("event_id", "station_id"), F.ceil(F.col("_n") / most))
-    return seeds.join(n, "seed_t").groupBy("seed_t", part.alias("_part")).agg(F.collect_list(F.struct("event_id", "station_id", "lat", "lon")).alias("receptors")).drop("_part")
+    return seeds.join(n, "seed_t").groupBy("seed_t", part.alias("part")).agg(F.collect_list(F.struct("event_id", "station_id", "lat", "lon")).alias("receptors"))
+
 
+#: What a trace gives, and what a list of receptors needs to go on: its block, places, ends and draws by source, and the particles, pools and numbers of the residuals that it asks for.
+PASSED = "event_id string, station_id long, ci int, cj int, at long, hits long, ended string, source string"
+PAUSED = "seed_t long, part long, block long, pos array<double>, over array<long>, drew array<long>, ask_i array<long>, ask_k array<long>, ask_r array<long>"
 
-def trace(seeds: DataFrame, source: Measured | Given, pool: dict, cfg: TraceConfig, lat0: float, lon0: float, extent: tuple[float, float, float, float], cells: bool = True) -> DataFrame:
+
+def trace(seeds: DataFrame, source: Measured | Given, pool: Pools | dict, cfg: TraceConfig, lat0: float, lon0: float, extent: tuple[float, float, float, float], cells: bool = True) -> DataFrame:
     """(event_id, station_id, ci, cj, at, hits, ended, source): where each receptor's particles passed, and how they ended.
 
     ``seeds`` has event_id, station_id, seed_t, lat, lon, a row for each receptor; ``extent`` is west, south, east, north in metres from the origin. Rows with a cell count the
     particles in it at a time (none if ``cells`` is false); rows with ``ended`` count the particles that reached the time limit, left the extent or had no wind; rows with
     ``source`` count from which pool errors were drawn. Draws depend on the seed and the receptor alone. A seed without time or place ends without wind; empty tables give an empty table.
     Receptors of one time see the same winds, so a time's winds are gathered once and its particles are moved together.
+
+    Every residual of a pool is drawn alike. Where ``pool`` has others than the first ones, particles stop at the start of a block, ask for theirs by number in a join, and go on: as many rounds as blocks, and one more.
     """
+    pool = pool if isinstance(pool, Pools) else Pools({k: len(v) for k, v in pool.items()}, pool)
     steps, per_block, n, dt, size = cfg.minutes * 60 // cfg.dt_seconds, max(1, cfg.block_seconds // cfg.dt_seconds), cfg.particles, cfg.dt_seconds, cfg.cell_m
     k = M_PER_DEG_LON * float(np.cos(np.radians(lat0)))
     west, south, east, north = extent
-    chosen = [fallback(pool, b, q) for b in BUCKETS for q in QUALITIES]
+    keys, others = sorted(pool.sizes), pool.others
+    sizes, first = np.array([pool.sizes[x] for x in keys], dtype=np.int64), [np.asarray(pool.first[x], dtype=float) for x in keys]
+    held = np.array([len(x) for x in first], dtype=np.int64)
+    chosen = [(name, np.array([keys.index(x) for x in some], dtype=np.int64)) for name, some in (drawn_from(keys, b, q) for b in BUCKETS for q in QUALITIES)]
     names, ends, most = sorted({name for name, _ in chosen}), ["", "domain_limit", "time_limit", "wind_unavailable"], max(1, PARTICLES_AT_ONCE // n)
-    blocks, wind_at = -(-steps // per_block), source.at()
+    blocks, wind_at, schema = -(-steps // per_block), source.at(), PASSED if others is None else f"{PASSED}, {PAUSED}"
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def outside(p: np.ndarray) -> np.ndarray:
         return (p[:, 0] < west) | (p[:, 0] > east) | (p[:, 1] < south) | (p[:, 1] > north)
@@ -196,20 +249,34 @@ def trace(seeds: DataFrame, source: Measured | Given, pool: dict, cfg: TraceConf
     def draws(event_id: str, station: int) -> np.ndarray:
         return np.random.Generator(np.random.Philox(key=[cfg.seed, zlib.crc32(f"{event_id}|{station}".encode())])).random((blocks, n))
 
-    def moved(t0: int, receptors: list, field) -> Iterator[pd.DataFrame]:
+    def numbered(kind: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pool that each draw of a kind of wind falls into, and its number there; -1 where there are no residuals."""
+        of, r = np.full(len(kind), -1, dtype=np.int64), np.zeros(len(kind), dtype=np.int64)
+        for x in np.unique(kind).tolist():
+            some, here = chosen[x][1], kind == x
+            if len(some):
+                upto = np.cumsum(sizes[some])
+                at = (drawn[here] * upto[-1]).astype(np.int64)
+                which = np.searchsorted(upto, at, side="right")
+                of[here], r[here] = some[which], at - (upto - sizes[some])[which]
+        return of, r
+
+    def moved(t0: int, receptors: list, field, part: int = 0, state=None) -> Iterator[pd.DataFrame]:
         events, stations = np.array([r["event_id"] for r in receptors], dtype=object), np.array([int(r["station_id"]) for r in receptors])
         lat, lon = np.array([r["lat"] for r in receptors]), np.array([r["lon"] for r in receptors])
         count, of = len(receptors), np.repeat(np.arange(len(receptors)), n)
         pos = np.repeat(np.column_stack([(lon - lon0) * k, (lat - lat0) * M_PER_DEG_LAT]), n, axis=0)
         drawn = np.concatenate([draws(e, s) for e, s in zip(events, stations.tolist(), strict=True)], axis=1)
-        ended, error, sources, passed = np.zeros(len(of), dtype=int), np.zeros((len(of), 2)), np.zeros((count, len(names)), dtype=int), []
+        ended, error, sources, passed, block = np.zeros(len(of), dtype=int), np.zeros((len(of), 2)), np.zeros((count, len(names)), dtype=int), [], 0
+        if state is not None:
+            block, pos, ended, sources = int(state.block), np.array(state.pos, dtype=float).reshape(-1, 2), np.array(state.over, dtype=int), np.array(state.drew, dtype=int).reshape(count, -1)
 
-        def rows(r: np.ndarray, hits: np.ndarray, **columns) -> pd.DataFrame:
+        def rows(r: np.ndarray, hits: np.ndarray, **more) -> pd.DataFrame:
             missing = pd.array([pd.NA] * len(r), dtype="Int64")
             out = {"event_id": events[r], "station_id": stations[r], "ci": missing, "cj": missing, "at": missing, "hits": hits, "ended": None, "source": None}
-            return pd.DataFrame(out | columns)
+            return pd.DataFrame(dict.fromkeys(columns) | out | more)
 
-        for s in range(steps):
+        for s in range(block * per_block, steps):
             live = np.flatnonzero(ended == 0)
             gone = outside(pos[live])
             ended[live[gone]] = ends.index("domain_limit")
@@ -221,43 +288,72 @@ def trace(seeds: DataFrame, source: Measured | Given, pool: dict, cfg: TraceConf
             ended[live[~ok]] = ends.index("wind_unavailable")
             live, u, v, kind = live[ok], u[ok], v[ok], _bucket_index(nearest[ok]) * len(QUALITIES) + quality[ok]
             if s % per_block == 0:
+                which, r = numbered(kind, drawn[s // per_block, live])
+                ask = (which >= 0) & (r >= held[which]) if len(held) else np.zeros(len(live), dtype=bool)
+                if ask.any() and (state is None or int(state.block) != s // per_block):
+                    paused = {"seed_t": t0, "part": part, "block": s // per_block, "pos": pos.ravel(), "over": ended, "drew": sources.ravel(), "ask_i": live[ask], "ask_k": which[ask], "ask_r": r[ask]}
+                    yield pd.DataFrame({c: [paused.get(c)] for c in columns})
+                    break
+                if ask.any():
+                    if len(state.got_i) != ask.sum():
+                        raise ValueError(f"{ask.sum()} residuals were asked for, {len(state.got_i)} came")
+                    error[np.array(state.got_i, dtype=int)] = np.column_stack([state.got_u, state.got_v])
+                for x in np.unique(which[~ask]).tolist():
+                    here = (which == x) & ~ask
+                    error[live[here]] = first[x][r[here]] if x >= 0 else 0.0
                 for x in np.unique(kind).tolist():
-                    (name, some), here = chosen[x], live[kind == x]
-                    error[here] = some[(drawn[s // per_block, here] * len(some)).astype(int)]
-                    sources[:, names.index(name)] += np.bincount(of[here], minlength=count)
+                    sources[:, names.index(chosen[x][0])] += np.bincount(of[live[kind == x]], minlength=count)
             pos[live] -= (np.column_stack([u, v]) + error[live]) * dt
             left = outside(pos[live])
             ended[live[left]] = ends.index("domain_limit")
             if cells and not left.all():
                 cell = np.column_stack([of[live[~left]], np.floor(pos[live[~left]] / size).astype(int)])
                 cell = cell[np.lexsort(cell.T[::-1])]
-                first = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
-                passed.append(np.column_stack([cell[first], np.full(len(first), int(t0) - (s + 1) * dt), np.diff(np.r_[first, len(cell)])]))
+                new = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
+                passed.append(np.column_stack([cell[new], np.full(len(new), int(t0) - (s + 1) * dt), np.diff(np.r_[new, len(cell)])]))
+        else:
+            ended[ended == 0] = ends.index("time_limit")
         if passed:
             r, ci, cj, at, hits = np.concatenate(passed).T
             yield rows(r, hits, ci=ci, cj=cj, at=at)
-        ended[ended == 0] = ends.index("time_limit")
-        for labels, counts, column in ((ends, np.bincount(of * len(ends) + ended, minlength=count * len(ends)).reshape(count, -1), "ended"), (names, sources, "source")):
-            r, j = np.nonzero(counts)
-            yield rows(r, counts[r, j], **{column: np.array(labels, dtype=object)[j]})
+        if not (ended == 0).any():
+            for labels, counts, column in ((ends, np.bincount(of * len(ends) + ended, minlength=count * len(ends)).reshape(count, -1), "ended"), (names, sources, "source")):
+                r, j = np.nonzero(counts)
+                yield rows(r, counts[r, j], **{column: np.array(labels, dtype=object)[j]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                for i in range(0, len(r.receptors), most):
-                    yield from moved(r.seed_t, r.receptors[i : i + most], r.field)
+                yield from moved(r.seed_t, r.receptors, r.field, r.part, r if "pos" in b.columns else None)
 
     box = (lon0 + west / k, lat0 + south / M_PER_DEG_LAT, lon0 + east / k, lat0 + north / M_PER_DEG_LAT)
     seeds = seeds.select("event_id", F.col("station_id").cast("long").alias("station_id"), "seed_t", "lat", "lon").distinct()
     nowhere = reduce(or_, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in ("seed_t", "lat", "lon")])
     lists = _lists(seeds.where(~nowhere), most)
     fields = lists.join(source.fields(seeds.where(~nowhere).select("seed_t").distinct(), cfg, box), "seed_t")
-    out = fields.repartition("seed_t", F.col("receptors")[0]["station_id"]).mapInPandas(run, "event_id string, station_id long, ci int, cj int, at long, hits long, ended string, source string")
+    dealt = fields.repartition("seed_t", F.col("receptors")[0]["station_id"])
+    out = dealt.mapInPandas(run, schema) if others is None else _in_rounds(cut(dealt), others, keys, run, schema)
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
     lost = seeds.where(nowhere).select("event_id", "station_id", none("ci", "int"), none("cj", "int"), none("at", "long"), F.lit(n).cast("long").alias("hits"), F.lit("wind_unavailable").alias("ended"), none("source", "string"))
     return out.unionByName(lost)
 
 
+def _in_rounds(lists: DataFrame, others: DataFrame, keys: list[tuple[str, str]], run: Callable, schema: str) -> DataFrame:
+    """The rows of all rounds: lists of receptors go on until none asks for residuals. What a round gives is written, with the state of those that go on."""
+    pool = F.array_position(F.array(*[F.lit(f"{b}|{q}") for b, q in keys]), F.concat_ws("|", "bucket", "quality")) - 1
+    have, at, done, todo = others.select(pool.cast("long").alias("ask_k"), F.col("r").cast("long").alias("ask_r"), "du", "dv"), ["seed_t", "part"], [], lists
+    while True:
+        made = cut(todo.mapInPandas(run, schema))
+        done.append(made.where("seed_t is null").select(*[c.split()[0] for c in PASSED.split(", ")]))
+        paused = made.where("seed_t is not null").select(*[c.split()[0] for c in PAUSED.split(", ")])
+        if paused.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        asked = paused.select(*at, F.explode(F.arrays_zip("ask_i", "ask_k", "ask_r")).alias("a")).select(*at, "a.*")
+        got = asked.join(have, ["ask_k", "ask_r"]).groupBy(*at).agg(F.collect_list(F.struct("ask_i", "du", "dv")).alias("g"))
+        state = paused.drop("ask_i", "ask_k", "ask_r").join(got.select(*at, F.col("g.ask_i").alias("got_i"), F.col("g.du").alias("got_u"), F.col("g.dv").alias("got_v")), at)
+        todo = lists.join(state, at)
+
+
 def event_receptors(members: DataFrame) -> DataFrame:
     """(event_id, station_id, seed_t, lat, lon, weight) of each event: a station's first seed, else its first support, with its normalised role weight."""
     rank = F.struct(F.col("role") != "seed", "bucket")
