@@ -27,10 +27,8 @@ from .graph import components, cut
 
 #: Residuals of a bucket's pool that tasks are given at once, the first by hash; they ask for the others by number.
 POOL = 2_000
-#: Rows of a part of a pool that is numbered by itself.
-ROWS_A_PART = 20_000
-#: Parts of a pool that are put in order by themselves.
-PARTS = 64
+#: Rows of a part of a pool that is put in order by itself, about.
+ROWS_A_PART = 5_000
 #: Particles that are moved at once: receptors of one time come to tasks in lists of about so many, so no row grows with the receptors of a time.
 PARTICLES_AT_ONCE = 4_000
 QUALITIES = ["INSUFFICIENT_STATIONS", "CALM / LOW_DIRECTION_CONFIDENCE", "HIGH_UNCERTAINTY", "MEDIUM_UNCERTAINTY", "GOOD"]
@@ -43,25 +41,29 @@ def residual_table(validated: DataFrame) -> DataFrame:
     return validated.where(known).select("target", "at", (F.col("actual_u") - F.col("u")).alias("du"), (F.col("actual_v") - F.col("v")).alias("dv"), wind.distance_bucket("nearest_km").alias("bucket"), "quality")
 
 
-def _order() -> list:
-    return [F.xxhash64("target", "at"), "target", "at", "du", "dv"]
-
+def _numbered(residuals: DataFrame) -> DataFrame:
+    """(bucket, quality, r, du, dv): residuals by their number in their pool, from zero, in the order of a hash. They are numbered in parts of a pool, which are ranges of hashes, so no task sorts a whole pool."""
+    keys, by_hash = ["bucket", "quality"], F.xxhash64("target", "at")
+    bits = max(1, ceil(log2(residuals.count() / ROWS_A_PART + 1)))
+    parted = residuals.withColumn("_part", F.shiftright(by_hash, 64 - bits))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parted.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(by_hash, "target", "at", "du", "dv")) - 1
+    return parted.withColumn("_in", within).join(starts, [*keys, "_part"]).select(*keys, (F.col("_start") + F.col("_in")).alias("r"), "du", "dv")
 
-def pools(residuals: DataFrame) -> dict[tuple[str, str], np.ndarray]:
-    """The first residuals by (distance bucket, quality), ``POOL`` of each; ``whole_pools`` has all.
 
-    The first ones of ``PARTS`` parts of a pool are found before those of all of it, so no task sorts a whole pool; what is collected is of a fixed size.
-    """
-    order = _order()
-    first = lambda df, *keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= POOL)
-    parts = residuals.withColumn("_part", F.pmod(F.xxhash64("at", "target"), F.lit(PARTS)))
-    rows = sorted(first(first(parts, "bucket", "quality", "_part"), "bucket", "quality").select("bucket", "quality", "r", "du", "dv").collect())
+def _first(numbered: DataFrame) -> dict[tuple[str, str], np.ndarray]:
     out: dict = {}
-    for r in rows:
+    for r in sorted(numbered.where(F.col("r") < POOL).collect()):
         out.setdefault((r.bucket, r.quality), []).append((r.du, r.dv))
     return {k: np.array(v) for k, v in out.items()}
 
 
+def pools(residuals: DataFrame) -> dict[tuple[str, str], np.ndarray]:
+    """The first residuals by (distance bucket, quality), ``POOL`` of each, so what is collected is of a fixed size; ``whole_pools`` has all."""
+    return _first(_numbered(residuals))
+
+
 @dataclass(frozen=True)
 class Pools:
     """Residuals by (distance bucket, quality): how many, the first of them, and a table (bucket, quality, r, du, dv) of all others, whose numbers r count from zero."""
@@ -72,21 +74,10 @@ class Pools:
 
 
 def whole_pools(residuals: DataFrame) -> Pools:
-    """All residuals by (distance bucket, quality), in the order of ``pools``.
-
-    Only the first ones and the pools' sizes reach the driver. The others are numbered in parts of a pool, which are ranges of hashes, so no task sorts a whole pool.
-    """
-    residuals, keys = cut(residuals), ["bucket", "quality"]
-    sizes = {(r.bucket, r.quality): r["n"] for r in residuals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if max(sizes.values(), default=0) <= POOL:
-        return Pools(sizes, pools(residuals))
-    bits = max(1, ceil(log2(max(sizes.values()) / ROWS_A_PART + 1)))
-    parted = residuals.withColumn("_part", F.shiftright(F.xxhash64("target", "at"), 64 - bits))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parted.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*_order())) - 1
-    others = parted.withColumn("_in", within).join(starts, [*keys, "_part"]).withColumn("r", F.col("_start") + F.col("_in")).where(F.col("r") >= POOL)
-    return Pools(sizes, pools(residuals), cut(others.select(*keys, "r", "du", "dv")))
+    """All residuals by (distance bucket, quality), in the order of ``pools``. Only the first ones and the pools' sizes reach the driver."""
+    numbered = cut(_numbered(cut(residuals)))
+    sizes = {(r.bucket, r.quality): r["n"] for r in numbered.groupBy("bucket", "quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return Pools(sizes, _first(numbered), numbered.where(F.col("r") >= POOL) if max(sizes.values(), default=0) > POOL else None)
 
 
 def drawn_from(keys: list[tuple[str, str]], bucket: str, quality: str) -> tuple[str, list[tuple[str, str]]]:
